@@ -173,3 +173,136 @@ def q_user_histogram(spark, sf_dir):
 @register("top_datasets")
 def q_top_datasets(spark, sf_dir):
     return rounded(profile.top_datasets(Domain(spark, sf_dir).popularity, n=10))
+
+
+# ---- features, sampling -------------------------------------------------------
+
+from hotsets.operators import evaluate, features, sampling  # noqa: E402
+from hotsets.schemas import POPULARITY_KEYS  # noqa: E402
+
+# Parameters of the test-table queries.  The reference's own defaults
+# (numaccesses > 50) give no positive on the test tables, where no group
+# has more than two accesses; readbytes > 50000 splits them about in half.
+LABEL_METRIC, LABEL_THRESHOLD = "readbytes", 50000.0
+TRAIN_LAST_WEEK, HELD_OUT_SITE = 40, "NATION_3"
+
+
+def popularity_table(spark, sf_dir) -> DataFrame:
+    """The weekly access table as written (doubles to 2 places)."""
+    return rounded(Domain(spark, sf_dir).popularity)
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    return features.with_label(popularity_table(spark, sf_dir), LABEL_METRIC, LABEL_THRESHOLD)
+
+
+@register("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    return features.vocabulary(popularity_table(spark, sf_dir))
+
+
+def _vocab_query(col: str) -> Query:
+    def q(spark, sf_dir):
+        v = features.vocabulary(popularity_table(spark, sf_dir), [col])
+        return v.select("value", "idx")
+    q.__name__ = f"q_vocab_{col}"
+    return q
+
+
+for _c in features.VOCAB_COLUMNS:
+    register(f"vocab_{_c}")(_vocab_query(_c))
+
+
+@register("label_popular")
+def q_label_popular(spark, sf_dir):
+    return labelled(spark, sf_dir).select(*POPULARITY_KEYS, LABEL_METRIC, "label")
+
+
+@register("class_counts")
+def q_class_counts(spark, sf_dir):
+    return features.class_counts(labelled(spark, sf_dir))
+
+
+def _features_out(df: DataFrame) -> DataFrame:
+    return df.select("label", *features.FEATURE_ORDER)
+
+
+@register("features_indexed")
+def q_features_indexed(spark, sf_dir):
+    lab = labelled(spark, sf_dir)
+    vocab = features.fit_vocabulary(lab, features.FEATURE_CATEGORIES)
+    enc = features.encode(features.with_week_feature(lab), vocab, unseen="error")
+    return _features_out(enc)
+
+
+def training_and_week(spark, sf_dir):
+    """Training rows (weeks up to 40, one site held out) and the rows of
+    the later weeks to score, which include the held-out site."""
+    lab = labelled(spark, sf_dir)
+    train = lab.filter((F.col("week") <= TRAIN_LAST_WEEK) & (F.col("server_site") != HELD_OUT_SITE))
+    week = lab.filter(F.col("week") > TRAIN_LAST_WEEK)
+    return train, week
+
+
+def _score_week_features(unseen: str) -> Query:
+    def q(spark, sf_dir):
+        train, week = training_and_week(spark, sf_dir)
+        vocab = features.fit_vocabulary(train, features.FEATURE_CATEGORIES)
+        return _features_out(features.encode(features.with_week_feature(week), vocab, unseen=unseen))
+    return q
+
+
+register("score_week_features")(_score_week_features("keep"))
+register("score_week_features_zero")(_score_week_features("zero"))
+
+
+@register("balanced_sample")
+def q_balanced_sample(spark, sf_dir):
+    return sampling.balanced_sample(labelled(spark, sf_dir)).select(*POPULARITY_KEYS, "label")
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    s = sampling.with_split(sampling.balanced_sample(labelled(spark, sf_dir)))
+    return s.select(*POPULARITY_KEYS, "label", "split")
+
+
+# ---- evaluation of a rule-made score -------------------------------------------
+
+def rule_predictions(spark, sf_dir) -> DataFrame:
+    """(label, score, prediction) with score = floor(100 * s / (s + 2000)) / 100
+    of the dataset size s: a fixed scoring rule, so the evaluation queries
+    can be checked by plain SQL."""
+    lab = labelled(spark, sf_dir)
+    s = F.col("dataset_size")
+    score = F.floor(F.lit(100.0) * s / (s + F.lit(2000.0))) / F.lit(100.0)
+    return lab.select("label", score.alias("score")).withColumn(
+        "prediction", F.when(F.col("score") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+RATIO_DIGITS = 9
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    return rounded(evaluate.confusion(rule_predictions(spark, sf_dir)), RATIO_DIGITS)
+
+
+@register("confusion_rates")
+def q_confusion_rates(spark, sf_dir):
+    return rounded(evaluate.confusion_rates(evaluate.confusion(rule_predictions(spark, sf_dir))), RATIO_DIGITS)
+
+
+@register("rmse")
+def q_rmse(spark, sf_dir):
+    return rounded(evaluate.rmse(rule_predictions(spark, sf_dir)), RATIO_DIGITS)
+
+
+@register("curve")
+def q_curve(spark, sf_dir):
+    return rounded(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
+
+
+@register("auc")
+def q_auc(spark, sf_dir):
+    return rounded(evaluate.areas(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)

@@ -306,3 +306,47 @@ def q_curve(spark, sf_dir):
 @register("auc")
 def q_auc(spark, sf_dir):
     return rounded(evaluate.areas(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)
+
+
+# ---- models (no SQL oracle: rows-only check) -----------------------------------
+
+from hotsets.ml import models  # noqa: E402
+
+
+def _train_query(name: str) -> Query:
+    def q(spark, sf_dir):
+        sample = sampling.balanced_sample(labelled(spark, sf_dir))
+        train, test = sampling.train_test_split(sample)
+        return models.train_and_score(name, train, test)
+    q.__name__ = f"q_train_{name}"
+    return q
+
+
+for _name in models.MODEL_NAMES:
+    register(f"train_{_name}")(_train_query(_name))
+
+
+@register("score_week")
+def q_score_week(spark, sf_dir):
+    """Random forest trained on the earlier weeks, scoring the later ones."""
+    train, week = training_and_week(spark, sf_dir)
+    return models.train_and_score("random_forest", sampling.balanced_sample(train), week)
+
+
+@register("score_week_evaluation")
+def q_score_week_evaluation(spark, sf_dir):
+    """Confusion counts, rates and areas of the weekly random-forest scores."""
+    preds = q_score_week(spark, sf_dir).checkpoint(eager=True)
+    conf = evaluate.confusion(preds)
+    rates = evaluate.confusion_rates(conf)
+    area = evaluate.areas(evaluate.curve(preds, num_bins=100))
+    return rounded(_one_row(conf, rates, area), RATIO_DIGITS)
+
+
+def _one_row(*dfs: DataFrame) -> DataFrame:
+    """Side-by-side of single-row results (each joined on a constant key)."""
+    out = None
+    for d in dfs:
+        d = d.withColumn("_k", F.lit(1))
+        out = d if out is None else out.join(d, "_k")
+    return out.drop("_k")

@@ -13,6 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+def _tagged_ranges(ranged: DataFrame) -> DataFrame:
+    """Tag each row with its range number and materialise the result.
+
+    Range bounds come from a sample taken when the exchange runs; the rows
+    are read twice below (numbering and counting), and two separate runs
+    of the exchange could sample different bounds.  Checkpointing (to the
+    shared ``spark.checkpoint.dir``) fixes one assignment for both reads
+    and cuts the lineage, so a lost executor re-reads it instead of
+    re-sampling.  Only distinct keys pass through here, not raw rows.
+    """
+    return ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
 def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: str = "idx",
                   descending: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its group, in
@@ -23,8 +36,7 @@ def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: st
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = [group_col] if group_col else []
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    ranged = (df.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in gcols], okey)
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = _tagged_ranges(df.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in gcols], okey))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(okey)))
     counts = local.groupBy(*gcols, "_pid").agg(F.max("_local").alias("_cnt"))
@@ -51,7 +63,7 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], descending
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    ranged = df.repartitionByRange(n, okey).withColumn("_pid", F.spark_partition_id())
+    ranged = _tagged_ranges(df.repartitionByRange(n, okey))
     w = Window.partitionBy("_pid").orderBy(okey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({f"_l_{c}": F.sum(c).over(w) for c in value_cols})
     totals = local.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])

@@ -1,0 +1,68 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from hotsets.operators import evaluate
+
+
+def _hand(spark):
+    # tp=3 fp=2 fn=1 tn=4, scores equal to predictions
+    data = [(1.0, 1.0)] * 3 + [(0.0, 1.0)] * 2 + [(1.0, 0.0)] * 1 + [(0.0, 0.0)] * 4
+    return spark.createDataFrame(data, "label double, prediction double").withColumn("score", F.col("prediction"))
+
+
+def test_confusion_and_rates(spark):
+    conf = evaluate.confusion(_hand(spark)).first()
+    assert (conf["tp"], conf["fp"], conf["fn"], conf["tn"], conf["n"], conf["wrong"]) == (3, 2, 1, 4, 10, 3)
+    r = evaluate.confusion_rates(evaluate.confusion(_hand(spark))).first()
+    assert r["tpr"] == pytest.approx(0.75) and r["tnr"] == pytest.approx(4 / 6)
+    assert r["f1"] == pytest.approx(6 / 9)
+    assert r["fpr"] == pytest.approx(1 - 4 / 6) and r["accuracy"] == pytest.approx(0.7)
+    assert evaluate.rmse(_hand(spark)).first()[0] == pytest.approx(math.sqrt(0.3))
+
+
+def test_hand_areas(spark):
+    a = evaluate.areas(evaluate.curve(_hand(spark))).first()
+    assert a["area_under_roc"] == pytest.approx(0.708333333, abs=1e-6)
+    assert a["area_under_pr"] == pytest.approx(0.575, abs=1e-9)
+    # AUROC of a 0/1 score is (TPR + TNR) / 2
+    assert a["area_under_roc"] == pytest.approx((0.75 + 4 / 6) / 2)
+
+
+def test_rates_null_without_positives(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0)], "label double, prediction double")
+    r = evaluate.confusion_rates(evaluate.confusion(df)).first()
+    assert r["tpr"] is None and r["precision"] is None and r["tnr"] == 1.0
+
+
+def test_against_mllib_metrics(spark):
+    from pyspark.mllib.evaluation import BinaryClassificationMetrics
+    rnd = random.Random(11)
+    data = []
+    for _ in range(3000):
+        y = float(rnd.random() < 0.4)
+        s = round(min(1.0, max(0.0, rnd.gauss(0.35 + 0.3 * y, 0.2))), 3)
+        data.append((y, s))
+    df = spark.createDataFrame(data, "label double, score double")
+    m = BinaryClassificationMetrics(df.select("score", "label").rdd.map(tuple))
+    a = evaluate.areas(evaluate.curve(df, num_bins=0)).first()
+    assert a["area_under_roc"] == pytest.approx(m.areaUnderROC, abs=1e-9)
+    assert a["area_under_pr"] == pytest.approx(m.areaUnderPR, abs=1e-9)
+
+
+def test_binning_bounds_curve_and_keeps_totals(spark):
+    rnd = random.Random(5)
+    data = [(float(rnd.random() < 0.3), rnd.random()) for _ in range(5000)]
+    df = spark.createDataFrame(data, "label double, score double")
+    crv = evaluate.curve(df, num_bins=100)
+    n = crv.count()
+    assert 100 <= n <= 200
+    last = crv.orderBy("threshold").first()
+    assert last["recall"] == pytest.approx(1.0) and last["fpr"] == pytest.approx(1.0)
+    # brute force: blocks of 50 consecutive scores (descending), threshold = block max
+    scores = sorted({s for _, s in data}, reverse=True)
+    grouping = len(scores) // 100
+    want = sorted({scores[i] for i in range(0, len(scores), grouping)})
+    assert sorted(r["threshold"] for r in crv.collect()) == want

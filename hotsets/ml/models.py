@@ -29,6 +29,9 @@ GBT_ITERATIONS = 10
 GBT_DEPTH = 5
 LINEAR_ITERATIONS = 50
 SEED = 42
+# memory for split statistics per pass: more nodes are split per pass
+# over the data (fewer passes); the trees themselves do not change
+TREE_MEMORY_MB = 1024
 
 MODEL_NAMES = ["decision_tree", "random_forest", "gbt", "linear_svc", "logistic_regression",
                "linear_regression"]
@@ -57,13 +60,15 @@ def assemble(encoded: DataFrame, arities: dict[str, int], categorical: bool = Tr
 
 def estimator(name: str, max_bins: int = MAX_BINS):
     if name == "decision_tree":
-        return DecisionTreeClassifier(impurity=IMPURITY, maxDepth=MAX_DEPTH, maxBins=max_bins, seed=SEED)
+        return DecisionTreeClassifier(impurity=IMPURITY, maxDepth=MAX_DEPTH, maxBins=max_bins, seed=SEED,
+                                      maxMemoryInMB=TREE_MEMORY_MB)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=NUM_TREES, featureSubsetStrategy=FEATURE_SUBSET,
-                                      impurity=IMPURITY, maxDepth=MAX_DEPTH, maxBins=max_bins, seed=SEED)
+                                      impurity=IMPURITY, maxDepth=MAX_DEPTH, maxBins=max_bins, seed=SEED,
+                                      maxMemoryInMB=TREE_MEMORY_MB)
     if name == "gbt":
         return GBTClassifier(maxIter=GBT_ITERATIONS, maxDepth=GBT_DEPTH, maxBins=max_bins,
-                             lossType="logistic", seed=SEED)
+                             lossType="logistic", seed=SEED, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "linear_svc":
         return LinearSVC(maxIter=LINEAR_ITERATIONS)
     if name == "logistic_regression":

@@ -82,8 +82,11 @@ def curve(preds: DataFrame, score: str = "score", label: str = "label", num_bins
           betas: tuple[float, ...] = (1.0, 0.5)) -> DataFrame:
     """Per threshold (descending): tp, fp, precision, recall, fpr,
     f-measures; one row per (binned) distinct score."""
-    counts = binned_counts(score_counts(preds, score, label), num_bins)
+    # one pass over the predictions; everything after reads the per-score
+    # table (distinct scores only), materialised in the checkpoint folder
+    counts = score_counts(preds, score, label).checkpoint(eager=True)
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    counts = binned_counts(counts, num_bins)
     total_pos, total_neg = int(totals["P"] or 0), int(totals["N"] or 0)
     cum = running_sum(counts, "threshold", ["pos", "neg"], descending=True)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")

@@ -56,7 +56,7 @@ def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:
 def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:
     """Vocabulary materialised once in the checkpoint folder.
 
-    Encoding reads it once per column (and counts it for the broadcast
+    Encoding reads it once per column (and sizes it for the broadcast
     check), so it is computed here a single time and its lineage is cut:
     a lost executor does not re-run the scan that produced it.
     """
@@ -68,12 +68,6 @@ def arity(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("feature").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    # broadcast only with a checked bound; beyond it, a shuffle join
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGORIES,
            unseen: str = "error", max_broadcast_rows: int = MAX_BROADCAST_VOCAB_ROWS) -> DataFrame:
     """Add ``f_<column>`` ids for each categorical column.
@@ -85,12 +79,14 @@ def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGOR
     """
     if unseen not in ("error", "keep", "zero"):
         raise ValueError(f"unseen must be error, keep or zero, not {unseen!r}")
-    # vocabulary sizes: one small row per feature, needed as literals
-    sizes = {r["feature"]: r["size"] for r in arity(vocab).collect()} if unseen == "keep" else {}
+    # vocabulary sizes (one row per feature, one job): the broadcast check
+    # and the id of the unseen bucket
+    sizes = {r["feature"]: int(r["size"]) for r in arity(vocab).collect()}
     out = df
     for c in columns:
         v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
-        v = _maybe_broadcast(v, max_broadcast_rows)
+        if sizes.get(c, 0) <= max_broadcast_rows:
+            v = F.broadcast(v)
         out = out.join(v, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
         if unseen == "error":
             fid = F.when(F.col("_i").isNull(), F.raise_error(

@@ -196,6 +196,13 @@ def labelled(spark, sf_dir) -> DataFrame:
     return features.with_label(popularity_table(spark, sf_dir), LABEL_METRIC, LABEL_THRESHOLD)
 
 
+def labelled_table(spark, sf_dir) -> DataFrame:
+    """The labelled weekly table written once (checkpoint folder) for jobs
+    that read it several times (vocabulary, encoding, training, scoring),
+    as the weekly table is written once and read by the training job."""
+    return labelled(spark, sf_dir).checkpoint(eager=True)
+
+
 @register("vocabulary")
 def q_vocabulary(spark, sf_dir):
     return features.vocabulary(popularity_table(spark, sf_dir))
@@ -229,7 +236,7 @@ def _features_out(df: DataFrame) -> DataFrame:
 
 @register("features_indexed")
 def q_features_indexed(spark, sf_dir):
-    lab = labelled(spark, sf_dir)
+    lab = labelled_table(spark, sf_dir)
     vocab = features.fit_vocabulary(lab, features.FEATURE_CATEGORIES)
     enc = features.encode(features.with_week_feature(lab), vocab, unseen="error")
     return _features_out(enc)
@@ -238,7 +245,7 @@ def q_features_indexed(spark, sf_dir):
 def training_and_week(spark, sf_dir):
     """Training rows (weeks up to 40, one site held out) and the rows of
     the later weeks to score, which include the held-out site."""
-    lab = labelled(spark, sf_dir)
+    lab = labelled_table(spark, sf_dir)
     train = lab.filter((F.col("week") <= TRAIN_LAST_WEEK) & (F.col("server_site") != HELD_OUT_SITE))
     week = lab.filter(F.col("week") > TRAIN_LAST_WEEK)
     return train, week
@@ -315,7 +322,7 @@ from hotsets.ml import models  # noqa: E402
 
 def _train_query(name: str) -> Query:
     def q(spark, sf_dir):
-        sample = sampling.balanced_sample(labelled(spark, sf_dir))
+        sample = sampling.balanced_sample(labelled_table(spark, sf_dir))
         train, test = sampling.train_test_split(sample)
         return models.train_and_score(name, train, test)
     q.__name__ = f"q_train_{name}"

@@ -22,7 +22,12 @@ def to_canonical(df: DataFrame) -> DataFrame:
                        for c in POPULARITY_COLUMNS])
 
 
-def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool = True) -> DataFrame:
+# catalog rows up to which the catalog is broadcast (~100 bytes per row)
+MAX_BROADCAST_CATALOG_ROWS = 2_000_000
+
+
+def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool | None = None,
+                      max_broadcast_rows: int = MAX_BROADCAST_CATALOG_ROWS) -> DataFrame:
     """Join cleaned accesses to the file catalog and aggregate per week.
 
     Keys: week, dataset, client domain, catalog user, server domain, site,
@@ -30,13 +35,26 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool
     SUM(proctime), SUM(readbytes).  An access whose file is not in the
     catalog is dropped; a file listed twice counts twice.
 
-    With ``pre_aggregate`` the accesses are first reduced per (week, file,
-    access-side keys), with partial aggregation on the map side, so the
-    join to the catalog shuffles one row per file and week instead of one
-    per access.  SUM(filesize) then becomes SUM(filesize * rows); the other
-    metrics add up, so the result is the same (also with duplicate catalog
-    keys, since every partial row is multiplied alike).
+    Join strategy, chosen by a checked size: a catalog of at most
+    ``max_broadcast_rows`` rows is broadcast, so accesses are joined where
+    they are read and shuffled once, by the final aggregate (after its
+    map-side partial aggregation).  A larger catalog is joined by shuffle;
+    then the accesses are first reduced per (week, file, access-side keys)
+    with map-side partial aggregation, so the join shuffles one row per
+    file and week instead of one per access, and a file holding a large
+    share of all accesses no longer skews the join.  SUM(filesize) then
+    becomes SUM(filesize * rows); the other metrics add up, so the result
+    is the same (also with duplicate catalog keys, since every partial row
+    is multiplied alike).  ``pre_aggregate`` forces either plan.
     """
+    cat = catalog.select("file_lfn", "dataset_name", F.col("usernameXX").alias("username"), "filesize")
+    small = None
+    if pre_aggregate is None or pre_aggregate is False:
+        small = cat.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    if pre_aggregate is None:
+        pre_aggregate = not small
+    if small:
+        cat = F.broadcast(cat)
     acc = clean.select(week_of_epoch_s("cts").alias("week"), "file_lfn", *_RAW_KEYS,
                        "client_host", "proctime", "readbytes")
     if pre_aggregate:
@@ -52,7 +70,6 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool
     else:
         size, proc, rb = F.col("filesize"), F.col("proctime"), F.col("readbytes")
         numaccesses = F.count("client_host")
-    cat = catalog.select("file_lfn", "dataset_name", F.col("usernameXX").alias("username"), "filesize")
     joined = acc.join(cat, "file_lfn")
     out = joined.groupBy("week", "dataset_name", "client_domain", "username",
                          "server_domain", "server_site", "user_protocol").agg(

@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if current:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    target = conf_dir or fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "hotsets-checkpoints")
-    sc.setCheckpointDir(target)
+    if conf_dir:
+        sc.setCheckpointDir(conf_dir)
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        # a machine-local folder would be lost with its executor
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) "
+                           "before running jobs that checkpoint")
+    sc.setCheckpointDir(fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "hotsets-checkpoints"))
     return sc.getCheckpointDir()

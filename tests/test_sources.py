@@ -74,3 +74,18 @@ def test_label_prediction_text(spark, tmp_out):
     sinks.write_label_prediction(df, p, single_file=True)
     lines = sorted(r[0] for r in spark.read.text(p).collect())
     assert lines == ["0.0,0.0", "1.0,0.0"]
+
+
+def test_clean_table_csv_round_trip_both_layouts(spark, tmp_out):
+    from hotsets import schemas as S
+    row = ("2015/08/01", 1, 2, "f", "cd", "h", "u", "sd", "sh", "s", "xrootd", 1, 7)
+    df = spark.createDataFrame([row], S.ACCESS_CLEAN)
+    p = os.path.join(tmp_out, "clean")
+    sinks.write_csv(df, p)
+    assert [tuple(r) for r in readers.read_access_clean(spark, p).collect()] == [row]
+    # older 12-column layout: same values, other order, no server_host
+    legacy = df.select(*[c.name for c in S.ACCESS_CLEAN_V1.fields])
+    p2 = os.path.join(tmp_out, "clean_v1")
+    sinks.write_csv(legacy, p2)
+    back = readers.read_access_clean(spark, p2, legacy=True).first()
+    assert back["client_domain"] == "cd" and back["server_username"] == "u" and back["readbytes"] == 7

@@ -6,6 +6,7 @@ adapters; none runs on fixed or made-up input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -127,24 +128,28 @@ def q_replica_histogram(spark, sf_dir):
 
 @register("sql_view")
 def q_sql_view(spark, sf_dir):
-    """Replication factor in SQL text over temp views, then SELECT *."""
-    snap = Domain(spark, sf_dir).replica_snapshots
-    snap.createOrReplaceTempView("replica_snapshots_v")
-    spark.sql("""
+    """Replication factor in SQL text over temp views, then SELECT *.
+
+    View names carry a per-call suffix so concurrent callers sharing a
+    session do not replace each other's views."""
+    sfx = uuid.uuid4().hex[:12]
+    Domain(spark, sf_dir).replica_snapshots.createOrReplaceTempView(f"replica_snapshots_{sfx}")
+    spark.sql(f"""
         SELECT sum(br_node_bytes) AS sizeofblockreplicas, dataset_name
-        FROM replica_snapshots_v
+        FROM replica_snapshots_{sfx}
         WHERE node_name NOT LIKE '%MSS' AND node_name NOT LIKE '%Buffer'
           AND node_name NOT LIKE '%Export'
-        GROUP BY dataset_name""").createOrReplaceTempView("sizeofblockreplicas_v")
-    spark.sql("""
+        GROUP BY dataset_name""").createOrReplaceTempView(f"sizeofblockreplicas_{sfx}")
+    spark.sql(f"""
         SELECT sum(t.block_bytes) AS sizeofblocks, t.dataset_name
-        FROM (SELECT DISTINCT block_bytes, block_id, dataset_name FROM replica_snapshots_v) AS t
-        GROUP BY t.dataset_name""").createOrReplaceTempView("sizeofblocks_v")
-    spark.sql("""
+        FROM (SELECT DISTINCT block_bytes, block_id, dataset_name FROM replica_snapshots_{sfx}) AS t
+        GROUP BY t.dataset_name""").createOrReplaceTempView(f"sizeofblocks_{sfx}")
+    spark.sql(f"""
         SELECT floor(try_divide(a.sizeofblockreplicas, b.sizeofblocks)) AS replicas, a.dataset_name
-        FROM sizeofblockreplicas_v a JOIN sizeofblocks_v b ON a.dataset_name = b.dataset_name
-        WHERE floor(try_divide(a.sizeofblockreplicas, b.sizeofblocks)) > 1""").createOrReplaceTempView("replicas_v")
-    return spark.sql("SELECT * FROM replicas_v")
+        FROM sizeofblockreplicas_{sfx} a JOIN sizeofblocks_{sfx} b ON a.dataset_name = b.dataset_name
+        WHERE floor(try_divide(a.sizeofblockreplicas, b.sizeofblocks)) > 1
+        """).createOrReplaceTempView(f"replicas_{sfx}")
+    return spark.sql(f"SELECT * FROM replicas_{sfx}")
 
 
 # ---- profiles over the weekly table -----------------------------------------

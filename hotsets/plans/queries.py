@@ -295,6 +295,16 @@ def rule_predictions(spark, sf_dir) -> DataFrame:
 RATIO_DIGITS = 9
 
 
+def fine_rule_predictions(spark, sf_dir) -> DataFrame:
+    """A finer rule, floor(1000 * t / (t + 1e7)) / 1000 of the processing
+    time t: hundreds of distinct scores, so the 100-bin threshold
+    down-sampling is exercised."""
+    lab = labelled(spark, sf_dir)
+    t = F.col("proctime")
+    score = F.floor(F.lit(1000.0) * t / (t + F.lit(1e7))) / F.lit(1000.0)
+    return lab.select("label", score.alias("score"))
+
+
 @register("confusion")
 def q_confusion(spark, sf_dir):
     return rounded(evaluate.confusion(rule_predictions(spark, sf_dir)), RATIO_DIGITS)
@@ -362,3 +372,14 @@ def _one_row(*dfs: DataFrame) -> DataFrame:
         d = d.withColumn("_k", F.lit(1))
         out = d if out is None else out.join(d, "_k")
     return out.drop("_k")
+
+
+@register("curve_binned")
+def q_curve_binned(spark, sf_dir):
+    return rounded(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
+
+
+@register("auc_binned")
+def q_auc_binned(spark, sf_dir):
+    return rounded(evaluate.areas(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),
+                   RATIO_DIGITS)

@@ -56,20 +56,21 @@ def score_counts(preds: DataFrame, score: str = "score", label: str = "label") -
         F.count_if(_pos(label)).alias("pos"), F.count_if(~_pos(label)).alias("neg"))
 
 
-def binned_counts(counts: DataFrame, num_bins: int = 100) -> DataFrame:
+def binned_counts(counts: DataFrame, num_bins: int = 100, n_scores: int | None = None):
     """Merge consecutive scores (descending) into blocks of
     ``n_scores // num_bins`` scores when that is 2 or more; the block's
-    threshold is its highest score.  ``num_bins <= 0`` keeps every score."""
-    if num_bins <= 0:
-        return counts
-    n_scores = counts.count()
-    grouping = n_scores // num_bins
+    threshold is its highest score.  ``num_bins <= 0`` keeps every score.
+    Returns (table, its row count)."""
+    if n_scores is None:
+        n_scores = counts.count()
+    grouping = n_scores // num_bins if num_bins > 0 else 0
     if grouping < 2:
-        return counts
-    ranked = ordered_index(counts, None, "threshold", "_rank", descending=True)
-    return (ranked.groupBy(F.floor(F.col("_rank") / grouping).alias("_blk"))
-            .agg(F.max("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            .drop("_blk"))
+        return counts, n_scores
+    ranked = ordered_index(counts, None, "threshold", "_rank", descending=True, known_rows=n_scores)
+    out = (ranked.groupBy(F.floor(F.col("_rank") / grouping).alias("_blk"))
+           .agg(F.max("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+           .drop("_blk"))
+    return out, -(-n_scores // grouping)
 
 
 def fmeasure(p, r, beta: float):
@@ -80,20 +81,24 @@ def fmeasure(p, r, beta: float):
 
 def curve(preds: DataFrame, score: str = "score", label: str = "label", num_bins: int = 100,
           betas: tuple[float, ...] = (1.0, 0.5)) -> DataFrame:
-    """Per threshold (descending): tp, fp, precision, recall, fpr,
-    f-measures; one row per (binned) distinct score."""
+    """Per threshold (descending): point index, tp, fp, precision, recall,
+    fpr, f-measures; one row per (binned) distinct score.  The row count is
+    known from the binning step, so small curves use plain windows."""
     # one pass over the predictions; everything after reads the per-score
     # table (distinct scores only), materialised in the checkpoint folder
     counts = score_counts(preds, score, label).checkpoint(eager=True)
-    totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    counts = binned_counts(counts, num_bins)
+    totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                        F.count(F.lit(1)).alias("S")).first()
+    counts, n_points = binned_counts(counts, num_bins, int(totals["S"]))
     total_pos, total_neg = int(totals["P"] or 0), int(totals["N"] or 0)
-    cum = running_sum(counts, "threshold", ["pos", "neg"], descending=True)
+    cum = running_sum(counts.withColumn("_one", F.lit(1)), "threshold", ["pos", "neg", "_one"],
+                      descending=True, known_rows=n_points)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     precision = F.when(tp + fp == 0, F.lit(1.0)).otherwise(tp / (tp + fp))
     recall = F.when(F.lit(total_pos) == 0, F.lit(0.0)).otherwise(tp / F.lit(float(total_pos)))
     fpr = F.when(F.lit(total_neg) == 0, F.lit(0.0)).otherwise(fp / F.lit(float(total_neg)))
-    out = cum.select("threshold", tp.alias("tp"), fp.alias("fp"), precision.alias("precision"),
+    out = cum.select((F.col("cum__one") - 1).cast("long").alias("point"), "threshold",
+                     tp.alias("tp"), fp.alias("fp"), precision.alias("precision"),
                      recall.alias("recall"), fpr.alias("fpr"))
     for b in betas:
         name = "f1" if b == 1.0 else "f" + str(b).replace(".", "_")
@@ -105,8 +110,11 @@ def areas(crv: DataFrame) -> DataFrame:
     """Area under ROC (from (0,0)) and under PR (from (0, first precision))
     by trapezoids.  Each point is paired with the previous one through an
     ordered index and an equi-join (no single-task window)."""
-    pts = ordered_index(crv.select("threshold", "precision", "recall", "fpr"), None, "threshold",
-                        "i", descending=True)
+    if "point" in crv.columns:
+        pts = crv.select(F.col("point").alias("i"), "threshold", "precision", "recall", "fpr")
+    else:
+        pts = ordered_index(crv.select("threshold", "precision", "recall", "fpr"), None, "threshold",
+                            "i", descending=True)
     prev = pts.select((F.col("i") + 1).alias("i"), F.col("precision").alias("p0"),
                       F.col("recall").alias("r0"), F.col("fpr").alias("x0"))
     j = pts.join(prev, "i", "left")

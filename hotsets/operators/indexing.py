@@ -12,6 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Below this many rows (a count the caller has already checked) a plain
+# window in one task is cheaper than the range-partitioned scheme.
+LOCAL_WINDOW_ROWS = 1_000_000
+
+
+def _local(known_rows: int | None) -> bool:
+    return known_rows is not None and known_rows <= LOCAL_WINDOW_ROWS
+
 
 def _tagged_ranges(ranged: DataFrame) -> DataFrame:
     """Tag each row with its range number and materialise the result.
@@ -27,15 +35,20 @@ def _tagged_ranges(ranged: DataFrame) -> DataFrame:
 
 
 def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: str = "idx",
-                  descending: bool = False, num_partitions: int | None = None) -> DataFrame:
+                  descending: bool = False, num_partitions: int | None = None,
+                  known_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its group, in
     ascending (or descending) order of ``order_col``.  Rows should be
     distinct on (group_col, order_col); ties get consecutive ids in an
-    unspecified order.  NULLs sort first ascending, last descending."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unspecified order.  NULLs sort first ascending, last descending.
+    ``known_rows``: a checked row count; small inputs use a plain window."""
     gcols = [group_col] if group_col else []
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
+    if _local(known_rows):
+        w = Window.partitionBy(*gcols).orderBy(okey)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = _tagged_ranges(df.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in gcols], okey))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(okey)))
@@ -52,17 +65,22 @@ def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: st
 
 
 def running_sum(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False,
-                prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
+                prefix: str = "cum_", num_partitions: int | None = None,
+                known_rows: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` = SUM(c) over all rows up to and including this one
     in ``order_col`` order (values of ``order_col`` should be distinct).
 
     Same range-partition pattern as ``ordered_index``: running sums inside
     each range, plus the totals of all earlier ranges (a table of at most
-    ``num_partitions`` rows, broadcast).
+    ``num_partitions`` rows, broadcast).  ``known_rows``: a checked row
+    count; small inputs use a plain window.
     """
+    okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
+    if _local(known_rows):
+        w = Window.orderBy(okey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in value_cols})
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
     ranged = _tagged_ranges(df.repartitionByRange(n, okey))
     w = Window.partitionBy("_pid").orderBy(okey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({f"_l_{c}": F.sum(c).over(w) for c in value_cols})

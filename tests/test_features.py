@@ -14,25 +14,30 @@ def test_label_is_strict(spark):
     assert got == [0.0, 1.0, 0.0, 0.0]
 
 
-def test_ordered_index_matches_dense_rank(spark):
+@pytest.mark.parametrize("local", [False, True])
+def test_ordered_index_matches_dense_rank(spark, local):
     rnd = random.Random(7)
     data = [(rnd.choice(["a", "b", "c", None]), f"v{rnd.randint(0, 5000):05d}") for _ in range(3000)]
     df = spark.createDataFrame(data, "g string, v string").distinct()
-    got = ordered_index(df, "g", "v", "idx", num_partitions=7)
+    known = df.count() if local else None
+    got = ordered_index(df, "g", "v", "idx", num_partitions=7, known_rows=known)
     want = df.withColumn("idx", F.dense_rank().over(Window.partitionBy("g").orderBy("v")) - 1)
     assert rows(got, "g", "v", "idx") == rows(want, "g", "v", "idx")
     # descending, no group
     d2 = df.select("v").distinct()
-    got2 = ordered_index(d2, None, "v", "i", descending=True, num_partitions=5)
+    got2 = ordered_index(d2, None, "v", "i", descending=True, num_partitions=5,
+                         known_rows=d2.count() if local else None)
     want2 = d2.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").desc())) - 1)
     assert rows(got2, "v", "i") == rows(want2, "v", "i")
 
 
-def test_running_sum_matches_window(spark):
+@pytest.mark.parametrize("local", [False, True])
+def test_running_sum_matches_window(spark, local):
     rnd = random.Random(3)
     data = [(float(i), rnd.randint(0, 9), rnd.randint(0, 9)) for i in rnd.sample(range(100000), 2000)]
     df = spark.createDataFrame(data, "t double, a long, b long")
-    got = running_sum(df, "t", ["a", "b"], descending=True, num_partitions=6)
+    got = running_sum(df, "t", ["a", "b"], descending=True, num_partitions=6,
+                      known_rows=2000 if local else None)
     w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("t", "a", "b", F.sum("a").over(w).alias("cum_a"), F.sum("b").over(w).alias("cum_b"))
     assert rows(got, "t", "cum_a", "cum_b") == rows(want, "t", "cum_a", "cum_b")

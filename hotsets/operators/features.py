@@ -46,11 +46,15 @@ def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:
 
     The columns are unpivoted with ``stack`` (narrow), de-duplicated once
     (partial distinct on the map side), and numbered per feature by
-    ``ordered_index`` (range partitioned, no single-task window).
+    ``ordered_index``: a plain window when the checked number of distinct
+    values is small, range partitioned (no single-task window) beyond.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").distinct()
-    return ordered_index(long, "feature", "value", "idx")
+    # materialise the distinct pairs once: the size check and the numbering
+    # then read it instead of re-running the scan behind it
+    long = long.checkpoint(eager=True)
+    return ordered_index(long, "feature", "value", "idx", known_rows=long.count())
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:

@@ -5,7 +5,8 @@ one task; a wide group (a dataset-name vocabulary, the distinct scores of
 a curve) would then be sorted by a single core.  Here the rows are range
 partitioned on (g, v) instead, numbered inside each range, and shifted by
 the row counts of the earlier ranges of the same group.  The offsets table
-has at most (partitions + groups) rows, so broadcasting it is bounded.
+has at most (partitions + groups) rows; it is broadcast when that count
+is checked to be small (always, when there is no group column).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 # Below this many rows (a count the caller has already checked) a plain
 # window in one task is cheaper than the range-partitioned scheme.
 LOCAL_WINDOW_ROWS = 1_000_000
+# (group, range) offset rows up to which the offsets table is broadcast
+MAX_BROADCAST_OFFSETS = 1_000_000
 
 
 def _local(known_rows: int | None) -> bool:
@@ -55,11 +58,16 @@ def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: st
     counts = local.groupBy(*gcols, "_pid").agg(F.max("_local").alias("_cnt"))
     before = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*gcols, "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    # Without groups the offsets table has one row per range (at most n).
+    # With groups it has one row per (group, range) pair, which grows with
+    # the number of groups: broadcast it only below a checked size.
+    if not gcols or offsets.count() <= MAX_BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
     # null-safe match on the group column (a NULL group is a real group)
     lo, of = local.alias("_lo"), offsets.alias("_of")
     cond = [F.col("_lo._pid") == F.col("_of._pid")] + [
         F.col(f"_lo.{g}").eqNullSafe(F.col(f"_of.{g}")) for g in gcols]
-    return lo.join(F.broadcast(of), cond).select(
+    return lo.join(of, cond).select(
         *[F.col(f"_lo.`{c}`").alias(c) for c in df.columns],
         (F.col("_of._off") + F.col("_lo._local") - 1).cast("long").alias(name))
 

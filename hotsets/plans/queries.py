@@ -15,7 +15,7 @@ from hotsets.functions.naming import dataset_parts
 from hotsets.operators import profile, replicas
 from hotsets.operators.weekly import popularity_union
 from hotsets.plans.domain import Domain
-from hotsets.plans.output import rounded
+from hotsets.plans.output import rounded, side_by_side
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, ddl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,24 +362,5 @@ def q_score_week_evaluation(spark, sf_dir):
     conf = evaluate.confusion(preds)
     rates = evaluate.confusion_rates(conf)
     area = evaluate.areas(evaluate.curve(preds, num_bins=100))
-    return rounded(_one_row(conf, rates, area), RATIO_DIGITS)
+    return rounded(side_by_side(conf, rates, area), RATIO_DIGITS)
 
-
-def _one_row(*dfs: DataFrame) -> DataFrame:
-    """Side-by-side of single-row results (each joined on a constant key)."""
-    out = None
-    for d in dfs:
-        d = d.withColumn("_k", F.lit(1))
-        out = d if out is None else out.join(d, "_k")
-    return out.drop("_k")
-
-
-@register("curve_binned")
-def q_curve_binned(spark, sf_dir):
-    return rounded(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
-
-
-@register("auc_binned")
-def q_auc_binned(spark, sf_dir):
-    return rounded(evaluate.areas(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),
-                   RATIO_DIGITS)

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from hotsets import schemas
 from hotsets.schemas import ddl
+from hotsets.sources.layout import spread
 
 CORRUPT = "_corrupt_record"
 
@@ -74,8 +75,12 @@ def read(spark: SparkSession, fmt: str, path: str | list[str], schema: StructTyp
 
 # Convenience readers for the domain tables.
 
-def read_access_log(spark, path, fmt: str = "json") -> DataFrame:
-    return read(spark, fmt, path, schemas.ACCESS_RAW)
+def read_access_log(spark, path, fmt: str = "json", spread_rows: bool = False) -> DataFrame:
+    """The 48-column access log.  ``spread_rows`` for logs stored as few
+    unsplittable files (gzip): rows are spread over the cluster's cores
+    right after the read instead of being cleaned by one task per file."""
+    df = read(spark, fmt, path, schemas.ACCESS_RAW)
+    return spread(df) if spread_rows else df
 
 
 def read_access_clean(spark, path, legacy: bool = False) -> DataFrame:

@@ -89,3 +89,16 @@ def test_clean_table_csv_round_trip_both_layouts(spark, tmp_out):
     sinks.write_csv(legacy, p2)
     back = readers.read_access_clean(spark, p2, legacy=True).first()
     assert back["client_domain"] == "cd" and back["server_username"] == "u" and back["readbytes"] == 7
+
+
+def test_spread_only_when_fewer_splits_than_cores(spark, tmp_out):
+    from hotsets.sources.layout import spread
+    p = os.path.join(tmp_out, "one.json")
+    with open(p, "w") as f:
+        for i in range(100):
+            f.write('{"end_time": %d, "start_time": 1, "read_bytes_at_close": 5, "file_lfn": "f%d"}\n' % (i + 2, i))
+    df = readers.read_access_log(spark, p, spread_rows=True)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert df.count() == 100
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 2)
+    assert spread(wide) is wide

@@ -125,3 +125,23 @@ def areas(crv: DataFrame) -> DataFrame:
     pr_seg = (F.col("recall") - r0) * (F.col("precision") + F.col("p0")) / 2
     j = j.withColumn("_pr", F.when(F.col("i") == 0, pr_first).otherwise(pr_seg))
     return j.agg(F.sum("_roc").alias("area_under_roc"), F.sum("_pr").alias("area_under_pr"))
+
+
+def roc_points(crv: DataFrame) -> DataFrame:
+    """ROC curve (point, x = FPR, y = TPR): (0, 0), one point per
+    threshold in descending order, then (1, 1)."""
+    first = crv.agg(F.lit(0).cast("long").alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    mid = crv.select((F.col("point") + 1).alias("point"), F.col("fpr").alias("x"), F.col("recall").alias("y"))
+    last = crv.agg(F.coalesce(F.max("point") + 2, F.lit(1)).cast("long").alias("point"),
+                   F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    return first.unionByName(mid).unionByName(last)
+
+
+def pr_points(crv: DataFrame) -> DataFrame:
+    """Precision-recall curve (point, x = recall, y = precision): starts at
+    (0, precision of the highest threshold), then one point per threshold."""
+    first = crv.filter(F.col("point") == 0).select(
+        F.lit(0).cast("long").alias("point"), F.lit(0.0).alias("x"), F.col("precision").alias("y"))
+    mid = crv.select((F.col("point") + 1).alias("point"), F.col("recall").alias("x"),
+                     F.col("precision").alias("y"))
+    return first.unionByName(mid)

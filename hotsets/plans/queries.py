@@ -364,3 +364,15 @@ def q_score_week_evaluation(spark, sf_dir):
     area = evaluate.areas(evaluate.curve(preds, num_bins=100))
     return rounded(side_by_side(conf, rates, area), RATIO_DIGITS)
 
+
+
+@register("roc_points")
+def q_roc_points(spark, sf_dir):
+    return rounded(evaluate.roc_points(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),
+                   RATIO_DIGITS)
+
+
+@register("pr_points")
+def q_pr_points(spark, sf_dir):
+    return rounded(evaluate.pr_points(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),
+                   RATIO_DIGITS)

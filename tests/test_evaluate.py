@@ -66,3 +66,19 @@ def test_binning_bounds_curve_and_keeps_totals(spark):
     grouping = len(scores) // 100
     want = sorted({scores[i] for i in range(0, len(scores), grouping)})
     assert sorted(r["threshold"] for r in crv.collect()) == want
+
+
+def test_roc_and_pr_points_match_mllib_curves(spark):
+    from pyspark.mllib.evaluation import BinaryClassificationMetrics
+    rnd = random.Random(2)
+    data = [(float(rnd.random() < 0.5), round(rnd.random(), 2)) for _ in range(500)]
+    df = spark.createDataFrame(data, "label double, score double")
+    crv = evaluate.curve(df, num_bins=0)
+    roc = [(r["x"], r["y"]) for r in evaluate.roc_points(crv).orderBy("point").collect()]
+    pr = [(r["x"], r["y"]) for r in evaluate.pr_points(crv).orderBy("point").collect()]
+    # the Python wrapper exposes the areas; check the points through them
+    m = BinaryClassificationMetrics(df.select("score", "label").rdd.map(tuple))
+    trap = lambda pts: sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(pts, pts[1:]))
+    assert roc[0] == (0.0, 0.0) and roc[-1] == (1.0, 1.0)
+    assert trap(roc) == pytest.approx(m.areaUnderROC, abs=1e-9)
+    assert pr[0][0] == 0.0 and trap(pr) == pytest.approx(m.areaUnderPR, abs=1e-9)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from hotsets.ml import models
@@ -48,14 +49,19 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
         pop_path = _j(out_dir, sinks.popularity_output_dir(access_source))
         sinks.write_popularity(pop, pop_path, "csv", mode)
         written["popularity"] = pop_path
-        weekly = readers.read_popularity(spark, pop_path)
-        for metric in ("dataset_size", "numaccesses", "proctime", "readbytes"):
-            p = _j(out_dir, f"histogram_{metric}")
-            sinks.write_csv(profile.log_histogram(weekly, metric), p, mode)
-            written[f"histogram_{metric}"] = p
-        p = _j(out_dir, "histogram_users")
-        sinks.write_csv(profile.user_histogram(weekly), p, mode)
-        written["histogram_users"] = p
+        # five histograms read the weekly table: parse the text once, keep
+        # the rows (spilling to disk if needed), release them afterwards
+        weekly = readers.read_popularity(spark, pop_path).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for metric in ("dataset_size", "numaccesses", "proctime", "readbytes"):
+                p = _j(out_dir, f"histogram_{metric}")
+                sinks.write_csv(profile.log_histogram(weekly, metric), p, mode)
+                written[f"histogram_{metric}"] = p
+            p = _j(out_dir, "histogram_users")
+            sinks.write_csv(profile.user_histogram(weekly), p, mode)
+            written["histogram_users"] = p
+        finally:
+            weekly.unpersist()
 
     if "jobs" in names:
         p = _j(out_dir, sinks.popularity_output_dir("crab"))

@@ -102,3 +102,18 @@ def test_spread_only_when_fewer_splits_than_cores(spark, tmp_out):
     assert df.count() == 100
     wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 2)
     assert spread(wide) is wide
+
+
+def test_csv_quotes_empty_and_short_lines(spark, tmp_out):
+    p = os.path.join(tmp_out, "q.csv")
+    with open(p, "w") as f:
+        f.write('7,"/a,b/c-d/e",a,b,c,d,e,cd,u,sd,s,x,1.0,2.0,3.0,4.0\n')   # quoted comma
+        f.write('8,/a/b/c,,b,b,,c,cd,u,sd,s,x,1.0,2.0,3.0,4.0\n')           # empty fields -> NULL
+    rows = {r["week"]: r for r in readers.read_popularity(spark, p).collect()}
+    assert rows[7]["dataset_name"] == "/a,b/c-d/e" and rows[7]["readbytes"] == 4.0
+    assert rows[8]["primary_dataset"] is None and rows[8]["processing_version"] is None
+    short = os.path.join(tmp_out, "short.csv")
+    with open(short, "w") as f:
+        f.write("9,/a/b/c,a\n")
+    with pytest.raises(Exception):
+        readers.read_popularity(spark, short).collect()

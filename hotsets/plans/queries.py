@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hotsets.functions.naming import dataset_parts
-from hotsets.operators import profile, replicas
+from hotsets.ml import models
+from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.weekly import popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded, side_by_side
-from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, ddl
+from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -182,8 +183,6 @@ def q_top_datasets(spark, sf_dir):
 
 # ---- features, sampling -------------------------------------------------------
 
-from hotsets.operators import evaluate, features, sampling  # noqa: E402
-from hotsets.schemas import POPULARITY_KEYS  # noqa: E402
 
 # Parameters of the test-table queries.  The reference's own defaults
 # (numaccesses > 50) give no positive on the test tables, where no group
@@ -332,7 +331,6 @@ def q_auc(spark, sf_dir):
 
 # ---- models (no SQL oracle: rows-only check) -----------------------------------
 
-from hotsets.ml import models  # noqa: E402
 
 
 def _train_query(name: str) -> Query:
@@ -366,6 +364,17 @@ def q_score_week_evaluation(spark, sf_dir):
 
 
 
+@register("curve_binned")
+def q_curve_binned(spark, sf_dir):
+    return rounded(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
+
+
+@register("auc_binned")
+def q_auc_binned(spark, sf_dir):
+    return rounded(evaluate.areas(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),
+                   RATIO_DIGITS)
+
+
 @register("roc_points")
 def q_roc_points(spark, sf_dir):
     return rounded(evaluate.roc_points(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)),

@@ -16,7 +16,9 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
+    from hotsets.plans.oracle import SQL
     q, o = E.queries(), E.oracle_sql()
+    assert set(SQL) == set(o), "oracle SQL without a registered query"
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
 

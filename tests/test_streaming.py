@@ -34,3 +34,24 @@ def test_stream_matches_batch_for_one_year(spark, tmp_out):
     cols = ["week", "dataset_name", "client_domain", "numaccesses", "dataset_size", "readbytes"]
     assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == \
         sorted(tuple(r[c] for c in cols) for r in batch.collect())
+
+
+def test_append_sink_emits_finished_weeks(spark, tmp_out):
+    from hotsets.streaming.weekly import start
+    src = os.path.join(tmp_out, "in2")
+    day = 1438387200  # 2015-08-01 (week 31)
+    late = day + 60 * 86400  # two months later: week 31 is final by then
+    rows = [(None, "c1", "h1", day + 10, "f1", 100.0, "s1", "x", "S1", "u", day),
+            (None, "c1", "h2", late + 10, "f1", 5.0, "s1", "x", "S1", "u", late)]
+    raw = spark.createDataFrame(rows, RAW)
+    raw.filter(f"end_time < {late}").coalesce(1).write.json(os.path.join(src, "d1"))
+    raw.filter(f"end_time >= {late}").coalesce(1).write.json(os.path.join(src, "d2"))
+    stream = read_access_stream(spark, os.path.join(src, "*"), _parse_datatype_string(RAW), fmt="json",
+                                max_files_per_trigger=1)
+    sink = os.path.join(tmp_out, "weekly_out")
+    q = start(weekly_access_stream(stream, catalog(spark)), sink, os.path.join(tmp_out, "ckpt2"),
+              available_now=True)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    got = [(r["week"], r["dataset_name"], r["readbytes"]) for r in out.collect()]
+    assert (31, "/A/e-v1/T", 100.0) in got

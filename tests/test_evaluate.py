@@ -82,3 +82,15 @@ def test_roc_and_pr_points_match_mllib_curves(spark):
     assert roc[0] == (0.0, 0.0) and roc[-1] == (1.0, 1.0)
     assert trap(roc) == pytest.approx(m.areaUnderROC, abs=1e-9)
     assert pr[0][0] == 0.0 and trap(pr) == pytest.approx(m.areaUnderPR, abs=1e-9)
+
+
+def test_f1_identity_and_totals(spark):
+    rnd = random.Random(9)
+    data = [(float(rnd.random() < 0.4), float(rnd.random() < 0.5)) for _ in range(2000)]
+    df = spark.createDataFrame(data, "label double, prediction double")
+    c = evaluate.confusion(df).first()
+    r = evaluate.confusion_rates(evaluate.confusion(df)).first()
+    assert c["tp"] + c["tn"] + c["fp"] + c["fn"] == c["n"] == 2000
+    assert c["wrong"] == c["fp"] + c["fn"]
+    p, rec = r["precision"], r["tpr"]
+    assert r["f1"] == pytest.approx(2 * p * rec / (p + rec))

@@ -34,3 +34,23 @@ def test_split_disjoint_complete_and_independent(spark):
     assert abs(nt / n - 0.7) < 0.03
     # kept negatives are not all in training (different salts)
     assert test.filter("label = 0").count() > 0
+
+
+def test_unit_hash_split_is_row_local(spark):
+    """A row's fate does not depend on the other rows or on partitioning."""
+    from hypothesis import given, settings, strategies as st
+
+    from hotsets.functions.hashing import row_key, unit_hash
+    full = _df(spark, 3000)
+    u_full = {r["dataset_name"]: r["u"] for r in full.select(
+        "dataset_name", unit_hash(row_key(KEYS), "split:").alias("u")).collect()}
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.integers(min_value=1, max_value=9), st.integers(min_value=0, max_value=2999))
+    def check(parts, start):
+        sub = full.filter(F.col("week") >= 0).repartition(parts).filter(
+            F.col("dataset_name") >= F.lit(f"/d/{start}"))
+        for r in sub.select("dataset_name", unit_hash(row_key(KEYS), "split:").alias("u")).collect():
+            assert r["u"] == u_full[r["dataset_name"]]
+
+    check()

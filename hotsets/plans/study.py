@@ -115,3 +115,40 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
 def _num(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else str(x)
 
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``spark-submit -m``-style entry:
+
+    python -m hotsets.plans.study build ROOT OUT
+    python -m hotsets.plans.study train YEAR_CSV WEEK_CSV OUT [--model M] [--metric X] [--threshold T]
+    """
+    import argparse
+    import json
+
+    from hotsets.session import build_session
+    from hotsets.sources.registry import default_registry
+
+    ap = argparse.ArgumentParser(prog="hotsets.plans.study")
+    sub = ap.add_subparsers(dest="stage", required=True)
+    b = sub.add_parser("build", help="stage 1: weekly tables, replicas, histograms")
+    b.add_argument("root")
+    b.add_argument("out")
+    t = sub.add_parser("train", help="stage 2: train on a year, score a new week")
+    t.add_argument("year")
+    t.add_argument("week")
+    t.add_argument("out")
+    t.add_argument("--model", default="random_forest", choices=models.MODEL_NAMES)
+    t.add_argument("--metric", default=features.DEFAULT_LABEL_METRIC)
+    t.add_argument("--threshold", type=float, default=features.DEFAULT_THRESHOLD)
+    a = ap.parse_args(argv)
+    spark = build_session(app_name=f"hotsets-study-{a.stage}")
+    if a.stage == "build":
+        res = build_tables(spark, default_registry(a.root), a.out)
+    else:
+        res = train_and_score(spark, a.year, a.week, a.out, a.model, a.metric, a.threshold)
+    print(json.dumps(res))
+
+
+if __name__ == "__main__":
+    main()

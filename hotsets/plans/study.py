@@ -32,20 +32,29 @@ def _j(*parts: str) -> str:
     return os.path.join(*parts) if "://" not in parts[0] else "/".join(p.strip("/") for p in parts)
 
 
+def _read_if_present(spark: SparkSession, registry: Registry, name: str):
+    """The source as a DataFrame, or None when it is not registered or its
+    path matches no file."""
+    if name not in registry.names() or not registry.has_files(spark, name):
+        return None
+    return registry.read(spark, name)
+
+
 def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_source: str = "aaa",
                  mode: str = sinks.DEFAULT_MODE) -> dict[str, str]:
     """Stage 1.  Returns the written paths by table name.  Sources missing
-    from the registry are skipped."""
-    names = set(registry.names())
+    from the registry, or with no files, are skipped."""
     written: dict[str, str] = {}
+    log = _read_if_present(spark, registry, "access_log")
+    catalog = _read_if_present(spark, registry, "file_catalog")
 
-    if {"access_log", "file_catalog"} <= names:
+    if log is not None and catalog is not None:
         clean_path = _j(out_dir, f"access_clean_{access_source}")
-        sinks.write_csv(clean_accesses(registry.read(spark, "access_log")), clean_path, mode)
+        sinks.write_csv(clean_accesses(log), clean_path, mode)
         written["access_clean"] = clean_path
         # the weekly job reads the cleaned table back: one scan of the raw log
         clean = readers.read_access_clean(spark, clean_path)
-        pop = access_popularity(clean, registry.read(spark, "file_catalog"))
+        pop = access_popularity(clean, catalog)
         pop_path = _j(out_dir, sinks.popularity_output_dir(access_source))
         sinks.write_popularity(pop, pop_path, "csv", mode)
         written["popularity"] = pop_path
@@ -63,13 +72,14 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
         finally:
             weekly.unpersist()
 
-    if "jobs" in names:
+    jobs = _read_if_present(spark, registry, "jobs")
+    if jobs is not None:
         p = _j(out_dir, sinks.popularity_output_dir("crab"))
-        sinks.write_popularity(jobs_popularity(registry.read(spark, "jobs")), p, "csv", mode)
+        sinks.write_popularity(jobs_popularity(jobs), p, "csv", mode)
         written["jobs_popularity"] = p
 
-    if "replica_snapshots" in names:
-        snap = registry.read(spark, "replica_snapshots")
+    snap = _read_if_present(spark, registry, "replica_snapshots")
+    if snap is not None:
         rf = replicas.replication_factor(snap)
         p = _j(out_dir, "replicas")
         sinks.write_csv(rf, p, mode)

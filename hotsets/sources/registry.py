@@ -43,6 +43,18 @@ class Registry:
     def names(self) -> list[str]:
         return sorted(self._sources)
 
+    def has_files(self, spark: SparkSession, name: str) -> bool:
+        """Whether the source's path pattern matches any file (a listing on
+        the driver, nothing is read)."""
+        from pyspark.errors import AnalysisException
+        try:
+            spark.read.format("binaryFile").load(self.path(name))
+            return True
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                return False
+            raise
+
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         s = self._sources[name]
         opts = dict(s.options)

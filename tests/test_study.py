@@ -67,3 +67,20 @@ def test_study_from_files(spark, tmp_out):
     assert int(m["n"]) == n_week
     assert int(m["tp"]) + int(m["tn"]) + int(m["fp"]) + int(m["fn"]) == n_week
     assert res["predictions"].endswith("random_forest_readbytes_50000_WEEK1")
+
+
+def test_cli_build_on_production_layout(spark, tmp_out, capsys):
+    """Default folder layout; sources without files (jobs, analyses) are skipped."""
+    import json
+    root = os.path.join(tmp_out, "root")
+    raw = adapters.access_raw(spark, SF_SMALL).withColumn(
+        "read_bytes_at_close", F.round(F.col("read_bytes_at_close")).cast("long"))
+    _in_schema_order(raw, schemas.ACCESS_RAW).drop("_corrupt_record").write.json(
+        os.path.join(root, "xrootd", "2015", "08", "01"))
+    _in_schema_order(adapters.file_catalog(spark, SF_SMALL), schemas.FILE_CATALOG).write.csv(
+        os.path.join(root, "catalog"))
+    out = os.path.join(tmp_out, "cli_out")
+    study.main(["build", root, out])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert "popularity" in res and "jobs_popularity" not in res and "replicas" not in res
+    assert readers.read_popularity(spark, res["popularity"]).count() > 0

@@ -101,17 +101,22 @@ def predict(model, df: DataFrame) -> DataFrame:
                       score.cast("double").alias("score"))
 
 
-def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = True):
+def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = True,
+            top_n: int | None = None):
     """Vocabulary from the training rows; encode both sides (unseen values
-    of the scored rows go to their own bucket); assemble vectors."""
-    vocab = features.fit_vocabulary(train_rows, features.FEATURE_CATEGORIES)
+    of the scored rows go to their own bucket); assemble vectors.  With
+    ``top_n`` only the most frequent values of each feature get their own
+    id and the rest of the training values share the extra bucket too."""
+    vocab = features.fit_vocabulary(train_rows, features.FEATURE_CATEGORIES, top_n)
     arities = category_arities(vocab, unseen_bucket=True)
-    tr = features.encode(features.with_week_feature(train_rows), vocab, unseen="error")
+    tr = features.encode(features.with_week_feature(train_rows), vocab,
+                         unseen="error" if top_n is None else "keep")
     sc = features.encode(features.with_week_feature(score_rows), vocab, unseen="keep")
     return assemble(tr, arities, categorical), assemble(sc, arities, categorical), arities
 
 
-def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame) -> DataFrame:
+def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
+                    top_n: int | None = None) -> DataFrame:
     """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``.
 
     Training rows are checkpointed (written to the checkpoint folder) before
@@ -119,7 +124,7 @@ def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame) ->
     send each pass back to the raw tables.
     """
     tr, sc, arities = prepare(train_rows, score_rows, categorical=name in (
-        "decision_tree", "random_forest", "gbt"))
+        "decision_tree", "random_forest", "gbt"), top_n=top_n)
     tr = tr.select("label", "features").checkpoint(eager=True)
     model = fit(name, tr, arities)
     return predict(model, sc)

@@ -41,30 +41,44 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:
+def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | None = None) -> DataFrame:
     """(feature, value, idx) for every column in one scan.
 
     The columns are unpivoted with ``stack`` (narrow), de-duplicated once
     (partial distinct on the map side), and numbered per feature by
     ``ordered_index``: a plain window when the checked number of distinct
     values is small, range partitioned (no single-task window) beyond.
+
+    ``top_n`` keeps only the ``top_n`` most frequent values of each feature
+    (ties by value); encoding with ``unseen='keep'`` then puts every other
+    value into one shared bucket, which bounds a feature's arity (and the
+    bins a tree learner needs) for very wide columns.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").distinct()
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)")
+    if top_n is None:
+        long = long.distinct()
+    else:
+        long = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     # materialise the distinct pairs once: the size check and the numbering
     # then read it instead of re-running the scan behind it
     long = long.checkpoint(eager=True)
+    if top_n is not None:
+        key = F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))
+        ranked = ordered_index(long.withColumn("_key", key), "feature", "_key", "_rank",
+                               known_rows=long.count())
+        long = ranked.filter(F.col("_rank") < top_n).select("feature", "value").checkpoint(eager=True)
     return ordered_index(long, "feature", "value", "idx", known_rows=long.count())
 
 
-def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS) -> DataFrame:
+def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | None = None) -> DataFrame:
     """Vocabulary materialised once in the checkpoint folder.
 
     Encoding reads it once per column (and sizes it for the broadcast
     check), so it is computed here a single time and its lineage is cut:
     a lost executor does not re-run the scan that produced it.
     """
-    return vocabulary(df, columns).checkpoint(eager=True)
+    return vocabulary(df, columns, top_n).checkpoint(eager=True)
 
 
 def arity(vocab: DataFrame) -> DataFrame:

@@ -99,14 +99,14 @@ def _replica_schema():
 def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_dir: str,
                     model: str = "random_forest", metric: str = features.DEFAULT_LABEL_METRIC,
                     threshold: float = features.DEFAULT_THRESHOLD, num_bins: int = 100,
-                    mode: str = sinks.DEFAULT_MODE) -> dict[str, str]:
+                    mode: str = sinks.DEFAULT_MODE, top_n: int | None = None) -> dict[str, str]:
     """Stage 2.  Trains ``model`` on the balanced training year, scores the
     new week, writes ``label,prediction`` lines, the curve and one row of
     metrics."""
     year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold)
     week = features.with_label(readers.read_popularity(spark, week_path), metric, threshold)
     train, _test = sampling.train_test_split(sampling.balanced_sample(year))
-    preds = models.train_and_score(model, train, week).checkpoint(eager=True)
+    preds = models.train_and_score(model, train, week, top_n).checkpoint(eager=True)
 
     tag = sinks.predictions_output_dir(model, metric, _num(threshold))
     written = {"predictions": _j(out_dir, "labelsAndPreds", tag)}
@@ -151,12 +151,15 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--model", default="random_forest", choices=models.MODEL_NAMES)
     t.add_argument("--metric", default=features.DEFAULT_LABEL_METRIC)
     t.add_argument("--threshold", type=float, default=features.DEFAULT_THRESHOLD)
+    t.add_argument("--top-n", type=int, default=None,
+                   help="keep the N most frequent values per feature, the rest share one id")
     a = ap.parse_args(argv)
     spark = build_session(app_name=f"hotsets-study-{a.stage}")
     if a.stage == "build":
         res = build_tables(spark, default_registry(a.root), a.out)
     else:
-        res = train_and_score(spark, a.year, a.week, a.out, a.model, a.metric, a.threshold)
+        res = train_and_score(spark, a.year, a.week, a.out, a.model, a.metric, a.threshold,
+                              top_n=a.top_n)
     print(json.dumps(res))
 
 

@@ -81,3 +81,19 @@ def test_encode_error_on_unseen(spark):
     vocab = features.fit_vocabulary(train, features.FEATURE_CATEGORIES)
     with pytest.raises(Exception, match="not in vocabulary"):
         features.encode(week, vocab, unseen="error").collect()
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_top_n_vocabulary_keeps_most_frequent(spark, local, monkeypatch):
+    from hotsets.operators import indexing
+    if not local:
+        monkeypatch.setattr(indexing, "LOCAL_WINDOW_ROWS", 0)  # force the range-partitioned path
+    sites = ["a"] * 5 + ["b"] * 1 + ["c"] * 3 + ["d"] * 3 + ["e"] * 2
+    df = _pop(spark, sites)
+    v = features.vocabulary(df, ["server_site"], top_n=3)
+    # c and d tie on 3: both kept ahead of e; ids follow the sorted value
+    assert rows(v, "value", "idx") == [("a", 0), ("c", 1), ("d", 2)]
+    enc = features.encode(df, features.fit_vocabulary(df, ["server_site"], top_n=3), ["server_site"],
+                          unseen="keep")
+    other = {r["server_site"]: r["f_server_site"] for r in enc.collect()}
+    assert other["b"] == other["e"] == 3 and other["a"] == 0

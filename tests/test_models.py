@@ -57,3 +57,11 @@ def test_categorical_metadata_and_bins(spark):
     assert arities["f_week"] == 53 and arities["f_server_site"] == 5  # 4 sites + unseen bucket
     with pytest.raises(ValueError):
         models.estimator("kmeans")
+
+
+def test_top_n_bounds_arity(spark):
+    df = planted(spark, n=600)
+    tr, sc, arities = models.prepare(df, df, top_n=2)
+    assert arities["f_server_site"] == 3  # 2 kept sites + shared bucket
+    preds = models.train_and_score("decision_tree", df, df, top_n=2)
+    assert preds.count() == 600

@@ -94,3 +94,22 @@ def test_f1_identity_and_totals(spark):
     assert c["wrong"] == c["fp"] + c["fn"]
     p, rec = r["precision"], r["tpr"]
     assert r["f1"] == pytest.approx(2 * p * rec / (p + rec))
+
+
+def test_range_partitioned_curve_matches_mllib(spark, monkeypatch):
+    """Force the path used above the checked-size bound (range partitions,
+    offsets, checkpointed tags) and compare with MLlib."""
+    from pyspark.mllib.evaluation import BinaryClassificationMetrics
+    from hotsets.operators import indexing
+    monkeypatch.setattr(indexing, "LOCAL_WINDOW_ROWS", 0)
+    rnd = random.Random(21)
+    data = [(float(rnd.random() < 0.3), round(rnd.random(), 3)) for _ in range(4000)]
+    df = spark.createDataFrame(data, "label double, score double")
+    crv = evaluate.curve(df, num_bins=0)
+    assert [r["point"] for r in crv.orderBy(F.col("threshold").desc()).collect()] == list(range(crv.count()))
+    a = evaluate.areas(crv).first()
+    m = BinaryClassificationMetrics(df.select("score", "label").rdd.map(tuple))
+    assert a["area_under_roc"] == pytest.approx(m.areaUnderROC, abs=1e-9)
+    assert a["area_under_pr"] == pytest.approx(m.areaUnderPR, abs=1e-9)
+    binned = evaluate.curve(df, num_bins=100)
+    assert binned.count() <= 200

@@ -85,3 +85,16 @@ def test_weekly_popularity_against_brute_force(spark):
     assert a["numaccesses"] == 1.0 and a["dataset_size"] == 20.0
     assert pop.columns[:7] == ["week", "dataset_name", "primary_dataset", "processed_dataset",
                                "acquisition_era", "processing_version", "datatier"]
+
+
+def test_large_catalog_path_equals_broadcast_path_on_test_tables(spark):
+    """The plan taken when the catalog is over the broadcast bound (map-side
+    pre-aggregation, shuffle join) gives the same weekly table."""
+    from hotsets.plans.domain import Domain
+    from hotsets.plans.output import rounded
+    from tests.conftest import SF_SMALL
+    d = Domain(spark, SF_SMALL)
+    small = rounded(access_popularity(d.access_clean, d.file_catalog))
+    large = rounded(access_popularity(d.access_clean, d.file_catalog, max_broadcast_rows=0))
+    assert small.count() > 0
+    assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0

@@ -64,7 +64,9 @@ def q_typed_rows(spark, sf_dir):
     """Popularity rows written as comma text lines, parsed back with the
     16-field schema (the text-file reader of the training job)."""
     pop = Domain(spark, sf_dir).popularity
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in POPULARITY_COLUMNS])
+    # to_csv quotes fields that contain the separator; NULL becomes an
+    # empty field, which from_csv reads back as NULL
+    line = F.to_csv(F.struct(*[F.col(c) for c in POPULARITY_COLUMNS]))
     parsed = pop.select(F.from_csv(line, ddl(POPULARITY), {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return rounded(parsed)
 

@@ -117,3 +117,12 @@ def test_csv_quotes_empty_and_short_lines(spark, tmp_out):
         f.write("9,/a/b/c,a\n")
     with pytest.raises(Exception):
         readers.read_popularity(spark, short).collect()
+
+
+def test_text_line_round_trip_with_separators(spark):
+    from hotsets.schemas import POPULARITY_COLUMNS, ddl
+    row = (1, "/a,b/c-d/e", "a,b", "c-d", "c", None, "e", "cd", 'u "q"', "sd", "s", "x", 1.5, 2.0, 3.0, 4.25)
+    df = spark.createDataFrame([row], schemas.POPULARITY)
+    line = F.to_csv(F.struct(*[F.col(c) for c in POPULARITY_COLUMNS]))
+    back = df.select(F.from_csv(line, ddl(schemas.POPULARITY), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    assert tuple(back.first()) == row

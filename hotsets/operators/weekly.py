@@ -27,7 +27,8 @@ MAX_BROADCAST_CATALOG_ROWS = 2_000_000
 
 
 def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool | None = None,
-                      max_broadcast_rows: int = MAX_BROADCAST_CATALOG_ROWS) -> DataFrame:
+                      max_broadcast_rows: int = MAX_BROADCAST_CATALOG_ROWS,
+                      file_size_once: bool = False) -> DataFrame:
     """Join cleaned accesses to the file catalog and aggregate per week.
 
     Keys: week, dataset, client domain, catalog user, server domain, site,
@@ -46,7 +47,14 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool
     becomes SUM(filesize * rows); the other metrics add up, so the result
     is the same (also with duplicate catalog keys, since every partial row
     is multiplied alike).  ``pre_aggregate`` forces either plan.
+
+    ``file_size_once``: ``dataset_size`` counts each accessed file once per
+    weekly group (the size of the data that was read) instead of once per
+    access; this uses the pre-aggregated plan, whose rows are exactly one
+    per file and group.
     """
+    if file_size_once:
+        pre_aggregate = True
     cat = catalog.select("file_lfn", "dataset_name", F.col("usernameXX").alias("username"), "filesize")
     small = None
     if pre_aggregate is None or pre_aggregate is False:
@@ -64,8 +72,8 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool
             F.sum("proctime").alias("_proctime"),
             F.sum("readbytes").alias("_readbytes"),
         )
-        size, hosts, proc, rb = (F.col("filesize") * F.col("_rows"), F.col("_hosts"),
-                                 F.col("_proctime"), F.col("_readbytes"))
+        size = F.col("filesize") if file_size_once else F.col("filesize") * F.col("_rows")
+        hosts, proc, rb = F.col("_hosts"), F.col("_proctime"), F.col("_readbytes")
         numaccesses = F.sum(hosts)
     else:
         size, proc, rb = F.col("filesize"), F.col("proctime"), F.col("readbytes")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hotsets.functions.naming import dataset_parts
 from hotsets.ml import models
 from hotsets.operators import evaluate, features, profile, replicas, sampling
-from hotsets.operators.weekly import popularity_union
+from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded, side_by_side
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
@@ -48,6 +48,14 @@ def q_popularity_weekly(spark, sf_dir):
     return rounded(Domain(spark, sf_dir).popularity)
 
 
+@register("popularity_weekly_file_once")
+def q_popularity_weekly_file_once(spark, sf_dir):
+    """Variant of the weekly table where a file's size counts once per
+    weekly group, not once per access."""
+    d = Domain(spark, sf_dir)
+    return rounded(access_popularity(d.access_clean, d.file_catalog, file_size_once=True))
+
+
 @register("jobs_weekly")
 def q_jobs_weekly(spark, sf_dir):
     return rounded(Domain(spark, sf_dir).jobs_popularity)

@@ -98,3 +98,14 @@ def test_large_catalog_path_equals_broadcast_path_on_test_tables(spark):
     large = rounded(access_popularity(d.access_clean, d.file_catalog, max_broadcast_rows=0))
     assert small.count() > 0
     assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
+def test_file_size_once_per_group(spark):
+    clean = clean_accesses(spark.createDataFrame(raw_rows(), RAW))
+    faithful = access_popularity(clean, catalog(spark))
+    once = access_popularity(clean, catalog(spark), file_size_once=True)
+    key = (F.col("dataset_name") == "/A/e-v1/T") & (F.col("week") == 31)
+    # file f1 (10 bytes) was read twice in week 31: 20 per access, 10 once
+    assert faithful.filter(key).first()["dataset_size"] == 20.0
+    r = once.filter(key).first()
+    assert r["dataset_size"] == 10.0 and r["readbytes"] == 150.0 and r["numaccesses"] == 1.0

@@ -37,13 +37,12 @@ MODEL_NAMES = ["decision_tree", "random_forest", "gbt", "linear_svc", "logistic_
                "linear_regression"]
 
 
-def category_arities(vocab: DataFrame, unseen_bucket: bool = True) -> dict[str, int]:
+def category_arities(vocab: DataFrame, unseen_bucket: bool = True,
+                     sizes: dict[str, int] | None = None) -> dict[str, int]:
     """Arity per encoded column (one row per feature comes to the driver)."""
     extra = 1 if unseen_bucket else 0
-    out = {"f_week": features.WEEK_ARITY}
-    for r in features.arity(vocab).collect():
-        out[f"f_{r['feature']}"] = int(r["size"]) + extra
-    return out
+    sizes = features.vocabulary_sizes(vocab) if sizes is None else sizes
+    return {"f_week": features.WEEK_ARITY, **{f"f_{f}": n + extra for f, n in sizes.items()}}
 
 
 def assemble(encoded: DataFrame, arities: dict[str, int], categorical: bool = True,
@@ -108,10 +107,11 @@ def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = Tr
     ``top_n`` only the most frequent values of each feature get their own
     id and the rest of the training values share the extra bucket too."""
     vocab = features.fit_vocabulary(train_rows, features.FEATURE_CATEGORIES, top_n)
-    arities = category_arities(vocab, unseen_bucket=True)
+    sizes = features.vocabulary_sizes(vocab)
+    arities = category_arities(vocab, unseen_bucket=True, sizes=sizes)
     tr = features.encode(features.with_week_feature(train_rows), vocab,
-                         unseen="error" if top_n is None else "keep")
-    sc = features.encode(features.with_week_feature(score_rows), vocab, unseen="keep")
+                         unseen="error" if top_n is None else "keep", sizes=sizes)
+    sc = features.encode(features.with_week_feature(score_rows), vocab, unseen="keep", sizes=sizes)
     return assemble(tr, arities, categorical), assemble(sc, arities, categorical), arities
 
 

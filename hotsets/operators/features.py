@@ -86,20 +86,27 @@ def arity(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("feature").agg(F.count(F.lit(1)).alias("size"))
 
 
+def vocabulary_sizes(vocab: DataFrame) -> dict[str, int]:
+    """{feature: number of values} (one small row per feature, one job)."""
+    return {r["feature"]: int(r["size"]) for r in arity(vocab).collect()}
+
+
 def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGORIES,
-           unseen: str = "error", max_broadcast_rows: int = MAX_BROADCAST_VOCAB_ROWS) -> DataFrame:
+           unseen: str = "error", max_broadcast_rows: int = MAX_BROADCAST_VOCAB_ROWS,
+           sizes: dict[str, int] | None = None) -> DataFrame:
     """Add ``f_<column>`` ids for each categorical column.
 
     unseen='error' : inner meaning -- a value missing from the vocabulary
                      raises (checked with ``raise_error``, no row dropped).
     unseen='keep'  : unseen values get id = vocabulary size (own bucket).
     unseen='zero'  : unseen values get id 0 (shares the first category).
+    ``sizes``: the vocabulary sizes when the caller already has them.
     """
     if unseen not in ("error", "keep", "zero"):
         raise ValueError(f"unseen must be error, keep or zero, not {unseen!r}")
-    # vocabulary sizes (one row per feature, one job): the broadcast check
-    # and the id of the unseen bucket
-    sizes = {r["feature"]: int(r["size"]) for r in arity(vocab).collect()}
+    # vocabulary sizes: the broadcast check and the id of the unseen bucket
+    if sizes is None:
+        sizes = vocabulary_sizes(vocab)
     out = df
     for c in columns:
         v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))

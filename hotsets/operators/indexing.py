@@ -7,6 +7,10 @@ partitioned on (g, v) instead, numbered inside each range, and shifted by
 the row counts of the earlier ranges of the same group.  The offsets table
 has at most (partitions + groups) rows; it is broadcast when that count
 is checked to be small (always, when there is no group column).
+
+When the caller passes a row count it has already taken (``known_rows``)
+and that count is at most ``LOCAL_WINDOW_ROWS``, a plain window is used
+instead: its size is bounded by the check, and it saves the extra jobs.
 """
 
 from __future__ import annotations

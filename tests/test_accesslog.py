@@ -109,3 +109,27 @@ def test_file_size_once_per_group(spark):
     assert faithful.filter(key).first()["dataset_size"] == 20.0
     r = once.filter(key).first()
     assert r["dataset_size"] == 10.0 and r["readbytes"] == 150.0 and r["numaccesses"] == 1.0
+
+
+def test_hot_file_with_a_third_of_accesses(spark):
+    """One file holds a third of all accesses: both plans agree with a
+    plain per-group aggregate, and nothing is dropped."""
+    import random
+    rnd = random.Random(4)
+    rows_ = []
+    for i in range(3000):
+        f = "hot" if i % 3 == 0 else f"f{rnd.randint(0, 200)}"
+        end = DAY + rnd.randint(1, 20 * 86400)
+        rows_.append((None, rnd.choice(["c1", "c2"]), f"h{i}", end, f, float(rnd.randint(1, 9)),
+                      "s1", "x", rnd.choice(["S1", "S2"]), "u", end - rnd.randint(1, 500)))
+    clean = clean_accesses(spark.createDataFrame(rows_, RAW))
+    cat = spark.createDataFrame([(f"/D{i % 7}/e-v/T", f"f{i}", float(i), "u") for i in range(201)]
+                                + [("/HOT/e-v/T", "hot", 1.5, "u")],
+                                "dataset_name string, file_lfn string, filesize double, usernameXX string")
+    cols = ["week", "dataset_name", "client_domain", "server_site", "numaccesses", "dataset_size", "readbytes"]
+    a = sorted(tuple(r[c] for c in cols) for r in access_popularity(clean, cat).collect())
+    b = sorted(tuple(r[c] for c in cols) for r in access_popularity(clean, cat, max_broadcast_rows=0).collect())
+    assert a == b
+    assert sum(r[4] for r in a) == 3000.0
+    hot = [r for r in a if r[1] == "/HOT/e-v/T"]
+    assert sum(r[4] for r in hot) == 1000.0

@@ -35,6 +35,9 @@ TREE_MEMORY_MB = 1024
 
 MODEL_NAMES = ["decision_tree", "random_forest", "gbt", "linear_svc", "logistic_regression",
                "linear_regression"]
+# fixed values: short model tags used in output folder names
+MODEL_TAGS = {"decision_tree": "DT", "random_forest": "RF", "gbt": "GBT", "linear_svc": "SVM",
+              "logistic_regression": "LogR", "linear_regression": "LR"}
 
 
 def category_arities(vocab: DataFrame, unseen_bucket: bool = True,

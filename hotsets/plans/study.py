@@ -108,7 +108,7 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
     train, _test = sampling.train_test_split(sampling.balanced_sample(year))
     preds = models.train_and_score(model, train, week, top_n).checkpoint(eager=True)
 
-    tag = sinks.predictions_output_dir(model, metric, _num(threshold))
+    tag = sinks.predictions_output_dir(models.MODEL_TAGS.get(model, model), metric, _num(threshold))
     written = {"predictions": _j(out_dir, "labelsAndPreds", tag)}
     sinks.write_label_prediction(preds, written["predictions"], mode)
     crv = evaluate.curve(preds, num_bins=num_bins)

@@ -66,7 +66,7 @@ def test_study_from_files(spark, tmp_out):
     m = spark.read.option("header", True).csv(res["metrics"]).first()
     assert int(m["n"]) == n_week
     assert int(m["tp"]) + int(m["tn"]) + int(m["fp"]) + int(m["fn"]) == n_week
-    assert res["predictions"].endswith("random_forest_readbytes_50000_WEEK1")
+    assert res["predictions"].endswith("RF_readbytes_50000_WEEK1")
 
 
 def test_cli_build_on_production_layout(spark, tmp_out, capsys):

@@ -54,13 +54,33 @@ def weekly_access_stream(raw_stream: DataFrame, catalog: DataFrame, lateness: st
     return with_dataset_parts(out)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start(weekly: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet",
-          available_now: bool = False) -> StreamingQuery:
+          available_now: bool = False, rocksdb_state: bool = False) -> StreamingQuery:
     """Append finished weeks to ``sink_path`` (exactly once through the
-    checkpoint folder, which must be on shared storage)."""
+    checkpoint folder, which must be on shared storage).
+
+    ``rocksdb_state`` keeps the open weeks' groups in RocksDB on local disk
+    instead of the executors' heap (state is still snapshotted to the
+    checkpoint folder), for a state larger than executor memory."""
     w = (weekly.writeStream.outputMode("append").format(fmt)
          .option("path", sink_path).option("checkpointLocation", checkpoint)
          .partitionBy("week"))
     if available_now:
         w = w.trigger(availableNow=True)
-    return w.start()
+    if not rocksdb_state:
+        return w.start()
+    # the query takes its settings when it starts: set the provider for
+    # this start only and leave the session as it was
+    conf, key = weekly.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        return w.start()
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)

@@ -49,3 +49,29 @@ def test_unit_hash_matches_sql_engine(spark):
 def test_row_key_skips_nulls(spark):
     df = spark.createDataFrame([(1, "a", None)], "w int, a string, b string")
     assert df.select(row_key(["w", "a", "b"])).first()[0] == "1|a"
+
+
+def test_dataset_parts_property(spark):
+    """Random names with '/' and '-' against a plain-Python model of the
+    split-and-take rules (missing element -> NULL)."""
+    from hypothesis import given, settings, strategies as st
+
+    def model(name):
+        def get(xs, i):
+            return xs[i] if 0 <= i < len(xs) else None
+        p = name.split("/")
+        proc = get(p, 2)
+        q = proc.split("-") if proc is not None else []
+        return (get(p, 1), proc, get(q, 0) if proc is not None else None,
+                get(q, 1) if proc is not None else None, get(p, 3))
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.lists(st.text(alphabet="ab/-", max_size=12), min_size=20, max_size=40))
+    def check(names):
+        df = spark.createDataFrame([(n,) for n in names], "dataset_name string")
+        got = {r[0]: tuple(r[1:]) for r in df.select(
+            "dataset_name", *[c.alias(k) for k, c in dataset_parts("dataset_name").items()]).collect()}
+        for n in names:
+            assert got[n] == model(n), n
+
+    check()

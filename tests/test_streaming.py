@@ -50,7 +50,7 @@ def test_append_sink_emits_finished_weeks(spark, tmp_out):
                                 max_files_per_trigger=1)
     sink = os.path.join(tmp_out, "weekly_out")
     q = start(weekly_access_stream(stream, catalog(spark)), sink, os.path.join(tmp_out, "ckpt2"),
-              available_now=True)
+              available_now=True, rocksdb_state=True)
     q.awaitTermination()
     out = spark.read.parquet(sink)
     got = [(r["week"], r["dataset_name"], r["readbytes"]) for r in out.collect()]

@@ -145,3 +145,29 @@ def pr_points(crv: DataFrame) -> DataFrame:
     mid = crv.select((F.col("point") + 1).alias("point"), F.col("recall").alias("x"),
                      F.col("precision").alias("y"))
     return first.unionByName(mid)
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """A one-row table as (metric, value) rows (``stack``, no join)."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in df.columns)
+    return df.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (metric, value)")
+
+
+def metrics(preds: DataFrame, crv: DataFrame | None = None, label: str = "label",
+            prediction: str = "prediction") -> DataFrame:
+    """Every summary figure as (metric, value) rows: counts, wrong ratio,
+    rates, F1 and RMSE from one aggregate pass over the predictions, plus
+    the two areas when a curve is given."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    one = preds.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y != p).alias("wrong"),
+        F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 0)).alias("tn"),
+        F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn"),
+        F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"))
+    wide = one.select("n", "wrong", safe_ratio("wrong", "n").alias("wrong_ratio"),
+                      "tp", "tn", "fp", "fn", "rmse")
+    rates = confusion_rates(one)
+    out = _long(wide).unionByName(_long(rates))
+    if crv is not None:
+        out = out.unionByName(_long(areas(crv)))
+    return out

@@ -22,12 +22,3 @@ def rounded(df: DataFrame, digits: int = 2, overrides: dict[str, int] | None = N
             cols.append(F.col(f.name))
     return df.select(*cols)
 
-
-def side_by_side(*dfs: DataFrame) -> DataFrame:
-    """Columns of several single-row results in one row (each pair joined
-    on a constant key; every input has exactly one row)."""
-    out = None
-    for d in dfs:
-        d = d.withColumn("_k", F.lit(1))
-        out = d if out is None else out.join(d, "_k")
-    return out.drop("_k")

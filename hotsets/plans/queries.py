@@ -16,7 +16,7 @@ from hotsets.ml import models
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
-from hotsets.plans.output import rounded, side_by_side
+from hotsets.plans.output import rounded
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,10 +367,7 @@ def q_score_week(spark, sf_dir):
 def q_score_week_evaluation(spark, sf_dir):
     """Confusion counts, rates and areas of the weekly random-forest scores."""
     preds = q_score_week(spark, sf_dir).checkpoint(eager=True)
-    conf = evaluate.confusion(preds)
-    rates = evaluate.confusion_rates(conf)
-    area = evaluate.areas(evaluate.curve(preds, num_bins=100))
-    return rounded(side_by_side(conf, rates, area), RATIO_DIGITS)
+    return rounded(evaluate.metrics(preds, evaluate.curve(preds, num_bins=100)), RATIO_DIGITS)
 
 
 

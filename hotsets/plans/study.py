@@ -23,7 +23,6 @@ from hotsets.ml import models
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.accesslog import clean_accesses
 from hotsets.operators.weekly import access_popularity, jobs_popularity
-from hotsets.plans.output import side_by_side
 from hotsets.sources import readers, sinks
 from hotsets.sources.registry import Registry
 
@@ -101,8 +100,8 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
                     threshold: float = features.DEFAULT_THRESHOLD, num_bins: int = 100,
                     mode: str = sinks.DEFAULT_MODE, top_n: int | None = None) -> dict[str, str]:
     """Stage 2.  Trains ``model`` on the balanced training year, scores the
-    new week, writes ``label,prediction`` lines, the curve and one row of
-    metrics."""
+    new week, writes ``label,prediction`` lines, the ROC points and the
+    metrics as (metric, value) rows."""
     year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold)
     week = features.with_label(readers.read_popularity(spark, week_path), metric, threshold)
     train, _test = sampling.train_test_split(sampling.balanced_sample(year))
@@ -114,11 +113,8 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
     crv = evaluate.curve(preds, num_bins=num_bins)
     written["roc"] = _j(out_dir, "roc", tag)
     sinks.write_curve(crv, written["roc"], "fpr", "recall", mode)
-    metrics = side_by_side(evaluate.confusion(preds),
-                           evaluate.confusion_rates(evaluate.confusion(preds)),
-                           evaluate.rmse(preds), evaluate.areas(crv))
     written["metrics"] = _j(out_dir, "metrics", tag)
-    metrics.write.mode(mode).option("header", True).csv(written["metrics"])
+    evaluate.metrics(preds, crv).write.mode(mode).option("header", True).csv(written["metrics"])
     return written
 
 

@@ -113,3 +113,11 @@ def test_range_partitioned_curve_matches_mllib(spark, monkeypatch):
     assert a["area_under_pr"] == pytest.approx(m.areaUnderPR, abs=1e-9)
     binned = evaluate.curve(df, num_bins=100)
     assert binned.count() <= 200
+
+
+def test_metrics_long_table(spark):
+    m = {r["metric"]: r["value"] for r in evaluate.metrics(_hand(spark), evaluate.curve(_hand(spark))).collect()}
+    assert (m["tp"], m["fp"], m["fn"], m["tn"], m["n"], m["wrong"]) == (3, 2, 1, 4, 10, 3)
+    assert m["rmse"] == pytest.approx(math.sqrt(0.3)) and m["f1"] == pytest.approx(6 / 9)
+    assert m["area_under_roc"] == pytest.approx(0.708333333, abs=1e-6)
+    assert m["area_under_pr"] == pytest.approx(0.575, abs=1e-9)

@@ -63,9 +63,10 @@ def test_study_from_files(spark, tmp_out):
                                 os.path.join(tmp_out, "ml"), metric="readbytes", threshold=50000)
     n_week = weekly.filter("week > 40").count()
     assert spark.read.text(res["predictions"]).count() == n_week
-    m = spark.read.option("header", True).csv(res["metrics"]).first()
-    assert int(m["n"]) == n_week
-    assert int(m["tp"]) + int(m["tn"]) + int(m["fp"]) + int(m["fn"]) == n_week
+    m = {r["metric"]: float(r["value"]) for r in spark.read.option("header", True).csv(res["metrics"]).collect()}
+    assert m["n"] == n_week
+    assert m["tp"] + m["tn"] + m["fp"] + m["fn"] == n_week
+    assert 0.0 <= m["area_under_roc"] <= 1.0 and "rmse" in m and "f1" in m
     assert res["predictions"].endswith("RF_readbytes_50000_WEEK1")
 
 

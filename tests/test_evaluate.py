@@ -121,3 +121,30 @@ def test_metrics_long_table(spark):
     assert m["rmse"] == pytest.approx(math.sqrt(0.3)) and m["f1"] == pytest.approx(6 / 9)
     assert m["area_under_roc"] == pytest.approx(0.708333333, abs=1e-6)
     assert m["area_under_pr"] == pytest.approx(0.575, abs=1e-9)
+
+
+def test_binned_counts_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.integers(min_value=1, max_value=400), st.integers(min_value=1, max_value=60),
+           st.integers(min_value=0, max_value=10_000))
+    def check(n_scores, num_bins, seed):
+        rnd = random.Random(seed)
+        scores = rnd.sample(range(100_000), n_scores)
+        rows_ = [(s / 100_000.0, rnd.randint(0, 3), rnd.randint(0, 3)) for s in scores]
+        counts = spark.createDataFrame(rows_, "threshold double, pos long, neg long")
+        got, n_points = evaluate.binned_counts(counts, num_bins)
+        got = sorted(((r["threshold"], r["pos"], r["neg"]) for r in got.collect()), reverse=True)
+        # brute force: blocks of n // bins consecutive scores (descending) when >= 2
+        desc = sorted(rows_, reverse=True)
+        g = n_scores // num_bins
+        if g < 2:
+            want = desc
+        else:
+            want = [(blk[0][0], sum(r[1] for r in blk), sum(r[2] for r in blk))
+                    for blk in (desc[i:i + g] for i in range(0, n_scores, g))]
+        assert got == want
+        assert n_points == len(want)
+
+    check()

@@ -97,3 +97,23 @@ def test_top_n_vocabulary_keeps_most_frequent(spark, local, monkeypatch):
                           unseen="keep")
     other = {r["server_site"]: r["f_server_site"] for r in enc.collect()}
     assert other["b"] == other["e"] == 3 and other["a"] == 0
+
+
+def test_ordered_index_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 300)), min_size=1, max_size=300),
+           st.integers(min_value=1, max_value=9), st.booleans(), st.booleans())
+    def check(pairs, parts, descending, local):
+        data = sorted(set(pairs), key=lambda t: (t[0] is not None, t[0] or "", t[1]))
+        df = spark.createDataFrame(data, "g string, v long")
+        got = ordered_index(df, "g", "v", "idx", descending=descending, num_partitions=parts,
+                            known_rows=len(data) if local else None)
+        want = {}
+        for g in {d[0] for d in data}:
+            vs = sorted((d[1] for d in data if d[0] == g), reverse=descending)
+            want.update({(g, v): i for i, v in enumerate(vs)})
+        assert {(r["g"], r["v"]): r["idx"] for r in got.collect()} == want
+
+    check()

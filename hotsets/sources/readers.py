@@ -79,7 +79,13 @@ def read_access_log(spark, path, fmt: str = "json", spread_rows: bool = False) -
     """The 48-column access log.  ``spread_rows`` for logs stored as few
     unsplittable files (gzip): rows are spread over the cluster's cores
     right after the read instead of being cleaned by one task per file."""
-    df = read(spark, fmt, path, schemas.ACCESS_RAW)
+    if fmt == "csv":
+        # In the CSV form, ``_corrupt_record`` is a data column (the JSON
+        # parser's flag, saved with the rest); the CSV reader must not claim
+        # that name for its own malformed-line slot.
+        df = read_csv(spark, path, schemas.ACCESS_RAW, columnNameOfCorruptRecord="_malformed_csv_line")
+    else:
+        df = read(spark, fmt, path, schemas.ACCESS_RAW)
     return spread(df) if spread_rows else df
 
 

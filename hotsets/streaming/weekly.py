@@ -28,6 +28,9 @@ def read_access_stream(spark: SparkSession, path: str, schema: StructType, fmt:
     r = spark.readStream.schema(schema).format(fmt)
     if fmt == "json":
         r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    elif fmt == "csv":
+        # _corrupt_record is a data column of the CSV layout (see readers)
+        r = r.option("columnNameOfCorruptRecord", "_malformed_csv_line")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)

@@ -55,3 +55,16 @@ def test_append_sink_emits_finished_weeks(spark, tmp_out):
     out = spark.read.parquet(sink)
     got = [(r["week"], r["dataset_name"], r["readbytes"]) for r in out.collect()]
     assert (31, "/A/e-v1/T", 100.0) in got
+
+
+def test_stream_reads_csv_layout(spark, tmp_out):
+    src = os.path.join(tmp_out, "csv_in")
+    raw = spark.createDataFrame(raw_rows(), RAW).filter("_corrupt_record IS NULL")
+    raw.write.csv(os.path.join(src, "d1"))
+    stream = read_access_stream(spark, os.path.join(src, "*"), _parse_datatype_string(RAW), fmt="csv")
+    q = (weekly_access_stream(stream, catalog(spark)).writeStream.outputMode("complete").format("memory")
+         .queryName("weekly_csv_test").option("checkpointLocation", os.path.join(tmp_out, "ckpt3"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {(r["week"], r["dataset_name"]): r["readbytes"] for r in spark.table("weekly_csv_test").collect()}
+    assert got[(31, "/A/e-v1/T")] == 150.0

@@ -42,10 +42,13 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructTy
     return r.json(path)
 
 
-def read_avro(spark: SparkSession, path: str | list[str], schema: StructType | None = None) -> DataFrame:
+def read_avro(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
+              base_path: str | None = None) -> DataFrame:
     r = spark.read.format("avro")
     if schema is not None:
         r = r.schema(ddl(schema))
+    if base_path:
+        r = r.option("basePath", base_path)
     try:
         return r.load(path)
     except Exception as e:  # noqa: BLE001
@@ -55,8 +58,11 @@ def read_avro(spark: SparkSession, path: str | list[str], schema: StructType | N
         raise
 
 
-def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str | list[str], base_path: str | None = None) -> DataFrame:
+    r = spark.read
+    if base_path:
+        r = r.option("basePath", base_path)
+    return r.parquet(path)
 
 
 def read(spark: SparkSession, fmt: str, path: str | list[str], schema: StructType,
@@ -67,9 +73,9 @@ def read(spark: SparkSession, fmt: str, path: str | list[str], schema: StructTyp
     if fmt == "json":
         return read_json_lines(spark, path, schema, options.get("base_path"))
     if fmt == "avro":
-        return read_avro(spark, path, schema)
+        return read_avro(spark, path, schema, options.get("base_path"))
     if fmt == "parquet":
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, options.get("base_path"))
     raise ValueError(f"unknown format {fmt!r}")
 
 

@@ -142,3 +142,13 @@ def test_access_log_csv_48_columns(spark, tmp_out):
     got = clean_accesses(back).first()
     # '' and NULL both come back as NULL from CSV, so the user stays NULL
     assert (got["file_lfn"], got["proctime"], got["readbytes"], got["server_username"]) == ("f", 15, 7, None)
+
+
+def test_registry_parquet_partition_folders(spark, tmp_out):
+    base = os.path.join(tmp_out, "jobs")
+    df = spark.createDataFrame([(1, "/a/b/c", "ce", "S", "p", "u", 1.0, 2.0)], schemas.JOBS)
+    df.write.parquet(os.path.join(base, "year=2015"))
+    df.write.parquet(os.path.join(base, "year=2016"))
+    reg = Registry(tmp_out).add("jobs", "parquet", schemas.JOBS, "jobs/year=*", base_path="jobs")
+    got = reg.read(spark, "jobs")
+    assert sorted(r["year"] for r in got.select("year").collect()) == [2015, 2016]

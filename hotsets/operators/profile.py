@@ -52,3 +52,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def analyses_of_conference(analyses: DataFrame, conference: str) -> DataFrame:
+    """Analyses presented at one conference (a narrow filter)."""
+    return analyses.filter(F.col("Conference") == F.lit(conference))
+
+
+def conference_groups(analyses: DataFrame) -> DataFrame:
+    """Distinct (conference, physics group, samples) triples."""
+    return analyses.select(F.col("Conference").alias("conference"), "physWG", "samples").distinct()

@@ -90,13 +90,12 @@ def q_json_corrupt_filter(spark, sf_dir):
 
 @register("analyses_distinct")
 def q_analyses_distinct(spark, sf_dir):
-    return Domain(spark, sf_dir).analyses.select(
-        F.col("conference"), F.col("physWG"), F.col("samples")).distinct()
+    return profile.conference_groups(Domain(spark, sf_dir).analyses)
 
 
 @register("analyses_filter")
 def q_analyses_filter(spark, sf_dir):
-    return Domain(spark, sf_dir).analyses.filter("Conference = 'en'")
+    return profile.analyses_of_conference(Domain(spark, sf_dir).analyses, "en")
 
 
 @register("src_count")

@@ -152,3 +152,18 @@ def test_registry_parquet_partition_folders(spark, tmp_out):
     reg = Registry(tmp_out).add("jobs", "parquet", schemas.JOBS, "jobs/year=*", base_path="jobs")
     got = reg.read(spark, "jobs")
     assert sorted(r["year"] for r in got.select("year").collect()) == [2015, 2016]
+
+
+def test_analyses_json(spark, tmp_out):
+    from hotsets.operators import profile
+    p = os.path.join(tmp_out, "cadi.json")
+    with open(p, "w") as f:
+        f.write('{"Conference": "C1", "code": "A-1", "physWG": "HIG", "samples": "s1"}\n')
+        f.write('{"Conference": "C1", "code": "A-2", "physWG": "HIG", "samples": "s1"}\n')
+        f.write('{"Conference": "C2", "code": "A-3", "physWG": "TOP", "samples": "s2"}\n')
+        f.write('{"Conference": \n')
+    df = readers.read_analyses(spark, p)
+    assert profile.analyses_of_conference(df, "C1").count() == 2
+    got = {tuple(r) for r in profile.conference_groups(df).collect()}
+    # the malformed line is kept (all fields NULL), as a plain JSON read keeps it
+    assert got == {(None, None, None), ("C1", "HIG", "s1"), ("C2", "TOP", "s2")}

@@ -357,9 +357,11 @@ for _name in models.MODEL_NAMES:
 
 @register("score_week")
 def q_score_week(spark, sf_dir):
-    """Random forest trained on the earlier weeks, scoring the later ones."""
+    """Random forest trained on the earlier weeks (balanced, then the 70 %
+    training split, as for the held-out evaluation), scoring the later ones."""
     train, week = training_and_week(spark, sf_dir)
-    return models.train_and_score("random_forest", sampling.balanced_sample(train), week)
+    fit_rows, _held_out = sampling.train_test_split(sampling.balanced_sample(train))
+    return models.train_and_score("random_forest", fit_rows, week)
 
 
 @register("score_week_evaluation")

@@ -104,12 +104,14 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = True,
-            top_n: int | None = None):
-    """Vocabulary from the training rows; encode both sides (unseen values
-    of the scored rows go to their own bucket); assemble vectors.  With
-    ``top_n`` only the most frequent values of each feature get their own
-    id and the rest of the training values share the extra bucket too."""
-    vocab = features.fit_vocabulary(train_rows, features.FEATURE_CATEGORIES, top_n)
+            top_n: int | None = None, vocab_rows: DataFrame | None = None):
+    """Vocabulary from ``vocab_rows`` (the whole training year, before
+    balancing and splitting; default: the training rows); encode both sides
+    (unseen values of the scored rows go to their own bucket); assemble
+    vectors.  With ``top_n`` only the most frequent values of each feature
+    get their own id and the rest share the extra bucket too."""
+    vocab = features.fit_vocabulary(train_rows if vocab_rows is None else vocab_rows,
+                                    features.FEATURE_CATEGORIES, top_n)
     sizes = features.vocabulary_sizes(vocab)
     arities = category_arities(vocab, unseen_bucket=True, sizes=sizes)
     tr = features.encode(features.with_week_feature(train_rows), vocab,
@@ -119,7 +121,7 @@ def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = Tr
 
 
 def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
-                    top_n: int | None = None) -> DataFrame:
+                    top_n: int | None = None, vocab_rows: DataFrame | None = None) -> DataFrame:
     """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``.
 
     Training rows are checkpointed (written to the checkpoint folder) before
@@ -127,7 +129,7 @@ def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
     send each pass back to the raw tables.
     """
     tr, sc, arities = prepare(train_rows, score_rows, categorical=name in (
-        "decision_tree", "random_forest", "gbt"), top_n=top_n)
+        "decision_tree", "random_forest", "gbt"), top_n=top_n, vocab_rows=vocab_rows)
     tr = tr.select("label", "features").checkpoint(eager=True)
     model = fit(name, tr, arities)
     return predict(model, sc)

@@ -344,9 +344,9 @@ def q_auc(spark, sf_dir):
 
 def _train_query(name: str) -> Query:
     def q(spark, sf_dir):
-        sample = sampling.balanced_sample(labelled_table(spark, sf_dir))
-        train, test = sampling.train_test_split(sample)
-        return models.train_and_score(name, train, test)
+        year = labelled_table(spark, sf_dir)
+        train, test = sampling.train_test_split(sampling.balanced_sample(year))
+        return models.train_and_score(name, train, test, vocab_rows=year)
     q.__name__ = f"q_train_{name}"
     return q
 
@@ -361,7 +361,7 @@ def q_score_week(spark, sf_dir):
     training split, as for the held-out evaluation), scoring the later ones."""
     train, week = training_and_week(spark, sf_dir)
     fit_rows, _held_out = sampling.train_test_split(sampling.balanced_sample(train))
-    return models.train_and_score("random_forest", fit_rows, week)
+    return models.train_and_score("random_forest", fit_rows, week, vocab_rows=train)
 
 
 @register("score_week_evaluation")

@@ -105,7 +105,7 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
     year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold)
     week = features.with_label(readers.read_popularity(spark, week_path), metric, threshold)
     train, _test = sampling.train_test_split(sampling.balanced_sample(year))
-    preds = models.train_and_score(model, train, week, top_n).checkpoint(eager=True)
+    preds = models.train_and_score(model, train, week, top_n, vocab_rows=year).checkpoint(eager=True)
 
     tag = sinks.predictions_output_dir(models.MODEL_TAGS.get(model, model), metric, _num(threshold))
     written = {"predictions": _j(out_dir, "labelsAndPreds", tag)}

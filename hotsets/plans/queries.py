@@ -17,6 +17,7 @@ from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
+from hotsets.plans.params import HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, TRAIN_LAST_WEEK
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,11 +194,6 @@ def q_top_datasets(spark, sf_dir):
 # ---- features, sampling -------------------------------------------------------
 
 
-# Parameters of the test-table queries.  The reference's own defaults
-# (numaccesses > 50) give no positive on the test tables, where no group
-# has more than two accesses; readbytes > 50000 splits them about in half.
-LABEL_METRIC, LABEL_THRESHOLD = "readbytes", 50000.0
-TRAIN_LAST_WEEK, HELD_OUT_SITE = 40, "NATION_3"
 
 
 def popularity_table(spark, sf_dir) -> DataFrame:

@@ -48,3 +48,17 @@ def test_query_matches_oracle_small(spark, duck, name):
     want = sorted((tuple(_norm(r[i]) for i in dorder) for r in cur.fetchall()), key=repr)
     assert [df.columns[i].lower() for i in order] == [dcols[i].lower() for i in dorder]
     assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    rows = df.collect()
+    assert len(rows) > 0
+    if name.startswith("train_") or name == "score_week":
+        assert df.columns == ["label", "prediction", "score"]
+        assert {r["label"] for r in rows} <= {0.0, 1.0}
+    else:
+        assert df.columns == ["metric", "value"]
+        m = {r["metric"]: r["value"] for r in rows}
+        assert m["tp"] + m["tn"] + m["fp"] + m["fn"] == m["n"]

@@ -144,7 +144,7 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
              .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b"))
     large = sizes.where("n > 2").select("k", "bytes", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp", "k"), F.col("parts")).cast("int")
-    blocks = handoff(postings.join(large, ["k", "bytes"]).withColumn("own", own)
+    blocks = handoff(postings.join(large.hint("shuffle_hash"), ["k", "bytes"]).withColumn("own", own)
                      .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                      .select("k", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp",
                              F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotsets.llm import simhash, winnow
+import public_tokenizers
+
+from hotsets.llm import chat, decontam, licenses, linededup, packing, quality, simhash, toxicity, urlfilter, winnow
 from hotsets.llm.common import table
 
 
@@ -21,7 +23,74 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         winnow.marks_text(F.col("edited_marks")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_report(table(spark, sf_dir, "documents"), min_words=3, min_near_words=10)
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+                        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scores = [F.col(c).alias(f"{c}_score") for c in toxicity.CHAIN]
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), *scores, (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = decontam.n_hit(F.col("spans"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def _vocabulary(name: str) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), size=4096, end_id=2)
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.col("places.start")
+    both = F.array_union("places.label", "found.label")
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+                        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        F.array_join(F.array_sort(F.array_distinct("places.label")), ",").alias("base_labels"),
+                        F.array_join(F.array_sort(both), ",").alias("labels"), F.coalesce(F.array_max("found.share"), F.lit(0.0)).alias("score"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.union(extra), _vocabulary("byte_bpe_50k.json")))
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
+    "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
+    "op9_url_filter": op9_url_filter,
+    "op10_chat": op10_chat,
 }

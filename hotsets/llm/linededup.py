@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ _ID = ["doc_id", "t", "line_no"]
 
 def normal_line(line: Column) -> Column:
     """Lower-cased, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+    odd = reduce(lambda a, b: a | b, [line.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")])
+    low = F.lower(line)
+    return F.trim(F.when(odd, F.regexp_replace(low, SPACE, " ")).otherwise(low))
 
 
 def text_lines(text: Column) -> Column:
@@ -21,7 +25,7 @@ def text_lines(text: Column) -> Column:
 
 
 def _word_count(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+    return F.when(norm == "", 0).otherwise(F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,8 +48,9 @@ def _lines(rows: DataFrame, min_words: int, min_near_words: int) -> DataFrame:
     two lines within one edit share a half key.  A line takes part as the shorter or equal one
     (m = its words) and as the longer one (m = its words - 1).
     """
-    lines = rows.select("doc_id", "t", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
-    lines = lines.select("doc_id", "t", "line_no", normal_line(F.col("line")).alias("norm"))
+    # normalised before the lines are dealt out, so that the filter below does not repeat it
+    norms = F.transform(text_lines(F.col("text")), normal_line)
+    lines = rows.select("doc_id", "t", F.posexplode(norms).alias("line_no", "norm"))
     lines = lines.withColumn("n", _word_count(F.col("norm"))).where(F.col("n") >= min_words)
     n, norm = F.col("n"), F.col("norm")
     keys = F.when(n >= min_near_words, F.array(*[_half(norm, m, side) for m in (n, n - 1) for side in ("first", "last")]))
@@ -53,10 +58,10 @@ def _lines(rows: DataFrame, min_words: int, min_near_words: int) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Hashed keys of every line (``pos`` -1) and of the line without each of its words.
+    """Hashed keys ``v`` of every line (``pos`` -1) and of the line without each of its words.
 
     A sequence is hashed as the exclusive or of its words' hashes salted with their positions;
-    what follows a deleted word moves up by one.  Running totals give all keys of a line in one
+    what follows a deleted word moves up by one; the number of words is part of the key.  Running totals give all keys of a line in one
     pass over its words.
     """
     words = lines.select(*_ID, "n", F.posexplode(F.split("norm", " ")).alias("pos", "word"))
@@ -67,9 +72,9 @@ def _variants(lines: DataFrame) -> DataFrame:
     words = words.select(*_ID, "n", "pos", F.coalesce(F.bit_xor("here").over(before), F.lit(0)).alias("left"),
                          F.bit_xor("moved").over(upto).alias("gone"), F.bit_xor("moved").over(whole).alias("all_moved"),
                          F.bit_xor("here").over(whole).alias("all"))
-    without = words.select(F.struct(*_ID).alias("id"), (F.col("n") - 1).alias("m"), "pos",
-                           F.col("left").bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("gone")).alias("v"))
-    entire = words.where("pos = 0").select(F.struct(*_ID).alias("id"), F.col("n").alias("m"), F.lit(-1).alias("pos"), F.col("all").alias("v"))
+    cut = F.col("left").bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("gone"))
+    without = words.select(F.struct(*_ID).alias("id"), "pos", F.xxhash64(F.col("n") - 1, cut).alias("v"))
+    entire = words.where("pos = 0").select(F.struct(*_ID).alias("id"), F.lit(-1).alias("pos"), F.xxhash64("n", "all").alias("v"))
     return without.union(entire)
 
 
@@ -96,16 +101,19 @@ def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     found = found.select("doc_id", "t", "line_no", normal_line(F.element_at("lines", F.col("line_no") + 1)).alias("norm")).distinct()
     found = handoff(found.withColumn("n", _word_count(F.col("norm"))))
     variants = handoff(_variants(found))
+    # most keys belong to one line only: what follows reads the others
+    met = variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    variants = handoff(variants.join(met, "v", "left_semi"))
     # all lines of equal length without the same word's place are within one edit of each other,
     # and a line that equals another's variant is within one edit of it: the earliest of each
     # group stands for all, so a template shared by many lines makes no pairs
-    groups = variants.groupBy("m", "v", "pos").agg(F.min("id").alias("first"), F.count("*").alias("c"))
-    by_key = (groups.groupBy("m", "v").agg(F.min(F.when(F.col("pos") == -1, F.col("first"))).alias("whole"),
-                                           F.min(F.when(F.col("pos") >= 0, F.col("first"))).alias("cut"))
+    groups = handoff(variants.groupBy("v", "pos").agg(F.min("id").alias("first"), F.count("*").alias("c")))
+    by_key = (groups.groupBy("v").agg(F.min(F.when(F.col("pos") == -1, F.col("first"))).alias("whole"),
+                                      F.min(F.when(F.col("pos") >= 0, F.col("first"))).alias("cut"))
               .where("whole is not null and cut is not null"))
     edited = variants.where("pos >= 0")
-    pairs = (edited.join(groups.where("c > 1").select("m", "v", "pos", "first"), ["m", "v", "pos"]).where("first < id").select("id", "first")
-             .union(edited.join(by_key.select("m", "v", F.col("whole").alias("first")), ["m", "v"]).where("first < id").select("id", "first"))
+    pairs = (edited.join(groups.where("c > 1").select("v", "pos", "first"), ["v", "pos"]).where("first < id").select("id", "first")
+             .union(edited.join(by_key.select("v", F.col("whole").alias("first")), "v").where("first < id").select("id", "first"))
              .union(by_key.where("cut < whole").select("whole", "cut"))).distinct()
     one = found.select(F.struct(*_ID).alias("id"), F.col("norm").alias("norm"))
     other = found.select(F.struct(*_ID).alias("first"), F.col("norm").alias("first_norm"))

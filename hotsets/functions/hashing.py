@@ -18,5 +18,6 @@ def unit_hash(key: Column, salt: str) -> Column:
 
 
 def row_key(cols: list[str], sep: str = "|") -> Column:
-    """Text key of a row from its group columns (NULLs are skipped)."""
-    return F.concat_ws(sep, *[F.col(c).cast("string") for c in cols])
+    """Text key of a row from its group columns: ``=value``, or ``-`` for NULL,
+    so that a NULL keeps its place."""
+    return F.concat_ws(sep, *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols])

@@ -17,6 +17,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from hotsets.operators import features
+from hotsets.schemas import POPULARITY_KEYS
+from hotsets.sources.handoff import hand_off
 
 # fixed values: model settings
 NUM_CLASSES = 2
@@ -38,7 +40,8 @@ CACHE_NODE_IDS = True
 
 MODEL_NAMES = ["decision_tree", "random_forest", "gbt", "linear_svc", "logistic_regression",
                "linear_regression"]
-# fixed values: short model tags used in output folder names
+TREE_MODELS = ("decision_tree", "random_forest", "gbt")
+# short model tags used in output folder names
 MODEL_TAGS = {"decision_tree": "DT", "random_forest": "RF", "gbt": "GBT", "linear_svc": "SVM",
               "logistic_regression": "LogR", "linear_regression": "LR"}
 
@@ -85,14 +88,24 @@ def estimator(name: str, max_bins: int = MAX_BINS):
 
 def fit(name: str, train: DataFrame, arities: dict[str, int]):
     """Fit one estimator on assembled training rows.  Trees get the
-    categorical metadata; linear models see the raw ids as numbers."""
+    categorical metadata; linear models see the raw ids as numbers.
+
+    A tree learner uses no more bins than there are training rows, so a
+    feature of more values cannot be split: that is said here, by name."""
     bins = max([MAX_BINS] + list(arities.values()))
+    if name in TREE_MODELS:
+        widest = max(arities, key=arities.get)
+        rows = train.count()
+        if arities[widest] > rows:
+            raise ValueError(f"feature {widest} has {arities[widest]} categories but there are only {rows} training rows; "
+                             f"set top_n (below {rows}) to keep its most frequent values and share one id among the rest")
     return estimator(name, bins).fit(train)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """(label, prediction, score): score = P(class 1) for probabilistic
-    classifiers, the margin for the SVM, the regression output otherwise."""
+    """Row keys (and the held-out mark, as far as ``df`` has them), label, prediction, score: score =
+    P(class 1) for probabilistic classifiers, the margin for the SVM, the
+    regression output otherwise."""
     out = model.transform(df)
     cols = out.columns
     if "probability" in cols:
@@ -101,7 +114,8 @@ def predict(model, df: DataFrame) -> DataFrame:
         score = vector_to_array("rawPrediction")[1]
     else:
         score = F.col("prediction")
-    return out.select(F.col("label").cast("double").alias("label"),
+    keys = [c for c in [*POPULARITY_KEYS, "_held_out"] if c in cols]
+    return out.select(*keys, F.col("label").cast("double").alias("label"),
                       F.col("prediction").cast("double").alias("prediction"),
                       score.cast("double").alias("score"))
 
@@ -127,12 +141,10 @@ def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
                     top_n: int | None = None, vocab_rows: DataFrame | None = None) -> DataFrame:
     """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``.
 
-    Training rows are checkpointed (written to the checkpoint folder) before
-    fitting: the learners make many passes, and a lost executor must not
+    Training rows are written to the shared folder before fitting: the learners make many passes, and a lost executor must not
     send each pass back to the raw tables.
     """
-    tr, sc, arities = prepare(train_rows, score_rows, categorical=name in (
-        "decision_tree", "random_forest", "gbt"), top_n=top_n, vocab_rows=vocab_rows)
-    tr = tr.select("label", "features").checkpoint(eager=True)
+    tr, sc, arities = prepare(train_rows, score_rows, categorical=name in TREE_MODELS, top_n=top_n, vocab_rows=vocab_rows)
+    tr = hand_off(tr.select("label", "features"))
     model = fit(name, tr, arities)
     return predict(model, sc)

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from hotsets.functions.numeric import safe_ratio
 from hotsets.operators.indexing import ordered_index, running_sum
+from hotsets.sources.handoff import hand_off
 
 
 def _pos(label: str):
     return F.col(label) > 0.5
 
 
-def confusion(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """n, wrong, wrong_ratio, tp, tn, fp, fn in one pass."""
-    y, p = F.col(label), F.col(prediction)
+def confusion(preds: DataFrame, label: str = "label", prediction: str = "prediction", *more) -> DataFrame:
+    """n, wrong, wrong_ratio, tp, tn, fp, fn (and ``more`` aggregates) in one pass."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     return preds.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(y != p).alias("wrong"),
@@ -29,6 +30,7 @@ def confusion(preds: DataFrame, label: str = "label", prediction: str = "predict
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
+        *more,
     ).withColumn("wrong_ratio", safe_ratio("wrong", "n"))
 
 
@@ -45,9 +47,13 @@ def confusion_rates(conf: DataFrame) -> DataFrame:
     )
 
 
-def rmse(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def squared_error(label: str = "label", prediction: str = "prediction"):
     d = F.col(prediction).cast("double") - F.col(label).cast("double")
-    return preds.agg(F.sqrt(F.avg(d * d)).alias("rmse"))
+    return F.sqrt(F.avg(d * d)).alias("rmse")
+
+
+def rmse(preds: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    return preds.agg(squared_error(label, prediction))
 
 
 def score_counts(preds: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -59,7 +65,7 @@ def score_counts(preds: DataFrame, score: str = "score", label: str = "label") -
 def binned_counts(counts: DataFrame, num_bins: int = 100, n_scores: int | None = None):
     """Merge consecutive scores (descending) into blocks of
     ``n_scores // num_bins`` scores when that is 2 or more; the block's
-    threshold is its highest score.  ``num_bins <= 0`` keeps every score.
+    threshold is its lowest score, the one at which its counts hold.  ``num_bins <= 0`` keeps every score.
     Returns (table, its row count)."""
     if n_scores is None:
         n_scores = counts.count()
@@ -68,7 +74,7 @@ def binned_counts(counts: DataFrame, num_bins: int = 100, n_scores: int | None =
         return counts, n_scores
     ranked = ordered_index(counts, None, "threshold", "_rank", descending=True, known_rows=n_scores)
     out = (ranked.groupBy(F.floor(F.col("_rank") / grouping).alias("_blk"))
-           .agg(F.max("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+           .agg(F.min("threshold").alias("threshold"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
            .drop("_blk"))
     return out, -(-n_scores // grouping)
 
@@ -79,27 +85,35 @@ def fmeasure(p, r, beta: float):
         F.lit(1.0 + b2) * (p * r) / (F.lit(b2) * p + r))
 
 
-def curve(preds: DataFrame, score: str = "score", label: str = "label", num_bins: int = 100,
+def curve(preds: DataFrame, score: str = "score", label: str = "label", num_bins: int = 0,
           betas: tuple[float, ...] = (1.0, 0.5)) -> DataFrame:
     """Per threshold (descending): point index, tp, fp, precision, recall,
-    fpr, f-measures; one row per (binned) distinct score.  The row count is
-    known from the binning step, so small curves use plain windows."""
+    fpr, f-measures; one row per distinct score, or per block of scores when
+    ``num_bins`` asks for it.  ``prev_precision``, ``prev_recall`` and
+    ``prev_fpr`` are those of the point before (NULL, 0 and 0 for the first):
+    the running sum without the point's own counts."""
     # one pass over the predictions; everything after reads the per-score
-    # table (distinct scores only), materialised in the checkpoint folder
-    counts = score_counts(preds, score, label).checkpoint(eager=True)
+    # table (distinct scores only)
+    counts = hand_off(score_counts(preds, score, label))
     totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                         F.count(F.lit(1)).alias("S")).first()
     counts, n_points = binned_counts(counts, num_bins, int(totals["S"]))
     total_pos, total_neg = int(totals["P"] or 0), int(totals["N"] or 0)
     cum = running_sum(counts.withColumn("_one", F.lit(1)), "threshold", ["pos", "neg", "_one"],
                       descending=True, known_rows=n_points)
+    def rates(tp, fp):
+        return (F.when(tp + fp == 0, F.lit(1.0)).otherwise(tp / (tp + fp)),
+                F.when(F.lit(total_pos) == 0, F.lit(0.0)).otherwise(tp / F.lit(float(max(total_pos, 1)))),
+                F.when(F.lit(total_neg) == 0, F.lit(0.0)).otherwise(fp / F.lit(float(max(total_neg, 1)))))
+
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    precision = F.when(tp + fp == 0, F.lit(1.0)).otherwise(tp / (tp + fp))
-    recall = F.when(F.lit(total_pos) == 0, F.lit(0.0)).otherwise(tp / F.lit(float(total_pos)))
-    fpr = F.when(F.lit(total_neg) == 0, F.lit(0.0)).otherwise(fp / F.lit(float(total_neg)))
+    precision, recall, fpr = rates(tp, fp)
+    before_precision, before_recall, before_fpr = rates(tp - F.col("pos"), fp - F.col("neg"))
     out = cum.select((F.col("cum__one") - 1).cast("long").alias("point"), "threshold",
                      tp.alias("tp"), fp.alias("fp"), precision.alias("precision"),
-                     recall.alias("recall"), fpr.alias("fpr"))
+                     recall.alias("recall"), fpr.alias("fpr"),
+                     F.when(F.col("cum__one") > 1, before_precision).alias("prev_precision"),
+                     before_recall.alias("prev_recall"), before_fpr.alias("prev_fpr"))
     for b in betas:
         name = "f1" if b == 1.0 else "f" + str(b).replace(".", "_")
         out = out.withColumn(name, fmeasure(F.col("precision"), F.col("recall"), b))
@@ -108,23 +122,18 @@ def curve(preds: DataFrame, score: str = "score", label: str = "label", num_bins
 
 def areas(crv: DataFrame) -> DataFrame:
     """Area under ROC (from (0,0)) and under PR (from (0, first precision))
-    by trapezoids.  Each point is paired with the previous one through an
-    ordered index and an equi-join (no single-task window)."""
-    if "point" in crv.columns:
-        pts = crv.select(F.col("point").alias("i"), "threshold", "precision", "recall", "fpr")
-    else:
-        pts = ordered_index(crv.select("threshold", "precision", "recall", "fpr"), None, "threshold",
-                            "i", descending=True)
-    prev = pts.select((F.col("i") + 1).alias("i"), F.col("precision").alias("p0"),
-                      F.col("recall").alias("r0"), F.col("fpr").alias("x0"))
-    j = pts.join(prev, "i", "left")
-    x0, r0 = F.coalesce(F.col("x0"), F.lit(0.0)), F.coalesce(F.col("r0"), F.lit(0.0))
-    j = j.withColumn("_roc", (F.col("fpr") - x0) * (F.col("recall") + r0) / 2)
+    by trapezoids between each point and the one before it, which ``curve``
+    gives with the point: one aggregate, no join and no second window."""
+    roc = (F.col("fpr") - F.col("prev_fpr")) * (F.col("recall") + F.col("prev_recall")) / 2
     # the PR curve starts at (0, precision of the highest threshold)
-    pr_first = F.col("recall") * F.col("precision")
-    pr_seg = (F.col("recall") - r0) * (F.col("precision") + F.col("p0")) / 2
-    j = j.withColumn("_pr", F.when(F.col("i") == 0, pr_first).otherwise(pr_seg))
-    return j.agg(F.sum("_roc").alias("area_under_roc"), F.sum("_pr").alias("area_under_pr"))
+    start = F.coalesce(F.col("prev_precision"), F.col("precision"))
+    pr = (F.col("recall") - F.col("prev_recall")) * (F.col("precision") + start) / 2
+    return crv.agg(F.sum(roc).alias("area_under_roc"), F.sum(pr).alias("area_under_pr"))
+
+
+def curve_points(crv: DataFrame) -> DataFrame:
+    """The curve without the helper columns of the point before."""
+    return crv.drop("prev_precision", "prev_recall", "prev_fpr")
 
 
 def roc_points(crv: DataFrame) -> DataFrame:
@@ -158,14 +167,8 @@ def metrics(preds: DataFrame, crv: DataFrame | None = None, label: str = "label"
     """Every summary figure as (metric, value) rows: counts, wrong ratio,
     rates, F1 and RMSE from one aggregate pass over the predictions, plus
     the two areas when a curve is given."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    one = preds.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y != p).alias("wrong"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"))
-    wide = one.select("n", "wrong", safe_ratio("wrong", "n").alias("wrong_ratio"),
-                      "tp", "tn", "fp", "fn", "rmse")
+    one = confusion(preds, label, prediction, squared_error(label, prediction))
+    wide = one.select("n", "wrong", "wrong_ratio", "tp", "tn", "fp", "fn", "rmse")
     rates = confusion_rates(one)
     out = _long(wide).unionByName(_long(rates))
     if crv is not None:

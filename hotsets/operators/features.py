@@ -2,9 +2,9 @@
 
 Vocabularies are DataFrames (feature, value, idx) built in one pass over
 all categorical columns; ids follow the sorted value (stable between
-runs).  Encoding joins each column to its vocabulary; the vocabulary is
-broadcast only after its row count is checked against a bound, otherwise
-the join is a shuffle join.  NULL is a category like any other.
+runs).  Encoding joins each column to its vocabulary; Spark broadcasts the
+ones that are small in bytes and shuffles the others.  NULL is a category
+like any other.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hotsets.operators.indexing import ordered_index
+from hotsets.sources.handoff import hand_off
 
 # fixed values: the categorical columns of the popularity table, in the
 # feature order of the models (username is not a feature)
@@ -24,7 +25,6 @@ FEATURE_CATEGORIES = ["primary_dataset", "processed_dataset", "acquisition_era",
 WEEK_ARITY = 53          # ids 0..52 for ISO weeks 1..53 (week - 1)
 DEFAULT_LABEL_METRIC = "numaccesses"
 DEFAULT_THRESHOLD = 50.0
-MAX_BROADCAST_VOCAB_ROWS = 1_000_000
 
 
 def popular_label(metric: str = DEFAULT_LABEL_METRIC, threshold: float = DEFAULT_THRESHOLD) -> Column:
@@ -46,8 +46,7 @@ def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | N
 
     The columns are unpivoted with ``stack`` (narrow), de-duplicated once
     (partial distinct on the map side), and numbered per feature by
-    ``ordered_index``: a plain window when the checked number of distinct
-    values is small, range partitioned (no single-task window) beyond.
+    ``ordered_index`` (range partitioned, no single-task window).
 
     ``top_n`` keeps only the ``top_n`` most frequent values of each feature
     (ties by value); encoding with ``unseen='keep'`` then puts every other
@@ -62,23 +61,23 @@ def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | N
         long = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
     # materialise the distinct pairs once: the size check and the numbering
     # then read it instead of re-running the scan behind it
-    long = long.checkpoint(eager=True)
+    long = hand_off(long)
     if top_n is not None:
         key = F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))
         ranked = ordered_index(long.withColumn("_key", key), "feature", "_key", "_rank",
                                known_rows=long.count())
-        long = ranked.filter(F.col("_rank") < top_n).select("feature", "value").checkpoint(eager=True)
+        long = hand_off(ranked.filter(F.col("_rank") < top_n).select("feature", "value"))
     return ordered_index(long, "feature", "value", "idx", known_rows=long.count())
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | None = None) -> DataFrame:
-    """Vocabulary materialised once in the checkpoint folder.
+    """Vocabulary written once, in folders by feature.
 
-    Encoding reads it once per column (and sizes it for the broadcast
-    check), so it is computed here a single time and its lineage is cut:
-    a lost executor does not re-run the scan that produced it.
+    Encoding reads one folder per column, so the vocabulary is computed a
+    single time, its lineage is cut (a lost executor does not re-run the scan
+    that produced it) and the planner knows the size of each part.
     """
-    return vocabulary(df, columns, top_n).checkpoint(eager=True)
+    return hand_off(vocabulary(df, columns, top_n), ["feature"])
 
 
 def arity(vocab: DataFrame) -> DataFrame:
@@ -92,8 +91,7 @@ def vocabulary_sizes(vocab: DataFrame) -> dict[str, int]:
 
 
 def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGORIES,
-           unseen: str = "error", max_broadcast_rows: int = MAX_BROADCAST_VOCAB_ROWS,
-           sizes: dict[str, int] | None = None) -> DataFrame:
+           unseen: str = "error", sizes: dict[str, int] | None = None) -> DataFrame:
     """Add ``f_<column>`` ids for each categorical column.
 
     unseen='error' : inner meaning -- a value missing from the vocabulary
@@ -104,14 +102,12 @@ def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGOR
     """
     if unseen not in ("error", "keep", "zero"):
         raise ValueError(f"unseen must be error, keep or zero, not {unseen!r}")
-    # vocabulary sizes: the broadcast check and the id of the unseen bucket
+    # vocabulary sizes: the id of the unseen bucket
     if sizes is None:
         sizes = vocabulary_sizes(vocab)
     out = df
     for c in columns:
         v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
-        if sizes.get(c, 0) <= max_broadcast_rows:
-            v = F.broadcast(v)
         out = out.join(v, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
         if unseen == "error":
             fid = F.when(F.col("_i").isNull(), F.raise_error(

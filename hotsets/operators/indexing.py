@@ -4,41 +4,39 @@
 one task; a wide group (a dataset-name vocabulary, the distinct scores of
 a curve) would then be sorted by a single core.  Here the rows are range
 partitioned on (g, v) instead, numbered inside each range, and shifted by
-the row counts of the earlier ranges of the same group.  The offsets table
-has at most (partitions + groups) rows; it is broadcast when that count
-is checked to be small (always, when there is no group column).
+the row counts of the earlier ranges of the same group.
 
-When the caller passes a row count it has already taken (``known_rows``)
-and that count is at most ``LOCAL_WINDOW_ROWS``, a plain window is used
-instead: its size is bounded by the check, and it saves the extra jobs.
+The plan is the same at every size; the number of ranges follows the row
+count, so a range holds about ``ROWS_PER_RANGE`` rows and no cluster setting
+deals a small table into thousands of ranges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Below this many rows (a count the caller has already checked) a plain
-# window in one task is cheaper than the range-partitioned scheme.
-LOCAL_WINDOW_ROWS = 1_000_000
-# (group, range) offset rows up to which the offsets table is broadcast
-MAX_BROADCAST_OFFSETS = 1_000_000
+from hotsets.sources.handoff import hand_off
 
+ROWS_PER_RANGE = 250_000
 
-def _local(known_rows: int | None) -> bool:
-    return known_rows is not None and known_rows <= LOCAL_WINDOW_ROWS
 
+def _ranges(df: DataFrame, num_partitions: int | None, known_rows: int | None) -> int:
+    if num_partitions:
+        return num_partitions
+    rows = df.count() if known_rows is None else known_rows
+    return max(1, -(-rows // ROWS_PER_RANGE))
 
-def _tagged_ranges(ranged: DataFrame) -> DataFrame:
-    """Tag each row with its range number and materialise the result.
+
+def _tagged_ranges(df: DataFrame, n: int, *order) -> DataFrame:
+    """Range partition ``df``, tag each row with its range and write the result.
 
     Range bounds come from a sample taken when the exchange runs; the rows
     are read twice below (numbering and counting), and two separate runs
-    of the exchange could sample different bounds.  Checkpointing (to the
-    shared ``spark.checkpoint.dir``) fixes one assignment for both reads
-    and cuts the lineage, so a lost executor re-reads it instead of
-    re-sampling.  Only distinct keys pass through here, not raw rows.
+    of the exchange could sample different bounds.  Writing them once fixes
+    one assignment for both reads, also when an executor is lost.  Only
+    distinct keys pass through here, not raw rows.
     """
-    return ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    return hand_off(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
 
 
 def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: str = "idx",
@@ -48,25 +46,16 @@ def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: st
     ascending (or descending) order of ``order_col``.  Rows should be
     distinct on (group_col, order_col); ties get consecutive ids in an
     unspecified order.  NULLs sort first ascending, last descending.
-    ``known_rows``: a checked row count; small inputs use a plain window."""
+    ``known_rows``: the row count, if the caller has taken it already."""
     gcols = [group_col] if group_col else []
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    if _local(known_rows):
-        w = Window.partitionBy(*gcols).orderBy(okey)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _tagged_ranges(df.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in gcols], okey))
+    n = _ranges(df, num_partitions, known_rows)
+    ranged = _tagged_ranges(df, n, *[F.col(g).asc_nulls_first() for g in gcols], okey)
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(okey)))
     counts = local.groupBy(*gcols, "_pid").agg(F.max("_local").alias("_cnt"))
     before = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*gcols, "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    # Without groups the offsets table has one row per range (at most n).
-    # With groups it has one row per (group, range) pair, which grows with
-    # the number of groups: broadcast it only below a checked size.
-    if not gcols or offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
     # null-safe match on the group column (a NULL group is a real group)
     lo, of = local.alias("_lo"), offsets.alias("_of")
     cond = [F.col("_lo._pid") == F.col("_of._pid")] + [
@@ -84,22 +73,18 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], descending
 
     Same range-partition pattern as ``ordered_index``: running sums inside
     each range, plus the totals of all earlier ranges (a table of at most
-    ``num_partitions`` rows, broadcast).  ``known_rows``: a checked row
-    count; small inputs use a plain window.
+    ``num_partitions`` rows).  ``known_rows``: the row count, if the caller
+    has taken it already.
     """
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    if _local(known_rows):
-        w = Window.orderBy(okey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in value_cols})
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _tagged_ranges(df.repartitionByRange(n, okey))
+    n = _ranges(df, num_partitions, known_rows)
+    ranged = _tagged_ranges(df, n, okey)
     w = Window.partitionBy("_pid").orderBy(okey).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({f"_l_{c}": F.sum(c).over(w) for c in value_cols})
     totals = local.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
                                       for c in value_cols])
-    out = local.join(F.broadcast(offsets), "_pid")
+    out = local.join(offsets, "_pid")
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{prefix}{c}")
                                      for c in value_cols])

@@ -22,13 +22,13 @@ def ordered_histogram(hist: DataFrame, bucket_name: str) -> DataFrame:
 
 
 def user_access_counts(pop: DataFrame) -> DataFrame:
-    """Rows per (dataset, user); named ``nusers`` after the table it feeds."""
-    return pop.groupBy("dataset_name", "username").agg(F.count(F.lit(1)).alias("nusers"))
+    """Rows per (dataset, user); named ``rows_per_user`` after the table it feeds."""
+    return pop.groupBy("dataset_name", "username").agg(F.count(F.lit(1)).alias("rows_per_user"))
 
 
 def user_histogram(pop: DataFrame) -> DataFrame:
     """Two-level aggregate: log histogram of the per-(dataset, user) counts."""
-    return log_histogram(user_access_counts(pop), "nusers")
+    return log_histogram(user_access_counts(pop), "rows_per_user")
 
 
 def top_datasets(pop: DataFrame, n: int = 10, by: str = "numaccesses") -> DataFrame:

@@ -23,11 +23,9 @@ SPLIT_SALT = "split:"
 
 def balanced_sample(labelled: DataFrame, neg_fraction: float = NEG_FRACTION,
                     key_cols: list[str] = POPULARITY_KEYS, salt: str = BALANCE_SALT) -> DataFrame:
-    """All positives plus ``neg_fraction`` of the negatives (UNION ALL)."""
+    """All positives plus ``neg_fraction`` of the negatives: one filter, one scan."""
     u = unit_hash(row_key(key_cols), salt)
-    neg = labelled.filter((F.col("label") == 0) & (u < F.lit(neg_fraction)))
-    pos = labelled.filter(F.col("label") != 0)
-    return neg.unionByName(pos)
+    return labelled.filter((F.col("label") != 0) | (u < F.lit(neg_fraction)))
 
 
 def with_split(df: DataFrame, train_fraction: float = TRAIN_FRACTION,

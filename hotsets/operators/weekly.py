@@ -22,13 +22,7 @@ def to_canonical(df: DataFrame) -> DataFrame:
                        for c in POPULARITY_COLUMNS])
 
 
-# catalog rows up to which the catalog is broadcast (~100 bytes per row)
-MAX_BROADCAST_CATALOG_ROWS = 2_000_000
-
-
-def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool | None = None,
-                      max_broadcast_rows: int = MAX_BROADCAST_CATALOG_ROWS,
-                      file_size_once: bool = False) -> DataFrame:
+def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool = False) -> DataFrame:
     """Join cleaned accesses to the file catalog and aggregate per week.
 
     Keys: week, dataset, client domain, catalog user, server domain, site,
@@ -36,66 +30,46 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, pre_aggregate: bool
     SUM(proctime), SUM(readbytes).  An access whose file is not in the
     catalog is dropped; a file listed twice counts twice.
 
-    Join strategy, chosen by a checked size: a catalog of at most
-    ``max_broadcast_rows`` rows is broadcast, so accesses are joined where
-    they are read and shuffled once, by the final aggregate (after its
-    map-side partial aggregation).  A larger catalog is joined by shuffle;
-    then the accesses are first reduced per (week, file, access-side keys)
-    with map-side partial aggregation, so the join shuffles one row per
-    file and week instead of one per access, and a file holding a large
-    share of all accesses no longer skews the join.  SUM(filesize) then
-    becomes SUM(filesize * rows); the other metrics add up, so the result
-    is the same (also with duplicate catalog keys, since every partial row
-    is multiplied alike).  ``pre_aggregate`` forces either plan.
+    One plan at every size: accesses are first reduced to one row per (week,
+    file, access-side keys), with map-side partial aggregation, then joined to
+    the catalog; Spark broadcasts a catalog that is small in bytes and
+    shuffles a large one.  A file holding a large share of all accesses is
+    one row per week and key by then, so it does not skew the join.
+    SUM(filesize) becomes SUM(filesize * rows); the other metrics add up
+    (also with duplicate catalog keys, since every partial row is multiplied
+    alike).
 
     ``file_size_once``: ``dataset_size`` counts each accessed file once per
     weekly group (the size of the data that was read) instead of once per
-    access; this uses the pre-aggregated plan, whose rows are exactly one
-    per file and group.
+    access.
     """
-    if file_size_once:
-        pre_aggregate = True
     cat = catalog.select("file_lfn", "dataset_name", F.col("usernameXX").alias("username"), "filesize")
-    small = None
-    if pre_aggregate is None or pre_aggregate is False:
-        small = cat.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    if pre_aggregate is None:
-        pre_aggregate = not small
-    if small:
-        cat = F.broadcast(cat)
     acc = clean.select(week_of_epoch_s("cts").alias("week"), "file_lfn", *_RAW_KEYS,
                        "client_host", "proctime", "readbytes")
-    if pre_aggregate:
-        acc = acc.groupBy("week", "file_lfn", *_RAW_KEYS).agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.count("client_host").alias("_hosts"),
-            F.sum("proctime").alias("_proctime"),
-            F.sum("readbytes").alias("_readbytes"),
-        )
-        size = F.col("filesize") if file_size_once else F.col("filesize") * F.col("_rows")
-        hosts, proc, rb = F.col("_hosts"), F.col("_proctime"), F.col("_readbytes")
-        numaccesses = F.sum(hosts)
-    else:
-        size, proc, rb = F.col("filesize"), F.col("proctime"), F.col("readbytes")
-        numaccesses = F.count("client_host")
-    joined = acc.join(cat, "file_lfn")
-    out = joined.groupBy("week", "dataset_name", "client_domain", "username",
-                         "server_domain", "server_site", "user_protocol").agg(
+    acc = acc.groupBy("week", "file_lfn", *_RAW_KEYS).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count("client_host").alias("_hosts"),
+        F.sum("proctime").alias("_proctime"),
+        F.sum("readbytes").alias("_readbytes"),
+    )
+    size = F.col("filesize") if file_size_once else F.col("filesize") * F.col("_rows")
+    out = acc.join(cat, "file_lfn").groupBy(
+        "week", "dataset_name", "client_domain", "username", "server_domain", "server_site", "user_protocol").agg(
         F.sum(size).alias("dataset_size"),
-        numaccesses.alias("numaccesses"),
-        F.sum(proc).alias("proctime"),
-        F.sum(rb).alias("readbytes"),
+        F.sum("_hosts").alias("numaccesses"),
+        F.sum("_proctime").alias("proctime"),
+        F.sum("_readbytes").alias("readbytes"),
     )
     # name parts are functions of dataset_name: derive after the aggregate
     # instead of carrying five more group keys through the shuffle
     return to_canonical(with_dataset_parts(out))
 
 
-def jobs_popularity(jobs: DataFrame) -> DataFrame:
+def jobs_popularity(jobs: DataFrame, server_domain: str = JOB_SERVER_DOMAIN) -> DataFrame:
     """Weekly popularity from grid job records.
 
     COUNT(InputCollection) skips jobs without a dataset (their group gets
-    0); dataset size is 0 and the server domain is a constant.  The
+    0); dataset size is 0 and the server domain the one given.  The
     wall-clock sum lands in ``readbytes`` (the table's column layout).
     """
     out = jobs.groupBy(
@@ -110,7 +84,7 @@ def jobs_popularity(jobs: DataFrame) -> DataFrame:
         F.sum("WrapCPU").alias("proctime"),
         F.sum("WrapWC").alias("readbytes"),
     )
-    out = out.withColumns({"server_domain": F.lit(JOB_SERVER_DOMAIN), "dataset_size": F.lit(0.0)})
+    out = out.withColumns({"server_domain": F.lit(server_domain), "dataset_size": F.lit(0.0)})
     return to_canonical(with_dataset_parts(out))
 
 

@@ -3,8 +3,8 @@ queries and their SQL equivalents.
 
 The original label is ``numaccesses > 50``, but no test group has more than
 two accesses; ``readbytes > 50000`` splits the groups about in half.
-Training uses the weeks up to 40 without one site, so that site is unseen
-when the later weeks are scored.
+Training uses the weeks up to 40.  The two queries that show how unseen
+values are encoded leave one site out of their vocabulary.
 """
 
 LABEL_METRIC, LABEL_THRESHOLD = "readbytes", 50000.0

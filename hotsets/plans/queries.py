@@ -6,10 +6,10 @@ adapters; none runs on fixed or made-up input.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 from hotsets.functions.naming import dataset_parts
 from hotsets.ml import models
@@ -19,6 +19,8 @@ from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
 from hotsets.plans.params import HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, TRAIN_LAST_WEEK
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
+from hotsets.sources.handoff import hand_off
+from hotsets.sources.readers import to_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -82,11 +84,13 @@ def q_typed_rows(spark, sf_dir):
 
 @register("json_corrupt_filter")
 def q_json_corrupt_filter(spark, sf_dir):
+    """Lines read as text fields, as the JSON reader does: only a malformed
+    line is corrupt, and a number may have any JSON form."""
     lines = Domain(spark, sf_dir).access_json_lines
     parsed = lines.select("event_id", F.from_json(
-        "line", "k long, _corrupt_record string",
+        "line", "k string, other string, _corrupt_record string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
-    return parsed.filter(F.col("j._corrupt_record").isNull()).select("event_id", F.col("j.k").alias("k"))
+    return parsed.filter(F.col("j._corrupt_record").isNull()).select("event_id", to_number(F.col("j.k"), LongType()).alias("k"))
 
 
 @register("analyses_distinct")
@@ -139,28 +143,19 @@ def q_replica_histogram(spark, sf_dir):
 
 @register("sql_view")
 def q_sql_view(spark, sf_dir):
-    """Replication factor in SQL text over temp views, then SELECT *.
-
-    View names carry a per-call suffix so concurrent callers sharing a
-    session do not replace each other's views."""
-    sfx = uuid.uuid4().hex[:12]
-    Domain(spark, sf_dir).replica_snapshots.createOrReplaceTempView(f"replica_snapshots_{sfx}")
-    spark.sql(f"""
-        SELECT sum(br_node_bytes) AS sizeofblockreplicas, dataset_name
-        FROM replica_snapshots_{sfx}
-        WHERE node_name NOT LIKE '%MSS' AND node_name NOT LIKE '%Buffer'
-          AND node_name NOT LIKE '%Export'
-        GROUP BY dataset_name""").createOrReplaceTempView(f"sizeofblockreplicas_{sfx}")
-    spark.sql(f"""
-        SELECT sum(t.block_bytes) AS sizeofblocks, t.dataset_name
-        FROM (SELECT DISTINCT block_bytes, block_id, dataset_name FROM replica_snapshots_{sfx}) AS t
-        GROUP BY t.dataset_name""").createOrReplaceTempView(f"sizeofblocks_{sfx}")
-    spark.sql(f"""
-        SELECT floor(try_divide(a.sizeofblockreplicas, b.sizeofblocks)) AS replicas, a.dataset_name
-        FROM sizeofblockreplicas_{sfx} a JOIN sizeofblocks_{sfx} b ON a.dataset_name = b.dataset_name
-        WHERE floor(try_divide(a.sizeofblockreplicas, b.sizeofblocks)) > 1
-        """).createOrReplaceTempView(f"replicas_{sfx}")
-    return spark.sql(f"SELECT * FROM replicas_{sfx}")
+    """Replication factor as one SQL text over the snapshot table, then
+    ``SELECT *`` of it.  The table is passed as an argument, so no view stays
+    behind in the session."""
+    return spark.sql("""
+        WITH block AS (
+          SELECT dataset_name, block_id, block_bytes, bool_or(readable) AS readable,
+                 sum(br_node_bytes) FILTER (WHERE readable) AS held
+          FROM (SELECT *, coalesce(NOT (node_name LIKE ANY ('%MSS', '%Buffer', '%Export')), false) AS readable FROM {snapshots})
+          GROUP BY dataset_name, block_id, block_bytes),
+        factor AS (
+          SELECT floor(try_divide(sum(held), sum(block_bytes))) AS replicas, dataset_name
+          FROM block GROUP BY dataset_name HAVING bool_or(readable))
+        SELECT * FROM factor WHERE replicas > 1""", snapshots=Domain(spark, sf_dir).replica_snapshots)
 
 
 # ---- profiles over the weekly table -----------------------------------------
@@ -206,10 +201,10 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 
 def labelled_table(spark, sf_dir) -> DataFrame:
-    """The labelled weekly table written once (checkpoint folder) for jobs
+    """The labelled weekly table written once, in folders by week, for jobs
     that read it several times (vocabulary, encoding, training, scoring),
     as the weekly table is written once and read by the training job."""
-    return labelled(spark, sf_dir).checkpoint(eager=True)
+    return hand_off(labelled(spark, sf_dir), ["week"])
 
 
 @register("vocabulary")
@@ -252,18 +247,17 @@ def q_features_indexed(spark, sf_dir):
 
 
 def training_and_week(spark, sf_dir):
-    """Training rows (weeks up to 40, one site held out) and the rows of
-    the later weeks to score, which include the held-out site."""
+    """Training rows (weeks up to 40) and the rows of the later weeks to score."""
     lab = labelled_table(spark, sf_dir)
-    train = lab.filter((F.col("week") <= TRAIN_LAST_WEEK) & (F.col("server_site") != HELD_OUT_SITE))
-    week = lab.filter(F.col("week") > TRAIN_LAST_WEEK)
-    return train, week
+    return lab.filter(F.col("week") <= TRAIN_LAST_WEEK), lab.filter(F.col("week") > TRAIN_LAST_WEEK)
 
 
 def _score_week_features(unseen: str) -> Query:
     def q(spark, sf_dir):
         train, week = training_and_week(spark, sf_dir)
-        vocab = features.fit_vocabulary(train, features.FEATURE_CATEGORIES)
+        # one site is left out of the vocabulary, so that it is unseen here
+        seen = train.filter(~F.col("server_site").eqNullSafe(HELD_OUT_SITE))
+        vocab = features.fit_vocabulary(seen, features.FEATURE_CATEGORIES)
         return _features_out(features.encode(features.with_week_feature(week), vocab, unseen=unseen))
     return q
 
@@ -326,7 +320,7 @@ def q_rmse(spark, sf_dir):
 
 @register("curve")
 def q_curve(spark, sf_dir):
-    return rounded(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
+    return rounded(evaluate.curve_points(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)
 
 
 @register("auc")
@@ -363,14 +357,14 @@ def q_score_week(spark, sf_dir):
 @register("score_week_evaluation")
 def q_score_week_evaluation(spark, sf_dir):
     """Confusion counts, rates and areas of the weekly random-forest scores."""
-    preds = q_score_week(spark, sf_dir).checkpoint(eager=True)
+    preds = hand_off(q_score_week(spark, sf_dir))
     return rounded(evaluate.metrics(preds, evaluate.curve(preds, num_bins=100)), RATIO_DIGITS)
 
 
 
 @register("curve_binned")
 def q_curve_binned(spark, sf_dir):
-    return rounded(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100), RATIO_DIGITS)
+    return rounded(evaluate.curve_points(evaluate.curve(fine_rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)
 
 
 @register("auc_binned")

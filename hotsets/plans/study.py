@@ -17,13 +17,15 @@ from __future__ import annotations
 import os
 
 from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession, functions as F
 
 from hotsets.ml import models
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.accesslog import clean_accesses
 from hotsets.operators.weekly import access_popularity, jobs_popularity
 from hotsets.sources import readers, sinks
+from hotsets.sources.handoff import hand_off
 from hotsets.sources.registry import Registry
 
 
@@ -31,26 +33,42 @@ def _j(*parts: str) -> str:
     return os.path.join(*parts) if "://" not in parts[0] else "/".join(p.strip("/") for p in parts)
 
 
-def _read_if_present(spark: SparkSession, registry: Registry, name: str):
-    """The source as a DataFrame, or None when it is not registered or its
-    path matches no file."""
-    if name not in registry.names() or not registry.has_files(spark, name):
+def _source(spark: SparkSession, registry: Registry, name: str, optional: tuple[str, ...]):
+    """The source as a DataFrame.  One that is missing or matches no file is an
+    error, or None if it is named as optional."""
+    if name in optional and (name not in registry.names() or not registry.has_files(spark, name)):
         return None
-    return registry.read(spark, name)
+    if name not in registry.names():
+        raise ValueError(f"source {name!r} is not registered; name it in optional= to go on without it")
+    try:
+        return registry.read(spark, name)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            raise FileNotFoundError(f"source {name!r} has no files at {registry.path(name)}; name it in optional= to go on without it") from e
+        raise
 
 
 def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_source: str = "aaa",
-                 mode: str = sinks.DEFAULT_MODE) -> dict[str, str]:
-    """Stage 1.  Returns the written paths by table name.  Sources missing
-    from the registry, or with no files, are skipped."""
+                 mode: str = sinks.DEFAULT_MODE, optional: tuple[str, ...] = ()) -> dict[str, str]:
+    """Stage 1.  Returns the written paths by table name.  All sources of the
+    study must be there, but for those named in ``optional``: their tables
+    are left out."""
     written: dict[str, str] = {}
-    log = _read_if_present(spark, registry, "access_log")
-    catalog = _read_if_present(spark, registry, "file_catalog")
+
+    def put(df, name: str, folder: str | None = None) -> str:
+        written[name] = _j(out_dir, folder or name)
+        sinks.write_csv(df, written[name], mode)
+        return written[name]
+
+    # every source is resolved before anything is written
+    log, catalog, jobs, snap, analyses, datasets = (
+        _source(spark, registry, n, optional)
+        for n in ("access_log", "file_catalog", "jobs", "replica_snapshots", "analyses", "dataset_catalog"))
 
     if log is not None and catalog is not None:
-        clean_path = _j(out_dir, f"access_clean_{access_source}")
-        sinks.write_csv(clean_accesses(log), clean_path, mode)
-        written["access_clean"] = clean_path
+        clean_path = put(clean_accesses(log), "access_clean", f"access_clean_{access_source}")
+        if registry.format("access_log") == "json":
+            put(registry.unreadable_numbers(spark, "access_log"), "access_unreadable")
         # the weekly job reads the cleaned table back: one scan of the raw log
         clean = readers.read_access_clean(spark, clean_path)
         pop = access_popularity(clean, catalog)
@@ -62,31 +80,25 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
         weekly = readers.read_popularity(spark, pop_path).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for metric in ("dataset_size", "numaccesses", "proctime", "readbytes"):
-                p = _j(out_dir, f"histogram_{metric}")
-                sinks.write_csv(profile.log_histogram(weekly, metric), p, mode)
-                written[f"histogram_{metric}"] = p
-            p = _j(out_dir, "histogram_users")
-            sinks.write_csv(profile.user_histogram(weekly), p, mode)
-            written["histogram_users"] = p
+                put(profile.ordered_histogram(profile.log_histogram(weekly, metric), metric), f"histogram_{metric}")
+            put(profile.ordered_histogram(profile.user_histogram(weekly), "rows_per_user"), "histogram_users")
         finally:
             weekly.unpersist()
 
-    jobs = _read_if_present(spark, registry, "jobs")
     if jobs is not None:
         p = _j(out_dir, sinks.popularity_output_dir("crab"))
         sinks.write_popularity(jobs_popularity(jobs), p, "csv", mode)
         written["jobs_popularity"] = p
 
-    snap = _read_if_present(spark, registry, "replica_snapshots")
     if snap is not None:
-        rf = replicas.replication_factor(snap)
-        p = _j(out_dir, "replicas")
-        sinks.write_csv(rf, p, mode)
-        written["replicas"] = p
-        p = _j(out_dir, "histogram_replicas")
-        sinks.write_csv(profile.log_histogram(readers.read_csv(
-            spark, written["replicas"], _replica_schema()), "replicas"), p, mode)
-        written["histogram_replicas"] = p
+        path = put(replicas.replication_factor(snap), "replicas")
+        factors = readers.read_csv(spark, path, _replica_schema())
+        put(profile.ordered_histogram(profile.log_histogram(factors, "replicas"), "replicas"), "histogram_replicas")
+
+    if analyses is not None:
+        put(profile.conference_groups(analyses), "analyses")
+    if datasets is not None:
+        put(profile.table_counts({"dataset_catalog": datasets}), "dataset_count")
     return written
 
 
@@ -99,22 +111,34 @@ def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_di
                     model: str = "random_forest", metric: str = features.DEFAULT_LABEL_METRIC,
                     threshold: float = features.DEFAULT_THRESHOLD, num_bins: int = 100,
                     mode: str = sinks.DEFAULT_MODE, top_n: int | None = None) -> dict[str, str]:
-    """Stage 2.  Trains ``model`` on the balanced training year, scores the
-    new week, writes ``label,prediction`` lines, the ROC points and the
-    metrics as (metric, value) rows."""
-    year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold)
+    """Stage 2.  Trains ``model`` on the training part of the balanced year and
+    scores the new week and the held-out part.  Writes the week's
+    ``label,prediction`` lines and, for both, the ROC and precision-recall
+    curves, precision, recall, F1 and F0.5 by threshold, and the metrics as
+    (metric, value) rows."""
+    # the year is read for the vocabulary and for the sample: parse the text once
+    year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     week = features.with_label(readers.read_popularity(spark, week_path), metric, threshold)
-    train, _test = sampling.train_test_split(sampling.balanced_sample(year))
-    preds = models.train_and_score(model, train, week, top_n, vocab_rows=year).checkpoint(eager=True)
+    try:
+        train, held_out = sampling.train_test_split(sampling.balanced_sample(year))
+        scored = week.withColumn("_held_out", F.lit(False)).unionByName(held_out.withColumn("_held_out", F.lit(True)))
+        preds = hand_off(models.train_and_score(model, train, scored, top_n, vocab_rows=year), ["_held_out"])
+    finally:
+        year.unpersist()
 
     tag = sinks.predictions_output_dir(models.MODEL_TAGS.get(model, model), metric, _num(threshold))
-    written = {"predictions": _j(out_dir, "labelsAndPreds", tag)}
-    sinks.write_label_prediction(preds, written["predictions"], mode)
-    crv = evaluate.curve(preds, num_bins=num_bins)
-    written["roc"] = _j(out_dir, "roc", tag)
-    sinks.write_curve(crv, written["roc"], "fpr", "recall", mode)
-    written["metrics"] = _j(out_dir, "metrics", tag)
-    evaluate.metrics(preds, crv).write.mode(mode).option("header", True).csv(written["metrics"])
+    written = {"predictions": _j(out_dir, "scored", tag)}
+    sinks.write_label_prediction(preds.where("not _held_out"), written["predictions"], mode)
+    for part, rows in (("", preds.where("not _held_out")), ("held_out_", preds.where("_held_out"))):
+        crv = hand_off(evaluate.curve(rows, num_bins=num_bins))
+        for name, table, columns in (
+                ("roc", evaluate.roc_points(crv), ["x", "y"]), ("pr", evaluate.pr_points(crv), ["x", "y"]),
+                ("precision", crv, ["threshold", "precision"]), ("recall", crv, ["threshold", "recall"]),
+                ("f1", crv, ["threshold", "f1"]), ("f0_5", crv, ["threshold", "f0_5"])):
+            written[part + name] = _j(out_dir, part + name, tag)
+            sinks.write_curve(table, written[part + name], *columns, mode)
+        written[part + "metrics"] = _j(out_dir, part + "metrics", tag)
+        evaluate.metrics(rows, crv).write.mode(mode).option("header", True).csv(written[part + "metrics"])
     return written
 
 
@@ -140,6 +164,7 @@ def main(argv: list[str] | None = None) -> None:
     b = sub.add_parser("build", help="stage 1: weekly tables, replicas, histograms")
     b.add_argument("root")
     b.add_argument("out")
+    b.add_argument("--optional", nargs="*", default=[], help="sources to go on without if they have no files")
     t = sub.add_parser("train", help="stage 2: train on a year, score a new week")
     t.add_argument("year")
     t.add_argument("week")
@@ -152,7 +177,7 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = build_session(app_name=f"hotsets-study-{a.stage}")
     if a.stage == "build":
-        res = build_tables(spark, default_registry(a.root), a.out)
+        res = build_tables(spark, default_registry(a.root), a.out, optional=tuple(a.optional))
     else:
         res = train_and_score(spark, a.year, a.week, a.out, a.model, a.metric, a.threshold,
                               top_n=a.top_n)

@@ -3,7 +3,8 @@
 * CSV without header, columns by position (``mode`` FAILFAST by default:
   a malformed number stops the job instead of turning into NULL).
 * JSON lines, PERMISSIVE, with malformed lines kept whole in
-  ``_corrupt_record`` so the cleaning job can drop them by predicate.
+  ``_corrupt_record`` so the cleaning job can drop them by predicate;
+  numbers in any JSON form.
 * Avro through ``format('avro')``; the Avro data source must be on the
   classpath (``spark.jars.packages``), otherwise an explanatory error.
 * Parquet, the internal format (keeps NULL vs empty text apart).
@@ -11,12 +12,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType, StructType
 
 from hotsets import schemas
 from hotsets.schemas import ddl
-from hotsets.sources.layout import spread
 
 CORRUPT = "_corrupt_record"
 
@@ -33,15 +33,51 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, mod
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType,
                     base_path: str | None = None) -> DataFrame:
+    """JSON lines with the schema's types.
+
+    Every field is read as text, so that only a malformed line sets
+    ``_corrupt_record``; numbers are then converted: ``100``, ``100.0``,
+    ``100.5`` and ``"100"`` are all numbers.  In an integer field a fraction
+    is cut off, and what is no number becomes NULL (``unreadable_numbers``
+    finds such rows).  The result does not depend on the columns used later.
+    """
+    return typed_numbers(read_json_text(spark, path, schema, base_path), schema)
+
+
+def read_json_text(spark: SparkSession, path: str | list[str], schema: StructType,
+                   base_path: str | None = None) -> DataFrame:
+    """The same lines with every field as text."""
     if CORRUPT not in schema.fieldNames():
         raise ValueError(f"schema needs a {CORRUPT} string column to keep malformed lines")
-    r = (spark.read.schema(ddl(schema)).option("mode", "PERMISSIVE")
+    r = (spark.read.schema(", ".join(f"`{f.name}` string" for f in schema.fields)).option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", CORRUPT))
     if base_path:
         r = r.option("basePath", base_path)
     return r.json(path)
 
 
+def to_number(text: Column, kind: DataType) -> Column:
+    """Text as a number of ``kind``; NULL if it is none."""
+    if isinstance(kind, IntegralType):
+        return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
+    return text.try_cast(kind)
+
+
+def typed_numbers(text: DataFrame, schema: StructType) -> DataFrame:
+    fields = {f.name: f.dataType for f in schema.fields}
+    return text.select(*[to_number(F.col(f"`{c}`"), fields[c]).alias(c) if isinstance(fields.get(c), NumericType) else F.col(f"`{c}`")
+                         for c in text.columns])
+
+
+def unreadable_numbers(text: DataFrame, schema: StructType) -> DataFrame:
+    """``field``, ``n_rows``: how often a numeric field holds something that is
+    no number, for the fields where that happens."""
+    names = [f for f in schema.fields if isinstance(f.dataType, NumericType)]
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & to_number(F.col(f"`{f.name}`"), f.dataType).isNull()).alias(f.name) for f in names]
+    pairs = ", ".join(f"'{f.name}', `{f.name}`" for f in names)
+    return text.agg(*bad).selectExpr(f"stack({len(names)}, {pairs}) AS (field, n_rows)").where("n_rows > 0")
+
+
 def read_avro(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
               base_path: str | None = None) -> DataFrame:
     r = spark.read.format("avro")
@@ -81,18 +117,15 @@ def read(spark: SparkSession, fmt: str, path: str | list[str], schema: StructTyp
 
 # Convenience readers for the domain tables.
 
-def read_access_log(spark, path, fmt: str = "json", spread_rows: bool = False) -> DataFrame:
-    """The 48-column access log.  ``spread_rows`` for logs stored as few
-    unsplittable files (gzip): rows are spread over the cluster's cores
-    right after the read instead of being cleaned by one task per file."""
+def read_access_log(spark, path, fmt: str = "json") -> DataFrame:
+    """The 48-column access log (for logs stored as few unsplittable files,
+    such as gzip, ``repartition`` the result)."""
     if fmt == "csv":
         # In the CSV form, ``_corrupt_record`` is a data column (the JSON
         # parser's flag, saved with the rest); the CSV reader must not claim
         # that name for its own malformed-line slot.
-        df = read_csv(spark, path, schemas.ACCESS_RAW, columnNameOfCorruptRecord="_malformed_csv_line")
-    else:
-        df = read(spark, fmt, path, schemas.ACCESS_RAW)
-    return spread(df) if spread_rows else df
+        return read_csv(spark, path, schemas.ACCESS_RAW, columnNameOfCorruptRecord="_malformed_csv_line")
+    return read(spark, fmt, path, schemas.ACCESS_RAW)
 
 
 def read_access_clean(spark, path, legacy: bool = False) -> DataFrame:

@@ -55,6 +55,14 @@ class Registry:
                 return False
             raise
 
+    def format(self, name: str) -> str:
+        return self._sources[name].fmt
+
+    def unreadable_numbers(self, spark: SparkSession, name: str) -> DataFrame:
+        """What a JSON source holds in numeric fields that is no number."""
+        s = self._sources[name]
+        return readers.unreadable_numbers(readers.read_json_text(spark, self.path(name), s.schema), s.schema)
+
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         s = self._sources[name]
         opts = dict(s.options)

@@ -21,12 +21,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = DEFAULT_MODE,
     w.parquet(path)
 
 
-def popularity_output_dir(source: str, suffix: str = "WEEK1") -> str:
+def popularity_output_dir(source: str, suffix: str = "week1") -> str:
     """Folder name of a weekly table, from its source name."""
-    return f"DATAFRAME_{source.upper()}_{suffix}"
+    return f"weekly_{source.lower()}_{suffix}"
 
 
-def predictions_output_dir(model: str, metric: str, threshold, suffix: str = "WEEK1") -> str:
+def predictions_output_dir(model: str, metric: str, threshold, suffix: str = "week1") -> str:
     return f"{model}_{metric}_{threshold}_{suffix}"
 
 

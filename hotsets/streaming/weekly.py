@@ -7,7 +7,9 @@ week is a 7-day event-time window starting on Monday (epoch day 0 was a
 Thursday, hence the 4-day offset); unlike the batch table, weeks of
 different years stay apart.  A watermark bounds the state: once event
 time has passed a week's end plus the allowed lateness, its rows are final
-(append mode) and its state is dropped.
+(append mode) and its state is dropped.  Rows that come later than that are
+counted by Spark as ``numRowsDroppedByWatermark`` in the query's progress;
+the batch job over the files has them all.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from hotsets.functions.naming import with_dataset_parts
 from hotsets.operators.accesslog import clean_accesses
+from hotsets.sources.readers import typed_numbers
 
 WEEK = "7 days"
 MONDAY_OFFSET = "4 days"
@@ -25,15 +28,19 @@ MONDAY_OFFSET = "4 days"
 
 def read_access_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "json",
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).format(fmt)
+    """The log as a stream, with the batch readers' rules: JSON numbers in any
+    form, malformed JSON lines kept in ``_corrupt_record``, and a malformed
+    CSV line stops the query."""
+    as_text = ", ".join(f"`{f.name}` string" for f in schema.fields)
+    r = spark.readStream.schema(as_text if fmt == "json" else schema).format(fmt)
     if fmt == "json":
         r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     elif fmt == "csv":
         # _corrupt_record is a data column of the CSV layout (see readers)
-        r = r.option("columnNameOfCorruptRecord", "_malformed_csv_line")
+        r = r.option("mode", "FAILFAST").option("columnNameOfCorruptRecord", "_malformed_csv_line")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+    return typed_numbers(r.load(path), schema) if fmt == "json" else r.load(path)
 
 
 def weekly_access_stream(raw_stream: DataFrame, catalog: DataFrame, lateness: str = "14 days") -> DataFrame:

@@ -61,11 +61,26 @@ def test_binning_bounds_curve_and_keeps_totals(spark):
     assert 100 <= n <= 200
     last = crv.orderBy("threshold").first()
     assert last["recall"] == pytest.approx(1.0) and last["fpr"] == pytest.approx(1.0)
-    # brute force: blocks of 50 consecutive scores (descending), threshold = block max
+    # brute force: blocks of 50 consecutive scores (descending), threshold = block min
     scores = sorted({s for _, s in data}, reverse=True)
     grouping = len(scores) // 100
-    want = sorted({scores[i] for i in range(0, len(scores), grouping)})
+    want = sorted({scores[min(i + grouping, len(scores)) - 1] for i in range(0, len(scores), grouping)})
     assert sorted(r["threshold"] for r in crv.collect()) == want
+    # the counts of a point are those of its threshold
+    for r in crv.collect()[:10]:
+        assert r["tp"] + r["fp"] == sum(s >= r["threshold"] for _, s in data)
+
+
+def test_binned_thresholds_equal_mllib(spark):
+    """1000 bins is the number that the Python wrapper of MLlib asks for."""
+    from pyspark.mllib.evaluation import BinaryClassificationMetrics
+    rnd = random.Random(8)
+    data = [(float(rnd.random() < 0.3), rnd.random()) for _ in range(5000)]
+    df = spark.createDataFrame(data, "label double, score double").coalesce(1)
+    m = BinaryClassificationMetrics(df.select("score", "label").rdd.map(tuple))
+    want = sorted(m._java_model.thresholds().collect())
+    got = sorted(r["threshold"] for r in evaluate.curve(df, num_bins=1000).collect())
+    assert len(want) == 1000 and got == want
 
 
 def test_roc_and_pr_points_match_mllib_curves(spark):
@@ -97,11 +112,10 @@ def test_f1_identity_and_totals(spark):
 
 
 def test_range_partitioned_curve_matches_mllib(spark, monkeypatch):
-    """Force the path used above the checked-size bound (range partitions,
-    offsets, checkpointed tags) and compare with MLlib."""
+    """Several ranges with offsets give the same curve as MLlib."""
     from pyspark.mllib.evaluation import BinaryClassificationMetrics
     from hotsets.operators import indexing
-    monkeypatch.setattr(indexing, "LOCAL_WINDOW_ROWS", 0)
+    monkeypatch.setattr(indexing, "ROWS_PER_RANGE", 100)
     rnd = random.Random(21)
     data = [(float(rnd.random() < 0.3), round(rnd.random(), 3)) for _ in range(4000)]
     df = spark.createDataFrame(data, "label double, score double")
@@ -142,7 +156,7 @@ def test_binned_counts_property(spark):
         if g < 2:
             want = desc
         else:
-            want = [(blk[0][0], sum(r[1] for r in blk), sum(r[2] for r in blk))
+            want = [(blk[-1][0], sum(r[1] for r in blk), sum(r[2] for r in blk))
                     for blk in (desc[i:i + g] for i in range(0, n_scores, g))]
         assert got == want
         assert n_points == len(want)

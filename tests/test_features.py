@@ -83,11 +83,9 @@ def test_encode_error_on_unseen(spark):
         features.encode(week, vocab, unseen="error").collect()
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_top_n_vocabulary_keeps_most_frequent(spark, local, monkeypatch):
+def test_top_n_vocabulary_keeps_most_frequent(spark, monkeypatch):
     from hotsets.operators import indexing
-    if not local:
-        monkeypatch.setattr(indexing, "LOCAL_WINDOW_ROWS", 0)  # force the range-partitioned path
+    monkeypatch.setattr(indexing, "ROWS_PER_RANGE", 2)  # several ranges
     sites = ["a"] * 5 + ["b"] * 1 + ["c"] * 3 + ["d"] * 3 + ["e"] * 2
     df = _pop(spark, sites)
     v = features.vocabulary(df, ["server_site"], top_n=3)
@@ -117,3 +115,19 @@ def test_ordered_index_property(spark):
         assert {(r["g"], r["v"]): r["idx"] for r in got.collect()} == want
 
     check()
+
+
+def test_encode_with_shuffled_vocabularies(spark):
+    """The ids do not depend on the join strategy; NULL is a value like any other."""
+    df = _pop(spark, ["b", "a", None, "a", "c"])
+    vocab = features.fit_vocabulary(df, ["server_site", "client_domain"])
+    cols = ["server_site", "client_domain"]
+    plain = features.encode(df, vocab, cols)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = features.encode(df, vocab, cols)
+        out = ["dataset_size", "f_server_site", "f_client_domain"]
+        assert rows(shuffled, *out) == rows(plain, *out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

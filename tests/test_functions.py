@@ -46,9 +46,10 @@ def test_unit_hash_matches_sql_engine(spark):
         assert 0.0 <= got[k] < 1.0
 
 
-def test_row_key_skips_nulls(spark):
-    df = spark.createDataFrame([(1, "a", None)], "w int, a string, b string")
-    assert df.select(row_key(["w", "a", "b"])).first()[0] == "1|a"
+def test_row_key_marks_nulls(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "a", None), (1, "-", "a")], "w int, a string, b string")
+    assert [r[0] for r in df.select(row_key(["w", "a", "b"])).collect()] == ["=1|-|=a", "=1|=a|-", "=1|=-|=a"]
+
 
 
 def test_dataset_parts_property(spark):

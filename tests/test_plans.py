@@ -32,13 +32,29 @@ def test_flagship_pushes_filters_and_prunes_columns(spark):
     assert "partial_sum" in text and "partial_count" in text
 
 
-def test_replica_join_reuses_aggregate_partitioning(spark):
-    text = plan(E.queries()["replica_factor"](spark, SF_SMALL), "simple")
-    # one hash exchange per aggregate (two for the distinct side) and none
-    # added for the join of the two aggregates on dataset_name
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
-    assert sum(1 for e in exchanges if e.startswith("dataset_name")) == 2
-    assert "SortMergeJoin" in text or "BroadcastHashJoin" in text
+def test_replication_factor_scans_once(spark):
+    for name in ("replica_factor", "replica_factor_per_snapshot", "replica_histogram", "sql_view"):
+        text = plan(E.queries()[name](spark, SF_SMALL))
+        scans = re.findall(r"Location: [^\n]*lineitem\.parquet", text)
+        assert len(scans) == 1, name
+
+
+def test_sql_view_leaves_no_view(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    E.queries()["sql_view"](spark, SF_SMALL).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_curve_and_area_use_one_window(spark):
+    text = plan(E.queries()["auc"](spark, SF_SMALL), "simple")
+    assert text.count("Window [") <= 2  # running sum, and the offsets of its ranges
+    assert "SortMergeJoin" not in text or text.count("SortMergeJoin") == 1
+
+
+def test_labelled_hand_off_prunes_columns_and_weeks(spark):
+    text = plan(E.queries()["score_week_features"](spark, SF_SMALL))
+    assert "ExistingRDD" not in text
+    assert re.search(r"PartitionFilters: \[[^\]]*week", text)
 
 
 def test_no_python_udf_in_any_query_plan(spark):

@@ -27,9 +27,9 @@ def test_replication_factor_rules(spark):
     snap = spark.createDataFrame(data, SNAP)
     rf = replicas.replication_factor(snap)
     assert rows(rf, "dataset_name", "replicas") == [("d1", 3), ("d2", 3), ("d5", 2)]
-    rb = dict(rows(replicas.replica_bytes(snap), "dataset_name", "sizeofblockreplicas"))
+    rb = dict(rows(replicas.replica_bytes(snap), "dataset_name", "disk_bytes"))
     assert rb["d1"] == 35.0
-    bb = dict(rows(replicas.block_bytes(snap), "dataset_name", "sizeofblocks"))
+    bb = dict(rows(replicas.block_bytes(snap), "dataset_name", "unique_bytes"))
     assert bb["d1"] == 10.0 and bb["d2"] == 11.0
     per = rows(replicas.replication_factor(snap, per_snapshot=True), "dataset_name", "now", "replicas")
     assert ("d1", "t2", 2) in per and ("d5", "t1", 2) in per

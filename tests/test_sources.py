@@ -91,17 +91,31 @@ def test_clean_table_csv_round_trip_both_layouts(spark, tmp_out):
     assert back["client_domain"] == "cd" and back["server_username"] == "u" and back["readbytes"] == 7
 
 
-def test_spread_only_when_fewer_splits_than_cores(spark, tmp_out):
-    from hotsets.sources.layout import spread
-    p = os.path.join(tmp_out, "one.json")
+def test_json_numbers_in_every_form(spark, tmp_out):
+    """Only a malformed line is corrupt, under any projection."""
+    from hotsets.operators.accesslog import clean_accesses
+    p = os.path.join(tmp_out, "log.json")
+    forms = ["100", "100.0", "100.5", '"100"', '"100.5"', "1e2"]
+    with open(p, "w") as f:
+        for i, x in enumerate(forms):
+            f.write('{"end_time": %s, "start_time": 1, "read_bytes_at_close": %s, "file_lfn": "f%d"}\n' % (x, x, i))
+        f.write('{"end_time": 100, "start_time": 1, "read_bytes_at_close": "many", "file_lfn": "bad"}\n')
+        f.write('{"end_time": 100, "start_time": 1, \n')
+    log = readers.read_access_log(spark, p)
+    clean = clean_accesses(log)
+    assert sorted(tuple(r) for r in clean.select("file_lfn", "cts", "readbytes").collect()) == [(f"f{i}", 100, 100) for i in range(len(forms))]
+    for c in clean.columns:
+        assert clean.select(c).count() == len(forms), c
+    assert log.cache().where("_corrupt_record is not null").count() == 1
+    bad = readers.unreadable_numbers(readers.read_json_text(spark, p, schemas.ACCESS_RAW), schemas.ACCESS_RAW)
+    assert [tuple(r) for r in bad.collect()] == [("read_bytes_at_close", 1)]
+
+
+def test_dataset_catalog_csv(spark, tmp_out):
+    p = os.path.join(tmp_out, "datasets.csv")
     with open(p, "w") as f:
-        for i in range(100):
-            f.write('{"end_time": %d, "start_time": 1, "read_bytes_at_close": 5, "file_lfn": "f%d"}\n' % (i + 2, i))
-    df = readers.read_access_log(spark, p, spread_rows=True)
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert df.count() == 100
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 2)
-    assert spread(wide) is wide
+        f.write("1,/a/b-c/d\n2,\n")
+    assert [tuple(r) for r in readers.read_dataset_catalog(spark, p).orderBy("id").collect()] == [(1, "/a/b-c/d"), (2, None)]
 
 
 def test_csv_quotes_empty_and_short_lines(spark, tmp_out):

@@ -3,6 +3,7 @@ through the registry, both study stages run from files."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from hotsets import schemas
@@ -25,7 +26,7 @@ def _in_schema_order(df, schema):
 def test_study_from_files(spark, tmp_out):
     src = os.path.join(tmp_out, "src")
     raw = adapters.access_raw(spark, SF_SMALL).withColumn(
-        "read_bytes_at_close", F.round(F.col("read_bytes_at_close")).cast("long"))
+        "read_bytes_at_close", F.floor(F.col("read_bytes_at_close")).cast("long"))
     access = _in_schema_order(raw, schemas.ACCESS_RAW).drop("_corrupt_record")
     access.write.json(os.path.join(src, "xrootd", "2015", "08", "01"))
     with open(os.path.join(src, "xrootd", "2015", "08", "01", "broken.json"), "w") as f:
@@ -42,7 +43,9 @@ def test_study_from_files(spark, tmp_out):
            .add("replica_snapshots", "csv", schemas.REPLICA_SNAPSHOTS, "replicas/time=*", base_path="replicas")
            .add("jobs", "parquet", schemas.JOBS, "jobs/year=*"))
     out = os.path.join(tmp_out, "out")
-    written = study.build_tables(spark, reg, out)
+    with pytest.raises(ValueError, match="analyses"):
+        study.build_tables(spark, reg, out)
+    written = study.build_tables(spark, reg, out, optional=("analyses", "dataset_catalog"))
     assert {"access_clean", "popularity", "jobs_popularity", "replicas", "histogram_users"} <= set(written)
 
     # weekly table from files == the same job on the in-memory frames
@@ -67,11 +70,14 @@ def test_study_from_files(spark, tmp_out):
     assert m["n"] == n_week
     assert m["tp"] + m["tn"] + m["fp"] + m["fn"] == n_week
     assert 0.0 <= m["area_under_roc"] <= 1.0 and "rmse" in m and "f1" in m
-    assert res["predictions"].endswith("RF_readbytes_50000_WEEK1")
+    assert res["predictions"].endswith("RF_readbytes_50000_week1")
+    for name in ("roc", "pr", "precision", "recall", "f1", "f0_5", "held_out_roc", "held_out_pr", "held_out_metrics"):
+        assert spark.read.text(res[name]).count() > 0
+    assert len(spark.read.csv(res["roc"]).columns) == 2
 
 
 def test_cli_build_on_production_layout(spark, tmp_out, capsys):
-    """Default folder layout; sources without files (jobs, analyses) are skipped."""
+    """Default folder layout; sources without files are an error unless named as optional."""
     import json
     root = os.path.join(tmp_out, "root")
     raw = adapters.access_raw(spark, SF_SMALL).withColumn(
@@ -81,7 +87,9 @@ def test_cli_build_on_production_layout(spark, tmp_out, capsys):
     _in_schema_order(adapters.file_catalog(spark, SF_SMALL), schemas.FILE_CATALOG).write.csv(
         os.path.join(root, "catalog"))
     out = os.path.join(tmp_out, "cli_out")
-    study.main(["build", root, out])
+    with pytest.raises(FileNotFoundError, match="replica_snapshots"):
+        study.main(["build", root, out, "--optional", "jobs", "analyses", "dataset_catalog"])
+    study.main(["build", root, out, "--optional", "jobs", "analyses", "dataset_catalog", "replica_snapshots"])
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert "popularity" in res and "jobs_popularity" not in res and "replicas" not in res
     assert readers.read_popularity(spark, res["popularity"]).count() > 0

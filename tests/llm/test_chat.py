@@ -1,0 +1,60 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from hotsets.llm import chat
+
+ROWS = "conv_id long, turn long, role string, text string"
+BITS = chat.CONTROL + ["\\", "\\\\", " ", "\n", "  \n ", "a", "ok", "é", "中", "👩‍👩‍👧", "<", "<<", "|", "[", "endoftext|>", "<|endoftext", " the", "\t"]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_escape_is_reversible_and_hides_control_strings():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rnd.choice(BITS) for _ in range(rnd.randint(0, 9)))
+        safe = chat.escape(text)
+        assert chat.unescape(safe) == text and not any(c in safe for c in chat.CONTROL)
+
+
+def test_mask_covers_exactly_the_texts(vocabulary):
+    tokenizer, rnd = Tokenizer.from_str(vocabulary), random.Random(6)
+    for _ in range(800):
+        turns = [(rnd.choice(["user", "assistant", "", "<s>"]), "".join(rnd.choice(BITS) for _ in range(rnd.randint(0, 9)))) for _ in range(rnd.randint(0, 5))]
+        whole, spans = chat.render(turns)
+        assert chat.parse(whole) == turns
+        wanted = [s for s in spans if turns[s[2]][0] == "assistant" and s[0] < s[1]]
+        offsets = np.array(tokenizer.encode(whole, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        starts, ends = chat.token_bounds(offsets[:, 1])
+        mask, covered = chat.masked_spans(starts, ends, wanted)
+        assert covered == wanted
+        own = {i for t in np.flatnonzero(mask) for i in range(starts[t], ends[t])}
+        assert own == {i for a, b, _ in wanted for i in range(a, b)}
+
+
+def test_digests_read_back(spark, vocabulary):
+    rnd = random.Random(7)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), rnd.choice([None, "", "".join(rnd.choice(BITS) for _ in range(6))])) for c in range(30) for t in range(rnd.randint(1, 6))]
+    rows += [(50, 2, "assistant", "b"), (50, 2, "assistant", "a"), (50, 1, None, "x"), (50, 1, None, "x"), (None, 0, "user", "q"), (60, None, "assistant", "first")]
+    df = spark.createDataFrame(rows, ROWS).select("*", *[F.lit(1).alias(c) for c in ("formatted", "ids", "t", "turns")]).repartition(4)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df, vocabulary)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, r in got.items():
+        turns = sorted(((t if t is not None else -1, role or "", text or "") for k, t, role, text in rows if k == c))
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for _, a, b in turns))
+        loss = "".join(b for _, a, b in turns if a == "assistant")
+        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == sha(loss)
+    assert chat.format_conversations(df.limit(0), vocabulary).count() == 0

@@ -1,0 +1,89 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from hotsets.llm import linededup
+from tests.llm.cases import awkward, clashing, empty
+
+
+def normal(line):
+    return re.sub("[ \t\x0b\f\r]+", " ", line.lower()).strip(" ")
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    s, l = sorted((a, b), key=len)
+    return any(l[:i] + l[i + 1:] == s for i in range(len(l)))
+
+
+def brute(docs, min_words=3, near=10):
+    """{doc_id: dropped line numbers} for texts by distinct id."""
+    seen, out = [], {}
+    for d, text in sorted(docs.items()):
+        for n, line in enumerate((text or "").split("\n")):
+            words = normal(line).split(" ") if normal(line) else []
+            if len(words) < min_words:
+                continue
+            if any(words == w or (min(len(words), len(w)) >= near and within_one(words, w)) for w in seen):
+                out.setdefault(d, []).append(n)
+            seen.append(words)
+    return out
+
+
+def random_docs(seed, n=60):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(12)]
+    lines = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 14))) for _ in range(60)]
+
+    def edit(line):
+        words = line.split(" ")
+        for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+            i = rnd.randrange(len(words))
+            kind = rnd.randrange(3)
+            if kind == 0:
+                words[i] = rnd.choice(vocabulary)
+            elif kind == 1 and len(words) > 1:
+                del words[i]
+            else:
+                words.insert(i, rnd.choice(vocabulary))
+        return rnd.choice(["", "  "]) + " ".join(words).upper() if rnd.random() < 0.3 else " ".join(words)
+
+    return {i: "\n".join(edit(rnd.choice(lines)) for _ in range(rnd.randint(0, 6))) for i in range(n)}
+
+
+def test_dropped_lines_against_brute_force(spark):
+    for seed, (least, near) in enumerate([(3, 10), (1, 4)]):
+        docs = random_docs(seed)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: r["dropped"] for r in linededup.repeated_lines(df, min_words=least, min_near_words=near).collect()}
+        assert got == brute(docs, least, near)
+
+
+def test_template_lines_with_one_word_apart(spark):
+    docs = {i: f"this notice was sent to customer number {i} on the first day of the month" for i in range(300)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert linededup.repeated_lines(df).count() == 299
+
+
+def test_texts_keep_their_other_lines(spark):
+    docs = {1: "a b c\nkeep this line\nA  b c", 2: "a b c", 3: "a b c\nnew words here", 4: "", 5: None, 6: "too short"}
+    df = clashing(spark.createDataFrame([(k, v, None, None, None) for k, v in docs.items()], "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = linededup.drop_repeated_lines(df)
+    assert kept.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "a b c\nkeep this line", 3: "new words here", 4: "", 5: None, 6: "too short"}
+
+
+def test_awkward_rows(spark):
+    df = clashing(awkward(spark))
+    report = linededup.line_report(df)
+    assert report.count() == df.count()
+    got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in report.where("doc_id is not null").collect()}
+    assert got[0] == (0, []) and got[1] == (0, []) and got[6] == (1, [0]) and got[5] == (1, []) and got[11] == (4, [])
+    assert got[10] == (1, [0])  # one word more than a very long line
+    # the repeated row is the same document, so it loses nothing
+    assert linededup.drop_repeated_lines(df).where(F.col("doc_id") == 5).count() == 2
+    assert linededup.line_report(empty(spark)).count() == 0 and linededup.drop_repeated_lines(empty(spark)).count() == 0

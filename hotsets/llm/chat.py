@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import quoted
+from hotsets.llm.common import map_batches, quoted
 
 #: the mark around roles and texts; the vocabulary reads it as one token of its own, so no token
 #: reaches from a mark into a text
@@ -111,7 +111,7 @@ def format_conversations(rows: DataFrame, tokenizer_json: str, loss_role: str =
                                    pa.array(masks, pa.list_(pa.bool_())), pa.array(spans, spans_type)],
                                   ["conv_id", "formatted", "ids", "loss_mask", "loss_spans"])
 
-    return whole.mapInArrow(run, f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<a:int,b:int,turn:int>>")
+    return map_batches(whole, run, f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<a:int,b:int,turn:int>>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -132,5 +132,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 out["formatted_chars"].append(len(whole))
             yield pa.record_batch([b.column("conv_id")] + [pa.array(v, pa.string() if k.endswith("256") else pa.int64()) for k, v in out.items()], ["conv_id", *out])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(
-        run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(formatted.select("conv_id", "formatted", "loss_spans"), run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

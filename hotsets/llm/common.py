@@ -47,3 +47,23 @@ def keep_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: bytes of one batch that a task hands to Python; texts may be long
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let tasks hand rows to Python in small batches, whatever the length of the texts.
+
+    This is a setting of the session; one that is not Spark's default stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import handoff, keep_columns, quoted
+from hotsets.llm.common import bound_batches, handoff, keep_columns, quoted
 
 #: words: runs of digits, letters and anything beyond ASCII, A-Z lower-cased (on UTF-8 bytes)
 _TO_WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -209,6 +209,7 @@ def with_findings(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     automaton holds a bounded number of item words; a larger benchmark is streamed through in
     parts, each of which adds to the findings so far.  No shuffle, no join.
     """
+    bound_batches(docs.sparkSession)
     out = docs.withColumn("__found", F.lit(None).cast(_FOUND))
     for n, automaton in enumerate(_automata(benchmark, window, per_automaton)):
         state = docs.sparkSession.sparkContext.broadcast(automaton.__dict__)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import handoff, quoted
+from hotsets.llm.common import handoff, map_batches, quoted
 
 #: tokens in one step of the length histogram; a length counts as the next full step
 STEP = 8
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, size: int = 4096, end_id:
             yield pa.record_batch(out, names)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:

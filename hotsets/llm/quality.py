@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import handoff, keep_columns, quoted
+from hotsets.llm.common import handoff, keep_columns, map_batches, quoted
 
 STATISTICS = ["words", "word_length", "upper", "digits", "symbols", "stops", "distinct", "top_word",
               "echo", "line_repeat", "line_length", "entropy", "symbol_end"]
@@ -67,7 +67,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             x = [statistics(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -119,7 +119,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", shrink:
         yield pa.record_batch([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["at", "s"])
 
     total = np.zeros(2 * (1 + d + d * d))
-    for r in rows.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+    for r in map_batches(rows, run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         total[r["at"]] = r["s"]
     total = total.reshape(2, -1)
     n = total[:, 0]
@@ -145,7 +145,7 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array(b.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
             yield pa.record_batch([b.column("doc_id"), pa.array(model.scores(x))], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(stats, run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

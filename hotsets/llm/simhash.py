@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import handoff, keep_columns, quoted, same
+from hotsets.llm.common import handoff, keep_columns, map_batches, quoted, same
 from hotsets.llm.components import connected_components
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([text_fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64)
             yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _byte(fp, p: int):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotsets.llm.common import handoff, quoted
+from hotsets.llm.common import handoff, map_batches, quoted
 from hotsets.llm.decontam import words_of
 
 #: order of the chain; the label itself comes last and sees what the others made of the text
@@ -130,7 +130,7 @@ def learn_markers(sample: DataFrame, markers: int = MARKERS, min_docs: int = 3)
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
         return {}
-    counts = sample.select("text", "y").mapInArrow(run, "w binary, y int").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    counts = map_batches(sample.select("text", "y"), run, "w binary, y int").groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     a, b, share = F.col("a"), F.col("n") - F.col("a"), n1 / (n1 + n0)
 
     def part(seen, expected):
@@ -176,7 +176,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.record_batch([b.column("y"), pa.array(rows_of(b).tolist(), pa.list_(pa.float64())), b.column("fold")], ["y", "x", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(_FOLDS)).cast("int").alias("fold")
-    fitted = sample.select("text", "y", fold).mapInArrow(train, "y int, x array<double>, fold int").toArrow()  # bounded by max_rows
+    fitted = map_batches(sample.select("text", "y", fold), train, "y int, x array<double>, fold int").toArrow()  # bounded by max_rows
     y = fitted.column("y").to_numpy().astype(float)
     chain, flat = None, (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     if at and 0 < y.sum() < len(y):
@@ -190,4 +190,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             p = _sigmoid(chain.log_odds(rows_of(b))) if chain else np.full((b.num_rows, len(CHAIN)), flat)
             yield pa.record_batch([b.column("doc_id")] + [pa.array(p[:, k]) for k in range(len(CHAIN))], ["doc_id", *CHAIN])
 
-    return src.mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in CHAIN))
+    return map_batches(src, score, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in CHAIN))

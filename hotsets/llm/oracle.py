@@ -1,3 +1,73 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others rest on hashes, tokenizers, fitted models or a linear program; tests/llm hold them
+against brute force, exact round trips or held-out accuracy.
+"""
+
+from __future__ import annotations
+
+from hotsets.llm.chat import CONTROL, MARK
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3 = r"""WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''),
+line AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM split),
+clean AS (SELECT doc_id, line_no, trim(regexp_replace(lower(line), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM line),
+word AS (SELECT doc_id, line_no, norm, string_split(norm, ' ') AS ws FROM clean WHERE norm <> '' AND len(string_split(norm, ' ')) >= 3),
+first_line AS (SELECT norm, any_value(ws) AS ws, min({'d': doc_id, 'l': line_no}) AS id FROM word GROUP BY norm),
+long_line AS (SELECT id, ws FROM first_line WHERE len(ws) >= 10),
+variant AS (
+  SELECT id, i AS pos, list_concat(ws[1:i - 1], ws[i + 1:]) AS k FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM long_line) t
+  UNION ALL SELECT id, 0, ws FROM long_line),
+replaced AS (SELECT k, pos, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY k, pos),
+entire AS (SELECT k, min(id) AS lowest FROM variant WHERE pos = 0 GROUP BY k),
+shortened AS (SELECT k, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY k),
+near AS (
+  SELECT v.id FROM variant v JOIN replaced r ON v.k = r.k AND v.pos = r.pos WHERE r.lowest < v.id
+  UNION SELECT v.id FROM variant v JOIN entire e ON v.k = e.k WHERE v.pos > 0 AND e.lowest < v.id
+  UNION SELECT v.id FROM variant v JOIN shortened s ON v.k = s.k WHERE v.pos = 0 AND s.lowest < v.id),
+gone AS (
+  SELECT w.doc_id, w.line_no FROM word w JOIN first_line f ON w.norm = f.norm WHERE {'d': w.doc_id, 'l': w.line_no} <> f.id
+  UNION SELECT id.d, id.l FROM near),
+per_doc AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS lines FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS n_dropped, coalesce(p.lines, '') AS dropped_lines
+FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id"""
+
+OP6 = f"""WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format(_LOWER.format('text'))} AS ws FROM benchmark WHERE text IS NOT NULL),
+run AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM item WHERE len(ws) > 0) t),
+doc AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+place AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM run) s WHERE len(ws) >= n) t),
+found AS (SELECT p.doc_id, p.i, p.n, r.item_id FROM place p JOIN run r ON p.k = r.k AND p.n = r.n),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM found) t GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) t GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id"""
+
+
+def _escaped_length(c: str) -> str:
+    """Length of a text in which every backslash and control string has become one longer."""
+    signs = "|".join("".join(f"[{x}]" if x in "[]|()<>/" and x not in "[]" else "\\" + x if x in "[]" else x for x in s) for s in CONTROL)
+    return f"(length({c}) + len(regexp_extract_all({c}, '{signs}|\\\\')))"
+
+
+OP10 = f"""WITH line AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum({2 * len(MARK)} + {_escaped_length('role')} + {_escaped_length('text')}) + {len(MARK)} AS n
+  FROM line GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM whole"""
+
+SQL: dict[str, str] = {"op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat": OP10}

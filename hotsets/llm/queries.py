@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scores = [F.col(c).alias(f"{c}_score") for c in toxicity.CHAIN]
+    scores = [F.col(c).alias("score" if c == "toxic" else f"{c}_score") for c in toxicity.CHAIN]
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), *scores, (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -81,8 +81,8 @@ def format_conversations(rows: DataFrame, tokenizer_json: str, loss_role: str =
     ``formatted`` under the mask, with their turn's number), one row per conversation.
 
     Rows are put in order by turn, then role and text (repeated turns stay, side by side); NULL
-    text and role count as empty.  The whole conversation is encoded once.  A turn without text
-    has no span.  Rows of a NULL conversation id are one conversation.
+    text and role count as empty.  The whole conversation is encoded once, so it must fit a
+    task.  A turn without text has no span.  Rows of a NULL conversation id are one conversation.
     """
     text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     turn = F.struct(quoted(turn_col).alias("turn"), F.coalesce(quoted(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"))

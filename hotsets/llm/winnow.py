@@ -9,10 +9,8 @@ from hotsets.llm.common import quoted
 
 #: a mark packs 31 bits of gram hash above 31 bits of inverted position
 _POS = (1 << 31) - 1
-
-
-def _shifted(values: Column, by: Column | int, n: Column) -> Column:
-    return F.slice(values, F.lit(by) + 1 if isinstance(by, int) else by + 1, n)
+#: buckets of the order of documents: what reaches the driver is a number for each
+MOST_BUCKETS = 50_000
 
 
 def _doubling(df: DataFrame, column: str, width: int, join) -> DataFrame:
@@ -90,21 +88,34 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     empty.
     """
     src = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = buckets or 4 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = src.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 100 * parts).alias("q"),
+    kind = src.schema["doc_id"].dataType
+    spark = src.sparkSession
+    parts = buckets or min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = src.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 10 * parts).alias("q"),
                     F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    least = None if edges["nulls"] else (edges["q"] or [None])[0]
     cuts = sorted(set(edges["q"] or []))
     cuts = cuts if edges["nulls"] else cuts[1:]  # cuts[i] opens bucket i + 1; what lies below the first is bucket 0
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = _bucket(F.col("doc_id"), cuts)
-    least = None if edges["nulls"] else (edges["q"] or [None])[0]
-    opens_all = F.col("doc_id").eqNullSafe(F.lit(least).cast(src.schema["doc_id"].dataType))
-    opens = F.array_contains(bounds, F.coalesce(F.col("doc_id"), F.lit(-1).cast(src.schema["doc_id"].dataType))) & F.col("doc_id").isNotNull()
-    home = F.struct(F.col("__own").alias("bucket"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
-    before = F.struct((F.col("__own") - 1).alias("bucket"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))
+    # the cuts of one bucket in `wide`, so that looking an id up takes two short searches
+    wide = max(1, int(len(cuts) ** 0.5))
+    folded = [cuts[i:i + wide] for i in range(0, len(cuts), wide)]
+    one = spark.createDataFrame([([c[0] for c in folded], folded)], f"heads array<{kind.simpleString()}>, cuts array<array<{kind.simpleString()}>>")
+    src = src.withColumns({"__heads": one.select("heads").scalar(), "__folded": one.select("cuts").scalar()})
+
+    def below(c: Column) -> Column:
+        return F.size(F.filter(c, lambda x: x <= F.col("doc_id")))
+
+    rows = src.withColumn("__row", F.greatest(below(F.col("__heads")) - 1, F.lit(0)))
+    rows = rows.withColumn("__cuts", F.coalesce(F.get("__folded", F.col("__row")), F.array().cast(f"array<{kind.simpleString()}>")))
+    rows = rows.withColumn("__at", F.when(F.col("doc_id").isNull(), 0).otherwise(below(F.col("__cuts"))))
+    own = F.col("__row") * wide + F.col("__at")
+    opens = F.coalesce(F.get("__cuts", F.col("__at") - 1) == F.col("doc_id"), F.lit(False))
+    opens_all = F.col("doc_id").eqNullSafe(F.lit(least).cast(kind))
+    home = F.struct(own.alias("bucket"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
+    before = F.struct((own - 1).alias("bucket"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))
     around = F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(1).alias("wrap"), F.lit(True).alias("guest"))
     places = F.filter(F.array(home, F.when(opens, before), F.when(opens_all, around)), lambda p: p.isNotNull())
-    rows = src.withColumn("__own", bucket).withColumn("__p", F.explode(places))
+    rows = rows.withColumn("__p", F.explode(places))
     rows = rows.select("doc_id", "text", F.col("__p.bucket").alias("__bucket"), F.col("__p.wrap").alias("__wrap"), F.col("__p.guest").alias("__guest"))
     return rows.withColumn("next_text", next_value("text"))
 
@@ -114,17 +125,6 @@ def next_value(column: str) -> Column:
     return F.lead(column).over(Window.partitionBy("__bucket").orderBy("__wrap", "doc_id", "text", "__guest"))
 
 
-def _bucket(c: Column, cuts: list) -> Column:
-    """Number of cuts at or below ``c`` (NULL: 0), by halving."""
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return F.when(c.isNull(), 0).otherwise(pick(0, len(cuts))).cast("int")
-
-
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       gram: int = 4, window: int = 8, buckets: int | None = None) -> DataFrame:
     """Marks of every text and of its edited form, and their likenesses.

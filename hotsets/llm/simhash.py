@@ -136,7 +136,9 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     there a spanning forest is kept, so a group of thousands of near copies costs rows in
     proportion to its size.
     """
-    postings = _postings(fps, max_bits)
+    # a fingerprint becomes 70 rows: a table of few files is dealt out first
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = _postings(fps.repartition(tasks, "fp"), max_bits)
     sizes = postings.groupBy("k", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = handoff(sizes)
     need = BYTES - max_bits

@@ -354,6 +354,39 @@ def q_score_week(spark, sf_dir):
     return models.train_and_score("random_forest", fit_rows, week, vocab_rows=train)
 
 
+# What plain SQL can say of the models' results: which rows are scored, with
+# which label, and that the totals and the leaves add up.
+
+def _scored_rows(name: str, query: Query) -> None:
+    def q(spark, sf_dir):
+        return query(spark, sf_dir).where("score is not null and prediction is not null").select(*POPULARITY_KEYS, "label")
+    q.__name__ = f"q_scored_rows_{name}"
+    register(f"scored_rows_{name}")(q)
+
+
+for _name in models.MODEL_NAMES:
+    _scored_rows(_name, REGISTRY[f"train_{_name}"])
+_scored_rows("week", q_score_week)
+
+
+@register("tree_leaf_means")
+def q_tree_leaf_means(spark, sf_dir):
+    """A decision tree's score is the mean label of the training rows of its
+    leaf: rows scored, and scores for which that does not hold."""
+    year = labelled_table(spark, sf_dir)
+    train, _test = sampling.train_test_split(sampling.balanced_sample(year))
+    scored = models.train_and_score("decision_tree", train, train, vocab_rows=year)
+    leaves = scored.groupBy("score").agg(F.avg("label").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return leaves.agg(F.sum("n").alias("n_rows"), F.count_if(F.abs(F.col("mean") - F.col("score")) > 1e-9).alias("n_wrong"))
+
+
+@register("score_week_totals")
+def q_score_week_totals(spark, sf_dir):
+    """Rows, positives and negatives that the week's confusion counts add up to."""
+    c = evaluate.confusion(q_score_week(spark, sf_dir))
+    return c.select("n", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"))
+
+
 @register("score_week_evaluation")
 def q_score_week_evaluation(spark, sf_dir):
     """Confusion counts, rates and areas of the weekly random-forest scores."""

@@ -152,18 +152,31 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     return both.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
+def _short_firsts(rows: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id``, ``t`` of the documents that hold the first of some line too short to be compared."""
+    norms = F.transform(text_lines(F.col("text")), normal_line)
+    lines = rows.select("doc_id", "t", F.posexplode(norms).alias("line_no", "norm"))
+    lines = lines.withColumn("n", _word_count(F.col("norm"))).where((F.col("n") > 0) & (F.col("n") < min_words))
+    firsts = lines.groupBy(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit("second"), "norm").alias("g")).agg(F.min(F.struct(*_ID)).alias("id"))
+    return firsts.select("id.doc_id", "id.t").distinct()
+
+
 def drop_repeated_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 10) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
-    A document that loses lines and has none of ``min_words`` words left is a copy and goes; a
-    document that loses none stays as it is, be it empty or NULL.
+    A document that loses lines goes if what is left is blank, or lines of fewer than
+    ``min_words`` words that all occur earlier as well; one with any other line left keeps all
+    that is left.  A document that loses none stays as it is, be it empty or NULL.
     """
     found = (repeated_lines(docs, min_words=min_words, min_near_words=min_near_words)
              .select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped")))
+    own = _short_firsts(_rows(docs, "doc_id", "text"), min_words).withColumn("__own", F.lit(True))
+    found = (found.join(own, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__t") == F.col("t")), "left")
+             .select("__d", "__t", "__dropped", F.coalesce("__own", F.lit(False)).alias("__own")))
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
     kept = F.filter(F.transform(text_lines(F.col("text")), lambda line, i: F.when(~F.array_contains("__dropped", i), line)), lambda line: line.isNotNull())
     both = both.withColumn("__kept", F.when(F.col("__dropped").isNotNull(), kept))
     left = F.exists("__kept", lambda line: _word_count(normal_line(line)) >= min_words)
-    both = both.where(F.col("__dropped").isNull() | left)
+    both = both.where(F.col("__dropped").isNull() | F.col("__own") | left)
     both = both.withColumn("text", F.when(F.col("__dropped").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
     return keep_columns(both, docs.columns)

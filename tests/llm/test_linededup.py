@@ -77,6 +77,16 @@ def test_texts_keep_their_other_lines(spark):
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "a b c\nkeep this line", 3: "new words here", 4: "", 5: None, 6: "too short"}
 
 
+def test_short_lines_of_their_own_keep_a_document(spark):
+    licence = "this text is free to use"
+    docs = {1: f"{licence}\nshared word", 2: f"{licence}\nown.\nShared  word", 3: f"{licence}\nshared word\n\t", 4: f"{licence}\n \n", 5: f"\u4e2d\u6587\u6587\u672c\n{licence}",
+            6: f"{licence}\nown.\nown.", 7: f"{licence}\nnew\nnew"}
+    df = spark.createDataFrame([*docs.items(), (None, f"{licence}\nnull"), (None, licence)], "doc_id long, text string")
+    kept = {(r["doc_id"], r["text"]) for r in linededup.drop_repeated_lines(df).collect()}
+    assert {x for x in kept if x[0]} == {(1, "shared word"), (2, "own.\nShared  word"), (5, "\u4e2d\u6587\u6587\u672c"), (7, "new\nnew")}
+    assert len([x for x in kept if x[0] is None]) in (1, 2) and any("null" in t for d, t in kept if d is None)
+
+
 def test_awkward_rows(spark):
     df = clashing(awkward(spark))
     report = linededup.line_report(df)

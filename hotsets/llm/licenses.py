@@ -101,7 +101,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more than the index has, so none is passed over).  Each of
     their places votes for (template, start); an alignment counts if the template's mandatory
     phrase stands in its place and its votes carry ``least`` of the weight of the looked-up
-    words.  NULL and empty texts have no words; rows are told apart by their position in the
+    words.  A text may begin within a template, up to its mandatory phrase: ``start`` is negative
+    then, and the words missing before the text do not count.  NULL and empty texts have no words; rows are told apart by their position in the
     scan only, so repeated rows are reported alike.
     """
     text = quoted(text_col).cast("string")
@@ -124,19 +125,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("__at", wanted)
     base = [_base_places(p, label) for p, label in PHRASES.items()]
     rows = rows.withColumn("places", F.flatten(F.array(*base)))
-    lookup = F.create_map(*[x for w in by_rarity for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.lit(v).alias("v")) for u, t, k, v in postings if u == w]))])
+    lookup = F.create_map(*[x for w in by_rarity for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(k - _offset(t)).alias("least")) for u, t, k, v in postings if u == w]))])
     votes = F.flatten(F.transform(F.filter("__at", lambda i: F.array_contains("__own", F.get("__words", i))),
-                                  lambda i: F.transform(F.element_at(lookup, F.get("__words", i)), lambda q: F.struct(q["t"].alias("t"), (i - q["k"]).alias("start"), q["v"].alias("v")))))
-    rows = rows.withColumn("__votes", F.filter(votes, lambda v: v["start"] >= 0))
+                                  lambda i: F.transform(F.filter(F.element_at(lookup, F.get("__words", i)), lambda q: i >= q["least"]), lambda q: F.struct(q["t"].alias("t"), (i - q["k"]).alias("start"), q["v"].alias("v")))))
+    rows = rows.withColumn("__votes", votes)
     # the looked-up weight of each template, the greatest that an alignment can reach
     full = F.array(*[reduce(lambda a, b: a + b, [F.when(F.array_contains("__own", w), v).otherwise(0) for w, u, _, v in postings if u == t], F.lit(0)) for t in range(len(TEMPLATES))])
     rows = rows.withColumn("__full", F.when(F.size("__votes") > 0, full))
     verified = reduce(lambda chain, t: chain.when(F.col("__v.t") == t, _stands(F.col("__words"), F.col("__v.start") + _offset(t), TEMPLATES[t][2])),
                       range(1, len(TEMPLATES)), F.when(F.col("__v.t") == 0, _stands(F.col("__words"), F.col("__v.start") + _offset(0), TEMPLATES[0][2])))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    rows = handoff(rows.select("doc_id", "n_words", "places", "__votes", "__full", F.when(F.size("__votes") > 0, F.col("__words")).alias("__words"), "__row"))
+    rows = handoff(rows.select("doc_id", "n_words", "places", "__votes", "__full", *[F.when(F.size("__votes") > 0, F.col(c)).alias(c) for c in ("__words", "__own")], "__row"))
     voted = rows.where("size(__votes) > 0").withColumn("__v", F.explode("__votes"))
-    tally = (voted.select("__row", F.col("__v.t").alias("t"), F.col("__v.start").alias("start"), F.col("__v.v").alias("v"), verified.alias("ok"), F.get("__full", F.col("__v.t")).alias("full"))
+    # words whose place lies before the text's first word cannot vote
+    cut = reduce(lambda a, b: a + b, [F.when((F.col("__v.t") == t) & (F.col("__v.start") < -k) & F.array_contains("__own", w), v).otherwise(0) for w, t, k, v in postings if k < _offset(t)], F.lit(0))
+    reach = F.get("__full", F.col("__v.t")) - F.when(F.col("__v.start") < 0, cut).otherwise(0)
+    tally = (voted.select("__row", F.col("__v.t").alias("t"), F.col("__v.start").alias("start"), F.col("__v.v").alias("v"), verified.alias("ok"), reach.alias("full"))
              .where("ok").groupBy("__row", "t", "start").agg((F.sum("v") / F.max("full")).alias("share")).where(F.col("share") >= least))
     label = F.get(F.array(*[F.lit(x[0]) for x in TEMPLATES]), F.col("t"))
     found = tally.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), label.alias("label"), F.least("share", F.lit(1.0)).alias("share")))).alias("found"))

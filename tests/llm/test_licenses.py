@@ -52,6 +52,23 @@ def test_templates_are_found_where_they_stand(spark):
     assert [p["start"] for p in got[202]["places"]] == [1, 3]
 
 
+def test_mandatory_phrases_as_first_words(spark):
+    pad = " lorem ipsum" * 40
+    docs = []
+    for t, (_, words, phrase) in enumerate(licenses.TEMPLATES):
+        rest = " ".join(words.split()[licenses._offset(t):])
+        docs += [(t, phrase.title() + pad + " licensed"), (100 + t, pad + " " + phrase + pad + " licensed"), (200 + t, rest + pad), (300 + t, pad + " " + rest + pad)]
+    docs += [(400, "Apache License, Version 2.0"), (401, "license version 2.0 apache")]
+    got = {r["doc_id"]: {(f["label"], f["start"]) for f in r["found"]} for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for t, (label, _, _) in enumerate(licenses.TEMPLATES):
+        at = licenses._offset(t)
+        for first, later in ((t, 100 + t), (200 + t, 300 + t)):  # what is found later is found at the start
+            assert (label, -at) in got[first] or (label, 80 - at) not in got[later], label
+        if label in ("apache-2.0", "gpl-2.0", "gpl-3.0", "mpl-2.0", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "unlicense") and at < 6:
+            assert (label, -at) in got[200 + t], label
+    assert ("apache-2.0", -3) in got[400] and "apache-2.0" not in {f for f, _ in got[401]}
+
+
 def test_awkward_rows(spark):
     df = clashing(awkward(spark))
     got = licenses.scan_licenses(df)

@@ -1,8 +1,10 @@
-"""URL filter from association rules that FP-growth mines, with DataFrame functions only."""
+"""URL filter from association rules mined level by level, with DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,46 +37,110 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]], w
 
 
 def url_tokens(url: Column) -> Column:
-    """At most nine tokens of a URL: scheme, host parts, first folder and its successor's shape,
-    ending, first query key, fragment.  Each kind occurs once, so a URL's combinations are few
-    however long it is.
+    """The distinct tokens of a URL: scheme, every suffix of the host, every path segment, the
+    first folder, the second one with runs of digits as 9, ending, every query key, fragment.
     """
     host, path, rest = url_host(url), url_path(url), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))
     labels = F.split(host, r"\.")
     folder = F.split(path, "/")
     second = F.coalesce(F.try_element_at(folder, F.lit(3)), F.lit(""))
+    keys = F.transform(F.split(F.regexp_extract(rest, r"^\?([^#]*)", 1), "&"), lambda x: F.substring_index(x, "=", 1))
     kinds = [
-        ("scheme", F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)),
-        ("top", F.element_at(labels, -1)),
-        ("site", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")),
-        ("name", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")),
-        ("first", F.coalesce(F.try_element_at(folder, F.lit(2)), F.lit(""))),
-        ("second", F.regexp_replace(F.left(second, F.lit(8)), "[0-9]+", "9")),
-        ("ending", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)),
-        ("query", F.regexp_extract(rest, r"^\?([^=&#]*)", 1)),
-        ("fragment", F.regexp_extract(rest, "#(.*)$", 1)),
+        ("scheme", F.array(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))),
+        ("host", F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))),
+        ("first", F.array(F.coalesce(F.try_element_at(folder, F.lit(2)), F.lit("")))),
+        ("second", F.array(F.regexp_replace(second, "[0-9]+", "9"))),
+        ("segment", folder),
+        ("ending", F.array(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))),
+        ("query", keys),
+        ("fragment", F.array(F.regexp_extract(rest, "(?s)#(.*)$", 1))),
     ]
-    tokens = F.array(*[F.when(v != "", F.concat(F.lit(k + ":"), v)) for k, v in kinds])
-    return F.filter(tokens, lambda t: t.isNotNull())
+    return F.array_distinct(F.concat(*[_tagged(k, v) for k, v in kinds]))
+
+
+def _tagged(kind: str, values: Column) -> Column:
+    return F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def _known_sets(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``__id``, ``__set``: the sorted tokens of every row that are in ``vocabulary`` (``token``).
+
+    Tokens that one row in 500 has are looked up in place, so that none fills a task; their number
+    is bounded by the tokens of a row.  The others are joined.
+    """
+    found = rows.select("__id", F.explode("tokens").alias("token"))
+    counts = handoff(found.groupBy("token").agg(F.count("*").alias("c")).join(vocabulary, "token"))
+    often = rows.count() / 500
+    heavy = [r["token"] for r in counts.where(F.col("c") >= often).orderBy("token").collect()]
+    local = F.array_intersect("tokens", F.array(*map(F.lit, heavy)) if heavy else F.array().cast("array<string>"))
+    light = (found.join(counts.where(F.col("c") < often).select("token"), "token").groupBy("__id").agg(F.collect_set("token").alias("__light")))
+    both = rows.select("__id", local.alias("__heavy")).join(light, "__id", "left")
+    return both.select("__id", F.array_sort(F.concat("__heavy", F.coalesce("__light", F.array().cast("array<string>")))).alias("__set"))
+
+
+def _frequent(rows: DataFrame, least: int) -> DataFrame | None:
+    """``items``, ``block``, ``allow`` (rows that have them all) of the token sets that make rules.
+
+    Level by level, a set is made longer only if its rows disagree and if it has fewer rows than
+    each of its parts: any other set says no more than one of its parts, whose rule is as sure,
+    and is pruned in any case.  So host suffixes, or tokens that always come together, do not
+    multiply, and neither a URL's tokens nor the length of a rule needs a bound.
+    """
+    enough = F.greatest("block", "allow") >= least
+    total = [F.sum("block").alias("block"), F.sum("allow").alias("allow")]
+    single = handoff(rows.select(F.explode("tokens").alias("token"), "block", "allow").groupBy("token").agg(*total).where(enough))
+    if single.isEmpty():
+        return None
+    n = rows.count()
+    open_ = (F.col("block") > 0) & (F.col("allow") > 0)
+    found = [single.select(F.array("token").alias("items"), "block", "allow")]
+    live = handoff(found[0].where(open_ & (F.col("block") + F.col("allow") < n)))
+    known = _known_sets(rows, live.select(F.col("items")[0].alias("token")))
+    # rows with the same tokens are counted once; a head is made longer by what follows it
+    sets = handoff(known.join(rows.select("__id", "block", "allow"), "__id").groupBy("__set").agg(*total)
+                   .select(F.monotonically_increasing_id().alias("set"), "__set", "block", "allow").where(F.size("__set") > 1))
+    heads = sets.select("set", "block", "allow", F.posexplode("__set").alias("pos", "token"), "__set")
+    heads = handoff(heads.select("set", "block", "allow", F.array("token").alias("items"), F.slice("__set", F.col("pos") + 2, F.size("__set")).alias("tail")).where(F.size("tail") > 0))
+    size = 1
+    while not live.isEmpty() and not heads.isEmpty():
+        size += 1
+        longer = heads.select("set", "block", "allow", "items", F.posexplode("tail").alias("pos", "token"), "tail")
+        longer = longer.select("set", "block", "allow", F.concat("items", F.array("token")).alias("items"), F.slice("tail", F.col("pos") + 2, F.size("tail")).alias("tail"))
+        counted = handoff(longer.groupBy("items").agg(*total).where(enough))
+        # every part with one token less has to be live and to have more rows
+        parts = (counted.withColumn("gone", F.explode("items")).select("items", F.array_remove("items", F.col("gone")).alias("part"), (F.col("block") + F.col("allow")).alias("c"))
+                 .join(live.select(F.col("items").alias("part"), (F.col("block") + F.col("allow")).alias("more")), "part").where("more > c"))
+        whole = parts.groupBy("items").agg(F.count("*").alias("parts")).where(F.col("parts") == size).select("items")
+        counted = handoff(counted.join(whole, "items"))
+        found.append(counted)
+        live = handoff(counted.where(open_))
+        heads = handoff(longer.where(F.size("tail") > 0).join(live.select("items"), "items", "left_semi").select("set", "block", "allow", "items", "tail"))
+    return handoff(reduce(DataFrame.union, found))
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20) -> DataFrame:
     """``items``, ``verdict``, ``confidence``, ``support`` of the rules that hold in ``labelled``.
 
     ``labelled``: ``tokens`` and ``verdict`` ('block' or 'allow').  Rules with the verdict as
-    their consequent are kept if enough labelled URLs have their tokens (``min_support``, a
-    share) and agree (``min_confidence``); a rule is pruned if a part of its tokens gives the
-    same verdict with no less confidence.  A share of the rows bounds the number of frequent
-    tokens, and so of rules, whatever the number of rows.  An empty table gives no rules.
+    their consequent are kept if enough labelled URLs have their tokens and agree: ``min_support``
+    as a share, but never more than ``min_count`` URLs are asked for, whatever the number of rows
+    (``min_confidence``: the share that has to agree).  A rule is pruned if a part of its tokens
+    gives the same verdict with no less confidence.  An empty table gives no rules.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double")
-    rows = labelled.where(F.col("verdict").isin("block", "allow")).select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("label:"), F.col("verdict"))))).alias("items"))
-    if rows.isEmpty():
+    rows = labelled.where(F.col("verdict").isin("block", "allow"))
+    rows = handoff(rows.select(F.monotonically_increasing_id().alias("__id"), F.array_distinct("tokens").alias("tokens"),
+                               *[(F.col("verdict") == v).cast("long").alias(v) for v in ("block", "allow")]))
+    n = rows.count()
+    found = _frequent(rows, max(1, min(math.ceil(min_support * n), min_count))) if n else None
+    if found is None:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
-    rules = handoff(rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 7, 10).alias("verdict"), "confidence", "support"))
+    least = max(1, min(math.ceil(min_support * n), min_count))
+    sides = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("hits")) for v in ("block", "allow")]))
+    rules = found.select("items", (F.col("block") + F.col("allow")).alias("c"), sides.alias("s")).where(F.col("s.hits") >= least)
+    rules = rules.select("items", "s.verdict", (F.col("s.hits") / F.col("c")).alias("confidence"), (F.col("s.hits") / n).alias("support"))
+    rules = handoff(rules.where(F.col("confidence") >= min_confidence))
     # a rule with one token less is found by its items, not by comparing all rules
     parts = (rules.withColumn("gone", F.explode("items")).select("items", "verdict", "confidence", F.array_remove("items", F.col("gone")).alias("part"))
              .join(rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("shorter")), ["part", "verdict"])
@@ -92,16 +158,15 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = handoff(rules)
     items = rules.select(F.explode("items").alias("token"), F.struct("items", "verdict").alias("id"))
     common = items.groupBy("token").agg(F.count("*").alias("n"))
-    known = [r["token"] for r in common.select("token").orderBy("token").collect()]  # frequent tokens only: few by the support
-    vocabulary = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-    pages = pages.withColumn("__set", F.array_sort(F.array_intersect("tokens", vocabulary)))
+    pages = handoff(pages.withColumn("__id", F.monotonically_increasing_id()))
+    known = handoff(_known_sets(pages, common.select("token")))
     under = (items.join(common, "token").groupBy("id").agg(F.min(F.struct("n", "token")).alias("rare"))
              .select("id.items", "id.verdict", F.col("rare.token").alias("token"))
              .join(rules, ["items", "verdict"]))
-    sets = pages.select("__set").distinct()
+    sets = known.select("__set").distinct()
     looked = sets.withColumn("token", F.explode("__set")).join(under, "token").where(F.size(F.array_except("items", "__set")) == 0)
     best = looked.groupBy("__set").agg(F.max_by("verdict", F.struct("confidence", "support", F.size("items"), F.col("verdict") == "block", "items")).alias("mined"))
-    return pages.join(best, "__set", "left").drop("__set")
+    return pages.join(known.join(best, "__set").select("__id", "mined"), "__id", "left").drop("__id")
 
 
 def judge_urls(pages: DataFrame, listed: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",

@@ -78,3 +78,28 @@ def test_labels_teach_unlisted_urls(spark):
     marks = pages.select(F.col("page_id").alias("doc_id"), F.when(F.col("url").contains("/es/"), 0).otherwise(1).alias("quality"))
     got = urlfilter.judge_urls(pages, [], marks).collect()
     assert all(r["verdict"] == ("block" if "/es/" in r["url"] else "allow") for r in got)
+
+
+def test_every_part_of_a_url_can_make_a_rule(spark):
+    parts = ["http://bad.x.y.example.net/a/b", "http://h.net/a/b/c/bad/e", "http://h.net/a/b/bad.html", "http://h.net/a?x=1&y=2&bad=3", "http://h.net/a/abcdefgh-bad/c"]
+    good = ["http://ok.x.y.example.net/a/b", "http://h.net/a/b/c/ok/e", "http://h.net/a/b/ok.html", "http://h.net/a?x=1&y=2&ok=3", "http://h.net/a/abcdefgh-ok/c"]
+    urls = [u for u in parts + good for _ in range(6)]
+    extra = parts + good  # without a label
+    pages = spark.createDataFrame(list(enumerate(urls + extra)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, 0 if "bad" in u else 1) for i, u in enumerate(urls)], "doc_id long, quality int")
+    got = urlfilter.judge_urls(pages, [], marks).collect()
+    assert len(got) == len(urls) + len(extra)
+    assert all(r["verdict"] == ("block" if "bad" in r["url"] else "allow") and r["mined"] for r in got)
+
+
+def test_a_small_share_of_many_labels_makes_a_rule(spark):
+    few = spark.range(30).select(F.array(F.lit("scheme:http"), F.lit("host:rare")).alias("tokens"), F.lit("block").alias("verdict"))
+    many = spark.range(20000).select(F.array(F.lit("scheme:http"), F.concat(F.lit("host:"), F.col("id") % 7)).alias("tokens"), F.lit("allow").alias("verdict"))
+    rules = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in urlfilter.mine_rules(few.union(many)).collect()}
+    assert rules[("host:rare",), "block"] == 1.0 and rules[("host:3",), "allow"] == 1.0 and not any(len(k) > 1 for k, _ in rules)
+
+
+def test_long_urls_do_not_multiply(spark):
+    tokens = F.array(*[F.lit(f"query:k{i}") for i in range(40)])
+    rows = spark.range(200).select(F.concat(tokens, F.array(F.concat(F.lit("host:"), F.col("id") % 2))).alias("tokens"), F.when(F.col("id") % 4 == 0, "block").otherwise("allow").alias("verdict"))
+    assert urlfilter.mine_rules(rows).where(F.size("items") > 1).count() == 0

@@ -70,4 +70,30 @@ whole AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM whole"""
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat": OP10}
+_RUNS = r"'[^\x20\x09-\x0D]+'"
+OP11 = f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+word AS (SELECT r, doc_id, source, t, regexp_extract_all(t, {_RUNS}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_RUNS})) AS ls FROM doc),
+run AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM word WHERE len(ws) >= 5) t),
+again AS (SELECT r, i FROM run QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+inside AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) t GROUP BY r),
+stat AS (
+  SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words FROM word LEFT JOIN inside USING (r)),
+broken AS (
+  SELECT *, n_words < 10 AS a, 100 * n_repeat_words > 20 * n_words AS b, 10 * n_symbols > word_chars AS c, 10 * n_dup_lines > 3 * n_lines AS d FROM stat),
+host AS (
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(failed)::DOUBLE AS f
+  FROM (SELECT source, unnest(['a', 'b', 'c', 'd']) AS rule, unnest([a::INT, b::INT, c::INT, d::INT]) AS failed FROM broken WHERE source IS NOT NULL) t
+  GROUP BY source, rule),
+total AS (SELECT rule, sum(f) / sum(n) AS m, sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(f * f / n) AS ff FROM host GROUP BY rule),
+corr AS (
+  SELECT rule, m, CASE WHEN m > 0 AND m < 1 AND n - nn / n - (k - 1) > 0
+                       THEN least(1, ((ff - n * m * m) / (m * (1 - m)) - (k - 1)) / (n - nn / n - (k - 1))) ELSE 0 END AS r FROM total),
+rate AS (SELECT source, CASE WHEN r > 1e-9 THEN (f + m * (1 - r) / r) / (n + (1 - r) / r) ELSE m END AS p FROM host JOIN corr USING (rule)),
+verdict AS (SELECT source, max(p) > 0.5 AS blocked FROM rate GROUP BY source)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, a OR b AS base_failed, NOT (a OR b) AND NOT coalesce(blocked, false) AS kept, coalesce(blocked, false) AS host_blocked
+FROM broken LEFT JOIN verdict USING (source)"""
+
+SQL: dict[str, str] = {"op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat": OP10, "op11_host_rules": OP11}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from hotsets.llm import chat, decontam, licenses, linededup, packing, quality, simhash, toxicity, urlfilter, winnow
+from hotsets.llm import chat, decontam, hostrules, licenses, linededup, packing, quality, simhash, toxicity, urlfilter, winnow
 from hotsets.llm.common import table
 
 
@@ -82,6 +82,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(extra), _vocabulary("byte_bpe_50k.json")))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hostrules.judge_documents(table(spark, sf_dir, "documents"), max_rate=0.5)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_blocked")
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
@@ -93,4 +98,5 @@ REGISTRY = {
     "op8_licenses": op8_licenses,
     "op9_url_filter": op9_url_filter,
     "op10_chat": op10_chat,
+    "op11_host_rules": op11_host_rules,
 }

@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from hotsets.llm import hostrules
+from tests.llm.cases import DOCS, awkward, clashing, empty
+
+
+def statistics(text):
+    """The rule's numbers, the plain way."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    runs = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    often, inside = Counter(runs), set()
+    for i, run in enumerate(runs):
+        if often[run] > 1:
+            inside |= set(range(i, i + 5))
+    seen, repeated, lines = set(), 0, 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            lines += 1
+            repeated += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), lines, repeated, len(inside)
+
+
+def numbers(r):
+    return tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
+
+
+def random_texts(n, seed=3):
+    rnd = random.Random(seed)
+    bits = ["a", "b", "c", "é", "中文", "😀", "#", "<>", "$5", " ", " ", "\n", "\t", "\x0b", "\x0c", "\r", " ", "a b c a b", "x\n", "one two three four five\n"]
+    return ["".join(rnd.choice(bits) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(n)]
+
+
+def test_statistics_equal_the_plain_way(spark):
+    texts = random_texts(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    for r in hostrules.document_statistics(df).collect():
+        assert numbers(r) == statistics(texts[r["doc_id"]]), repr(texts[r["doc_id"]])
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    want = sorted(((r["doc_id"] is not None, r["doc_id"], *statistics(r["text"])) for r in docs.collect()), key=repr)
+    for df in (docs, clashing(docs)):
+        found = hostrules.judge_documents(df).collect()
+        assert sorted(((r["doc_id"] is not None, r["doc_id"], *numbers(r)) for r in found), key=repr) == want
+        for r in found:
+            assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+    none = hostrules.judge_documents(empty(spark))
+    assert none.count() == 0 and "kept" in none.columns
+
+
+def good(i):
+    return " ".join(f"w{i}x{j}" for j in range(12))
+
+
+def planted(spark):
+    """20 clean hosts, one of which nearly all documents fail, one small and unlucky, and no host."""
+    rows = [(i, good(i) if i % 25 else "too short", "en", f"h{i % 20}", 0) for i in range(2000)]
+    rows += [(10_000 + i, good(10_000 + i) if i % 10 == 0 else "spam " * 40, "en", "spam.example", 0) for i in range(300)]
+    rows += [(20_000, "short", "en", "small.example", 0), (20_001, good(20_001), "en", "small.example", 0)]
+    rows += [(30_000, "short", "en", None, 0), (30_001, good(30_001), "en", None, 0)]
+    return rows
+
+
+def test_bad_host_is_blocked_and_small_host_is_not(spark):
+    rows = planted(spark)
+    got = {r["doc_id"]: r for r in hostrules.judge_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == len(rows)
+    for i, _, _, host, _ in rows:
+        r = got[i]
+        assert r["host_blocked"] == (host == "spam.example"), host
+        assert r["kept"] == (not r["base_failed"] and not r["host_blocked"])
+        assert (r["host_rates"] is None) == (host is None)
+    # one of two documents fails: far from enough against the prior of all hosts
+    assert 0.02 < got[20_001]["host_rates"]["few_words"] < 0.5
+    assert got[20_001]["kept"] and got[30_001]["kept"] and not got[30_000]["kept"]
+
+
+def test_priors_equal_the_plain_way(spark):
+    rnd, rows = random.Random(4), []
+    for h in range(40):
+        share = rnd.betavariate(2, 6)
+        rows += [(len(rows), "short" if rnd.random() < share else good(h), "en", f"h{h}", 0) for _ in range(rnd.randint(20, 120))]
+    stats = hostrules.document_statistics(spark.createDataFrame(rows, DOCS))
+    prior = hostrules.beta_priors(hostrules.failures_by_host(stats))["few_words"]
+    n = Counter(r[3] for r in rows)
+    f = Counter(r[3] for r in rows if r[1] == "short")
+    total, mean = sum(n.values()), sum(f.values()) / sum(n.values())
+    spread = sum(n[h] * (f[h] / n[h] - mean) ** 2 for h in n)
+    r = (spread / (mean * (1 - mean)) - (len(n) - 1)) / (total - sum(v * v for v in n.values()) / total - (len(n) - 1))
+    assert abs(prior.mean - mean) < 1e-12 and abs(prior.weight - (1 - r) / r) < 1e-6
+    assert 2 < prior.weight < 30  # drawn with 8
+    assert hostrules.beta_priors(hostrules.failures_by_host(stats.limit(0)))["few_words"].weight is None
+
+
+def test_large_and_small_hosts_take_both_joins(spark):
+    """A host with half of all rows and 3000 hosts of one document each."""
+    rows = [(i, good(i), "en", "hot", 0) for i in range(3000)] + [(5000 + i, good(i), "en", f"h{i}", 0) for i in range(3000)]
+    found = hostrules.judge_documents(spark.createDataFrame(rows, DOCS))
+    assert found.count() == 6000 and found.where("kept and not host_blocked and host_rates is not null").count() == 6000

@@ -96,4 +96,74 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_repeat_words::BIGINT AS n_repeat_words, a OR b AS base_failed, NOT (a OR b) AND NOT coalesce(blocked, false) AS kept, coalesce(blocked, false) AS host_blocked
 FROM broken LEFT JOIN verdict USING (source)"""
 
-SQL: dict[str, str] = {"op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat": OP10, "op11_host_rules": OP11}
+#: CRC-32, a byte at a time: ``crc`` holds the table of the 256 bytes' remainders
+_CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS table_ FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)) t)"""
+_CRC = """xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+        lambda c, b: xor(c // 256, table_[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+OP12 = f"""WITH {_CRC_TABLE},
+line AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations),
+conv AS (SELECT conv_id, {_CRC.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations) t, crc),
+turn AS (
+  SELECT c.conv_id, 0 AS part, p, role, text FROM conv c JOIN line l ON l.conv_id = c.conv_id - c.conv_id % 100 WHERE p <= h
+  UNION ALL SELECT conv_id, 1, p, role, text FROM line JOIN conv USING (conv_id) WHERE p > h),
+whole AS (
+  SELECT conv_id, coalesce(list(strlen(role) || ':' || role || text ORDER BY part, p) FILTER (WHERE p IS NOT NULL), []) AS k,
+         coalesce(list(length(text) ORDER BY part, p) FILTER (WHERE p IS NOT NULL), []) AS n
+  FROM conv LEFT JOIN turn USING (conv_id) GROUP BY conv_id),
+member AS (SELECT conv_id, d, k[1:d] AS k, coalesce(n[d], 0) AS n, len(k) = d AS ends FROM (SELECT *, unnest(range(len(k) + 1)) AS d FROM whole) t),
+node AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM member GROUP BY d, k),
+child AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+linked AS (SELECT a.*, coalesce(c.n, 0) AS n_children FROM node a LEFT JOIN child c ON a.d = c.d AND a.k = c.k),
+below AS (
+  SELECT u AS d, k[1:u] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS u FROM linked) t GROUP BY 1, 2)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM linked a JOIN below b ON a.d = b.d AND a.k = b.k LEFT JOIN node p ON p.d = a.d - 1 AND p.k = a.k[1:a.d - 1]"""
+
+
+def _leaf(n_chars: str) -> str:
+    """Text whose hash is a document's leaf."""
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+OP13 = f"""WITH RECURSIVE {_CRC_TABLE},
+leaf AS (
+  SELECT doc_id, lang, sha256({_leaf('n_chars')}) AS leaf,
+         CASE WHEN {_CRC.format('doc_id')} % 7 = 0 THEN sha256({_leaf('(CAST(n_chars AS HUGEINT) + 1)')}) ELSE sha256({_leaf('n_chars')}) END AS changed
+  FROM documents, crc),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+up AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, n FROM ranked
+  UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, h, n FROM sub
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+step AS (
+  SELECT r.doc_id, r.leaf, u.level, CASE WHEN s.h IS NULL THEN '-' WHEN s.pos < u.pos THEN 'L' || s.h ELSE 'R' || s.h END AS p
+  FROM ranked r JOIN up u ON r.lang IS NOT DISTINCT FROM u.lang AND u.pos = r.pos >> u.level AND u.n > 1
+  LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM u.lang AND s.level = u.level AND s.pos = xor(u.pos, 1)
+  UNION ALL
+  SELECT r.doc_id, r.leaf, 1000 + u.level, CASE WHEN s.h IS NULL THEN '-' WHEN s.pos < u.pos THEN 'L' || s.h ELSE 'R' || s.h END
+  FROM ranked r JOIN sub b ON r.lang IS NOT DISTINCT FROM b.lang JOIN high u ON u.pos = b.pos >> u.level AND u.n > 1
+  LEFT JOIN high s ON s.level = u.level AND s.pos = xor(u.pos, 1)),
+path AS (SELECT doc_id, leaf, list(p ORDER BY level) AS ps FROM step GROUP BY doc_id, leaf),
+folded AS (
+  SELECT r.doc_id, r.leaf, b.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root,
+         sha256(coalesce(array_to_string(list_transform(ps, lambda p: p[2:]), ''), '')) AS proof_sha256,
+         list_reduce(coalesce(ps, []), lambda acc, p: CASE p[1] WHEN 'L' THEN sha256(p[2:] || acc) WHEN 'R' THEN sha256(acc || p[2:]) ELSE sha256(acc) END, r.changed) AS folded_root
+  FROM ranked r JOIN sub b ON r.lang IS NOT DISTINCT FROM b.lang LEFT JOIN path t ON r.doc_id = t.doc_id AND r.leaf = t.leaf)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+SQL: dict[str, str] = {"op3_line_dedup": OP3, "op6_decontamination": OP6, "op10_chat": OP10, "op11_host_rules": OP11, "op12_prefix_trie": OP12,
+                       "op13_merkle": OP13}

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from hotsets.llm import chat, decontam, hostrules, licenses, linededup, packing, quality, simhash, toxicity, urlfilter, winnow
-from hotsets.llm.common import table
+from hotsets.llm import chat, decontam, hostrules, licenses, linededup, merkle, packing, prefixtrie, quality, simhash, toxicity, urlfilter, winnow
+from hotsets.llm.common import handoff, table
+from hotsets.llm.ranks import ranked
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,40 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_blocked")
 
 
+def shared_beginnings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and ids of conversations of which each begins with the first h turns of the first of its hundred
+    (h: CRC-32 of its decimal id, modulo 6) and goes on with its own turns after its first h.
+
+    A conversation without an id keeps its turns.
+    """
+    h = F.coalesce(F.crc32(F.col("conv").cast("string")) % 6, F.lit(0))
+    placed = ranked(prefixtrie.turn_digests(rows), ["conv"], ["turn", "digest"])
+    ids = handoff(placed.select("conv").distinct())
+    placed = placed.select("conv", F.col("pos").alias("turn"), "digest", "chars")
+    first = placed.where("turn < 5 and conv is not null").withColumnRenamed("conv", "base")
+    begun = ids.select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % 100).alias("base")).join(first, "base").where("turn < h")
+    turns = (begun.select("conv", F.lit(0).alias("part"), "turn", "digest", "chars")
+             .union(placed.where(F.col("turn") >= h).select("conv", F.lit(1), "turn", "digest", "chars")))
+    known = F.coalesce("conv", F.lit(prefixtrie.NO_ID)).alias("conv")
+    return turns.select(known, "part", "turn", "digest", "chars"), ids.select(known)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(*shared_beginnings(table(spark, sf_dir, "conversations")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, folded again after one in seven rows was changed."""
+    docs = table(spark, sf_dir, "documents")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("group"), merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]).alias("leaf"),
+                       changed.alias("changed"))
+    found = merkle.dataset_manifest(rows, arity=2).withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 REGISTRY = {
     "op1_simhash": op1_simhash,
     "op2_winnowing": op2_winnowing,
@@ -99,4 +134,6 @@ REGISTRY = {
     "op9_url_filter": op9_url_filter,
     "op10_chat": op10_chat,
     "op11_host_rules": op11_host_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle": op13_merkle,
 }

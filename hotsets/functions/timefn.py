@@ -22,6 +22,12 @@ def week_of_epoch_s(epoch_s: Column | str) -> Column:
     return F.weekofyear(F.to_date(F.timestamp_seconds(c)))
 
 
+def year_of_epoch_s(epoch_s: Column | str) -> Column:
+    """The year that the instant's ISO week belongs to."""
+    c = F.col(epoch_s) if isinstance(epoch_s, str) else epoch_s
+    return F.extract(F.lit("YEAROFWEEK"), F.to_date(F.timestamp_seconds(c))).cast("int")
+
+
 def week_of_epoch_ms(epoch_ms: Column | str) -> Column:
     """ISO week of an epoch-milliseconds instant (ms / 1000, whole seconds)."""
     c = F.col(epoch_ms) if isinstance(epoch_ms, str) else epoch_ms

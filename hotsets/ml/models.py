@@ -102,8 +102,8 @@ def fit(name: str, train: DataFrame, arities: dict[str, int]):
     return estimator(name, bins).fit(train)
 
 
-def predict(model, df: DataFrame) -> DataFrame:
-    """Row keys (and the held-out mark, as far as ``df`` has them), label, prediction, score: score =
+def predict(model, df: DataFrame, *keep: str) -> DataFrame:
+    """Row keys (and the held-out mark, as far as ``df`` has them), the columns to ``keep``, label, prediction, score: score =
     P(class 1) for probabilistic classifiers, the margin for the SVM, the
     regression output otherwise."""
     out = model.transform(df)
@@ -115,7 +115,7 @@ def predict(model, df: DataFrame) -> DataFrame:
     else:
         score = F.col("prediction")
     keys = [c for c in [*POPULARITY_KEYS, "_held_out"] if c in cols]
-    return out.select(*keys, F.col("label").cast("double").alias("label"),
+    return out.select(*keys, *keep, F.col("label").cast("double").alias("label"),
                       F.col("prediction").cast("double").alias("prediction"),
                       score.cast("double").alias("score"))
 
@@ -137,14 +137,19 @@ def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = Tr
     return assemble(tr, arities, categorical), assemble(sc, arities, categorical), arities
 
 
-def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
-                    top_n: int | None = None, vocab_rows: DataFrame | None = None) -> DataFrame:
-    """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``.
+def train(name: str, train_rows: DataFrame, score_rows: DataFrame, top_n: int | None = None, vocab_rows: DataFrame | None = None):
+    """The fitted model, the training rows (label, features) and the rows to score, with their features.
 
-    Training rows are written to the shared folder before fitting: the learners make many passes, and a lost executor must not
-    send each pass back to the raw tables.
+    Training rows are written to the shared folder before fitting: the learners make many passes,
+    and a lost executor must not send each pass back to the raw tables.
     """
     tr, sc, arities = prepare(train_rows, score_rows, categorical=name in TREE_MODELS, top_n=top_n, vocab_rows=vocab_rows)
     tr = hand_off(tr.select("label", "features"))
-    model = fit(name, tr, arities)
+    return fit(name, tr, arities), tr, sc
+
+
+def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
+                    top_n: int | None = None, vocab_rows: DataFrame | None = None) -> DataFrame:
+    """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``."""
+    model, _, sc = train(name, train_rows, score_rows, top_n, vocab_rows)
     return predict(model, sc)

@@ -59,25 +59,52 @@ def vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | N
         long = long.distinct()
     else:
         long = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    # materialise the distinct pairs once: the size check and the numbering
-    # then read it instead of re-running the scan behind it
-    long = hand_off(long)
     if top_n is not None:
         key = F.struct((-F.col("_n")).alias("n"), F.col("value").alias("v"))
-        ranked = ordered_index(long.withColumn("_key", key), "feature", "_key", "_rank",
-                               known_rows=long.count())
-        long = hand_off(ranked.filter(F.col("_rank") < top_n).select("feature", "value"))
-    return ordered_index(long, "feature", "value", "idx", known_rows=long.count())
+        ranked = ordered_index(long.withColumn("_key", key), "feature", "_key", "_rank")
+        long = ranked.filter(F.col("_rank") < top_n).select("feature", "value")
+    # the range exchange reads the distinct pairs from their shuffle: the scan behind them runs once
+    return ordered_index(long, "feature", "value", "idx")
 
 
 def fit_vocabulary(df: DataFrame, columns: list[str] = VOCAB_COLUMNS, top_n: int | None = None) -> DataFrame:
-    """Vocabulary written once, in folders by feature.
+    """Vocabulary written once, in the order of feature and value.
 
-    Encoding reads one folder per column, so the vocabulary is computed a
-    single time, its lineage is cut (a lost executor does not re-run the scan
-    that produced it) and the planner knows the size of each part.
+    Encoding reads it once per column, so it is computed a single time, its
+    lineage is cut (a lost executor does not re-run the scan that produced it)
+    and the planner knows its size.
     """
-    return hand_off(vocabulary(df, columns, top_n), ["feature"])
+    return hand_off(vocabulary(df, columns, top_n))
+
+
+FIRST_VERSION = 1
+
+
+def first_version(vocab: DataFrame) -> DataFrame:
+    """A vocabulary as version 1 of one that grows."""
+    return vocab.withColumn("version", F.lit(FIRST_VERSION))
+
+
+def extend_vocabulary(versioned: DataFrame, rows: DataFrame, version: int, columns: list[str] = FEATURE_CATEGORIES) -> DataFrame:
+    """The next version: values of ``rows`` that no version has get the ids after each feature's last.
+
+    Ids never move, so what was encoded or trained with an earlier version stays
+    valid.  Only the distinct new values are ordered (by value).  Returns the rows to append:
+    none if ``rows`` brings nothing new, so that a repeated load changes nothing.
+    """
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
+    seen = rows.selectExpr(f"stack({len(columns)}, {pairs}) AS (feature, value)").distinct().alias("s")
+    known = versioned.select("feature", "value").alias("k")
+    same = (F.col("s.feature") == F.col("k.feature")) & F.col("s.value").eqNullSafe(F.col("k.value"))
+    fresh = ordered_index(seen.join(known, same, "left_anti"), "feature", "value", "idx")
+    last = versioned.groupBy("feature").agg(F.max("idx").alias("last"))
+    return fresh.join(last, "feature", "left").select("feature", "value", (F.col("idx") + F.coalesce(F.col("last") + 1, F.lit(0))).alias("idx"),
+                                                      F.lit(version).alias("version"))
+
+
+def at_version(versioned: DataFrame, version: int) -> DataFrame:
+    """The vocabulary as it was at ``version``: what its models were trained with."""
+    return versioned.where(F.col("version") <= version).select("feature", "value", "idx")
 
 
 def arity(vocab: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ a curve) would then be sorted by a single core.  Here the rows are range
 partitioned on (g, v) instead, numbered inside each range, and shifted by
 the row counts of the earlier ranges of the same group.
 
-The plan is the same at every size; the number of ranges follows the row
-count, so a range holds about ``ROWS_PER_RANGE`` rows and no cluster setting
-deals a small table into thousands of ranges.
+The plan is the same at every size; the number of ranges follows the bytes
+(``ordered_index``) or the row count (``running_sum``: about ``ROWS_PER_RANGE``
+rows in a range), and no cluster setting deals a small table into thousands of
+ranges.
 """
 
 from __future__ import annotations
@@ -40,29 +41,34 @@ def _tagged_ranges(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def ordered_index(df: DataFrame, group_col: str | None, order_col: str, name: str = "idx",
-                  descending: bool = False, num_partitions: int | None = None,
-                  known_rows: int | None = None) -> DataFrame:
+                  descending: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row within its group, in
     ascending (or descending) order of ``order_col``.  Rows should be
     distinct on (group_col, order_col); ties get consecutive ids in an
     unspecified order.  NULLs sort first ascending, last descending.
-    ``known_rows``: the row count, if the caller has taken it already."""
+
+    One write: rows go into ranges of (group, order), are sorted there and
+    written with a number that counts on within each range; Spark makes as many
+    ranges as their bytes ask for (or ``num_partitions``).  What is left is
+    the count of each group in each range, and one join with those.
+    """
     gcols = [group_col] if group_col else []
     okey = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_first()
-    n = _ranges(df, num_partitions, known_rows)
-    ranged = _tagged_ranges(df, n, *[F.col(g).asc_nulls_first() for g in gcols], okey)
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid", *gcols).orderBy(okey)))
-    counts = local.groupBy(*gcols, "_pid").agg(F.max("_local").alias("_cnt"))
+    keys = [*[F.col(g).asc_nulls_first() for g in gcols], okey]
+    dealt = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    # the upper bits of the number are the range, the lower ones count its rows
+    placed = hand_off(dealt.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_pid", F.shiftright("_at", 33))
+    counts = placed.groupBy(*gcols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*gcols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*gcols, "_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = counts.select(*gcols, "_pid", "_first", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     # null-safe match on the group column (a NULL group is a real group)
-    lo, of = local.alias("_lo"), offsets.alias("_of")
+    lo, of = placed.alias("_lo"), offsets.alias("_of")
     cond = [F.col("_lo._pid") == F.col("_of._pid")] + [
         F.col(f"_lo.{g}").eqNullSafe(F.col(f"_of.{g}")) for g in gcols]
     return lo.join(of, cond).select(
         *[F.col(f"_lo.`{c}`").alias(c) for c in df.columns],
-        (F.col("_of._off") + F.col("_lo._local") - 1).cast("long").alias(name))
+        (F.col("_of._off") + F.col("_lo._at") - F.col("_of._first")).cast("long").alias(name))
 
 
 def running_sum(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False,

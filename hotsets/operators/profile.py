@@ -16,6 +16,13 @@ def log_histogram(df: DataFrame, metric: str, bucket_name: str | None = None) ->
             .agg(F.count(F.lit(1)).alias("occurrences")))
 
 
+def log_histograms(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, bucket, occurrences) of several metrics from one scan and one shuffle: each row
+    gives a bucket per metric, combined before the shuffle."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), log_bucket(m).alias("bucket")) for m in metrics]))
+    return df.select(pairs.alias("p")).groupBy("p.metric", "p.bucket").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
 def ordered_histogram(hist: DataFrame, bucket_name: str) -> DataFrame:
     """Histogram sorted by occurrences (bucket as tie-break)."""
     return hist.orderBy(F.col("occurrences"), F.col(bucket_name).asc_nulls_first())

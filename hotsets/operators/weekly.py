@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hotsets.functions.naming import with_dataset_parts
-from hotsets.functions.timefn import week_of_epoch_ms, week_of_epoch_s
+from hotsets.functions.timefn import week_of_epoch_ms, week_of_epoch_s, year_of_epoch_s
 from hotsets.schemas import POPULARITY_COLUMNS
 
 # fixed value: server domain recorded for every grid job
@@ -14,15 +14,15 @@ JOB_SERVER_DOMAIN = "cern.ch"
 _RAW_KEYS = ["client_domain", "server_domain", "server_site", "user_protocol"]
 
 
-def to_canonical(df: DataFrame) -> DataFrame:
-    """Select the 16 popularity columns in canonical order and types."""
+def to_canonical(df: DataFrame, *before: str) -> DataFrame:
+    """Select the 16 popularity columns in canonical order and types (after those named)."""
     casts = {"week": "int", "dataset_size": "double", "numaccesses": "double",
              "proctime": "double", "readbytes": "double"}
-    return df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c)
+    return df.select(*before, *[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c)
                        for c in POPULARITY_COLUMNS])
 
 
-def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool = False) -> DataFrame:
+def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool = False, by_year: bool = False) -> DataFrame:
     """Join cleaned accesses to the file catalog and aggregate per week.
 
     Keys: week, dataset, client domain, catalog user, server domain, site,
@@ -41,12 +41,15 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool
 
     ``file_size_once``: ``dataset_size`` counts each accessed file once per
     weekly group (the size of the data that was read) instead of once per
-    access.
+    access.  ``by_year``: weeks of different years stay apart, by a first
+    column ``year`` (that of the ISO week).
     """
+    period = {"year": year_of_epoch_s("cts")} if by_year else {}
+    period["week"] = week_of_epoch_s("cts")
     cat = catalog.select("file_lfn", "dataset_name", F.col("usernameXX").alias("username"), "filesize")
-    acc = clean.select(week_of_epoch_s("cts").alias("week"), "file_lfn", *_RAW_KEYS,
+    acc = clean.select(*[c.alias(n) for n, c in period.items()], "file_lfn", *_RAW_KEYS,
                        "client_host", "proctime", "readbytes")
-    acc = acc.groupBy("week", "file_lfn", *_RAW_KEYS).agg(
+    acc = acc.groupBy(*period, "file_lfn", *_RAW_KEYS).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count("client_host").alias("_hosts"),
         F.sum("proctime").alias("_proctime"),
@@ -54,7 +57,7 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool
     )
     size = F.col("filesize") if file_size_once else F.col("filesize") * F.col("_rows")
     out = acc.join(cat, "file_lfn").groupBy(
-        "week", "dataset_name", "client_domain", "username", "server_domain", "server_site", "user_protocol").agg(
+        *period, "dataset_name", "client_domain", "username", "server_domain", "server_site", "user_protocol").agg(
         F.sum(size).alias("dataset_size"),
         F.sum("_hosts").alias("numaccesses"),
         F.sum("_proctime").alias("proctime"),
@@ -62,7 +65,8 @@ def access_popularity(clean: DataFrame, catalog: DataFrame, file_size_once: bool
     )
     # name parts are functions of dataset_name: derive after the aggregate
     # instead of carrying five more group keys through the shuffle
-    return to_canonical(with_dataset_parts(out))
+    out = with_dataset_parts(out)
+    return to_canonical(out, "year") if by_year else to_canonical(out)
 
 
 def jobs_popularity(jobs: DataFrame, server_domain: str = JOB_SERVER_DOMAIN) -> DataFrame:

@@ -9,3 +9,6 @@ values are encoded leave one site out of their vocabulary.
 
 LABEL_METRIC, LABEL_THRESHOLD = "readbytes", 50000.0
 TRAIN_LAST_WEEK, HELD_OUT_SITE = 40, "NATION_3"
+
+# buckets of the file key: both tables of the weekly join have as many
+BUCKETS = 16

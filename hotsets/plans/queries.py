@@ -6,21 +6,24 @@ adapters; none runs on fixed or made-up input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from hotsets.functions.naming import dataset_parts
-from hotsets.ml import models
+from hotsets.ml import models, verify
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
-from hotsets.plans.params import HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, TRAIN_LAST_WEEK
+from hotsets.plans.params import BUCKETS, HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, TRAIN_LAST_WEEK
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
-from hotsets.sources.handoff import hand_off
-from hotsets.sources.readers import to_number
+from hotsets.sources.buckets import co_located, write_bucketed
+from hotsets.sources.handoff import beside, hand_off, owner_of
+from hotsets.sources.readers import CORRUPT, observed_json, to_number, typed_numbers
+from hotsets.sources.sinks import load_weeks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -59,6 +62,25 @@ def q_popularity_weekly_file_once(spark, sf_dir):
     return rounded(access_popularity(d.access_clean, d.file_catalog, file_size_once=True))
 
 
+@register("popularity_weekly_bucketed")
+def q_popularity_weekly_bucketed(spark, sf_dir):
+    """The weekly table from accesses and catalog that are stored in buckets of the file key."""
+    d, tag = Domain(spark, sf_dir), uuid.uuid4().hex
+    accesses = write_bucketed(d.access_clean, f"accesses_{tag}", "file_lfn", BUCKETS)
+    catalog = write_bucketed(d.file_catalog, f"catalog_{tag}", "file_lfn", BUCKETS)
+    return rounded(access_popularity(*co_located(accesses, catalog)))
+
+
+@register("popularity_weekly_loads")
+def q_popularity_weekly_loads(spark, sf_dir):
+    """The weekly table by year, put together from overlapping loads, as a repeated weekly job leaves it."""
+    d, path = Domain(spark, sf_dir), owner_of(spark).new_path()
+    weekly = hand_off(access_popularity(d.access_clean, d.file_catalog, by_year=True))
+    for load in ("week <= 30", "week > 20", "week between 25 and 35"):
+        load_weeks(weekly.where(load), path)
+    return rounded(spark.read.schema(weekly.schema).parquet(path).select(weekly.columns))
+
+
 @register("jobs_weekly")
 def q_jobs_weekly(spark, sf_dir):
     return rounded(Domain(spark, sf_dir).jobs_popularity)
@@ -93,6 +115,19 @@ def q_json_corrupt_filter(spark, sf_dir):
     return parsed.filter(F.col("j._corrupt_record").isNull()).select("event_id", to_number(F.col("j.k"), LongType()).alias("k"))
 
 
+@register("json_observed_counts")
+def q_json_observed_counts(spark, sf_dir):
+    """Rows, malformed lines and unreadable numbers, counted by the job that writes the readable lines."""
+    schema = StructType([StructField("k", LongType()), StructField("other", LongType()), StructField(CORRUPT, StringType())])
+    text = Domain(beside(spark), sf_dir).access_json_lines.select(F.from_json("line", ", ".join(f"{f.name} string" for f in schema.fields), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j")).select("j.*")
+    found, kept = Observation("lines"), Observation("kept")
+    clean = typed_numbers(observed_json(text, schema, found), schema).where(F.col(CORRUPT).isNull())
+    hand_off(clean.select("k").observe(kept, F.count(F.lit(1)).alias("n")))
+    counts = {**found.get, "rows kept": kept.get["n"]}
+    return spark.createDataFrame(sorted(counts.items()), "name string, n_rows long")
+
+
 @register("analyses_distinct")
 def q_analyses_distinct(spark, sf_dir):
     return profile.conference_groups(Domain(spark, sf_dir).analyses)
@@ -171,6 +206,12 @@ for _m in METRICS:
     register(f"metric_histogram_{_m}")(_metric_histogram(_m))
 
 
+@register("metric_histograms")
+def q_metric_histograms(spark, sf_dir):
+    """All four histograms from one pass."""
+    return profile.log_histograms(Domain(spark, sf_dir).popularity, METRICS)
+
+
 @register("user_access_counts")
 def q_user_access_counts(spark, sf_dir):
     return profile.user_access_counts(Domain(spark, sf_dir).popularity)
@@ -201,10 +242,11 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 
 def labelled_table(spark, sf_dir) -> DataFrame:
-    """The labelled weekly table written once, in folders by week, for jobs
-    that read it several times (vocabulary, encoding, training, scoring),
-    as the weekly table is written once and read by the training job."""
-    return hand_off(labelled(spark, sf_dir), ["week"])
+    """The labelled weekly table written once for jobs that read it several
+    times (vocabulary, encoding, training, scoring), as the weekly table is
+    written once and read by the training job.  Files are as many as the
+    tasks that made it; a filter on ``week`` is pushed to their row groups."""
+    return hand_off(labelled(spark, sf_dir))
 
 
 @register("vocabulary")
@@ -224,6 +266,16 @@ for _c in features.VOCAB_COLUMNS:
     register(f"vocab_{_c}")(_vocab_query(_c))
 
 
+@register("vocabulary_versions")
+def q_vocabulary_versions(spark, sf_dir):
+    """A vocabulary of the training weeks (without one site), then what the later weeks add to it, then
+    the same weeks again, which add nothing."""
+    train, week = training_and_week(spark, sf_dir)
+    first = hand_off(features.first_version(features.vocabulary(train.filter(~F.col("server_site").eqNullSafe(HELD_OUT_SITE)), features.FEATURE_CATEGORIES)))
+    second = hand_off(first.unionByName(features.extend_vocabulary(first, week, 2)))
+    return second.unionByName(features.extend_vocabulary(second, week, 3))
+
+
 @register("label_popular")
 def q_label_popular(spark, sf_dir):
     return labelled(spark, sf_dir).select(*POPULARITY_KEYS, LABEL_METRIC, "label")
@@ -320,12 +372,12 @@ def q_rmse(spark, sf_dir):
 
 @register("curve")
 def q_curve(spark, sf_dir):
-    return rounded(evaluate.curve_points(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)
+    return rounded(evaluate.curve_points(evaluate.curve(rule_predictions(spark, sf_dir))), RATIO_DIGITS)
 
 
 @register("auc")
 def q_auc(spark, sf_dir):
-    return rounded(evaluate.areas(evaluate.curve(rule_predictions(spark, sf_dir), num_bins=100)), RATIO_DIGITS)
+    return rounded(evaluate.areas(evaluate.curve(rule_predictions(spark, sf_dir))), RATIO_DIGITS)
 
 
 # ---- models (no SQL oracle: rows-only check) -----------------------------------
@@ -355,18 +407,66 @@ def q_score_week(spark, sf_dir):
 
 
 # What plain SQL can say of the models' results: which rows are scored, with
-# which label, and that the totals and the leaves add up.
+# which label, and that totals, leaves and gradients add up.
 
-def _scored_rows(name: str, query: Query) -> None:
+def _scored_rows(name: str, model_name: str, parts) -> None:
+    """Rows whose score the exported model, evaluated by DataFrame functions, gives too."""
     def q(spark, sf_dir):
-        return query(spark, sf_dir).where("score is not null and prediction is not null").select(*POPULARITY_KEYS, "label")
+        train, score, vocab_rows = parts(spark, sf_dir)
+        model, _, rows = models.train(model_name, train, score, vocab_rows=vocab_rows)
+        rows = verify.with_row_number(rows)
+        return verify.agreeing(models.predict(model, rows, "_row"), verify.score_again(model, rows)).select(*POPULARITY_KEYS, "label")
     q.__name__ = f"q_scored_rows_{name}"
     register(f"scored_rows_{name}")(q)
 
 
+def _year_parts(spark, sf_dir):
+    year = labelled_table(spark, sf_dir)
+    train, test = sampling.train_test_split(sampling.balanced_sample(year))
+    return train, test, year
+
+
+def _week_parts(spark, sf_dir):
+    train, week = training_and_week(spark, sf_dir)
+    return sampling.train_test_split(sampling.balanced_sample(train))[0], week, train
+
+
 for _name in models.MODEL_NAMES:
-    _scored_rows(_name, REGISTRY[f"train_{_name}"])
-_scored_rows("week", q_score_week)
+    _scored_rows(_name, _name, _year_parts)
+_scored_rows("week", "random_forest", _week_parts)
+
+
+def _fitted(name: str, spark, sf_dir):
+    """A model and its training rows, scored by it."""
+    train, _, year = _year_parts(spark, sf_dir)
+    model, rows, _ = models.train(name, train, train, vocab_rows=year)
+    return model, verify.with_row_number(models.predict(model, rows, "features"))
+
+
+def _moments(name: str) -> None:
+    def q(spark, sf_dir):
+        return rounded(verify.moments(_fitted(name, spark, sf_dir)[1]), 6)
+    q.__name__ = f"q_fit_{name}"
+    register(f"fit_{name}")(q)
+
+
+_moments("linear_regression")
+_moments("logistic_regression")
+
+
+@register("fit_linear_svc")
+def q_fit_linear_svc(spark, sf_dir):
+    return rounded(verify.hinge_subgradient(_fitted("linear_svc", spark, sf_dir)[1]), RATIO_DIGITS)
+
+
+@register("fit_random_forest")
+def q_fit_random_forest(spark, sf_dir):
+    return rounded(verify.forest_checks(*_fitted("random_forest", spark, sf_dir)), RATIO_DIGITS)
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf_dir):
+    return verify.boosted_leaf_means(*_fitted("gbt", spark, sf_dir))
 
 
 @register("tree_leaf_means")
@@ -391,7 +491,7 @@ def q_score_week_totals(spark, sf_dir):
 def q_score_week_evaluation(spark, sf_dir):
     """Confusion counts, rates and areas of the weekly random-forest scores."""
     preds = hand_off(q_score_week(spark, sf_dir))
-    return rounded(evaluate.metrics(preds, evaluate.curve(preds, num_bins=100)), RATIO_DIGITS)
+    return rounded(evaluate.metrics(preds, evaluate.curve(preds)), RATIO_DIGITS)
 
 
 

@@ -18,14 +18,15 @@ import os
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import Observation, SparkSession, functions as F
 
 from hotsets.ml import models
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.accesslog import clean_accesses
 from hotsets.operators.weekly import access_popularity, jobs_popularity
+from hotsets.schemas import METRICS
 from hotsets.sources import readers, sinks
-from hotsets.sources.handoff import hand_off
+from hotsets.sources.handoff import beside, hand_off, owning
 from hotsets.sources.registry import Registry
 
 
@@ -33,7 +34,7 @@ def _j(*parts: str) -> str:
     return os.path.join(*parts) if "://" not in parts[0] else "/".join(p.strip("/") for p in parts)
 
 
-def _source(spark: SparkSession, registry: Registry, name: str, optional: tuple[str, ...]):
+def _source(spark: SparkSession, registry: Registry, name: str, optional: tuple[str, ...], observation: Observation | None = None):
     """The source as a DataFrame.  One that is missing or matches no file is an
     error, or None if it is named as optional."""
     if name in optional and (name not in registry.names() or not registry.has_files(spark, name)):
@@ -41,7 +42,7 @@ def _source(spark: SparkSession, registry: Registry, name: str, optional: tuple[
     if name not in registry.names():
         raise ValueError(f"source {name!r} is not registered; name it in optional= to go on without it")
     try:
-        return registry.read(spark, name)
+        return registry.read(spark, name, observation)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise FileNotFoundError(f"source {name!r} has no files at {registry.path(name)}; name it in optional= to go on without it") from e
@@ -53,6 +54,12 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
     """Stage 1.  Returns the written paths by table name.  All sources of the
     study must be there, but for those named in ``optional``: their tables
     are left out."""
+    with owning(spark, "study-build") as owned:
+        return _build_tables(owned, registry, out_dir, access_source, mode, optional)
+
+
+def _build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_source: str,
+                  mode: str, optional: tuple[str, ...]) -> dict[str, str]:
     written: dict[str, str] = {}
 
     def put(df, name: str, folder: str | None = None) -> str:
@@ -61,14 +68,21 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
         return written[name]
 
     # every source is resolved before anything is written
-    log, catalog, jobs, snap, analyses, datasets = (
-        _source(spark, registry, n, optional)
-        for n in ("access_log", "file_catalog", "jobs", "replica_snapshots", "analyses", "dataset_catalog"))
+    observed = Observation("access_log")
+    log = _source(beside(spark), registry, "access_log", optional, observed)
+    catalog, jobs, snap, analyses, datasets = (
+        _source(spark, registry, n, optional) for n in ("file_catalog", "jobs", "replica_snapshots", "analyses", "dataset_catalog"))
 
     if log is not None and catalog is not None:
-        clean_path = put(clean_accesses(log), "access_clean", f"access_clean_{access_source}")
+        # the one scan of the raw log: what it reads, rejects and writes is counted on the way
+        kept = Observation("access_clean")
+        clean_path = put(clean_accesses(log).observe(kept, F.count(F.lit(1)).alias("n")), "access_clean", f"access_clean_{access_source}")
+        counts = {"access_clean": kept.get["n"]}
         if registry.format("access_log") == "json":
-            put(registry.unreadable_numbers(spark, "access_log"), "access_unreadable")
+            found = dict(observed.get)
+            counts |= {"access_raw": found.pop(readers.OBSERVED_ROWS), "access_corrupt": found.pop(readers.OBSERVED_CORRUPT)}
+            put(spark.createDataFrame([(f, n) for f, n in found.items() if n], "field string, n_rows long"), "access_unreadable")
+        put(spark.createDataFrame(sorted(counts.items()), "table_name string, n_rows long"), "access_counts")
         # the weekly job reads the cleaned table back: one scan of the raw log
         clean = readers.read_access_clean(spark, clean_path)
         pop = access_popularity(clean, catalog)
@@ -79,8 +93,11 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
         # the rows (spilling to disk if needed), release them afterwards
         weekly = readers.read_popularity(spark, pop_path).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for metric in ("dataset_size", "numaccesses", "proctime", "readbytes"):
-                put(profile.ordered_histogram(profile.log_histogram(weekly, metric), metric), f"histogram_{metric}")
+            # all metrics in one pass; the result has a few dozen rows for each
+            together = hand_off(profile.log_histograms(weekly, METRICS))
+            for metric in METRICS:
+                one = together.where(F.col("metric") == metric).select(F.col("bucket").alias(metric), "occurrences")
+                put(profile.ordered_histogram(one, metric), f"histogram_{metric}")
             put(profile.ordered_histogram(profile.user_histogram(weekly), "rows_per_user"), "histogram_users")
         finally:
             weekly.unpersist()
@@ -109,13 +126,19 @@ def _replica_schema():
 
 def train_and_score(spark: SparkSession, train_path: str, week_path: str, out_dir: str,
                     model: str = "random_forest", metric: str = features.DEFAULT_LABEL_METRIC,
-                    threshold: float = features.DEFAULT_THRESHOLD, num_bins: int = 100,
+                    threshold: float = features.DEFAULT_THRESHOLD, num_bins: int = 0,
                     mode: str = sinks.DEFAULT_MODE, top_n: int | None = None) -> dict[str, str]:
     """Stage 2.  Trains ``model`` on the training part of the balanced year and
     scores the new week and the held-out part.  Writes the week's
     ``label,prediction`` lines and, for both, the ROC and precision-recall
     curves, precision, recall, F1 and F0.5 by threshold, and the metrics as
-    (metric, value) rows."""
+    (metric, value) rows.  Curves have a point per score; ``num_bins`` thins them out."""
+    with owning(spark, "study-train") as owned:
+        return _train_and_score(owned, train_path, week_path, out_dir, model, metric, threshold, num_bins, mode, top_n)
+
+
+def _train_and_score(spark: SparkSession, train_path: str, week_path: str, out_dir: str, model: str, metric: str,
+                     threshold: float, num_bins: int, mode: str, top_n: int | None) -> dict[str, str]:
     # the year is read for the vocabulary and for the sample: parse the text once
     year = features.with_label(readers.read_popularity(spark, train_path), metric, threshold).persist(StorageLevel.MEMORY_AND_DISK)
     week = features.with_label(readers.read_popularity(spark, week_path), metric, threshold)

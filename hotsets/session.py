@@ -52,6 +52,16 @@ def apply_core_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def fresh_session(spark: SparkSession) -> SparkSession:
+    """Another session of the same application with the same settings and its own state."""
+    fresh = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            fresh.conf.set(k, v)
+    apply_core_conf(fresh)
+    return fresh
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint folder, setting one only when none is configured.
 

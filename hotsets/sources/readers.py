@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DataType, IntegralType, NumericType, StructType
 
 from hotsets import schemas
@@ -32,16 +32,18 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, mod
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType,
-                    base_path: str | None = None) -> DataFrame:
+                    base_path: str | None = None, observation: Observation | None = None) -> DataFrame:
     """JSON lines with the schema's types.
 
     Every field is read as text, so that only a malformed line sets
     ``_corrupt_record``; numbers are then converted: ``100``, ``100.0``,
     ``100.5`` and ``"100"`` are all numbers.  In an integer field a fraction
     is cut off, and what is no number becomes NULL (``unreadable_numbers``
-    finds such rows).  The result does not depend on the columns used later.
+    finds such rows, an ``observation`` counts them).  The result does not depend
+    on the columns used later.
     """
-    return typed_numbers(read_json_text(spark, path, schema, base_path), schema)
+    text = read_json_text(spark, path, schema, base_path)
+    return typed_numbers(text if observation is None else observed_json(text, schema, observation), schema)
 
 
 def read_json_text(spark: SparkSession, path: str | list[str], schema: StructType,
@@ -69,15 +71,31 @@ def typed_numbers(text: DataFrame, schema: StructType) -> DataFrame:
                          for c in text.columns])
 
 
+def unreadable_counters(schema: StructType) -> list[Column]:
+    """For each numeric field, how often its text is no number (columns named after the fields)."""
+    return [F.count_if(F.col(f"`{f.name}`").isNotNull() & to_number(F.col(f"`{f.name}`"), f.dataType).isNull()).alias(f.name)
+            for f in schema.fields if isinstance(f.dataType, NumericType)]
+
+
 def unreadable_numbers(text: DataFrame, schema: StructType) -> DataFrame:
     """``field``, ``n_rows``: how often a numeric field holds something that is
     no number, for the fields where that happens."""
-    names = [f for f in schema.fields if isinstance(f.dataType, NumericType)]
-    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & to_number(F.col(f"`{f.name}`"), f.dataType).isNull()).alias(f.name) for f in names]
-    pairs = ", ".join(f"'{f.name}', `{f.name}`" for f in names)
+    bad = unreadable_counters(schema)
+    names = [f.name for f in schema.fields if isinstance(f.dataType, NumericType)]
+    pairs = ", ".join(f"'{n}', `{n}`" for n in names)
     return text.agg(*bad).selectExpr(f"stack({len(names)}, {pairs}) AS (field, n_rows)").where("n_rows > 0")
 
 
+#: names of the observed counts that are not fields
+OBSERVED_ROWS, OBSERVED_CORRUPT = "rows read", "corrupt rows"
+
+
+def observed_json(text: DataFrame, schema: StructType, observation: Observation) -> DataFrame:
+    """``text`` with its rows, its malformed lines and its unreadable numbers counted on the way,
+    by whatever job reads it next: no scan of its own.  ``observation.get`` has the counts then."""
+    return text.observe(observation, F.count(F.lit(1)).alias(OBSERVED_ROWS), F.count(F.col(CORRUPT)).alias(OBSERVED_CORRUPT), *unreadable_counters(schema))
+
+
 def read_avro(spark: SparkSession, path: str | list[str], schema: StructType | None = None,
               base_path: str | None = None) -> DataFrame:
     r = spark.read.format("avro")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 from hotsets import schemas
@@ -58,19 +58,15 @@ class Registry:
     def format(self, name: str) -> str:
         return self._sources[name].fmt
 
-    def unreadable_numbers(self, spark: SparkSession, name: str) -> DataFrame:
-        """What a JSON source holds in numeric fields that is no number."""
-        s = self._sources[name]
-        return readers.unreadable_numbers(readers.read_json_text(spark, self.path(name), s.schema), s.schema)
-
-    def read(self, spark: SparkSession, name: str) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, observation: Observation | None = None) -> DataFrame:
+        """The source as a DataFrame.  ``observation``: counts of a JSON source, taken by the job that reads it."""
         s = self._sources[name]
         opts = dict(s.options)
         if s.base_path:
             opts["base_path"] = s.base_path if (s.base_path.startswith("/") or "://" in s.base_path) \
                 else f"{self.root}/{s.base_path}"
         if s.fmt == "json":
-            return readers.read_json_lines(spark, self.path(name), s.schema, opts.get("base_path"))
+            return readers.read_json_lines(spark, self.path(name), s.schema, opts.get("base_path"), observation)
         return readers.read(spark, s.fmt, self.path(name), s.schema, **opts)
 
 

@@ -39,6 +39,18 @@ def write_popularity(df: DataFrame, path: str, fmt: str = "csv", mode: str = DEF
         write_parquet(df, path, mode, partition_by=["week"])
 
 
+def load_weeks(pop: DataFrame, path: str) -> None:
+    """Put the weeks of ``pop`` (with ``year`` and ``week``) into the Parquet table at ``path``.
+
+    A load can be repeated: it replaces the weeks it holds, whole, and leaves all
+    others untouched (dynamic partition overwrite).  New files appear only when the job
+    commits, so one that fails changes nothing.  Rows are gathered by week for few files; a
+    week that is too large for a task is split.
+    """
+    (pop.hint("rebalance", "year", "week").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year", "week").parquet(path))
+
+
 def write_label_prediction(preds: DataFrame, path: str, mode: str = DEFAULT_MODE,
                            single_file: bool = False) -> None:
     """``label,prediction`` text lines.  ``single_file`` funnels the rows

@@ -20,13 +20,12 @@ def test_ordered_index_matches_dense_rank(spark, local):
     data = [(rnd.choice(["a", "b", "c", None]), f"v{rnd.randint(0, 5000):05d}") for _ in range(3000)]
     df = spark.createDataFrame(data, "g string, v string").distinct()
     known = df.count() if local else None
-    got = ordered_index(df, "g", "v", "idx", num_partitions=7, known_rows=known)
+    got = ordered_index(df, "g", "v", "idx", num_partitions=7)
     want = df.withColumn("idx", F.dense_rank().over(Window.partitionBy("g").orderBy("v")) - 1)
     assert rows(got, "g", "v", "idx") == rows(want, "g", "v", "idx")
     # descending, no group
     d2 = df.select("v").distinct()
-    got2 = ordered_index(d2, None, "v", "i", descending=True, num_partitions=5,
-                         known_rows=d2.count() if local else None)
+    got2 = ordered_index(d2, None, "v", "i", descending=True, num_partitions=5)
     want2 = d2.withColumn("i", F.row_number().over(Window.orderBy(F.col("v").desc())) - 1)
     assert rows(got2, "v", "i") == rows(want2, "v", "i")
 
@@ -106,8 +105,7 @@ def test_ordered_index_property(spark):
     def check(pairs, parts, descending, local):
         data = sorted(set(pairs), key=lambda t: (t[0] is not None, t[0] or "", t[1]))
         df = spark.createDataFrame(data, "g string, v long")
-        got = ordered_index(df, "g", "v", "idx", descending=descending, num_partitions=parts,
-                            known_rows=len(data) if local else None)
+        got = ordered_index(df, "g", "v", "idx", descending=descending, num_partitions=parts)
         want = {}
         for g in {d[0] for d in data}:
             vs = sorted((d[1] for d in data if d[0] == g), reverse=descending)

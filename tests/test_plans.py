@@ -54,7 +54,7 @@ def test_curve_and_area_use_one_window(spark):
 def test_labelled_hand_off_prunes_columns_and_weeks(spark):
     text = plan(E.queries()["score_week_features"](spark, SF_SMALL))
     assert "ExistingRDD" not in text
-    assert re.search(r"PartitionFilters: \[[^\]]*week", text)
+    assert re.search(r"PushedFilters: \[[^\]]*week", text)
 
 
 def test_no_python_udf_in_any_query_plan(spark):

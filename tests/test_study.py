@@ -93,3 +93,30 @@ def test_cli_build_on_production_layout(spark, tmp_out, capsys):
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert "popularity" in res and "jobs_popularity" not in res and "replicas" not in res
     assert readers.read_popularity(spark, res["popularity"]).count() > 0
+
+
+def test_raw_log_is_scanned_once_and_counted(spark, tmp_out):
+    """Rows, malformed lines and unreadable numbers come from the job that cleans the log."""
+    root = os.path.join(tmp_out, "root")
+    folder = os.path.join(root, "xrootd", "2015", "08", "01")
+    good = '{"start_time": 1438387205, "end_time": 1438387305, "read_bytes_at_close": %s, "file_lfn": "f%d", "file_size": %s}\n'
+    os.makedirs(folder)
+    with open(os.path.join(folder, "log.json"), "w") as f:
+        f.writelines(good % ("100" if i % 4 else '"x"', i, "7.5" if i % 2 else '"big"') for i in range(20))
+        f.write('{"start_time": 1, \n{"end\n')
+    os.makedirs(os.path.join(root, "catalog"))
+    cat = spark.createDataFrame([("/a/b-c/d", f"f{i}", 1.0) for i in range(20)], "dataset_name string, file_lfn string, filesize double")
+    _in_schema_order(cat, schemas.FILE_CATALOG).write.csv(os.path.join(root, "catalog", "x"))
+    from hotsets.sources.registry import default_registry
+    out = study.build_tables(spark, default_registry(root), os.path.join(tmp_out, "out"), optional=("jobs", "analyses", "dataset_catalog", "replica_snapshots"))
+    counts = dict(r for r in spark.read.csv(out["access_counts"], schema="t string, n long").collect())
+    assert counts == {"access_raw": 22, "access_corrupt": 2, "access_clean": 15}
+    bad = dict(r for r in spark.read.csv(out["access_unreadable"], schema="t string, n long").collect())
+    assert bad == {"read_bytes_at_close": 5, "file_size": 10}
+    # all that reads the raw log is one scan
+    from pyspark.sql import Observation
+    from hotsets.sources import handoff
+    other = handoff.beside(spark)
+    log = default_registry(root).read(other, "access_log", Observation("again"))
+    plan = clean_accesses(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1 and "CollectMetrics" in plan

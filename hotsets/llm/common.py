@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from hotsets.session import ensure_checkpoint_dir
+from hotsets.sources.handoff import hand_off as handoff  # noqa: F401  (steps here write and drop tables as all others do)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,19 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def handoff(df: DataFrame, schema: StructType | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
-
-    Cuts the lineage the way ``checkpoint()`` does, but keeps columns apart, so that later
-    scans read only what they need, and gives the planner true sizes.  The folder belongs to
-    the application and can be removed when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -1,17 +1,17 @@
-"""URL filter from association rules mined level by level, with DataFrame functions only."""
+"""URL filter from association rules that Spark's FP-growth mines, with DataFrame functions else."""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotsets.llm.common import ascii_lower, handoff, quoted
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
-BLOCK, ALLOW = "label:block", "label:allow"
+LABELS = {"block": "label:block", "allow": "label:allow"}
+#: tasks over which the rows of one token are dealt when they meet what is known of it
+SALTS = 16
 
 
 def url_host(url: Column) -> Column:
@@ -62,122 +62,108 @@ def _tagged(kind: str, values: Column) -> Column:
     return F.transform(F.filter(values, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
 
 
-def _known_sets(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``__id``, ``__set``: the sorted tokens of every row that are in ``vocabulary`` (``token``).
+def _meet(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (``__id``, ``token``) joined with ``known`` on ``token``.
 
-    Tokens that one row in 500 has are looked up in place, so that none fills a task; their number
-    is bounded by the tokens of a row.  The others are joined.
+    A token that a third of all rows have is dealt over ``SALTS`` tasks; ``known`` has few rows a token.
     """
-    found = rows.select("__id", F.explode("tokens").alias("token"))
-    counts = handoff(found.groupBy("token").agg(F.count("*").alias("c")).join(vocabulary, "token"))
-    often = rows.count() / 500
-    heavy = [r["token"] for r in counts.where(F.col("c") >= often).orderBy("token").collect()]
-    local = F.array_intersect("tokens", F.array(*map(F.lit, heavy)) if heavy else F.array().cast("array<string>"))
-    light = (found.join(counts.where(F.col("c") < often).select("token"), "token").groupBy("__id").agg(F.collect_set("token").alias("__light")))
-    both = rows.select("__id", local.alias("__heavy")).join(light, "__id", "left")
-    return both.select("__id", F.array_sort(F.concat("__heavy", F.coalesce("__light", F.array().cast("array<string>")))).alias("__set"))
-
-
-def _frequent(rows: DataFrame, least: int) -> DataFrame | None:
-    """``items``, ``block``, ``allow`` (rows that have them all) of the token sets that make rules.
-
-    Level by level, a set is made longer only if its rows disagree and if it has fewer rows than
-    each of its parts: any other set says no more than one of its parts, whose rule is as sure,
-    and is pruned in any case.  So host suffixes, or tokens that always come together, do not
-    multiply, and neither a URL's tokens nor the length of a rule needs a bound.
+    salt = F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")
+    spread = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(spread, ["token", "__salt"]).drop("__salt")
+
+
+def _informative(rows: DataFrame, n: int, min_count: int) -> DataFrame:
+    """``token``, ``c``, ``block``: tokens that ``min_count`` rows of one verdict have, but not all rows.
+
+    Tokens that come in exactly the same rows (a host and its folder, say) would only repeat each
+    other's rules: the longest stands for them.  Rows are compared by two sums of hashes.
     """
-    enough = F.greatest("block", "allow") >= least
-    total = [F.sum("block").alias("block"), F.sum("allow").alias("allow")]
-    single = handoff(rows.select(F.explode("tokens").alias("token"), "block", "allow").groupBy("token").agg(*total).where(enough))
-    if single.isEmpty():
-        return None
-    n = rows.count()
-    open_ = (F.col("block") > 0) & (F.col("allow") > 0)
-    found = [single.select(F.array("token").alias("items"), "block", "allow")]
-    live = handoff(found[0].where(open_ & (F.col("block") + F.col("allow") < n)))
-    known = _known_sets(rows, live.select(F.col("items")[0].alias("token")))
-    # rows with the same tokens are counted once; a head is made longer by what follows it
-    sets = handoff(known.join(rows.select("__id", "block", "allow"), "__id").groupBy("__set").agg(*total)
-                   .select(F.monotonically_increasing_id().alias("set"), "__set", "block", "allow").where(F.size("__set") > 1))
-    heads = sets.select("set", "block", "allow", F.posexplode("__set").alias("pos", "token"), "__set")
-    heads = handoff(heads.select("set", "block", "allow", F.array("token").alias("items"), F.slice("__set", F.col("pos") + 2, F.size("__set")).alias("tail")).where(F.size("tail") > 0))
-    size = 1
-    while not live.isEmpty() and not heads.isEmpty():
-        size += 1
-        longer = heads.select("set", "block", "allow", "items", F.posexplode("tail").alias("pos", "token"), "tail")
-        longer = longer.select("set", "block", "allow", F.concat("items", F.array("token")).alias("items"), F.slice("tail", F.col("pos") + 2, F.size("tail")).alias("tail"))
-        counted = handoff(longer.groupBy("items").agg(*total).where(enough))
-        # every part with one token less has to be live and to have more rows
-        parts = (counted.withColumn("gone", F.explode("items")).select("items", F.array_remove("items", F.col("gone")).alias("part"), (F.col("block") + F.col("allow")).alias("c"))
-                 .join(live.select(F.col("items").alias("part"), (F.col("block") + F.col("allow")).alias("more")), "part").where("more > c"))
-        whole = parts.groupBy("items").agg(F.count("*").alias("parts")).where(F.col("parts") == size).select("items")
-        counted = handoff(counted.join(whole, "items"))
-        found.append(counted)
-        live = handoff(counted.where(open_))
-        heads = handoff(longer.where(F.size("tail") > 0).join(live.select("items"), "items", "left_semi").select("set", "block", "allow", "items", "tail"))
-    return handoff(reduce(DataFrame.union, found))
-
-
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_count: int = 20) -> DataFrame:
+    found = rows.select("__id", "block", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("c"), F.sum("block").alias("block"), F.bit_xor(F.xxhash64("__id")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(1 << 31))).alias("s"))
+    enough = (F.greatest(F.col("block"), F.col("c") - F.col("block")) >= min_count) & (F.col("c") < n)
+    return handoff(found.where(enough).groupBy("c", "block", "x", "s").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("token")).select("token", "c", "block"))
+
+
+def mine_rules(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.8, min_z: float = 3.0) -> DataFrame:
     """``items``, ``verdict``, ``confidence``, ``support`` of the rules that hold in ``labelled``.
 
-    ``labelled``: ``tokens`` and ``verdict`` ('block' or 'allow').  Rules with the verdict as
-    their consequent are kept if enough labelled URLs have their tokens and agree: ``min_support``
-    as a share, but never more than ``min_count`` URLs are asked for, whatever the number of rows
-    (``min_confidence``: the share that has to agree).  A rule is pruned if a part of its tokens
-    gives the same verdict with no less confidence.  An empty table gives no rules.
+    ``labelled``: ``tokens`` and ``verdict`` ('block' or 'allow').  Spark's FP-growth mines the token
+    sets together with the label as an item; its rules with the label as their consequent are kept if
+    at least ``min_count`` labelled URLs have their tokens and agree (an absolute number, the same at every
+    size), a share of ``min_confidence`` agrees, and that share lies ``min_z`` standard errors above
+    the verdict's share of all rows, so that labels that have nothing to do with the URL make no rules.
+    A rule is pruned if a part of its tokens gives the same verdict with no less confidence.
+
+    Three kinds of tokens do not go through FP-growth, because no longer rule could outlive the pruning:
+    those that all rows have, those that only repeat another, and those whose rows agree, which
+    are rules by themselves.  So the parts of one host do not multiply.  The frequent tokens that are
+    left reach the driver, as Spark's FP-growth has it: each stands for ``min_count`` URLs.  An empty table,
+    or one verdict alone, gives no rules.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double")
-    rows = labelled.where(F.col("verdict").isin("block", "allow"))
-    rows = handoff(rows.select(F.monotonically_increasing_id().alias("__id"), F.array_distinct("tokens").alias("tokens"),
-                               *[(F.col("verdict") == v).cast("long").alias(v) for v in ("block", "allow")]))
-    n = rows.count()
-    found = _frequent(rows, max(1, min(math.ceil(min_support * n), min_count))) if n else None
-    if found is None:
+    rows = labelled.where(F.col("verdict").isin(*LABELS))
+    rows = handoff(rows.select(F.monotonically_increasing_id().alias("__id"), F.array_distinct("tokens").alias("tokens"), (F.col("verdict") == "block").cast("long").alias("block")))
+    total = rows.agg(F.count("*").alias("n"), F.sum("block").alias("block")).first()
+    n, blocked = total["n"], total["block"] or 0
+    if blocked in (0, n):
         return empty
-    least = max(1, min(math.ceil(min_support * n), min_count))
-    sides = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("hits")) for v in ("block", "allow")]))
-    rules = found.select("items", (F.col("block") + F.col("allow")).alias("c"), sides.alias("s")).where(F.col("s.hits") >= least)
-    rules = rules.select("items", "s.verdict", (F.col("s.hits") / F.col("c")).alias("confidence"), (F.col("s.hits") / n).alias("support"))
-    rules = handoff(rules.where(F.col("confidence") >= min_confidence))
+    known = _informative(rows, n, min_count)
+    pure = F.when(F.col("block") == 0, F.lit("allow")).when(F.col("block") == F.col("c"), F.lit("block"))
+    rules = known.select(F.array("token").alias("items"), pure.alias("verdict"), F.col("c").alias("hits"), "c").where("verdict is not null")
+
+    mixed = known.where(pure.isNull()).select("token")
+    held = _meet(rows.select("__id", "block", F.explode("tokens").alias("token")), mixed)
+    label = F.when(F.col("block") == 1, LABELS["block"]).otherwise(LABELS["allow"])
+    baskets = handoff(held.groupBy("__id", "block").agg(F.collect_set("token").alias("items")).select(F.concat("items", F.array(label)).alias("items")))
+    m = baskets.count()
+    if m:
+        # a share that Spark rounds up to min_count rows
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / m), minConfidence=min_confidence).fit(baskets)
+        names = F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (v, k)])
+        mined = model.associationRules.withColumn("verdict", names[F.col("consequent")[0]]).where("verdict is not null")
+        hits = F.round(F.col("support") * m)
+        rules = rules.unionByName(mined.select(F.array_sort("antecedent").alias("items"), "verdict", hits.cast("long").alias("hits"),
+                                               F.round(hits / F.col("confidence")).cast("long").alias("c")))
+    base = F.when(F.col("verdict") == "block", blocked / n).otherwise(1 - blocked / n)
+    rules = rules.withColumn("confidence", F.col("hits") / F.col("c"))
+    sure = (F.col("confidence") - base) * F.sqrt(F.col("c") / (base * (1 - base))) >= min_z
+    rules = handoff(rules.where((F.col("confidence") >= min_confidence) & sure).select("items", "verdict", "confidence", (F.col("hits") / n).alias("support")))
     # a rule with one token less is found by its items, not by comparing all rules
     parts = (rules.withColumn("gone", F.explode("items")).select("items", "verdict", "confidence", F.array_remove("items", F.col("gone")).alias("part"))
              .join(rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("shorter")), ["part", "verdict"])
              .where("shorter >= confidence").select("items", "verdict").distinct())
-    return rules.join(parts, ["items", "verdict"], "left_anti").select("items", "verdict", "confidence", "support")
+    return handoff(rules.join(parts, ["items", "verdict"], "left_anti").select("items", "verdict", "confidence", "support"))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` (with ``tokens``) with ``mined``: the verdict of the surest rule that matches.
 
-    Rules are looked up by inverted index, each under its rarest token, and verified against the
-    whole token set; each distinct set of known tokens is matched once.  The surest rule has the
-    highest confidence, then support, then most tokens, then comes first; NULL if none matches.
+    Rules are looked up by inverted index, each under the token that fewest rules have, and verified
+    against the page's whole token set.  The surest rule has the highest confidence, then support, then
+    most tokens; of rules that are equal in all that, one that blocks comes first.  NULL if none matches.
     """
-    rules = handoff(rules)
     items = rules.select(F.explode("items").alias("token"), F.struct("items", "verdict").alias("id"))
     common = items.groupBy("token").agg(F.count("*").alias("n"))
-    pages = handoff(pages.withColumn("__id", F.monotonically_increasing_id()))
-    known = handoff(_known_sets(pages, common.select("token")))
     under = (items.join(common, "token").groupBy("id").agg(F.min(F.struct("n", "token")).alias("rare"))
-             .select("id.items", "id.verdict", F.col("rare.token").alias("token"))
-             .join(rules, ["items", "verdict"]))
-    sets = known.select("__set").distinct()
-    looked = sets.withColumn("token", F.explode("__set")).join(under, "token").where(F.size(F.array_except("items", "__set")) == 0)
-    best = looked.groupBy("__set").agg(F.max_by("verdict", F.struct("confidence", "support", F.size("items"), F.col("verdict") == "block", "items")).alias("mined"))
-    return pages.join(known.join(best, "__set").select("__id", "mined"), "__id", "left").drop("__id")
+             .select("id.items", "id.verdict", F.col("rare.token").alias("token")).join(rules, ["items", "verdict"]))
+    pages = handoff(pages.withColumn("__id", F.monotonically_increasing_id()))
+    rank = F.struct("confidence", "support", F.size("items").alias("n"), (F.col("verdict") == "block").alias("blocks"), "items", "verdict")
+    looked = _meet(pages.select("__id", F.explode("tokens").alias("token")), under.select("token", rank.alias("rule"))).groupBy("__id").agg(F.collect_list("rule").alias("rules"))
+    fits = F.filter("rules", lambda r: F.size(F.array_except(r["items"], F.col("tokens"))) == 0)
+    return pages.join(looked, "__id", "left").withColumn("mined", F.array_max(fits)["verdict"]).drop("__id", "rules")
 
 
 def judge_urls(pages: DataFrame, listed: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
-               label_id: str = "doc_id", label_col: str = "quality", min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+               label_id: str = "doc_id", label_col: str = "quality", min_count: int = 20, min_confidence: float = 0.8, min_z: float = 3.0) -> DataFrame:
     """``page_id``, ``url``, ``host``, ``path``, ``rule``, ``verdict``, ``mined`` of every row.
 
     The verdict is that of the longest listed rule that fits; else that of the surest mined rule
     that matches; else 'allow'.  Rules are mined from all pages with a label: the verdict of a
     listed rule, or else the row of ``labels`` with the page's id (0: block, 1: allow;
     contradicting or NULL labels are ignored).  NULL urls, and urls without ``://``, have an
-    empty host and path and no tokens; repeated rows are judged alike.
+    empty host and path and no tokens; repeated rows are judged alike; an empty table gives an
+    empty result; other columns, whatever their names, do not matter.
     """
     url = quoted(url_col).cast("string")
     rows = pages.select(quoted(id_col).alias("page_id"), url.alias("url"))
@@ -189,5 +175,5 @@ def judge_urls(pages: DataFrame, listed: list[tuple[str, str, str]], labels: Dat
         marks = (labels.select(quoted(label_id).alias("page_id"), quoted(label_col).cast("int").alias("y")).where("y in (0, 1)")
                  .groupBy("page_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z"))
         labelled = labelled.join(marks, "page_id", "left").withColumn("verdict", F.coalesce("verdict", F.when(F.col("y") == 0, "block").when(F.col("y") == 1, "allow")))
-    judged = match_rules(rows, mine_rules(labelled.select("tokens", "verdict"), min_support, min_confidence))
+    judged = match_rules(rows, mine_rules(labelled.select("tokens", "verdict"), min_count, min_confidence, min_z))
     return judged.select("page_id", "url", "host", "path", "rule", F.coalesce("listed", "mined", F.lit("allow")).alias("verdict"), "mined")

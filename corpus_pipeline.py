@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document, or an earlier line, has."""
-    return drop_repeated_lines(docs, min_words=3, min_near_words=10)
+    return drop_repeated_lines(docs, min_words=3, min_near_words=5, min_chars=20)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,38 +33,65 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
+#: first unit of a line that is compared by its characters; a blank inside such a line
+SPELLED, BLANK = "\x02", "\x01"
+
+
+def _comparable(norm: Column, min_words: int, min_chars: int) -> Column:
+    """Lines long enough, in words or in characters, that equal ones are no chance."""
+    return (_word_count(norm) >= min_words) | (F.length(norm) >= min_chars)
+
+
+def _units(norm: Column, min_near_words: int, min_chars: int) -> Column:
+    """What edits of a line are counted in, blank-separated: its words, if it has enough of them, or else
+    its characters (scripts without blanks, long strings); NULL for a line too short for either."""
+    spelled = F.concat(F.lit(SPELLED), F.regexp_replace(F.translate(norm, " ", BLANK), r"(?s)(.)", " $1"))
+    return F.when(_word_count(norm) >= min_near_words, norm).when(F.length(norm) >= min_chars, spelled)
+
+
 def _half(norm: Column, m: Column, side: str) -> Column:
-    """Key of the first m/2 words, or of the last m - m/2, of a line seen as having m words."""
+    """Key of the first m/2 units, or of the last m - m/2, of a line seen as having m units."""
     half = F.floor(m / 2).cast("int")
     part = (F.call_function("substring_index", norm, F.lit(" "), half) if side == "first"
             else F.call_function("substring_index", norm, F.lit(" "), half - m))
     return F.xxhash64(F.lit(side), m, part)
 
 
-def _lines(rows: DataFrame, min_words: int, min_near_words: int) -> DataFrame:
-    """Lines that are long enough to be compared, as hashes, with the keys of their halves.
+def _lines(rows: DataFrame, min_words: int, min_near_words: int, min_chars: int) -> DataFrame:
+    """What is looked for elsewhere, as hashes ``h`` and ``g``: the lines that are long enough (``goes``: their
+    number), with the keys of their halves, and the pairs of neighbouring lines of which one is shorter
+    (``goes``: the numbers of the short ones).
 
-    One edited word leaves either the first or the last half of the shorter line as it was, so
+    One edited unit leaves either the first or the last half of the shorter line as it was, so
     two lines within one edit share a half key.  A line takes part as the shorter or equal one
-    (m = its words) and as the longer one (m = its words - 1).
+    (m = its units) and as the longer one (m = its units - 1).
     """
-    # normalised before the lines are dealt out, so that the filter below does not repeat it
-    norms = F.transform(text_lines(F.col("text")), normal_line)
-    lines = rows.select("doc_id", "t", F.posexplode(norms).alias("line_no", "norm"))
-    lines = lines.withColumn("n", _word_count(F.col("norm"))).where(F.col("n") >= min_words)
-    n, norm = F.col("n"), F.col("norm")
-    keys = F.when(n >= min_near_words, F.array(*[_half(norm, m, side) for m in (n, n - 1) for side in ("first", "last")]))
-    return lines.select("doc_id", "t", "line_no", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit("second"), "norm").alias("g"), "n", keys.alias("halves"))
+    # normalised before the lines are dealt out, so that nothing below repeats it
+    norms = F.transform(text_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), normal_line(line).alias("x")))
+    full = F.filter(norms, lambda p: p["x"] != "")
+    held = rows.select("doc_id", "t", full.alias("lines"))
+    held = held.withColumn("lines", F.transform("lines", lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"), _comparable(p["x"], min_words, min_chars).alias("long"))))
+    rest = F.greatest(F.size("lines") - 1, F.lit(0))
+    pairs = F.filter(F.zip_with(F.slice("lines", F.lit(1), rest), F.slice("lines", F.lit(2), rest), lambda a, b: F.when(~a["long"] | ~b["long"], F.struct(
+        a["i"].alias("line_no"), F.filter(F.array(F.when(~a["long"], a["i"]), F.when(~b["long"], b["i"])), lambda i: i.isNotNull()).alias("goes"),
+        F.concat_ws("\n", F.lit("pair"), a["x"], b["x"]).alias("x"), F.lit(False).alias("line")))), lambda p: p.isNotNull())
+    alone = F.transform(F.filter("lines", lambda p: p["long"]), lambda p: F.struct(
+        p["i"].alias("line_no"), F.array(p["i"]).alias("goes"), p["x"].alias("x"), F.lit(True).alias("line")))
+    found = held.select("doc_id", "t", F.explode(F.concat(alone, pairs)).alias("p")).select("doc_id", "t", "p.*")
+    found = found.withColumn("units", F.when(F.col("line"), _units(F.col("x"), min_near_words, min_chars)))
+    n, units = _word_count(F.col("units")), F.col("units")
+    keys = F.when(units.isNotNull(), F.array(*[_half(units, m, side) for m in (n, n - 1) for side in ("first", "last")]))
+    return found.select("doc_id", "t", "line_no", "goes", F.xxhash64("x").alias("h"), F.xxhash64(F.lit("second"), "x").alias("g"), keys.alias("halves"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Hashed keys ``v`` of every line (``pos`` -1) and of the line without each of its words.
+    """Hashed keys ``v`` of every line (``pos`` -1) and of the line without each of its units.
 
-    A sequence is hashed as the exclusive or of its words' hashes salted with their positions;
-    what follows a deleted word moves up by one; the number of words is part of the key.  Running totals give all keys of a line in one
-    pass over its words.
+    A sequence is hashed as the exclusive or of its units' hashes salted with their positions;
+    what follows a deleted one moves up by one; the number of units is part of the key.  Running
+    totals give all keys of a line in one pass over its units.
     """
-    words = lines.select(*_ID, "n", F.posexplode(F.split("norm", " ")).alias("pos", "word"))
+    words = lines.select(*_ID, "n", F.posexplode(F.split("units", " ")).alias("pos", "word"))
     words = words.select(*_ID, "n", "pos", F.xxhash64("word", "pos").alias("here"), F.xxhash64("word", F.col("pos") - 1).alias("moved"))
     w = Window.partitionBy(*_ID).orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -79,7 +106,7 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
-    """Word edit distance of at most one, from two blank-separated strings."""
+    """Edit distance of at most one unit, from two blank-separated strings of the same kind."""
     x, y = F.split(a, " "), F.split(b, " ")
     short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     agree = F.zip_with(short, F.slice(long, F.lit(1), F.size(short)), lambda p, q: p == q)
@@ -87,24 +114,26 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     rest = F.size(long)
     same_length = (first == 0) | (F.slice(short, first.cast("int") + 1, rest) == F.slice(long, first.cast("int") + 1, rest))
     one_more = (first == 0) | (F.slice(short, F.greatest(first.cast("int"), F.lit(1)), rest) == F.slice(long, first.cast("int") + 1, rest))
-    return F.when(F.size(x) == F.size(y), same_length).when(F.size(long) - F.size(short) == 1, one_more).otherwise(False)
+    alike = a.startswith(SPELLED) == b.startswith(SPELLED)
+    return F.when(~alike, False).when(F.size(x) == F.size(y), same_length).when(F.size(long) - F.size(short) == 1, one_more).otherwise(False)
 
 
-def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Ids of the first occurrences that have an earlier line within one edited word."""
+def _near(rows: DataFrame, firsts: DataFrame, min_near_words: int, min_chars: int) -> DataFrame:
+    """Ids of the first occurrences that have an earlier line within one edited unit."""
     halves = firsts.where("halves is not null").select("doc_id", "t", "line_no", F.explode(F.array_distinct("halves")).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = halves.join(shared, "key", "left_semi").groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "wanted")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")))
     found = texts.select("doc_id", "t", F.explode("wanted").alias("line_no"), text_lines(F.col("text")).alias("lines"))
-    found = found.select("doc_id", "t", "line_no", normal_line(F.element_at("lines", F.col("line_no") + 1)).alias("norm")).distinct()
-    found = handoff(found.withColumn("n", _word_count(F.col("norm"))))
+    norm = normal_line(F.element_at("lines", F.col("line_no") + 1))
+    found = found.select("doc_id", "t", "line_no", _units(norm, min_near_words, min_chars).alias("units")).distinct()
+    found = handoff(found.withColumn("n", _word_count(F.col("units"))))
     variants = handoff(_variants(found))
     # most keys belong to one line only: what follows reads the others
     met = variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
     variants = handoff(variants.join(met, "v", "left_semi"))
-    # all lines of equal length without the same word's place are within one edit of each other,
+    # all lines of equal length without the same unit's place are within one edit of each other,
     # and a line that equals another's variant is within one edit of it: the earliest of each
     # group stands for all, so a template shared by many lines makes no pairs
     groups = handoff(variants.groupBy("v", "pos").agg(F.min("id").alias("first"), F.count("*").alias("c")))
@@ -115,31 +144,40 @@ def _near(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = (edited.join(groups.where("c > 1").select("v", "pos", "first"), ["v", "pos"]).where("first < id").select("id", "first")
              .union(edited.join(by_key.select("v", F.col("whole").alias("first")), "v").where("first < id").select("id", "first"))
              .union(by_key.where("cut < whole").select("whole", "cut"))).distinct()
-    one = found.select(F.struct(*_ID).alias("id"), F.col("norm").alias("norm"))
-    other = found.select(F.struct(*_ID).alias("first"), F.col("norm").alias("first_norm"))
-    checked = pairs.join(one, "id").join(other, "first").where(_within_one_edit(F.col("norm"), F.col("first_norm")))
+    one = found.select(F.struct(*_ID).alias("id"), "units")
+    other = found.select(F.struct(*_ID).alias("first"), F.col("units").alias("first_units"))
+    checked = pairs.join(one, "id").join(other, "first").where(_within_one_edit(F.col("units"), F.col("first_units")))
     return checked.select("id.doc_id", "id.t", "id.line_no").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = 3, min_near_words: int = 10) -> DataFrame:
+                   min_words: int = 3, min_near_words: int = 5, min_chars: int = 20) -> DataFrame:
     """``doc_id``, ``t`` (hash of the text), ``dropped`` (numbers, from 0, of the lines to drop).
 
     Only documents that lose a line have a row.  Lines end at ``\\n`` and are compared
-    lower-cased with white space runs as one blank.  A line of at least ``min_words`` words goes
-    if an equal line comes earlier, in the order of (doc_id, text hash, line number); a line of
-    at least ``min_near_words`` words also goes if an earlier such line (whether or not that one
-    stays) is within one inserted, deleted or replaced word.  Shorter lines are left alone: too
-    many are equal by chance.  Rows are told apart by doc_id and text, so repeated rows are one
-    document; a NULL doc_id comes before all others; NULL or empty text has no lines.
+    lower-cased with white space runs as one blank, in the order of (doc_id, text hash, line number).
+
+    * A line of ``min_words`` words or ``min_chars`` characters goes if an equal line comes earlier.
+    * It also goes if an earlier line (whether or not that one stays) is within one edit: one
+      inserted, deleted or replaced word between lines of ``min_near_words`` words or more, one
+      character between lines of fewer words but ``min_chars`` characters (scripts without
+      blanks, long strings).  One word of five is a similarity of 0.8; longer lines have the same bound.
+    * A shorter line goes if it and the line before it, or the line after it (blank lines apart),
+      follow each other earlier too: so the short lines of a repeated passage go with it, while
+      one that is only equal by chance stays.
+
+    Rows are told apart by doc_id and text, so repeated rows are one document; a NULL doc_id comes
+    before all others; NULL or empty text has no lines; an empty table gives an empty result; other
+    columns, whatever their names, do not matter.  A line's variants are as many rows as it has
+    units, so a very long line is dealt out too; the text itself has to fit a task.
     """
     rows = _rows(docs, id_col, text_col)
-    lines = handoff(_lines(rows, min_words, min_near_words))
+    lines = handoff(_lines(rows, min_words, min_near_words, min_chars))
     firsts = handoff(lines.groupBy("h", "g").agg(F.min(F.struct(*_ID)).alias("id"), F.count("*").alias("c"), F.first("halves").alias("halves"))
                      .select("h", "g", "c", "id.*", "halves"))
-    near = _near(rows, firsts)
+    near = _near(rows, firsts, min_near_words, min_chars)
     many = firsts.where("c > 1").select("h", "g", F.struct(*_ID).alias("id"))
-    copies = lines.join(many, ["h", "g"]).where(F.struct(*_ID) != F.col("id")).select(*_ID)
+    copies = lines.join(many, ["h", "g"]).where(F.struct(*_ID) != F.col("id")).select("doc_id", "t", F.explode("goes").alias("line_no"))
     return copies.union(near).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -152,31 +190,31 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
     return both.select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def _short_firsts(rows: DataFrame, min_words: int) -> DataFrame:
+def _short_firsts(rows: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     """``doc_id``, ``t`` of the documents that hold the first of some line too short to be compared."""
     norms = F.transform(text_lines(F.col("text")), normal_line)
     lines = rows.select("doc_id", "t", F.posexplode(norms).alias("line_no", "norm"))
-    lines = lines.withColumn("n", _word_count(F.col("norm"))).where((F.col("n") > 0) & (F.col("n") < min_words))
+    lines = lines.where((F.col("norm") != "") & ~_comparable(F.col("norm"), min_words, min_chars))
     firsts = lines.groupBy(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit("second"), "norm").alias("g")).agg(F.min(F.struct(*_ID)).alias("id"))
     return firsts.select("id.doc_id", "id.t").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 10) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_words: int = 3, min_near_words: int = 5, min_chars: int = 20) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``.
 
-    A document that loses lines goes if what is left is blank, or lines of fewer than
-    ``min_words`` words that all occur earlier as well; one with any other line left keeps all
-    that is left.  A document that loses none stays as it is, be it empty or NULL.
+    A document that loses lines goes if what is left is blank, or lines too short to be compared
+    that all occur earlier as well; one with any other line left keeps all that is left.  A
+    document that loses none stays as it is, be it empty or NULL.
     """
-    found = (repeated_lines(docs, min_words=min_words, min_near_words=min_near_words)
+    found = (repeated_lines(docs, min_words=min_words, min_near_words=min_near_words, min_chars=min_chars)
              .select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("dropped").alias("__dropped")))
-    own = _short_firsts(_rows(docs, "doc_id", "text"), min_words).withColumn("__own", F.lit(True))
+    own = _short_firsts(_rows(docs, "doc_id", "text"), min_words, min_chars).withColumn("__own", F.lit(True))
     found = (found.join(own, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__t") == F.col("t")), "left")
              .select("__d", "__t", "__dropped", F.coalesce("__own", F.lit(False)).alias("__own")))
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
     kept = F.filter(F.transform(text_lines(F.col("text")), lambda line, i: F.when(~F.array_contains("__dropped", i), line)), lambda line: line.isNotNull())
     both = both.withColumn("__kept", F.when(F.col("__dropped").isNotNull(), kept))
-    left = F.exists("__kept", lambda line: _word_count(normal_line(line)) >= min_words)
+    left = F.exists("__kept", lambda line: _comparable(normal_line(line), min_words, min_chars))
     both = both.where(F.col("__dropped").isNull() | F.col("__own") | left)
     both = both.withColumn("text", F.when(F.col("__dropped").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
     return keep_columns(both, docs.columns)

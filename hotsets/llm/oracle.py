@@ -15,22 +15,33 @@ OP3 = r"""WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND text <> ''),
 line AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM split),
 clean AS (SELECT doc_id, line_no, trim(regexp_replace(lower(line), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS norm FROM line),
-word AS (SELECT doc_id, line_no, norm, string_split(norm, ' ') AS ws FROM clean WHERE norm <> '' AND len(string_split(norm, ' ')) >= 3),
-first_line AS (SELECT norm, any_value(ws) AS ws, min({'d': doc_id, 'l': line_no}) AS id FROM word GROUP BY norm),
-long_line AS (SELECT id, ws FROM first_line WHERE len(ws) >= 10),
+full_line AS (
+  SELECT doc_id, line_no, norm, len(string_split(norm, ' ')) AS n_words, len(string_split(norm, ' ')) >= 3 OR length(norm) >= 20 AS comparable
+  FROM clean WHERE norm <> ''),
+first_line AS (SELECT norm, any_value(n_words) AS n_words, min({'d': doc_id, 'l': line_no}) AS id FROM full_line WHERE comparable GROUP BY norm),
+edited AS (
+  SELECT id, n_words >= 5 AS by_word, CASE WHEN n_words >= 5 THEN string_split(norm, ' ') ELSE string_split(norm, '') END AS ws
+  FROM first_line WHERE n_words >= 5 OR length(norm) >= 20),
 variant AS (
-  SELECT id, i AS pos, list_concat(ws[1:i - 1], ws[i + 1:]) AS k FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM long_line) t
-  UNION ALL SELECT id, 0, ws FROM long_line),
-replaced AS (SELECT k, pos, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY k, pos),
-entire AS (SELECT k, min(id) AS lowest FROM variant WHERE pos = 0 GROUP BY k),
-shortened AS (SELECT k, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY k),
+  SELECT id, by_word, i AS pos, list_concat(ws[1:i - 1], ws[i + 1:]) AS k FROM (SELECT id, by_word, ws, unnest(range(1, len(ws) + 1)) AS i FROM edited) t
+  UNION ALL SELECT id, by_word, 0, ws FROM edited),
+replaced AS (SELECT by_word, k, pos, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY by_word, k, pos),
+entire AS (SELECT by_word, k, min(id) AS lowest FROM variant WHERE pos = 0 GROUP BY by_word, k),
+shortened AS (SELECT by_word, k, min(id) AS lowest FROM variant WHERE pos > 0 GROUP BY by_word, k),
 near AS (
-  SELECT v.id FROM variant v JOIN replaced r ON v.k = r.k AND v.pos = r.pos WHERE r.lowest < v.id
-  UNION SELECT v.id FROM variant v JOIN entire e ON v.k = e.k WHERE v.pos > 0 AND e.lowest < v.id
-  UNION SELECT v.id FROM variant v JOIN shortened s ON v.k = s.k WHERE v.pos = 0 AND s.lowest < v.id),
+  SELECT v.id FROM variant v JOIN replaced r ON v.by_word = r.by_word AND v.k = r.k AND v.pos = r.pos WHERE r.lowest < v.id
+  UNION SELECT v.id FROM variant v JOIN entire e ON v.by_word = e.by_word AND v.k = e.k WHERE v.pos > 0 AND e.lowest < v.id
+  UNION SELECT v.id FROM variant v JOIN shortened s ON v.by_word = s.by_word AND v.k = s.k WHERE v.pos = 0 AND s.lowest < v.id),
+pair AS (
+  SELECT doc_id, line_no AS a_no, norm AS a, comparable AS a_long, lead(line_no) OVER w AS b_no, lead(norm) OVER w AS b, lead(comparable) OVER w AS b_long
+  FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+first_pair AS (SELECT a, b, min({'d': doc_id, 'l': a_no}) AS id FROM pair WHERE b IS NOT NULL AND NOT (a_long AND b_long) GROUP BY a, b),
+again AS (SELECT p.* FROM pair p JOIN first_pair f ON p.a = f.a AND p.b = f.b WHERE {'d': p.doc_id, 'l': p.a_no} <> f.id),
 gone AS (
-  SELECT w.doc_id, w.line_no FROM word w JOIN first_line f ON w.norm = f.norm WHERE {'d': w.doc_id, 'l': w.line_no} <> f.id
-  UNION SELECT id.d, id.l FROM near),
+  SELECT w.doc_id, w.line_no FROM full_line w JOIN first_line f ON w.norm = f.norm WHERE {'d': w.doc_id, 'l': w.line_no} <> f.id
+  UNION SELECT id.d, id.l FROM near
+  UNION SELECT doc_id, a_no FROM again WHERE NOT a_long
+  UNION SELECT doc_id, b_no FROM again WHERE NOT b_long),
 per_doc AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
        CAST(coalesce(p.n, 0) AS BIGINT) AS n_dropped, coalesce(p.lines, '') AS dropped_lines

@@ -25,7 +25,7 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.line_report(table(spark, sf_dir, "documents"), min_words=3, min_near_words=10)
+    found = linededup.line_report(table(spark, sf_dir, "documents"), min_words=3, min_near_words=5, min_chars=20)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
                         F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
 

@@ -20,17 +20,27 @@ def within_one(a, b):
     return any(l[:i] + l[i + 1:] == s for i in range(len(l)))
 
 
-def brute(docs, min_words=3, near=10):
-    """{doc_id: dropped line numbers} for texts by distinct id."""
-    seen, out = [], {}
+def brute(docs, min_words=3, near=5, chars=20):
+    """{doc_id: dropped line numbers} for texts by distinct id, from the rule, line by line."""
+    seen, seen_pairs, out = [], set(), {}
     for d, text in sorted(docs.items()):
-        for n, line in enumerate((text or "").split("\n")):
-            words = normal(line).split(" ") if normal(line) else []
-            if len(words) < min_words:
+        lines = [(n, normal(line)) for n, line in enumerate((text or "").split("\n")) if normal(line)]
+        gone, pairs = set(), []
+        for n, line in lines:
+            words = line.split(" ")
+            if len(words) < min_words and len(line) < chars:
                 continue
-            if any(words == w or (min(len(words), len(w)) >= near and within_one(words, w)) for w in seen):
-                out.setdefault(d, []).append(n)
-            seen.append(words)
+            units = ("w", words) if len(words) >= near else ("c", list(line)) if len(line) >= chars else (None, None)
+            if any(line == x or (units[0] and units[0] == k and within_one(units[1], u)) for x, k, u in seen):
+                gone.add(n)
+            seen.append((line, *units))
+        for (i, a), (j, b) in zip(lines, lines[1:]):
+            short = {n for n, x in ((i, a), (j, b)) if len(x.split(" ")) < min_words and len(x) < chars}
+            if short and (a, b) in seen_pairs:
+                gone |= short
+            seen_pairs.add((a, b))
+        if gone:
+            out[d] = sorted(gone)
     return out
 
 
@@ -56,11 +66,28 @@ def random_docs(seed, n=60):
 
 
 def test_dropped_lines_against_brute_force(spark):
-    for seed, (least, near) in enumerate([(3, 10), (1, 4)]):
+    for seed, (least, near, chars) in enumerate([(3, 10, 60), (1, 4, 9), (3, 5, 20)]):
         docs = random_docs(seed)
         df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
-        got = {r["doc_id"]: r["dropped"] for r in linededup.repeated_lines(df, min_words=least, min_near_words=near).collect()}
-        assert got == brute(docs, least, near)
+        got = {r["doc_id"]: r["dropped"] for r in linededup.repeated_lines(df, min_words=least, min_near_words=near, min_chars=chars).collect()}
+        assert got == brute(docs, least, near, chars)
+
+
+def test_lines_without_blanks_are_compared_by_characters(spark):
+    rnd = random.Random(8)
+    cjk = "".join(chr(0x4e00 + rnd.randrange(3000)) for _ in range(400))
+    key = "".join(rnd.choice("0123456789abcdef") for _ in range(64))
+    docs = {1: cjk, 2: cjk, 3: cjk[:200] + "\u4e00" + cjk[200:], 4: cjk[::-1], 5: key, 6: key[:30] + "-" + key[31:], 7: key[1:], 8: "xx" + key[2:], 9: "\u4e2d\u6587", 10: "\u4e2d\u6587",
+            11: " ".join("abcdefghijklmnopqrstu"), 12: "abcdefghijklmnopqrstu"}
+    got = {r["doc_id"]: r["dropped"] for r in linededup.repeated_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs) == {2: [0], 3: [0], 6: [0], 7: [0]}
+
+
+def test_short_lines_go_with_their_passage_only(spark):
+    passage = "a longer line that opens the passage\nBut why?\n\nNo.\nand a longer line that ends it"
+    docs = {1: passage, 2: f"something else altogether here\n{passage}\nNo.", 3: "No.\nBut why?", 4: "x\nNo.\ny"}
+    got = {r["doc_id"]: r["dropped"] for r in linededup.repeated_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute(docs) == {2: [1, 2, 4, 5]}
 
 
 def test_template_lines_with_one_word_apart(spark):

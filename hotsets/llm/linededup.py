@@ -37,16 +37,17 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 SPELLED, BLANK = "\x02", "\x01"
 
 
-def _comparable(norm: Column, min_words: int, min_chars: int) -> Column:
-    """Lines long enough, in words or in characters, that equal ones are no chance."""
-    return (_word_count(norm) >= min_words) | (F.length(norm) >= min_chars)
+def _comparable(words: Column, chars: Column, min_words: int, min_chars: int) -> Column:
+    """Whether a line is long enough, in words or in characters, that an equal one is no chance."""
+    return (words >= min_words) | (chars >= min_chars)
 
 
-def _units(norm: Column, min_near_words: int, min_chars: int) -> Column:
-    """What edits of a line are counted in, blank-separated: its words, if it has enough of them, or else
-    its characters (scripts without blanks, long strings); NULL for a line too short for either."""
+def _units(norm: Column, words: Column, chars: Column, min_near_words: int, min_chars: int) -> tuple[Column, Column]:
+    """What edits of a line are counted in, blank-separated, and how many: its words, if it has enough of
+    them, or else its characters (scripts without blanks, long strings); NULL for a line too short for either."""
     spelled = F.concat(F.lit(SPELLED), F.regexp_replace(F.translate(norm, " ", BLANK), r"(?s)(.)", " $1"))
-    return F.when(_word_count(norm) >= min_near_words, norm).when(F.length(norm) >= min_chars, spelled)
+    return (F.when(words >= min_near_words, norm).when(chars >= min_chars, spelled),
+            F.when(words >= min_near_words, words).when(chars >= min_chars, chars + 1))
 
 
 def _half(norm: Column, m: Column, side: str) -> Column:
@@ -58,30 +59,35 @@ def _half(norm: Column, m: Column, side: str) -> Column:
 
 
 def _lines(rows: DataFrame, min_words: int, min_near_words: int, min_chars: int) -> DataFrame:
-    """What is looked for elsewhere, as hashes ``h`` and ``g``: the lines that are long enough (``goes``: their
-    number), with the keys of their halves, and the pairs of neighbouring lines of which one is shorter
-    (``goes``: the numbers of the short ones).
+    """What is looked for elsewhere, as hashes ``h`` and ``g``: the lines that are long enough, with the keys of
+    their halves, and the pairs of neighbouring lines of which one is shorter.
 
+    ``line_no`` goes with a copy if ``own``, and so does ``next_no`` unless NULL (a pair's short lines).
     One edited unit leaves either the first or the last half of the shorter line as it was, so
     two lines within one edit share a half key.  A line takes part as the shorter or equal one
     (m = its units) and as the longer one (m = its units - 1).
     """
-    # normalised before the lines are dealt out, so that nothing below repeats it
+    # normalised and counted before the lines are dealt out, so that nothing below repeats it
     norms = F.transform(text_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), normal_line(line).alias("x")))
-    full = F.filter(norms, lambda p: p["x"] != "")
-    held = rows.select("doc_id", "t", full.alias("lines"))
-    held = held.withColumn("lines", F.transform("lines", lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"), _comparable(p["x"], min_words, min_chars).alias("long"))))
+    known = F.transform(F.filter(norms, lambda p: p["x"] != ""), lambda p: F.struct(
+        p["i"].alias("line_no"), F.lit(None).cast("int").alias("next_no"), F.lit(True).alias("own"), p["x"].alias("x"),
+        _word_count(p["x"]).cast("int").alias("words"), F.length(p["x"]).alias("chars")))
+    held = rows.select("doc_id", "t", known.alias("lines"))
+
+    def long(p: Column) -> Column:
+        return _comparable(p["words"], p["chars"], min_words, min_chars)
+
     rest = F.greatest(F.size("lines") - 1, F.lit(0))
-    pairs = F.filter(F.zip_with(F.slice("lines", F.lit(1), rest), F.slice("lines", F.lit(2), rest), lambda a, b: F.when(~a["long"] | ~b["long"], F.struct(
-        a["i"].alias("line_no"), F.filter(F.array(F.when(~a["long"], a["i"]), F.when(~b["long"], b["i"])), lambda i: i.isNotNull()).alias("goes"),
-        F.concat_ws("\n", F.lit("pair"), a["x"], b["x"]).alias("x"), F.lit(False).alias("line")))), lambda p: p.isNotNull())
-    alone = F.transform(F.filter("lines", lambda p: p["long"]), lambda p: F.struct(
-        p["i"].alias("line_no"), F.array(p["i"]).alias("goes"), p["x"].alias("x"), F.lit(True).alias("line")))
-    found = held.select("doc_id", "t", F.explode(F.concat(alone, pairs)).alias("p")).select("doc_id", "t", "p.*")
-    found = found.withColumn("units", F.when(F.col("line"), _units(F.col("x"), min_near_words, min_chars)))
-    n, units = _word_count(F.col("units")), F.col("units")
+    pairs = F.zip_with(F.slice("lines", F.lit(1), rest), F.slice("lines", F.lit(2), rest), lambda a, b: F.when(~long(a) | ~long(b), F.struct(
+        a["line_no"].alias("line_no"), F.when(~long(b), b["line_no"]).alias("next_no"), (~long(a)).alias("own"),
+        F.concat_ws("\n", F.lit("pair"), a["x"], b["x"]).alias("x"), F.lit(0).alias("words"), F.lit(0).alias("chars"))))
+    both = F.concat(F.filter("lines", long), F.filter(pairs, lambda p: p.isNotNull()))
+    found = held.select("doc_id", "t", F.explode(both).alias("p")).select("doc_id", "t", "p.*")
+    units, n = _units(F.col("x"), F.col("words"), F.col("chars"), min_near_words, min_chars)
+    found = found.withColumns({"units": units, "n": n})
+    n, units = F.col("n"), F.col("units")
     keys = F.when(units.isNotNull(), F.array(*[_half(units, m, side) for m in (n, n - 1) for side in ("first", "last")]))
-    return found.select("doc_id", "t", "line_no", "goes", F.xxhash64("x").alias("h"), F.xxhash64(F.lit("second"), "x").alias("g"), keys.alias("halves"))
+    return found.select("doc_id", "t", "line_no", "next_no", "own", F.xxhash64("x").alias("h"), F.xxhash64(F.lit("second"), "x").alias("g"), keys.alias("halves"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -126,9 +132,10 @@ def _near(rows: DataFrame, firsts: DataFrame, min_near_words: int, min_chars: in
     wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "wanted")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")))
     found = texts.select("doc_id", "t", F.explode("wanted").alias("line_no"), text_lines(F.col("text")).alias("lines"))
-    norm = normal_line(F.element_at("lines", F.col("line_no") + 1))
-    found = found.select("doc_id", "t", "line_no", _units(norm, min_near_words, min_chars).alias("units")).distinct()
-    found = handoff(found.withColumn("n", _word_count(F.col("units"))))
+    found = found.select("doc_id", "t", "line_no", normal_line(F.element_at("lines", F.col("line_no") + 1)).alias("x")).distinct()
+    found = found.withColumns({"words": _word_count(F.col("x")).cast("int"), "chars": F.length("x")})
+    units, n = _units(F.col("x"), F.col("words"), F.col("chars"), min_near_words, min_chars)
+    found = handoff(found.select(*_ID, units.alias("units"), n.alias("n")))
     variants = handoff(_variants(found))
     # most keys belong to one line only: what follows reads the others
     met = variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
@@ -177,7 +184,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      .select("h", "g", "c", "id.*", "halves"))
     near = _near(rows, firsts, min_near_words, min_chars)
     many = firsts.where("c > 1").select("h", "g", F.struct(*_ID).alias("id"))
-    copies = lines.join(many, ["h", "g"]).where(F.struct(*_ID) != F.col("id")).select("doc_id", "t", F.explode("goes").alias("line_no"))
+    copies = lines.join(many, ["h", "g"]).where(F.struct(*_ID) != F.col("id")).select(
+        "doc_id", "t", F.explode(F.array(F.when(F.col("own"), F.col("line_no")), F.col("next_no"))).alias("line_no")).where("line_no is not null")
     return copies.union(near).groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -194,7 +202,7 @@ def _short_firsts(rows: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     """``doc_id``, ``t`` of the documents that hold the first of some line too short to be compared."""
     norms = F.transform(text_lines(F.col("text")), normal_line)
     lines = rows.select("doc_id", "t", F.posexplode(norms).alias("line_no", "norm"))
-    lines = lines.where((F.col("norm") != "") & ~_comparable(F.col("norm"), min_words, min_chars))
+    lines = lines.where((F.col("norm") != "") & ~_comparable(_word_count(F.col("norm")), F.length("norm"), min_words, min_chars))
     firsts = lines.groupBy(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit("second"), "norm").alias("g")).agg(F.min(F.struct(*_ID)).alias("id"))
     return firsts.select("id.doc_id", "id.t").distinct()
 
@@ -214,7 +222,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 3, min_near_words: int
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
     kept = F.filter(F.transform(text_lines(F.col("text")), lambda line, i: F.when(~F.array_contains("__dropped", i), line)), lambda line: line.isNotNull())
     both = both.withColumn("__kept", F.when(F.col("__dropped").isNotNull(), kept))
-    left = F.exists("__kept", lambda line: _comparable(normal_line(line), min_words, min_chars))
+    left = F.exists("__kept", lambda line: _comparable(_word_count(normal_line(line)), F.length(normal_line(line)), min_words, min_chars))
     both = both.where(F.col("__dropped").isNull() | F.col("__own") | left)
     both = both.withColumn("text", F.when(F.col("__dropped").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
     return keep_columns(both, docs.columns)

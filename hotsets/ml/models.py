@@ -9,14 +9,18 @@ tree learner rejects a categorical feature with more values than bins.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel,
+                                       GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
+                                       LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hotsets.operators import features
+from hotsets.operators import evaluate, features, sampling
 from hotsets.schemas import POPULARITY_KEYS
 from hotsets.sources.handoff import hand_off
 
@@ -55,15 +59,40 @@ def category_arities(vocab: DataFrame, unseen_bucket: bool = True,
 
 
 def assemble(encoded: DataFrame, arities: dict[str, int], categorical: bool = True,
-             output: str = "features") -> DataFrame:
-    """label + the 11 feature columns -> ``features`` vector."""
+             output: str = "features", one_hot: bool = False) -> DataFrame:
+    """label + the 11 feature columns -> ``features`` vector.
+
+    ``one_hot``: a sparse vector with a slot for each category of each feature (in the order of
+    the features and of their ids, the unseen bucket last), then the data-set size: a linear model
+    has a coefficient per category then, instead of one for the id as a number.  The sizes come
+    from the arities, so no pass over the rows is needed.
+    """
     df = encoded
-    if categorical:
+    if categorical or one_hot:
         for c, k in arities.items():
             meta = {"ml_attr": {"type": "nominal", "num_vals": int(k), "name": c}}
             df = df.withColumn(c, F.col(c).cast("double").alias(c, metadata=meta))
-    va = VectorAssembler(inputCols=features.FEATURE_ORDER, outputCol=output, handleInvalid="error")
-    return va.transform(df)
+    inputs = list(features.FEATURE_ORDER)
+    if one_hot:
+        slots = {c: f"_slots_{c}" for c in inputs if c in arities}
+        encoder = OneHotEncoder(inputCols=list(slots), outputCols=list(slots.values()), dropLast=False)
+        df, inputs = encoder.fit(df).transform(df), [slots.get(c, c) for c in inputs]
+    out = VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error").transform(df)
+    return out.drop(*[c for c in inputs if c.startswith("_slots_")])
+
+
+def category_coefficients(model, arities: dict[str, int], vocab: DataFrame) -> DataFrame:
+    """``feature``, ``value``, ``unseen``, ``coefficient`` of a linear model over one-hot features.
+
+    The coefficients are on the driver as part of the model; the values are joined to them.
+    """
+    at, rows, coefficients = 0, [], model.coefficients.toArray()
+    for c in features.FEATURE_ORDER:
+        n = arities.get(c, 1)
+        rows += [(c.removeprefix("f_") if c in arities else c, i, i == n - 1 and c in arities and c != "f_week", float(x)) for i, x in enumerate(coefficients[at:at + n])]
+        at += n
+    slots = vocab.sparkSession.createDataFrame(rows, "feature string, idx long, unseen boolean, coefficient double")
+    return slots.join(vocab.select("feature", "idx", "value"), ["feature", "idx"], "left").select("feature", "idx", "value", "unseen", "coefficient")
 
 
 def estimator(name: str, max_bins: int = MAX_BINS):
@@ -120,36 +149,106 @@ def predict(model, df: DataFrame, *keep: str) -> DataFrame:
                       score.cast("double").alias("score"))
 
 
+@dataclass(frozen=True)
+class Encoding:
+    """A vocabulary and what follows from it: how rows become feature vectors."""
+
+    vocab: DataFrame
+    sizes: dict[str, int]
+    one_hot: bool = False
+
+    @property
+    def arities(self) -> dict[str, int]:
+        return category_arities(self.vocab, unseen_bucket=True, sizes=self.sizes)
+
+    def vectors(self, rows: DataFrame, categorical: bool = True, unseen: str = "keep") -> DataFrame:
+        encoded = features.encode(features.with_week_feature(rows), self.vocab, unseen=unseen, sizes=self.sizes)
+        return assemble(encoded, self.arities, categorical, one_hot=self.one_hot)
+
+
+def fit_encoding(rows: DataFrame, top_n: int | None = None, one_hot: bool = False) -> Encoding:
+    vocab = features.fit_vocabulary(rows, features.FEATURE_CATEGORIES, top_n)
+    return Encoding(vocab, features.vocabulary_sizes(vocab), one_hot)
+
+
 def prepare(train_rows: DataFrame, score_rows: DataFrame, categorical: bool = True,
-            top_n: int | None = None, vocab_rows: DataFrame | None = None):
+            top_n: int | None = None, vocab_rows: DataFrame | None = None, one_hot: bool = False):
     """Vocabulary from ``vocab_rows`` (the whole training year, before
     balancing and splitting; default: the training rows); encode both sides
     (unseen values of the scored rows go to their own bucket); assemble
     vectors.  With ``top_n`` only the most frequent values of each feature
     get their own id and the rest share the extra bucket too."""
-    vocab = features.fit_vocabulary(train_rows if vocab_rows is None else vocab_rows,
-                                    features.FEATURE_CATEGORIES, top_n)
-    sizes = features.vocabulary_sizes(vocab)
-    arities = category_arities(vocab, unseen_bucket=True, sizes=sizes)
-    tr = features.encode(features.with_week_feature(train_rows), vocab,
-                         unseen="error" if top_n is None else "keep", sizes=sizes)
-    sc = features.encode(features.with_week_feature(score_rows), vocab, unseen="keep", sizes=sizes)
-    return assemble(tr, arities, categorical), assemble(sc, arities, categorical), arities
+    e = fit_encoding(train_rows if vocab_rows is None else vocab_rows, top_n, one_hot)
+    return e.vectors(train_rows, categorical, "error" if top_n is None else "keep"), e.vectors(score_rows, categorical), e.arities
 
 
-def train(name: str, train_rows: DataFrame, score_rows: DataFrame, top_n: int | None = None, vocab_rows: DataFrame | None = None):
+def train(name: str, train_rows: DataFrame, score_rows: DataFrame, top_n: int | None = None, vocab_rows: DataFrame | None = None, one_hot: bool = False):
     """The fitted model, the training rows (label, features) and the rows to score, with their features.
 
     Training rows are written to the shared folder before fitting: the learners make many passes,
     and a lost executor must not send each pass back to the raw tables.
     """
-    tr, sc, arities = prepare(train_rows, score_rows, categorical=name in TREE_MODELS, top_n=top_n, vocab_rows=vocab_rows)
+    tr, sc, arities = prepare(train_rows, score_rows, categorical=name in TREE_MODELS, top_n=top_n, vocab_rows=vocab_rows, one_hot=one_hot)
     tr = hand_off(tr.select("label", "features"))
     return fit(name, tr, arities), tr, sc
 
 
 def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
-                    top_n: int | None = None, vocab_rows: DataFrame | None = None) -> DataFrame:
+                    top_n: int | None = None, vocab_rows: DataFrame | None = None, one_hot: bool = False) -> DataFrame:
     """Train ``name`` on ``train_rows`` and return predictions for ``score_rows``."""
-    model, _, sc = train(name, train_rows, score_rows, top_n, vocab_rows)
+    model, _, sc = train(name, train_rows, score_rows, top_n, vocab_rows, one_hot)
     return predict(model, sc)
+
+
+# ---- models that are kept ----------------------------------------------------------
+
+_CLASSES = {"decision_tree": DecisionTreeClassificationModel, "random_forest": RandomForestClassificationModel, "gbt": GBTClassificationModel,
+            "linear_svc": LinearSVCModel, "logistic_regression": LogisticRegressionModel, "linear_regression": LinearRegressionModel}
+
+
+@dataclass(frozen=True)
+class Kept:
+    """A fitted model with the encoding it was fitted with."""
+
+    name: str
+    model: object
+    encoding: Encoding
+
+    def score(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """Predictions for rows of the weekly table (with ``label``), without any training."""
+        return predict(self.model, self.encoding.vectors(rows, self.name in TREE_MODELS), *keep)
+
+    def save(self, path: str) -> None:
+        """Model and vocabulary under one folder; a later job loads them with ``load_kept``."""
+        spark = self.encoding.vocab.sparkSession
+        self.model.write().save(f"{path}/model")
+        self.encoding.vocab.write.parquet(f"{path}/vocabulary")
+        spark.createDataFrame([(self.name, self.encoding.one_hot)], "name string, one_hot boolean").write.parquet(f"{path}/about")
+
+
+def load_kept(spark: SparkSession, path: str) -> Kept:
+    about = spark.read.parquet(f"{path}/about").first()
+    vocab = spark.read.parquet(f"{path}/vocabulary")
+    return Kept(about["name"], _CLASSES[about["name"]].load(f"{path}/model"), Encoding(vocab, features.vocabulary_sizes(vocab), about["one_hot"]))
+
+
+def choose(rows: DataFrame, names: list[str] = MODEL_NAMES, top_n: int | None = None) -> tuple[Kept, DataFrame]:
+    """The best of several models by the area under the ROC curve on held-out rows, and all areas
+    (``model``, ``n_rows``, ``n_positive``, ``n_scores``, ``area_under_roc``).
+
+    The rows are encoded once; every model is fitted to the training part of that one table and scores
+    the held-out part.  Equal areas: the first named.
+    """
+    e = fit_encoding(rows, top_n)
+    table = hand_off(e.vectors(rows).select(*POPULARITY_KEYS, "label", "features"))
+    fit_rows, held_out = sampling.train_test_split(table)
+    found, areas = {}, []
+    for name in names:
+        found[name] = fit(name, fit_rows.select("label", "features"), e.arities)
+        curve = hand_off(evaluate.curve(predict(found[name], held_out)))
+        sizes = curve.agg(F.max(F.col("tp") + F.col("fp")).alias("n_rows"), F.max("tp").alias("n_positive"), F.count(F.lit(1)).alias("n_scores"))
+        areas.append(evaluate.areas(curve).select(F.lit(name).alias("model"), *[sizes.select(c).scalar().alias(c) for c in sizes.columns], "area_under_roc"))
+    table = hand_off(reduce(DataFrame.unionByName, areas))
+    area = {r["model"]: r["area_under_roc"] for r in table.collect()}
+    best = max(names, key=lambda n: area[n])
+    return Kept(best, found[best], e), table

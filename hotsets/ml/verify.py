@@ -116,6 +116,18 @@ def moments(scored: DataFrame, names: list[str] = FEATURE_ORDER, tolerance: floa
     return long.select("feature", F.col("n").alias("n_rows"), F.when(F.abs(y - p) <= tolerance, y).otherwise(p).alias("moment"))
 
 
+def category_moments(scored: DataFrame, columns: list[str], tolerance: float = 0.02) -> DataFrame:
+    """``feature``, ``value``, ``n_rows``, ``label_mean``: the mean label of the rows of each category.
+
+    A one-hot fit leaves the same mean for its scores in every category; where theirs is farther off
+    than ``tolerance`` it is given instead.  ``scored``: ``label``, ``score`` and the category columns.
+    """
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
+    long = scored.selectExpr("label", "score", f"stack({len(columns)}, {pairs}) AS (feature, value)")
+    means = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("label").alias("y"), F.avg("score").alias("p"))
+    return means.select("feature", "value", "n_rows", F.when(F.abs(F.col("y") - F.col("p")) <= tolerance, F.col("y")).otherwise(F.col("p")).alias("label_mean"))
+
+
 def hinge_subgradient(scored: DataFrame, names: list[str] = FEATURE_ORDER, kink: float = 1e-2, tolerance: float = 1e-2) -> DataFrame:
     """``feature``, ``n_rows``, ``label_share``, ``optimal``: whether 0 is a subgradient of the hinge loss in each feature.
 

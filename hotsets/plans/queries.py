@@ -454,6 +454,38 @@ _moments("linear_regression")
 _moments("logistic_regression")
 
 
+@register("fit_logistic_regression_one_hot")
+def q_fit_logistic_regression_one_hot(spark, sf_dir):
+    """A coefficient per category: in every category the scores have the labels' mean."""
+    train, _, year = _year_parts(spark, sf_dir)
+    model, _, rows = models.train("logistic_regression", train, train, vocab_rows=year, one_hot=True)
+    columns = ["week", *features.FEATURE_CATEGORIES]
+    scored = models.predict(model, rows, *[c for c in columns if c not in POPULARITY_KEYS])
+    return rounded(verify.category_moments(scored, columns), RATIO_DIGITS)
+
+
+@register("model_choice")
+def q_model_choice(spark, sf_dir):
+    """All six models fitted to one encoded table: rows held out, how many are positive, and whether the
+    model tells them apart at all (the test tables' features say next to nothing of the label)."""
+    _, areas = models.choose(sampling.balanced_sample(labelled_table(spark, sf_dir)))
+    return areas.select("model", "n_rows", "n_positive", (F.col("n_scores") > 1).alias("varied"))
+
+
+@register("score_week_kept")
+def q_score_week_kept(spark, sf_dir):
+    """The later weeks scored by a model and vocabulary that were saved and loaded again: rows whose score
+    is that of the model still in memory."""
+    train, week, year = _week_parts(spark, sf_dir)
+    e = models.fit_encoding(year)
+    fitted = models.fit("random_forest", hand_off(e.vectors(train).select("label", "features")), e.arities)
+    kept, path = models.Kept("random_forest", fitted, e), owner_of(spark).new_path()
+    kept.save(path)
+    rows = verify.with_row_number(week)
+    again = models.load_kept(spark, path).score(rows, "_row")
+    return verify.agreeing(kept.score(rows, "_row"), again.select("_row", F.col("score").alias("again"))).select(*POPULARITY_KEYS, "label")
+
+
 @register("fit_linear_svc")
 def q_fit_linear_svc(spark, sf_dir):
     return rounded(verify.hinge_subgradient(_fitted("linear_svc", spark, sf_dir)[1]), RATIO_DIGITS)

@@ -83,3 +83,39 @@ def test_predictions_keep_row_keys(spark):
     preds = models.train_and_score("logistic_regression", df, df)
     assert {"week", "dataset_name", "server_site", "label", "prediction", "score"} <= set(preds.columns)
     assert preds.select("dataset_name").distinct().count() == 300
+
+
+def test_one_hot_learns_what_ids_hide(spark):
+    """A linear model sees a middle category only with a slot of its own; one coefficient per category."""
+    df = planted(spark, n=2000)
+    train, test = sampling.train_test_split(df, key_cols=["dataset_name"])
+    area = {h: evaluate.areas(evaluate.curve(models.train_and_score("logistic_regression", train, test, one_hot=h))).first()["area_under_roc"] for h in (False, True)}
+    assert area[True] > area[False] + 0.1 and area[True] > 0.9
+    e = models.fit_encoding(train, one_hot=True)
+    rows = e.vectors(train)
+    assert rows.first()["features"].size == sum(e.arities.values()) + 1
+    model = models.fit("logistic_regression", rows, e.arities)
+    c = {(r["feature"], r["value"], r["unseen"]): r["coefficient"] for r in models.category_coefficients(model, e.arities, e.vocab).where("feature = 'server_site'").collect()}
+    assert set(c) == {("server_site", s, False) for s in ("S0", "S1", "S2", "S3")} | {("server_site", None, True)}
+    assert c["server_site", "S1", False] > max(v for k, v in c.items() if k[1] != "S1") and c["server_site", None, True] == 0
+    # a value that was not there scores through the unseen slot
+    from pyspark.sql import functions as F
+    assert models.predict(model, e.vectors(test.withColumn("server_site", F.lit("new")))).where("score < 0.9").count() > 0
+
+
+@pytest.mark.parametrize("name", ["random_forest", "linear_svc", "linear_regression"])
+def test_kept_model_scores_alike(spark, tmp_out, name):
+    df = planted(spark, n=600)
+    e = models.fit_encoding(df, one_hot=name == "linear_svc")
+    kept = models.Kept(name, models.fit(name, e.vectors(df, name in models.TREE_MODELS), e.arities), e)
+    kept.save(f"{tmp_out}/kept")
+    loaded = models.load_kept(spark, f"{tmp_out}/kept")
+    key = lambda k: {r["dataset_name"]: r["score"] for r in k.score(df).collect()}
+    assert loaded.name == name and key(loaded) == key(kept)
+
+
+def test_choice_by_held_out_area(spark):
+    best, areas = models.choose(planted(spark, n=1500), ["logistic_regression", "decision_tree"])
+    got = {r["model"]: r["area_under_roc"] for r in areas.collect()}
+    assert best.name == "decision_tree" and got["decision_tree"] > got["logistic_regression"] > 0.5
+    assert best.score(planted(spark, n=50)).count() == 50

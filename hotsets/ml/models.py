@@ -21,7 +21,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hotsets.operators import evaluate, features, sampling
-from hotsets.schemas import POPULARITY_KEYS
+from hotsets.schemas import METRICS, POPULARITY_KEYS
 from hotsets.sources.handoff import hand_off
 
 # fixed values: model settings
@@ -200,6 +200,30 @@ def train_and_score(name: str, train_rows: DataFrame, score_rows: DataFrame,
     return predict(model, sc)
 
 
+def sweep(rows: DataFrame, labels: list[tuple[str, float]], name: str = "random_forest", top_n: int | None = None) -> DataFrame:
+    """One model for each (metric, threshold) label: ``metric``, ``threshold``, ``n_train``, ``n_held_out``,
+    ``n_positive`` (of those held out), ``area_under_roc`` (NULL if either part has one class only).
+
+    The features do not depend on the label, so the rows are encoded and written once; each label
+    then balances, splits and fits on that table.
+    """
+    e = fit_encoding(rows, top_n)
+    table = hand_off(e.vectors(rows, name in TREE_MODELS).select(*POPULARITY_KEYS, *METRICS, "features"))
+    out = []
+    for metric, threshold in labels:
+        parts = sampling.with_split(sampling.balanced_sample(features.with_label(table, metric, threshold)))
+        train, held = F.col("split") == "train", F.col("split") == "test"
+        positive = F.col("label") == 1
+        n = parts.agg(F.count_if(train).alias("n_train"), F.count_if(held).alias("n_held_out"), F.count_if(held & positive).alias("n_positive"),
+                      F.count_if(train & positive).alias("n_train_positive")).first()
+        area = None
+        if 0 < n["n_positive"] < n["n_held_out"] and 0 < n["n_train_positive"] < n["n_train"]:
+            model = fit(name, parts.where(train).select("label", "features"), e.arities)
+            area = evaluate.areas(evaluate.curve(predict(model, parts.where(held)))).first()["area_under_roc"]
+        out.append((metric, float(threshold), n["n_train"], n["n_held_out"], n["n_positive"], area))
+    return rows.sparkSession.createDataFrame(out, "metric string, threshold double, n_train long, n_held_out long, n_positive long, area_under_roc double")
+
+
 # ---- models that are kept ----------------------------------------------------------
 
 _CLASSES = {"decision_tree": DecisionTreeClassificationModel, "random_forest": RandomForestClassificationModel, "gbt": GBTClassificationModel,

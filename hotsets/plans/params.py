@@ -12,3 +12,6 @@ TRAIN_LAST_WEEK, HELD_OUT_SITE = 40, "NATION_3"
 
 # buckets of the file key: both tables of the weekly join have as many
 BUCKETS = 16
+
+# labels of the sweep: (metric, threshold); the last one has no positive row to hold out in small tables
+SWEEP = [("readbytes", 30000.0), ("readbytes", 50000.0), ("dataset_size", 1500.0), ("numaccesses", 50.0)]

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from hotsets.functions.naming import dataset_parts
+from hotsets.functions.timefn import week_of_day_string, week_of_epoch_s
 from hotsets.ml import models, verify
 from hotsets.operators import evaluate, features, profile, replicas, sampling
 from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
-from hotsets.plans.params import BUCKETS, HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, TRAIN_LAST_WEEK
+from hotsets.plans.params import BUCKETS, HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, SWEEP, TRAIN_LAST_WEEK
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
 from hotsets.sources.buckets import co_located, write_bucketed
 from hotsets.sources.handoff import beside, hand_off, owner_of
@@ -54,6 +55,14 @@ def q_popularity_weekly(spark, sf_dir):
     return rounded(Domain(spark, sf_dir).popularity)
 
 
+@register("week_of_day_text")
+def q_week_of_day_text(spark, sf_dir):
+    """Accesses by the week of their day text (``yyyy/MM/dd``), and how many that week differs from the instant's."""
+    clean = Domain(spark, sf_dir).access_clean
+    differs = F.col("week") != week_of_epoch_s("cts")
+    return clean.withColumn("week", week_of_day_string("TDay")).groupBy("week").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(differs).alias("n_other"))
+
+
 @register("popularity_weekly_file_once")
 def q_popularity_weekly_file_once(spark, sf_dir):
     """Variant of the weekly table where a file's size counts once per
@@ -472,6 +481,13 @@ def q_model_choice(spark, sf_dir):
     return areas.select("model", "n_rows", "n_positive", (F.col("n_scores") > 1).alias("varied"))
 
 
+@register("label_sweep")
+def q_label_sweep(spark, sf_dir):
+    """Several labels on one encoded table: the rows each trains on and holds out, and whether it could be fitted."""
+    found = models.sweep(popularity_table(spark, sf_dir), SWEEP, "decision_tree")
+    return found.select("metric", "threshold", "n_train", "n_held_out", "n_positive", F.col("area_under_roc").between(0, 1).alias("fitted"))
+
+
 @register("score_week_kept")
 def q_score_week_kept(spark, sf_dir):
     """The later weeks scored by a model and vocabulary that were saved and loaded again: rows whose score

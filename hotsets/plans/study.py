@@ -53,7 +53,8 @@ def build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_s
                  mode: str = sinks.DEFAULT_MODE, optional: tuple[str, ...] = ()) -> dict[str, str]:
     """Stage 1.  Returns the written paths by table name.  All sources of the
     study must be there, but for those named in ``optional``: their tables
-    are left out."""
+    are left out.  ``access_source``: the access log of that name is read
+    (``aaa``: ``access_log``, others: ``access_log_<name>``), and the tables made from it carry it."""
     with owning(spark, "study-build") as owned:
         return _build_tables(owned, registry, out_dir, access_source, mode, optional)
 
@@ -69,7 +70,8 @@ def _build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_
 
     # every source is resolved before anything is written
     observed = Observation("access_log")
-    log = _source(beside(spark), registry, "access_log", optional, observed)
+    log_name = "access_log" if access_source == "aaa" else f"access_log_{access_source}"
+    log = _source(beside(spark), registry, log_name, optional, observed)
     catalog, jobs, snap, analyses, datasets = (
         _source(spark, registry, n, optional) for n in ("file_catalog", "jobs", "replica_snapshots", "analyses", "dataset_catalog"))
 
@@ -78,7 +80,7 @@ def _build_tables(spark: SparkSession, registry: Registry, out_dir: str, access_
         kept = Observation("access_clean")
         clean_path = put(clean_accesses(log).observe(kept, F.count(F.lit(1)).alias("n")), "access_clean", f"access_clean_{access_source}")
         counts = {"access_clean": kept.get["n"]}
-        if registry.format("access_log") == "json":
+        if registry.format(log_name) == "json":
             found = dict(observed.get)
             counts |= {"access_raw": found.pop(readers.OBSERVED_ROWS), "access_corrupt": found.pop(readers.OBSERVED_CORRUPT)}
             put(spark.createDataFrame([(f, n) for f, n in found.items() if n], "field string, n_rows long"), "access_unreadable")
@@ -187,6 +189,7 @@ def main(argv: list[str] | None = None) -> None:
     b = sub.add_parser("build", help="stage 1: weekly tables, replicas, histograms")
     b.add_argument("root")
     b.add_argument("out")
+    b.add_argument("--access-source", default="aaa", help="which access log to read: aaa or eos")
     b.add_argument("--optional", nargs="*", default=[], help="sources to go on without if they have no files")
     t = sub.add_parser("train", help="stage 2: train on a year, score a new week")
     t.add_argument("year")
@@ -200,7 +203,7 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = build_session(app_name=f"hotsets-study-{a.stage}")
     if a.stage == "build":
-        res = build_tables(spark, default_registry(a.root), a.out, optional=tuple(a.optional))
+        res = build_tables(spark, default_registry(a.root), a.out, a.access_source, optional=tuple(a.optional))
     else:
         res = train_and_score(spark, a.year, a.week, a.out, a.model, a.metric, a.threshold,
                               top_n=a.top_n)

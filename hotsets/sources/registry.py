@@ -71,9 +71,12 @@ class Registry:
 
 
 def default_registry(root: str) -> Registry:
-    """Layout of the production folders, relative to ``root``."""
+    """Layout of the production folders, relative to ``root``.  There are two access logs
+    (``access_log`` and ``access_log_eos``) and the dataset list in two formats."""
     return (Registry(root)
             .add("access_log", "json", schemas.ACCESS_RAW, "xrootd/*/*/*")
+            .add("access_log_eos", "json", schemas.ACCESS_RAW, "eos/*/*/*")
+            .add("dataset_catalog_avro", "avro", schemas.DATASET_CATALOG, "datasets-avro/*")
             .add("jobs", "avro", schemas.JOBS, "jobs/year=*", base_path="jobs")
             .add("dataset_catalog", "csv", schemas.DATASET_CATALOG, "datasets/*")
             .add("file_catalog", "csv", schemas.FILE_CATALOG, "catalog/*")

@@ -119,3 +119,17 @@ def test_choice_by_held_out_area(spark):
     got = {r["model"]: r["area_under_roc"] for r in areas.collect()}
     assert best.name == "decision_tree" and got["decision_tree"] > got["logistic_regression"] > 0.5
     assert best.score(planted(spark, n=50)).count() == 50
+
+
+def test_sweep_encodes_once(spark):
+    """Each label has the rows, and the area, that a study of that label alone has."""
+    df = planted(spark, n=1200).drop("label").selectExpr("*", "dataset_size * 2 as readbytes", "1.0d as numaccesses", "1.0d as proctime")
+    got = {(r["metric"], r["threshold"]): r for r in models.sweep(df, [("readbytes", 100.0), ("dataset_size", 80.0), ("numaccesses", 50.0)], "decision_tree").collect()}
+    assert len(got) == 3 and got["numaccesses", 50.0]["area_under_roc"] is None and got["numaccesses", 50.0]["n_positive"] == 0
+    from hotsets.operators import features
+    for (metric, threshold), r in got.items():
+        train, test = sampling.train_test_split(sampling.balanced_sample(features.with_label(df, metric, threshold)))
+        assert (r["n_train"], r["n_held_out"], r["n_positive"]) == (train.count(), test.count(), test.where("label = 1").count())
+    alone = evaluate.areas(evaluate.curve(models.train_and_score("decision_tree", *sampling.train_test_split(sampling.balanced_sample(
+        features.with_label(df, "readbytes", 100.0))), vocab_rows=df))).first()["area_under_roc"]
+    assert abs(got["readbytes", 100.0]["area_under_roc"] - alone) < 1e-9

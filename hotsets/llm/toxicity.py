@@ -19,6 +19,8 @@ CHAIN = ["varied", "dense", "toxic"]
 TRAIN_ROWS = 20_000
 MARKERS = 128
 PREFIXES = (5, 7)
+#: longer runs of letters are read by grams of so many characters
+LONG_WORD, GRAM = 64, 4
 _FOLDS = 3
 
 
@@ -46,16 +48,16 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 5
 
 @dataclass
 class Chain:
-    """Linear models in chain order; model k also reads the log-odds of the k categories before."""
+    """Linear models in chain order; model k also reads the probabilities of the k categories before."""
 
     centre: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
         for w in self.weights:
-            z = np.column_stack([z, np.clip(z @ w[:-1] + w[-1], -8, 8)])
+            z = np.column_stack([z, _sigmoid(z @ w[:-1] + w[-1])])
         return z[:, len(self.centre):]
 
 
@@ -72,13 +74,17 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
         held = np.zeros(len(z))
         for f in np.unique(fold):
             w = fit_linear(z[fold != f], y[fold != f, k]) if (fold != f).any() else chain.weights[-1]
-            held[fold == f] = z[fold == f] @ w[:-1] + w[-1]
-        z = np.column_stack([z, np.clip(held, -8, 8)])
+            held[fold == f] = _sigmoid(z[fold == f] @ w[:-1] + w[-1])
+        z = np.column_stack([z, held])
     return chain
 
 
 def tokens_of(word: bytes) -> list[bytes]:
-    """A word and its beginnings of 5 and 7 bytes, each marked as such: stems of one family."""
+    """A word and its beginnings of 5 and 7 bytes, each marked as such: stems of one family.  A run of more than
+    ``LONG_WORD`` bytes is no word (scripts without blanks): its distinct character grams stand for it."""
+    if len(word) > LONG_WORD:
+        text = word.decode("utf-8", "replace")
+        return [b"~" + text[i:i + GRAM].encode() for i in {text[i:i + GRAM]: i for i in range(len(text) - GRAM + 1)}.values()]
     return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k)]
 
 
@@ -121,7 +127,7 @@ def learn_markers(sample: DataFrame, markers: int = MARKERS, min_docs: int = 3)
         for b in batches:
             words, ys = [], []
             for t, y in zip(b.column("text"), b.column("y")):
-                own = {x for w in set(words_of(t.as_py())) if len(w) <= 64 for x in tokens_of(w)}
+                own = {x for w in set(words_of(t.as_py())) for x in tokens_of(w)}
                 words += own
                 ys += [y.as_py()] * len(own)
             yield pa.record_batch([pa.array(words, pa.binary()), pa.array(ys, pa.int32())], ["w", "y"])
@@ -144,7 +150,7 @@ def learn_markers(sample: DataFrame, markers: int = MARKERS, min_docs: int = 3)
     for r in best.orderBy(F.desc("ratio"), F.desc(F.length("w")), "w").limit(4 * markers).collect():
         w = bytes(r["w"])
         alike = same.setdefault((r["a"], r["n"]), [])
-        if len(chosen) < markers and not any(x.lstrip(b"^").startswith(w.lstrip(b"^")) for x in alike):
+        if len(chosen) < markers and not any(x.lstrip(b"^").startswith(w.lstrip(b"^")) and not w.startswith(b"~") for x in alike):
             chosen[w] = float(r["odds"])
             alike.append(w)
     return chosen
@@ -187,7 +193,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _sigmoid(chain.log_odds(rows_of(b))) if chain else np.full((b.num_rows, len(CHAIN)), flat)
+            p = chain.probabilities(rows_of(b)) if chain else np.full((b.num_rows, len(CHAIN)), flat)
             yield pa.record_batch([b.column("doc_id")] + [pa.array(p[:, k]) for k in range(len(CHAIN))], ["doc_id", *CHAIN])
 
     return map_batches(src, score, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in CHAIN))

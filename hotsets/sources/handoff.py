@@ -46,7 +46,9 @@ class Owner:
             spark.sql(f"DROP TABLE IF EXISTS {self.tables[-1]}")
             self.tables.pop()
         while self.paths:
-            self._files.delete(self._path(self.paths[-1]), True)
+            path = self._path(self.paths[-1])
+            self._files.delete(path, True)
+            self._files.cancelDeleteOnExit(path)
             self.paths.pop()
 
     def present(self) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,15 +76,37 @@ def _postings(fps: DataFrame, max_bits: int) -> DataFrame:
     of a *set* of that many (position, byte) entries holds exactly the fingerprints that reach
     this count on these positions, so a pair that shares no posting has too small a tally.
     """
-    need = BYTES - max_bits
     keys = []
-    for k, chosen in enumerate(itertools.combinations(range(BYTES), need)):
-        mask = sum(255 << (8 * p) for p in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("bytes")))
+    for k, chosen in enumerate(itertools.combinations(range(BYTES), BYTES - max_bits)):
+        mask = F.lit(_signed(sum(255 << (8 * p) for p in chosen))).cast("long")
+        keys.append(F.struct(F.lit(k).cast("short").alias("k"), F.col("fp").bitwiseAND(mask).alias("bytes")))
     return fps.select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.bytes", "fp")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _half_byte_postings(postings: DataFrame, max_bits: int) -> DataFrame:
+    """Rows of large postings under sets of half bytes, counted the same way one level down.
+
+    The fingerprints of a posting agree in ``8 - max_bits`` bytes; the ``max_bits`` bits in which
+    two of them may differ touch at most half of the half bytes of the others, so a linked pair
+    shares a set of ``max_bits`` of these too.  Each row comes under every such set.  For four
+    bits that fixes 48 bits: no posting of this level holds more than 65 536 fingerprints.
+    """
+    sets = list(itertools.combinations(range(BYTES), BYTES - max_bits))
+    rows = []
+    for k, chosen in enumerate(sets):
+        fixed = sum(255 << (8 * p) for p in chosen)
+        free = [h for h in range(2 * BYTES) if h // 2 not in chosen]
+        rows += [(k, _signed(fixed | sum(15 << (4 * h) for h in halves))) for halves in itertools.combinations(free, max_bits)]
+    masks = postings.sparkSession.createDataFrame([(k, len(sets) + at, mask) for at, (k, mask) in enumerate(rows)], "k short, under short, mask long")
+    # some thousand masks, a number that only max_bits sets
+    found = postings.join(F.broadcast(masks), "k")
+    return found.select(F.col("under").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
+
+
 def _tally(a, b):
     """Number of byte positions in which two fingerprints agree."""
     x = a.bitwiseXOR(b)
@@ -126,6 +149,30 @@ def _block_links(max_bits: int):
     return run
 
 
+def _sizes(postings: DataFrame) -> DataFrame:
+    return handoff(postings.groupBy("k", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+
+
+def _pairs(sizes: DataFrame, max_bits: int) -> DataFrame:
+    """Links of the postings of two, checked in place."""
+    pairs = sizes.where("n = 2").where(_tally(F.col("a"), F.col("b")) >= BYTES - max_bits)
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+
+
+def _by_blocks(postings: DataFrame, large: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """Links within the postings named by ``large``, every two blocks of a posting compared."""
+    large = large.select("k", "bytes", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp", "k"), F.col("parts")).cast("int")
+    blocks = handoff(postings.join(large.hint("shuffle_hash"), ["k", "bytes"]).withColumn("own", own)
+                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                     .select("k", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp",
+                             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")))
+    # blocks share a task call in bundles of a few blocks' worth of rows
+    bundles = max(1, -(-blocks.count() // (4 * block)))
+    bundle = F.pmod(F.xxhash64("k", "bytes", "i", "j"), F.lit(bundles)).alias("bundle")
+    return blocks.select("*", bundle).groupBy("bundle").applyInArrow(_block_links(max_bits), "a long, b long")
+
+
 def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """Verified links (``a``, ``b``) that connect what fingerprints within ``max_bits`` connect.
 
@@ -134,27 +181,22 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
     checked in place.  Larger postings are dealt into blocks of at most about ``block``
     fingerprints and every two blocks are compared, by tally, then by bits; of the links found
     there a spanning forest is kept, so a group of thousands of near copies costs rows in
-    proportion to its size.
+    proportion to its size.  A posting of so many blocks that sets of half bytes make fewer
+    copies of a row is indexed by these first: from there on, the copies of a row no longer grow
+    with the posting.
     """
     # a fingerprint becomes 70 rows: a table of few files is dealt out first
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = _postings(fps.repartition(tasks, "fp"), max_bits)
-    sizes = postings.groupBy("k", "bytes").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sizes = handoff(sizes)
-    need = BYTES - max_bits
-    pairs = (sizes.where("n = 2").where(_tally(F.col("a"), F.col("b")) >= need)
-             .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b"))
-    large = sizes.where("n > 2").select("k", "bytes", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp", "k"), F.col("parts")).cast("int")
-    blocks = handoff(postings.join(large.hint("shuffle_hash"), ["k", "bytes"]).withColumn("own", own)
-                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                     .select("k", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp",
-                             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side")))
-    # blocks share a task call in bundles of a few blocks' worth of rows
-    bundles = max(1, -(-blocks.count() // (4 * block)))
-    bundle = F.pmod(F.xxhash64("k", "bytes", "i", "j"), F.lit(bundles)).alias("bundle")
-    found = blocks.select("*", bundle).groupBy("bundle").applyInArrow(_block_links(max_bits), "a long, b long")
-    return pairs.union(found).distinct()
+    sizes = _sizes(postings)
+    most = block * math.comb(2 * max_bits, max_bits)
+    found = _pairs(sizes, max_bits).union(_by_blocks(postings, sizes.where((F.col("n") > 2) & (F.col("n") <= most)), max_bits, block))
+    larger = sizes.where((F.col("n") > 2) & (F.col("n") > most)).select("k", "bytes")
+    if not larger.isEmpty():
+        halves = handoff(_half_byte_postings(postings.join(larger.hint("shuffle_hash"), ["k", "bytes"]), max_bits))
+        sizes = _sizes(halves)
+        found = found.union(_pairs(sizes, max_bits)).union(_by_blocks(halves, sizes.where("n > 2"), max_bits, block))
+    return found.distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

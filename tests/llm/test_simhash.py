@@ -76,6 +76,28 @@ def test_links_connect_what_brute_force_connects(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_a_hot_posting_is_split_by_half_bytes(spark):
+    rnd = random.Random(5)
+    head = rnd.getrandbits(32) << 32  # four bytes that all share: one posting holds every fingerprint
+    fps = set()
+    while len(fps) < 700:
+        f = rnd.getrandbits(32)
+        for _ in range(rnd.choice([1, 1, 2, 6])):
+            fps.add(head | f)
+            for b in rnd.sample(range(32), rnd.randint(1, 5)):
+                f ^= 1 << b
+    for bits in (4, 3):
+        signed = [f - 2**64 if f >> 63 else f for f in sorted(fps)]
+        found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bits, 4)  # 175 blocks, over the 70 sets of half bytes
+        assert all(bin((r["a"] ^ r["b"]) & (2**64 - 1)).count("1") <= bits for r in found.collect())
+        roots = {r["node"]: r["root"] for r in connected_components(found).collect()}
+        want = brute_components([(s, s) for s in signed], bits)
+        named = {}
+        for s in signed:
+            named.setdefault(roots.get(s, s), set()).add(want[s])
+        assert all(len(x) == 1 for x in named.values()) and len(named) == len(set(want.values()))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -9,8 +9,15 @@ from hotsets.llm.common import quoted
 
 #: a mark packs 31 bits of gram hash above 31 bits of inverted position
 _POS = (1 << 31) - 1
-#: buckets of the order of documents: what reaches the driver is a number for each
+#: bytes of text in a bucket of the order of documents, and how many buckets there are at most (an
+#: id of each reaches the driver): 100 TB make buckets of 2 GB, which tasks sort with spilling
+BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 50_000
+#: scripts written without blanks, where a character counts as a word
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+_SEAM = rf"(?<=[{_UNSPACED}])(?=[^ ])|(?<=[^ ])(?=[{_UNSPACED}])"
+#: a run of more letters and digits is no word of any language: its characters count as words
+LONG_WORD = 32
 
 
 def _doubling(df: DataFrame, column: str, width: int, join) -> DataFrame:
@@ -31,7 +38,8 @@ def _doubling(df: DataFrame, column: str, width: int, join) -> DataFrame:
 def with_marks(df: DataFrame, text_col: str, out_col: str, gram: int = 4, window: int = 8) -> DataFrame:
     """``df`` with ``out_col``: the winnowing marks of ``text_col``, packed longs by position.
 
-    Words are runs of letters and digits, lower-cased.  A gram is ``gram`` consecutive words
+    Words are runs of letters and digits, lower-cased; in scripts without blanks, and in runs of
+    more than ``LONG_WORD``, every character is a word.  A gram is ``gram`` consecutive words
     (``gram`` must be a power of two, so that its hash is built from halves); a text of fewer
     words is one gram.  Of every ``window`` consecutive grams the one with the smallest hash is
     marked, the rightmost of equals; a text of fewer grams than a window marks every gram.  Two
@@ -43,8 +51,13 @@ def with_marks(df: DataFrame, text_col: str, out_col: str, gram: int = 4, window
         raise ValueError("gram must be a power of two and window positive")
     words, n, one = f"__{out_col}_words", f"__{out_col}_n", f"__{out_col}_one"
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    df = df.withColumn(words, clean).withColumn(one, F.xxhash64(F.col(words)))
+    df = df.withColumn(words, clean)
+    # only a text with letters beyond ASCII is searched for such scripts
+    df = df.withColumn(words, F.when(F.octet_length(words) == F.length(words), F.col(words)).otherwise(F.regexp_replace(words, _SEAM, " ")))
+    df = df.withColumn(one, F.xxhash64(F.col(words)))
     df = df.withColumn(words, F.when(F.col(words) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(words), " ")))
+    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    df = df.withColumn(words, F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), cut).otherwise(F.col(words)))
     df = df.withColumn(n, F.size(words)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     df = _doubling(df, words, gram, lambda a, b: F.xxhash64(a, b))
     # a text shorter than a gram is one gram
@@ -81,21 +94,22 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """``doc_id``, ``text``, ``next_text`` in ascending doc_id, the last one followed by the first;
     also ``__bucket``, ``__wrap`` and ``__guest`` for ``next_value``.
 
-    The order is cut into buckets at ids drawn from the table's own quantiles (one number per
-    bucket reaches the driver), so no task orders the whole table.  A bucket also receives the
-    row that opens the next one (marked ``__guest``), which is all that a successor needs.
-    NULL ids come first; rows with equal ids follow each other by text; NULL text counts as
-    empty.
+    The order is cut into buckets of about ``BUCKET_BYTES`` at ids that Spark's range partitioning
+    of the ids gives (one id per bucket reaches the driver), so no task orders the whole table.
+    A bucket also receives the row that opens the next one (marked ``__guest``), which is all
+    that a successor needs.  Ids are of any type that Spark can order.  NULL ids come first;
+    rows with equal ids follow each other by text, within one bucket; NULL text counts as empty.
     """
     src = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType
     spark = src.sparkSession
-    parts = buckets or min(MOST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = src.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 10 * parts).alias("q"),
-                    F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    least = None if edges["nulls"] else (edges["q"] or [None])[0]
-    cuts = sorted(set(edges["q"] or []))
-    cuts = cuts if edges["nulls"] else cuts[1:]  # cuts[i] opens bucket i + 1; what lies below the first is bucket 0
+    seen = src.agg(F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    least = None if seen["nulls"] else seen["least"]
+    parts = buckets or max(1, min(MOST_BUCKETS, -(-(seen["bytes"] or 0) // BUCKET_BYTES)))
+    ranges = src.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id").withColumn("range", F.spark_partition_id())
+    firsts = ranges.groupBy("range").agg(F.min("doc_id").alias("first")).collect()  # one row per bucket
+    cuts = [r["first"] for r in sorted(firsts, key=lambda r: r["range"])]
+    cuts = cuts if seen["nulls"] else cuts[1:]  # cuts[i] opens bucket i + 1; what lies below the first is bucket 0
     # the cuts of one bucket in `wide`, so that looking an id up takes two short searches
     wide = max(1, int(len(cuts) ** 0.5))
     folded = [cuts[i:i + wide] for i in range(0, len(cuts), wide)]
@@ -130,9 +144,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Marks of every text and of its edited form, and their likenesses.
 
     The edited text has its last quarter (whole code points, rounded down) replaced by as many
-    first code points of the next document.  Returns ``doc_id``, ``n_chars``, ``edited`` (the
+    first code points of the next document.  Texts are read whole, however long.  Returns ``doc_id``, ``n_chars``, ``edited`` (the
     text), ``marks``, ``edited_marks``, ``near_edited``, ``near_next``.  One row per input row;
-    a table of one row is its own next document; NULL texts count as empty.
+    a table of one row is its own next document; NULL texts count as empty; an empty table gives
+    an empty result; other columns are ignored.
     """
     rows = with_next(docs, id_col, text_col, buckets)
     quarter = F.floor(F.col("n_chars") / 4).cast("int")

@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -18,8 +20,20 @@ def spark_hash(*values):
     return seed
 
 
+def brute_words(text):
+    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+    out = []
+    for run in (x for x in re.split(r"[^\w]|_", (text or "").lower()) if x):
+        pieces = [""]
+        for c in run:  # a character of these scripts is a word by itself
+            pieces += [c, ""] if unspaced.match(c) else [pieces.pop() + c]
+        for p in pieces:
+            out += list(p) if len(p) > 32 else [p] * bool(p)
+    return out
+
+
 def brute_marks(text, k=4, w=8):
-    words = [x for x in re.split(r"[^\w]|_", (text or "").lower()) if x]
+    words = brute_words(text)
     grams = [spark_hash(x) for x in words]
     if 0 < len(words) < k:
         grams = [spark_hash(" ".join(words))]
@@ -41,7 +55,8 @@ def brute_marks(text, k=4, w=8):
 
 
 def test_marks_against_definition(spark):
-    texts = ["", None, "one", "one two three", " ".join("abcdefghijklmnop"), "a b a b a b a b a b a b a b a b", "Été à la MER, l'été; x_y 12 ab " * 9, "." * 50]
+    texts = ["", None, "one", "one two three", " ".join("abcdefghijklmnop"), "a b a b a b a b a b a b a b a b", "Été à la MER, l'été; x_y 12 ab " * 9, "." * 50,
+             "数据清洗是训练语料的第一步,重复的段落要去掉。abc数12据 ラーメンを食べたい " * 2, "x" * 32 + " " + "aB3" * 11 + " é" + "q" * 33, "𠀀𠀁中"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     for k, w in ((4, 8), (2, 3), (1, 5), (8, 1)):
         rows = winnow.with_marks(df, "text", "m", k, w).select("i", F.transform("m", winnow.mark_position).alias("p"), F.transform("m", winnow.mark_hash).alias("h")).collect()
@@ -84,3 +99,34 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert winnow.fingerprint_edits(empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")
     assert winnow.fingerprint_edits(one).first()["edited"] == "abcd efab"
+
+
+def test_texts_without_blanks(spark):
+    rnd = random.Random(2)
+    chinese = "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(400))
+    letters = "".join(chr(97 + rnd.randrange(26)) for _ in range(600))
+    for text in (chinese, letters):
+        df = spark.createDataFrame([(1, text), (2, text[:300] + "end here"), (3, "other words of a text that shares none of it")], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in winnow.fingerprint_edits(df).collect()}
+        assert len(got[1]["marks"]) > 20 and 0.3 < got[1]["near_edited"] < 1 and 0.3 < got[1]["near_next"] < 1 and got[2]["near_next"] == 0
+
+
+def test_ids_of_any_type_that_can_be_ordered(spark):
+    docs = [(f"{'xé' if i % 2 else 'X'}-{i % 5}-{i}", f"text number {i}") for i in range(40)] + [(None, "no id")]
+    for cast in ("string", "binary", "struct<a:string>"):
+        df = spark.createDataFrame(docs, "doc_id string, text string")
+        df = df.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("a")))) if "struct" in cast else df.withColumn("doc_id", F.col("doc_id").cast(cast))
+        order = sorted(docs, key=lambda d: (d[0] is not None, (d[0] or "").encode()))
+        following = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+        for buckets in (None, 7, 100):
+            got = winnow.with_next(df, buckets=buckets).where("not __guest").collect()
+            assert {r["text"]: r["next_text"] for r in got} == following and len(got) == len(docs)
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    df = spark.range(200).selectExpr("id AS doc_id", "repeat('ab ', 100) AS text")
+    assert winnow.with_next(df).select("__bucket").distinct().count() == 1
+    monkeypatch.setattr(winnow, "BUCKET_BYTES", 3000)
+    assert winnow.with_next(df).select("__bucket").distinct().count() > 10
+    dates = df.withColumn("doc_id", F.expr("timestamp'2024-03-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id as int))"))
+    assert winnow.with_next(dates).where("not __guest").count() == 200

@@ -43,6 +43,8 @@ TEMPLATES = [
 ]
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: a word that a larger share of the documents has tells no file from another
+COMMON = 0.05
 #: letters beyond ASCII whose lower case is or holds an ASCII letter
 _ODD = "[\u0130\u212A]"
 
@@ -67,17 +69,22 @@ def _base_places(phrase: str, label: str) -> Column:
     return F.transform(at, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
 
-def _index(document_counts: dict[str, int], n_docs: int, rarest: int) -> list[tuple[str, int, int, int]]:
-    """Postings (word, template, place in it, weight): of each template its rarest words.
+def _index(document_counts: dict[str, int], n_docs: int, rarest: int, common: float) -> list[tuple[str, int, int, int]]:
+    """Postings (word, template, place in it, weight): of each template its rarest words without
+    those of more than the share ``common`` of all documents.  One word of the mandatory phrase
+    is always there, its rarest if need be: it stands wherever the template can be verified.
 
     The weight is the inverse document frequency over all documents, in thousandths.
     """
     import math
 
     out = []
-    for t, (_, words, _) in enumerate(TEMPLATES):
+    for t, (_, words, phrase) in enumerate(TEMPLATES):
         idf = {w: math.log((n_docs + 1) / (document_counts.get(w, 0) + 1)) + 1 for w in words.split()}
-        chosen = sorted(idf, key=lambda w: (-idf[w], w))[:rarest]
+        by_rarity = sorted(idf, key=lambda w: (-idf[w], w))
+        chosen = [w for w in by_rarity[:rarest] if document_counts.get(w, 0) <= common * n_docs]
+        must = [w for w in by_rarity if w in phrase.split()]
+        chosen += [] if set(must) & set(chosen) else must[:1]
         out += [(w, t, k, round(1000 * idf[w])) for k, w in enumerate(words.split()) if w in chosen]
     return out
 
@@ -92,22 +99,24 @@ def license_document_counts(docs: DataFrame, text_col: str = "text") -> tuple[di
     return counts, counts.pop("", 0)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 3, file_words: int = 64, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 3, common: float = COMMON, least: float = 0.6) -> DataFrame:
     """``doc_id``, ``n_words``, ``places`` (start, label), ``found`` (start, label, share), per row.
 
     ``places``: where the words of a base phrase stand one after the other.  ``found``: template
     alignments.  The index holds the ``rarest`` words of every template, by document frequency
-    over all documents; of a file its ``file_words`` rarest index words are looked up (by default
-    more than the index has, so none is passed over).  Each of
-    their places votes for (template, start); an alignment counts if the template's mandatory
+    over all documents, without those that more than the share ``common`` of them have, but
+    always one of the mandatory phrase; of a file all of these words are looked up, the rarest
+    first.  Each of their places votes for (template, start); an alignment counts if the template's mandatory
     phrase stands in its place and its votes carry ``least`` of the weight of the looked-up
     words.  A text may begin within a template, up to its mandatory phrase: ``start`` is negative
-    then, and the words missing before the text do not count.  NULL and empty texts have no words; rows are told apart by their position in the
-    scan only, so repeated rows are reported alike.
+    then, and the words missing before the text do not count.  NULL and empty texts have no words;
+    texts are read whole, however long; rows are told apart by their position in the scan only,
+    so repeated rows are reported alike; an empty table gives an empty result; other columns are
+    ignored.
     """
     text = quoted(text_col).cast("string")
     counts, n_docs = license_document_counts(docs, text_col)
-    postings = _index(counts, n_docs, rarest)
+    postings = _index(counts, n_docs, rarest, common)
     weight = {w: v for w, _, _, v in postings}
     by_rarity = sorted(weight, key=lambda w: (-weight[w], w))
     rows = docs.select(quoted(id_col).alias("doc_id"), word_text(text).alias("__norm"))
@@ -117,7 +126,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("n_words", n.cast("long")).withColumn("__base", has_base)
     rows = rows.withColumn("__words", F.split("__norm", " "))
     # the file's rarest index words, in the order of rarity
-    rows = rows.withColumn("__own", F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("__words")), F.lit(1), F.lit(file_words)))
+    rows = rows.withColumn("__own", F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("__words")))
     rows = rows.withColumn("__look", F.size("__own") > 0).drop("__norm")
     at = F.when(F.col("__base") | F.col("__look"), F.sequence(F.lit(0), F.size("__words") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     heads = sorted({p.split(" ")[0] for p in PHRASES})

@@ -69,6 +69,27 @@ def test_mandatory_phrases_as_first_words(spark):
     assert ("apache-2.0", -3) in got[400] and "apache-2.0" not in {f for f, _ in got[401]}
 
 
+def test_common_words_are_no_postings():
+    everywhere = {"by": 400, "mit": 30, "license": 60, "cc": 2, "general": 1000, "public": 1000, "gnu": 1000}
+    chosen = {}
+    for w, t, _, _ in licenses._index(everywhere, 1000, 3, 0.05):
+        chosen.setdefault(licenses.TEMPLATES[t][1], set()).add(w)
+    assert chosen["cc by"] == {"cc"} and chosen["mit license"] == {"mit"}
+    # a template of common words only keeps the rarest of its phrase
+    assert chosen["gnu general public license"] == {"license"}
+    assert all(chosen[words] & set(phrase.split()) for _, words, phrase in licenses.TEMPLATES)
+
+
+def test_labels_do_not_depend_on_how_common_a_word_is(spark):
+    docs = [(t, f"x{t} y " + words + " z") for t, (_, words, _) in enumerate(licenses.TEMPLATES)]
+    docs += [(100 + i, "by the license of all, and general public words") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [{r["doc_id"]: {f["label"] for f in r["found"]} for r in licenses.scan_licenses(df, common=c).collect()} for c in (1.0, 0.05, 0.0)]
+    for t, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in g[t] for g in got), label
+    assert not any(g[100] for g in got)
+
+
 def test_awkward_rows(spark):
     df = clashing(awkward(spark))
     got = licenses.scan_licenses(df)

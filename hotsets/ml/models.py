@@ -41,6 +41,9 @@ TREE_MEMORY_MB = 1024
 # depth-9 trees keep each row's node id between levels instead of walking
 # the tree again (ids are checkpointed every 10 iterations); same trees
 CACHE_NODE_IDS = True
+# a tree learner keeps its rows in memory as objects, some 500 bytes a row and partition by partition,
+# while files of short encoded rows are read into a partition for each core, however many rows there are
+ROWS_PER_TASK = 500_000
 
 MODEL_NAMES = ["decision_tree", "random_forest", "gbt", "linear_svc", "logistic_regression",
                "linear_regression"]
@@ -128,9 +131,16 @@ def fit(name: str, train: DataFrame, arities: dict[str, int]):
         if arities[widest] > rows:
             raise ValueError(f"feature {widest} has {arities[widest]} categories but there are only {rows} training rows; "
                              f"set top_n (below {rows}) to keep its most frequent values and share one id among the rest")
+        train = dealt(train, rows)
     return estimator(name, bins).fit(train)
 
 
+def dealt(train: DataFrame, rows: int) -> DataFrame:
+    """Training rows in at most ``ROWS_PER_TASK`` a partition; as they lie if the cores have no more than that each."""
+    parts = -(-rows // ROWS_PER_TASK)
+    return train.repartition(parts) if parts > train.sparkSession.sparkContext.defaultParallelism else train
+
+
 def predict(model, df: DataFrame, *keep: str) -> DataFrame:
     """Row keys (and the held-out mark, as far as ``df`` has them), the columns to ``keep``, label, prediction, score: score =
     P(class 1) for probabilistic classifiers, the margin for the SVM, the

@@ -133,3 +133,20 @@ def test_sweep_encodes_once(spark):
     alone = evaluate.areas(evaluate.curve(models.train_and_score("decision_tree", *sampling.train_test_split(sampling.balanced_sample(
         features.with_label(df, "readbytes", 100.0))), vocab_rows=df))).first()["area_under_roc"]
     assert abs(got["readbytes", 100.0]["area_under_roc"] - alone) < 1e-9
+
+
+def test_tree_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """A tree learner's partitions grow in number, not in rows; few rows stay as they lie."""
+    seen = {}
+
+    class Learner:
+        def fit(self, train):
+            seen["rows"] = [len(p) for p in train.select("label").rdd.glom().collect()]
+
+    monkeypatch.setattr(models, "estimator", lambda name, bins: Learner())
+    df = spark.range(0, 4000, numPartitions=2).selectExpr("cast(id % 2 as double) as label")
+    models.fit("decision_tree", df, {"f_week": 53})
+    assert seen["rows"] == [2000, 2000]
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 20)
+    models.fit("random_forest", df, {"f_week": 53})
+    assert len(seen["rows"]) == 200 and sum(seen["rows"]) == 4000 and max(seen["rows"]) <= 30

@@ -8,6 +8,8 @@ leaf means of boosted trees, the node counts of a forest.  Each is one aggregate
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,16 +47,52 @@ def node_table(model, df: DataFrame) -> DataFrame:
 def leaves(df: DataFrame, nodes: DataFrame, n_trees: int, depth: int) -> DataFrame:
     """The leaf that each row (``_row``, ``features``) reaches in each tree: ``_row``, ``tree``, ``id``, ``prediction``, ``stats``.
 
-    All rows go down a level at a time, by a join with the node table.
+    The inner nodes (model-sized) go to every task, where all rows of a batch go down a level at a
+    time; a row passes its task once and is not copied for each tree and level.
     """
-    at = df.select("_row", vector_to_array("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), F.lit(0).alias("id"))
-    inner = nodes.where("left >= 0").select("tree", "id", "left", "right", "feature", "values", "categories")
-    for _ in range(depth):
-        x = F.get("x", F.col("feature"))
-        goes_left = F.when(F.col("categories") >= 0, F.array_contains("values", x)).otherwise(x <= F.get("values", F.lit(0)))
-        step = F.when(F.col("left").isNull(), F.col("id")).when(goes_left, F.col("left")).otherwise(F.col("right"))
-        at = at.join(inner, ["tree", "id"], "left").select("_row", "x", "tree", step.alias("id"))
-    return at.drop("x").join(nodes.select("tree", "id", "prediction", "stats"), ["tree", "id"])
+    walk = _walk(nodes, n_trees, depth)
+    at = df.select("_row", F.posexplode(walk(vector_to_array("features"))).alias("tree", "id"))
+    return at.join(F.broadcast(nodes.select("tree", "id", "prediction", "stats")), ["tree", "id"])
+
+
+def _walk(nodes: DataFrame, n_trees: int, depth: int):
+    """A function of the feature array: the id of the leaf in each tree."""
+    inner = nodes.where("left >= 0").select("tree", "id", "left", "right", "feature", "categories", "values").toArrow().combine_chunks()
+    number = {c: inner[c].to_numpy().astype(np.int64) for c in ("tree", "id", "left", "right", "feature", "categories")}
+    size = 1 + max([0, *(int(number[c].max()) for c in ("id", "left", "right") if inner.num_rows)])
+    at = number["tree"] * size + number["id"]
+    # by node: children, feature and threshold; a leaf is its own child
+    left, right = np.tile(np.arange(size), n_trees), np.tile(np.arange(size), n_trees)
+    left[at], right[at] = number["left"], number["right"]
+    feature, threshold, by_category = np.zeros(n_trees * size, np.int64), np.zeros(n_trees * size), np.zeros(n_trees * size, bool)
+    feature[at], by_category[at] = number["feature"], number["categories"] >= 0
+    # left categories as sorted numbers (node, category), so memory is that of the saved nodes
+    lists = [np.asarray(v, float) for v in inner["values"].to_pylist()]
+    wide = 1 + max(number["categories"], default=0)
+    wide = max(int(wide), 1)
+    for n, v in zip(at, lists):
+        if not by_category[n]:
+            threshold[n] = v[0]
+    members = np.sort(np.concatenate([np.zeros(0, np.int64), *[n * wide + v.astype(np.int64) for n, v in zip(at, lists) if by_category[n]]]))
+
+    @F.pandas_udf("array<int>")
+    def walk(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
+        each, found = np.arange(len(rows)), np.zeros((len(rows), n_trees), np.int32)
+        for tree in range(n_trees):
+            here = np.zeros(len(rows), np.int64)
+            for _ in range(depth):
+                node = tree * size + here
+                value = rows[each, feature[node]]
+                key = node * wide + value.astype(np.int64)
+                place = np.searchsorted(members, key)
+                member = members[np.minimum(place, len(members) - 1)] == key if len(members) else np.zeros(len(rows), bool)
+                goes_left = np.where(by_category[node], member, value <= threshold[node])
+                here = np.where(goes_left, left[node], right[node])
+            found[:, tree] = here
+        return pd.Series(list(found))
+
+    return walk
 
 
 def _trees(model) -> tuple[int, int, list[float]]:

@@ -69,3 +69,18 @@ def test_forest_checks_turn_red_for_a_constant(spark, rows):
     r = verify.forest_checks(model, scored).first()
     assert r["better"] and r["n_wrong"] == 0 and r["n_rows"] == 1500
     assert not verify.forest_checks(model, constant(scored)).first()["better"]
+
+
+def test_rows_reach_their_leaves_without_a_join_per_level(spark, rows):
+    """One join, with the leaves; a wide categorical split, a threshold and a leaf high up are all walked."""
+    nodes = spark.createDataFrame([
+        (0, 0, 0.0, [4.0, 4.0], 1, 4, 0, [0.0, 900.0], 1000), (0, 1, 0.0, [2.0, 2.0], 2, 3, 1, [0.5], -1), (0, 2, 1.0, [2.0, 0.0], -1, -1, -1, [], -1),
+        (0, 3, 0.0, [0.0, 2.0], -1, -1, -1, [], -1), (0, 4, 1.0, [2.0, 2.0], -1, -1, -1, [], -1), (1, 0, 1.0, [4.0, 4.0], -1, -1, -1, [], -1)],
+        "tree int, id int, prediction double, stats array<double>, left int, right int, feature int, values array<double>, categories int")
+    from pyspark.ml.functions import array_to_vector
+    df = spark.createDataFrame([(0, [0.0, 0.5]), (1, [900.0, 0.6]), (2, [899.0, 0.1]), (3, [901.0, 9.0]), (4, [0.0, -3e12])], "_row long, x array<double>").select("_row", array_to_vector("x").alias("features"))
+    found = verify.leaves(df, nodes, 2, 5)
+    assert sorted((r["_row"], r["tree"], r["id"]) for r in found.collect()) == sorted([(i, 1, 0) for i in range(5)] + [(0, 0, 2), (1, 0, 3), (2, 0, 4), (3, 0, 4), (4, 0, 2)])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    only_leaf = verify.leaves(df, nodes.where("tree = 1").selectExpr("0 as tree", *nodes.columns[1:]), 1, 0)
+    assert [r["id"] for r in only_leaf.collect()] == [0] * 5

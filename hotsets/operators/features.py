@@ -9,6 +9,8 @@ like any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hotsets.operators.indexing import ordered_index
@@ -137,15 +139,26 @@ def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGOR
         v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
         out = out.join(v, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
         if unseen == "error":
-            fid = F.when(F.col("_i").isNull(), F.raise_error(
-                F.concat(F.lit(f"value not in vocabulary of {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))))
-            ).otherwise(F.col("_i"))
+            fid = F.col("_i")
         elif unseen == "zero":
             fid = F.coalesce(F.col("_i"), F.lit(0))
         else:
             fid = F.coalesce(F.col("_i"), F.lit(sizes.get(c, 0)))
         out = out.withColumn(f"f_{c}", fid.cast("long")).drop("_v", "_i")
-    return out
+    return _all_known(out, columns) if unseen == "error" and columns else out
+
+
+def _all_known(encoded: DataFrame, columns: list[str]) -> DataFrame:
+    """``encoded``, which fails for a row with a value that has no id.
+
+    One check after all joins: a message in each of them makes the code that Spark generates for
+    the chain of joins too long to be compiled.
+    """
+    unknown = [F.when(F.col(f"f_{c}").isNull(), F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))) for c in columns]
+    text = F.array_join(F.filter(F.array(*unknown), lambda m: m.isNotNull()), ", ")
+    any_unknown = reduce(lambda a, b: a | b, [F.col(f"f_{c}").isNull() for c in columns])
+    checked = F.when(any_unknown, F.raise_error(F.concat(F.lit("value not in vocabulary of "), text)).cast("long"))
+    return encoded.withColumns({f"f_{c}": F.coalesce(checked, F.col(f"f_{c}")) if c == columns[0] else F.col(f"f_{c}") for c in columns})
 
 
 def with_week_feature(df: DataFrame) -> DataFrame:

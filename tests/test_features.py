@@ -129,3 +129,15 @@ def test_encode_with_shuffled_vocabularies(spark):
         assert rows(shuffled, *out) == rows(plain, *out)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_unseen_values_are_named_together_in_one_check(spark):
+    """One check after the joins, not a message in each: all values of a row without an id are named."""
+    seen = spark.createDataFrame([("a", "x", None)], "p string, q string, r string")
+    vocab = features.vocabulary(seen, ["p", "q", "r"]).cache()
+    known = features.encode(seen, vocab, ["p", "q", "r"], unseen="error")
+    assert [tuple(r) for r in known.select("f_p", "f_q", "f_r").collect()] == [(0, 0, 0)]
+    assert known._jdf.queryExecution().optimizedPlan().toString().count("raise_error") == 1
+    other = spark.createDataFrame([("a", None, "z")], "p string, q string, r string")
+    with pytest.raises(Exception, match="not in vocabulary of q: NULL, r: z"):
+        features.encode(other, vocab, ["p", "q", "r"], unseen="error").collect()

@@ -21,7 +21,7 @@ from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
 from hotsets.plans.params import BUCKETS, HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, SWEEP, TRAIN_LAST_WEEK
 from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
-from hotsets.sources.buckets import co_located, write_bucketed
+from hotsets.sources.buckets import buckets_for, co_located, write_bucketed
 from hotsets.sources.handoff import beside, hand_off, owner_of
 from hotsets.sources.readers import CORRUPT, observed_json, to_number, typed_numbers
 from hotsets.sources.sinks import load_weeks
@@ -75,8 +75,9 @@ def q_popularity_weekly_file_once(spark, sf_dir):
 def q_popularity_weekly_bucketed(spark, sf_dir):
     """The weekly table from accesses and catalog that are stored in buckets of the file key."""
     d, tag = Domain(spark, sf_dir), uuid.uuid4().hex
-    accesses = write_bucketed(d.access_clean, f"accesses_{tag}", "file_lfn", BUCKETS)
-    catalog = write_bucketed(d.file_catalog, f"catalog_{tag}", "file_lfn", BUCKETS)
+    buckets = buckets_for(d.access_clean.count(), BUCKETS)
+    accesses = write_bucketed(d.access_clean, f"accesses_{tag}", "file_lfn", buckets)
+    catalog = write_bucketed(d.file_catalog, f"catalog_{tag}", "file_lfn", buckets)
     return rounded(access_popularity(*co_located(accesses, catalog)))
 
 

@@ -102,3 +102,14 @@ def test_all_histograms_in_one_pass(spark):
     assert plan.count("FileScan") == alone.count("FileScan")
     for m in metrics:
         assert rows(together.where(F.col("metric") == m), "bucket", "occurrences") == rows(profile.log_histogram(pop, m), m, "occurrences")
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    from hotsets.plans.queries import q_popularity_weekly_bucketed
+    from hotsets.sources import buckets
+    assert [buckets.buckets_for(n, 16) for n in (0, 16_000_000, 16_000_001, 111_000_000)] == [16, 16, 32, 128]
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 100)
+    with handoff.owning(spark, "buckets") as owned:
+        got = q_popularity_weekly_bucketed(owned, SF_SMALL)
+        assert "SelectedBucketsCount: 32 out of 32" in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got) == rows(rounded(Domain(spark, SF_SMALL).popularity))

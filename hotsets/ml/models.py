@@ -218,17 +218,18 @@ def sweep(rows: DataFrame, labels: list[tuple[str, float]], name: str = "random_
     then balances, splits and fits on that table.
     """
     e = fit_encoding(rows, top_n)
-    table = hand_off(e.vectors(rows, name in TREE_MODELS).select(*POPULARITY_KEYS, *METRICS, "features"))
+    table = hand_off(sampling.with_draws(e.vectors(rows, name in TREE_MODELS)).select(*sampling.DRAWS, *METRICS, "features"))
     out = []
     for metric, threshold in labels:
-        parts = sampling.with_split(sampling.balanced_sample(features.with_label(table, metric, threshold)))
+        sample = sampling.balanced_sample(features.with_label(table, metric, threshold), drawn="_balance")
+        parts = sampling.with_split(sample, drawn="_split").select("split", "label", "features")
         train, held = F.col("split") == "train", F.col("split") == "test"
         positive = F.col("label") == 1
         n = parts.agg(F.count_if(train).alias("n_train"), F.count_if(held).alias("n_held_out"), F.count_if(held & positive).alias("n_positive"),
                       F.count_if(train & positive).alias("n_train_positive")).first()
         area = None
         if 0 < n["n_positive"] < n["n_held_out"] and 0 < n["n_train_positive"] < n["n_train"]:
-            model = fit(name, parts.where(train).select("label", "features"), e.arities)
+            model = fit(name, hand_off(parts.where(train).select("label", "features")), e.arities)
             area = evaluate.areas(evaluate.curve(predict(model, parts.where(held)))).first()["area_under_roc"]
         out.append((metric, float(threshold), n["n_train"], n["n_held_out"], n["n_positive"], area))
     return rows.sparkSession.createDataFrame(out, "metric string, threshold double, n_train long, n_held_out long, n_positive long, area_under_roc double")

@@ -485,7 +485,8 @@ def q_model_choice(spark, sf_dir):
 @register("label_sweep")
 def q_label_sweep(spark, sf_dir):
     """Several labels on one encoded table: the rows each trains on and holds out, and whether it could be fitted."""
-    found = models.sweep(popularity_table(spark, sf_dir), SWEEP, "decision_tree")
+    # vocabulary and encoding both read the rows
+    found = models.sweep(hand_off(popularity_table(spark, sf_dir)), SWEEP, "decision_tree")
     return found.select("metric", "threshold", "n_train", "n_held_out", "n_positive", F.col("area_under_roc").between(0, 1).alias("fitted"))
 
 

@@ -54,3 +54,13 @@ def test_unit_hash_split_is_row_local(spark):
             assert r["u"] == u_full[r["dataset_name"]]
 
     check()
+
+
+def test_draws_sample_the_same_rows(spark):
+    """Numbers kept as columns choose the rows that the keys choose."""
+    df = spark.range(4000).selectExpr("cast(id % 50 as int) as week", "if(id % 7 = 0, null, concat('/d', id)) as dataset_name", "'c' as client_domain", "'u' as username",
+                                      "'s' as server_domain", "'t' as server_site", "'x' as user_protocol", "cast(id % 3 = 0 as double) as label", "id")
+    drawn = sampling.with_draws(df).select(*sampling.DRAWS, "label", "id")
+    want = sampling.with_split(sampling.balanced_sample(df)).select("id", "split")
+    got = sampling.with_split(sampling.balanced_sample(drawn, drawn="_balance"), drawn="_split").select("id", "split")
+    assert want.count() > 1000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -268,6 +268,15 @@ def load_kept(spark: SparkSession, path: str) -> Kept:
 
 
 def choose(rows: DataFrame, names: list[str] = MODEL_NAMES, top_n: int | None = None) -> tuple[Kept, DataFrame]:
+def score_twice(first: Kept, second: Kept, rows: DataFrame) -> DataFrame:
+    """``second``'s predictions, each with ``first``'s score of the same row (``again``).
+
+    A row passes both models where it lies, so the scores need not be brought together by a join."""
+    values = [c for c in ["_row", "dataset_size", *features.FEATURE_CATEGORIES] if c in rows.columns and c not in POPULARITY_KEYS]
+    again = first.score(rows, *values).withColumnRenamed("score", "again").drop("prediction")
+    return second.score(again, *[c for c in ["_row"] if c in rows.columns], "again")
+
+
     """The best of several models by the area under the ROC curve on held-out rows, and all areas
     (``model``, ``n_rows``, ``n_positive``, ``n_scores``, ``area_under_roc``).
 

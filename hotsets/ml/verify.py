@@ -128,10 +128,12 @@ def score_again(model, df: DataFrame) -> DataFrame:
     return found.groupBy("_row").agg(F.avg(share).alias("again"))
 
 
-def agreeing(scored: DataFrame, again: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """The scored rows (with ``_row``) whose score the exported model gives too."""
+def agreeing(scored: DataFrame, again: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """The scored rows whose score the exported model gives too: ``again``, in a table by ``_row`` or,
+    without one, beside the score."""
     near = F.abs(F.col("score") - F.col("again")) <= tolerance * F.greatest(F.lit(1.0), F.abs("again"))
-    return scored.join(again, "_row").where(near).drop("again")
+    both = scored if again is None else scored.join(again, "_row")
+    return both.where(near).drop("again")
 
 
 # ---- fits ------------------------------------------------------------------------

@@ -499,9 +499,8 @@ def q_score_week_kept(spark, sf_dir):
     fitted = models.fit("random_forest", hand_off(e.vectors(train).select("label", "features")), e.arities)
     kept, path = models.Kept("random_forest", fitted, e), owner_of(spark).new_path()
     kept.save(path)
-    rows = verify.with_row_number(week)
-    again = models.load_kept(spark, path).score(rows, "_row")
-    return verify.agreeing(kept.score(rows, "_row"), again.select("_row", F.col("score").alias("again"))).select(*POPULARITY_KEYS, "label")
+    both = models.score_twice(models.load_kept(spark, path), kept, verify.with_row_number(week))
+    return verify.agreeing(both).select(*POPULARITY_KEYS, "label")
 
 
 @register("fit_linear_svc")

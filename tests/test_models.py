@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hotsets.ml import models
+from hotsets.ml import models, verify
 from hotsets.operators import evaluate, sampling
 
 POP = ("week int, dataset_name string, primary_dataset string, processed_dataset string, "
@@ -135,6 +135,24 @@ def test_sweep_encodes_once(spark):
     assert abs(got["readbytes", 100.0]["area_under_roc"] - alone) < 1e-9
 
 
+def test_score_twice_moves_no_row(spark):
+    """Both scores of each row, without an exchange of the rows."""
+    df = planted(spark, n=600)
+    e = models.fit_encoding(df)
+    train = e.vectors(df).select("label", "features").localCheckpoint()
+    deep, flat = models.Kept("decision_tree", models.fit("decision_tree", train, e.arities), e), models.Kept("random_forest", models.fit("random_forest", train, e.arities), e)
+    rows = verify.with_row_number(df)
+    both = models.score_twice(deep, flat, rows)
+    assert "hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
+    got = {r["_row"]: (r["again"], r["score"]) for r in both.collect()}
+    want = {r["_row"]: r["score"] for r in deep.score(rows, "_row").collect()}, {r["_row"]: r["score"] for r in flat.score(rows, "_row").collect()}
+    assert got == {k: (want[0][k], want[1][k]) for k in want[0]} and len(got) == 600
+    agree = {k for k, (a, b) in got.items() if abs(a - b) <= 1e-9}
+    assert 0 < len(agree) < 600 or not agree
+    assert verify.agreeing(both).count() == len(agree)
+    assert verify.agreeing(models.score_twice(deep, deep, rows)).count() == 600
+
+
 def test_tree_rows_are_dealt_by_their_number(spark, monkeypatch):
     """A tree learner's partitions grow in number, not in rows; few rows stay as they lie."""
     seen = {}

@@ -214,8 +214,9 @@ def sweep(rows: DataFrame, labels: list[tuple[str, float]], name: str = "random_
     """One model for each (metric, threshold) label: ``metric``, ``threshold``, ``n_train``, ``n_held_out``,
     ``n_positive`` (of those held out), ``area_under_roc`` (NULL if either part has one class only).
 
-    The features do not depend on the label, so the rows are encoded and written once; each label
-    then balances, splits and fits on that table.
+    Neither the features nor the numbers that rows are sampled by depend on the label, so the rows are
+    encoded, hashed and written once; each label then balances, splits and fits on that table.  Its
+    training rows are written too, for the learner's passes.
     """
     e = fit_encoding(rows, top_n)
     table = hand_off(sampling.with_draws(e.vectors(rows, name in TREE_MODELS)).select(*sampling.DRAWS, *METRICS, "features"))
@@ -267,7 +268,6 @@ def load_kept(spark: SparkSession, path: str) -> Kept:
     return Kept(about["name"], _CLASSES[about["name"]].load(f"{path}/model"), Encoding(vocab, features.vocabulary_sizes(vocab), about["one_hot"]))
 
 
-def choose(rows: DataFrame, names: list[str] = MODEL_NAMES, top_n: int | None = None) -> tuple[Kept, DataFrame]:
 def score_twice(first: Kept, second: Kept, rows: DataFrame) -> DataFrame:
     """``second``'s predictions, each with ``first``'s score of the same row (``again``).
 
@@ -277,18 +277,19 @@ def score_twice(first: Kept, second: Kept, rows: DataFrame) -> DataFrame:
     return second.score(again, *[c for c in ["_row"] if c in rows.columns], "again")
 
 
+def choose(rows: DataFrame, names: list[str] = MODEL_NAMES, top_n: int | None = None) -> tuple[Kept, DataFrame]:
     """The best of several models by the area under the ROC curve on held-out rows, and all areas
     (``model``, ``n_rows``, ``n_positive``, ``n_scores``, ``area_under_roc``).
 
-    The rows are encoded once; every model is fitted to the training part of that one table and scores
-    the held-out part.  Equal areas: the first named.
+    The rows are encoded, split and written once, each part in a folder of its own; every model is fitted
+    to the training part and scores the held-out part.  Equal areas: the first named.
     """
     e = fit_encoding(rows, top_n)
-    table = hand_off(e.vectors(rows).select(*POPULARITY_KEYS, "label", "features"))
-    fit_rows, held_out = sampling.train_test_split(table)
+    table = hand_off(sampling.with_split(e.vectors(rows)).select("split", "label", "features"), ["split"])
+    fit_rows, held_out = (table.where(F.col("split") == part).drop("split") for part in ("train", "test"))
     found, areas = {}, []
     for name in names:
-        found[name] = fit(name, fit_rows.select("label", "features"), e.arities)
+        found[name] = fit(name, fit_rows, e.arities)
         curve = hand_off(evaluate.curve(predict(found[name], held_out)))
         sizes = curve.agg(F.max(F.col("tp") + F.col("fp")).alias("n_rows"), F.max("tp").alias("n_positive"), F.count(F.lit(1)).alias("n_scores"))
         areas.append(evaluate.areas(curve).select(F.lit(name).alias("model"), *[sizes.select(c).scalar().alias(c) for c in sizes.columns], "area_under_roc"))

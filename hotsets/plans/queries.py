@@ -255,8 +255,13 @@ def labelled_table(spark, sf_dir) -> DataFrame:
     """The labelled weekly table written once for jobs that read it several
     times (vocabulary, encoding, training, scoring), as the weekly table is
     written once and read by the training job.  Files are as many as the
-    tasks that made it; a filter on ``week`` is pushed to their row groups."""
-    return hand_off(labelled(spark, sf_dir))
+    tasks that made it; a filter on ``week`` is pushed to their row groups.
+    Metrics that are no features are left out once the label is known."""
+    return hand_off(_features_only(labelled(spark, sf_dir)))
+
+
+def _features_only(lab: DataFrame) -> DataFrame:
+    return lab.drop(*[m for m in METRICS if m != "dataset_size"])
 
 
 @register("vocabulary")
@@ -478,7 +483,8 @@ def q_fit_logistic_regression_one_hot(spark, sf_dir):
 def q_model_choice(spark, sf_dir):
     """All six models fitted to one encoded table: rows held out, how many are positive, and whether the
     model tells them apart at all (the test tables' features say next to nothing of the label)."""
-    _, areas = models.choose(sampling.balanced_sample(labelled_table(spark, sf_dir)))
+    # only the sample is read again
+    _, areas = models.choose(hand_off(_features_only(sampling.balanced_sample(labelled(spark, sf_dir)))))
     return areas.select("model", "n_rows", "n_positive", (F.col("n_scores") > 1).alias("varied"))
 
 

@@ -135,6 +135,30 @@ def test_sweep_encodes_once(spark):
     assert abs(got["readbytes", 100.0]["area_under_roc"] - alone) < 1e-9
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("many", ["sweep", "choose"])
+def test_passes_read_sampled_rows(spark, monkeypatch, many):
+    """What is fitted and scored was sampled and written before: no pass over it hashes a key, and the
+    features still say which of them are categories."""
+    seen, fit, predict = [], models.fit, models.predict
+    monkeypatch.setattr(models, "fit", lambda name, train, arities: seen.append(train) or fit(name, train, arities))
+    monkeypatch.setattr(models, "predict", lambda model, df, *keep: seen.append(df) or predict(model, df, *keep))
+    df = planted(spark, n=900)
+    if many == "sweep":
+        rows = df.drop("label").selectExpr("*", "dataset_size * 2 as readbytes", "1.0d as numaccesses", "1.0d as proctime")
+        assert models.sweep(rows, [("readbytes", 100.0)], "decision_tree").first()["area_under_roc"] is not None
+    else:
+        models.choose(df, ["decision_tree"])
+    assert len(seen) == 2 and all(s.count() > 0 for s in seen)
+    for s in seen:
+        assert "md5" not in _plan(s)
+        nominal = s.schema["features"].metadata["ml_attr"]["attrs"]["nominal"]
+        assert {a["name"]: a["num_vals"] for a in nominal}["f_server_site"] == 5
+
+
 def test_score_twice_moves_no_row(spark):
     """Both scores of each row, without an exchange of the rows."""
     df = planted(spark, n=600)

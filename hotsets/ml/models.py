@@ -19,6 +19,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from hotsets.operators import evaluate, features, sampling
 from hotsets.schemas import METRICS, POPULARITY_KEYS
@@ -131,7 +132,14 @@ def fit(name: str, train: DataFrame, arities: dict[str, int]):
         if arities[widest] > rows:
             raise ValueError(f"feature {widest} has {arities[widest]} categories but there are only {rows} training rows; "
                              f"set top_n (below {rows}) to keep its most frequent values and share one id among the rest")
-        train = dealt(train, rows)
+        given, train = train, dealt(train, rows)
+        if train is not given:
+            # the learner reads its rows several times, and each time would deal them out anew
+            train.persist(StorageLevel.DISK_ONLY)
+            try:
+                return estimator(name, bins).fit(train)
+            finally:
+                train.unpersist()
     return estimator(name, bins).fit(train)
 
 
@@ -172,7 +180,9 @@ class Encoding:
         return category_arities(self.vocab, unseen_bucket=True, sizes=self.sizes)
 
     def vectors(self, rows: DataFrame, categorical: bool = True, unseen: str = "keep") -> DataFrame:
-        encoded = features.encode(features.with_week_feature(rows), self.vocab, unseen=unseen, sizes=self.sizes)
+        return self.assembled(features.encode(features.with_week_feature(rows), self.vocab, unseen=unseen, sizes=self.sizes), categorical)
+
+    def assembled(self, encoded: DataFrame, categorical: bool = True) -> DataFrame:
         return assemble(encoded, self.arities, categorical, one_hot=self.one_hot)
 
 
@@ -271,10 +281,14 @@ def load_kept(spark: SparkSession, path: str) -> Kept:
 def score_twice(first: Kept, second: Kept, rows: DataFrame) -> DataFrame:
     """``second``'s predictions, each with ``first``'s score of the same row (``again``).
 
-    A row passes both models where it lies, so the scores need not be brought together by a join."""
-    values = [c for c in ["_row", "dataset_size", *features.FEATURE_CATEGORIES] if c in rows.columns and c not in POPULARITY_KEYS]
-    again = first.score(rows, *values).withColumnRenamed("score", "again").drop("prediction")
-    return second.score(again, *[c for c in ["_row"] if c in rows.columns], "again")
+    A row passes both models where it lies, so the scores need not be brought together by a join; it is
+    encoded by both vocabularies at once."""
+    row = [c for c in ["_row"] if c in rows.columns]
+    seconds = [f"g_{c}" for c in features.FEATURE_CATEGORIES]
+    encoded = features.encode_twice(features.with_week_feature(rows), first.encoding.vocab, second.encoding.vocab, (first.encoding.sizes, second.encoding.sizes))
+    again = predict(first.model, first.encoding.assembled(encoded, first.name in TREE_MODELS), *row, "f_week", *seconds, "dataset_size")
+    again = again.withColumnsRenamed({"score": "again", **{c: f"f_{c[2:]}" for c in seconds}}).drop("prediction")
+    return predict(second.model, second.encoding.assembled(again, second.name in TREE_MODELS), *row, "again")
 
 
 def choose(rows: DataFrame, names: list[str] = MODEL_NAMES, top_n: int | None = None) -> tuple[Kept, DataFrame]:

@@ -136,18 +136,42 @@ def encode(df: DataFrame, vocab: DataFrame, columns: list[str] = FEATURE_CATEGOR
         sizes = vocabulary_sizes(vocab)
     out = df
     for c in columns:
-        v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
-        out = out.join(v, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left")
+        out = _looked_up(out, vocab, c, "idx")
         if unseen == "error":
-            fid = F.col("_i")
+            fid = F.col("_idx")
         elif unseen == "zero":
-            fid = F.coalesce(F.col("_i"), F.lit(0))
+            fid = F.coalesce(F.col("_idx"), F.lit(0))
         else:
-            fid = F.coalesce(F.col("_i"), F.lit(sizes.get(c, 0)))
-        out = out.withColumn(f"f_{c}", fid.cast("long")).drop("_v", "_i")
+            fid = F.coalesce(F.col("_idx"), F.lit(sizes.get(c, 0)))
+        out = out.withColumn(f"f_{c}", fid.cast("long")).drop("_idx")
     return _all_known(out, columns) if unseen == "error" and columns else out
 
 
+def _looked_up(df: DataFrame, vocab: DataFrame, c: str, *ids: str) -> DataFrame:
+    """Add ``_<id>`` for each of the vocabulary's id columns: NULL for a value that it does not have."""
+    v = vocab.filter(F.col("feature") == c).select(F.col("value").alias("_v"), *[F.col(i).alias(f"_{i}") for i in ids])
+    return df.join(v, F.col(c).cast("string").eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
+def encode_twice(df: DataFrame, first: DataFrame, second: DataFrame, sizes: tuple[dict[str, int], dict[str, int]],
+                 columns: list[str] = FEATURE_CATEGORIES) -> DataFrame:
+    """Add ``f_<column>``, the ids by the ``first`` vocabulary, and ``g_<column>``, those by the ``second``; each as
+    ``encode`` gives them with unseen='keep'.
+
+    The vocabularies are brought together first, so a row looks each value up once.  With a join for each column
+    and vocabulary, the code that Spark generates for the chain of joins is too long to be compiled.
+    """
+    none = F.lit(None).cast("long")
+    both = (first.select("feature", "value", F.col("idx").alias("f"), none.alias("g"))
+            .unionByName(second.select("feature", "value", none.alias("f"), F.col("idx").alias("g"))))
+    both = hand_off(both.groupBy("feature", "value").agg(F.max("f").alias("f"), F.max("g").alias("g")))
+    out = df
+    for c in columns:
+        out = _looked_up(out, both, c, "f", "g")
+        out = out.withColumns({f"{i}_{c}": F.coalesce(F.col(f"_{i}"), F.lit(n.get(c, 0))).cast("long") for i, n in zip("fg", sizes)}).drop("_f", "_g")
+    return out
+
+
 def _all_known(encoded: DataFrame, columns: list[str]) -> DataFrame:
     """``encoded``, which fails for a row with a value that has no id.
 

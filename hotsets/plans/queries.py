@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hotsets.functions.naming import dataset_parts
+from hotsets.functions.naming import dataset_parts, with_dataset_parts
 from hotsets.functions.timefn import week_of_day_string, week_of_epoch_s
 from hotsets.ml import models, verify
 from hotsets.operators import evaluate, features, profile, replicas, sampling
@@ -20,7 +20,7 @@ from hotsets.operators.weekly import access_popularity, popularity_union
 from hotsets.plans.domain import Domain
 from hotsets.plans.output import rounded
 from hotsets.plans.params import BUCKETS, HELD_OUT_SITE, LABEL_METRIC, LABEL_THRESHOLD, SWEEP, TRAIN_LAST_WEEK
-from hotsets.schemas import METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
+from hotsets.schemas import DATASET_PART_COLUMNS, METRICS, POPULARITY, POPULARITY_COLUMNS, POPULARITY_KEYS, ddl
 from hotsets.sources.buckets import buckets_for, co_located, write_bucketed
 from hotsets.sources.handoff import beside, hand_off, owner_of
 from hotsets.sources.readers import CORRUPT, observed_json, to_number, typed_numbers
@@ -256,8 +256,10 @@ def labelled_table(spark, sf_dir) -> DataFrame:
     times (vocabulary, encoding, training, scoring), as the weekly table is
     written once and read by the training job.  Files are as many as the
     tasks that made it; a filter on ``week`` is pushed to their row groups.
-    Metrics that are no features are left out once the label is known."""
-    return hand_off(_features_only(labelled(spark, sf_dir)))
+    Metrics that are no features are left out once the label is known, and the parts
+    of the dataset name are not written: they follow from the name where it is read."""
+    table = _features_only(labelled(spark, sf_dir))
+    return with_dataset_parts(hand_off(table.drop(*DATASET_PART_COLUMNS))).select(table.columns)
 
 
 def _features_only(lab: DataFrame) -> DataFrame:
@@ -505,7 +507,7 @@ def q_score_week_kept(spark, sf_dir):
     fitted = models.fit("random_forest", hand_off(e.vectors(train).select("label", "features")), e.arities)
     kept, path = models.Kept("random_forest", fitted, e), owner_of(spark).new_path()
     kept.save(path)
-    both = models.score_twice(models.load_kept(spark, path), kept, verify.with_row_number(week))
+    both = models.score_twice(models.load_kept(spark, path), kept, week)
     return verify.agreeing(both).select(*POPULARITY_KEYS, "label")
 
 

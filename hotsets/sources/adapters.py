@@ -75,14 +75,15 @@ def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_nationkey", "n_name", "r_name")
 
 
-def server_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> (site, domain).  Grows with supplier; the join strategy
-    is left to Spark's size estimates and AQE."""
+def with_server(accesses: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses with the site and domain of their supplier.  Supplier grows; the join strategy is left
+    to Spark's size estimates and AQE.  It is joined as it is read, and nation and region after it:
+    joined with them first, it has no estimate that Spark could choose a broadcast by in
+    time, and all accesses are shuffled for it."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nr = _nation_region(spark, sf_dir)
-    return s.join(F.broadcast(nr), s.s_nationkey == nr.n_nationkey).select(
-        F.col("s_suppkey"), F.col("n_name").alias("server_site"),
-        F.col("r_name").alias("server_domain"))
+    found = accesses.join(s, accesses.l_suppkey == s.s_suppkey).join(F.broadcast(nr), s.s_nationkey == nr.n_nationkey)
+    return found.withColumnsRenamed({"n_name": "server_site", "r_name": "server_domain"})
 
 
 def access_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,7 @@ def access_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     acc = li.join(o, li.l_orderkey == o.o_orderkey)
-    acc = acc.join(server_dimension(spark, sf_dir), acc.l_suppkey == F.col("s_suppkey"))
-    return acc.select(
+    return with_server(acc, spark, sf_dir).select(
         F.lit(None).cast("string").alias("_corrupt_record"),
         F.col("l_returnflag").alias("client_domain"),
         F.col("o_custkey").cast("string").alias("client_host"),

@@ -192,3 +192,49 @@ def test_tree_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(models, "ROWS_PER_TASK", 20)
     models.fit("random_forest", df, {"f_week": 53})
     assert len(seen["rows"]) == 200 and sum(seen["rows"]) == 4000 and max(seen["rows"]) <= 30
+
+
+def test_score_twice_looks_each_value_up_once(spark):
+    """Each model's ids are those of its own vocabulary, and the code generated for both scores can be compiled."""
+    import re
+    df = planted(spark, n=600)
+    # two vocabularies, each with values that the other does not have
+    old, new = (models.fit_encoding(df.where(w)) for w in ("server_site <> 'S0'", "server_site <> 'S3' and client_domain = 'c2'"))
+    assert old.sizes != new.sizes
+    first, second = (models.Kept("random_forest", models.fit("random_forest", e.vectors(df).select("label", "features").localCheckpoint(), e.arities), e) for e in (old, new))
+    both = models.score_twice(first, second, verify.with_row_number(df))
+    want = [{r["dataset_name"]: r["score"] for r in k.score(df).collect()} for k in (first, second)]
+    assert {r["dataset_name"]: (r["again"], r["score"]) for r in both.collect()} == {k: (want[0][k], want[1][k]) for k in want[0]}
+    assert _plan(both).count("Join LeftOuter") == 9
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(verify.agreeing(both).select("label")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the JVM leaves methods of over 8000 bytes uncompiled
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
+
+
+def test_tree_rows_are_dealt_once(spark, monkeypatch):
+    """However often a learner reads rows that were dealt anew, they are dealt out once; nothing is kept after it."""
+    passes = spark.sparkContext.accumulator(0)
+    seen = {}
+
+    def counted(rows):
+        for row in rows:
+            passes.add(1)
+            yield row
+
+    class Learner:
+        def fit(self, train):
+            seen["train"] = train
+            for _ in range(3):
+                assert train.select("label").rdd.count() == 4000
+
+    monkeypatch.setattr(models, "estimator", lambda name, bins: Learner())
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 20)
+    df = spark.createDataFrame(spark.range(0, 4000, numPartitions=2).selectExpr("cast(id % 2 as double) as label").rdd.mapPartitions(counted), "label double")
+    models.fit("decision_tree", df, {"f_week": 53})
+    # counting them and dealing them out
+    assert passes.value == 8000
+    assert not seen["train"].is_cached and not seen["train"].storageLevel.useDisk

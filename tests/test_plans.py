@@ -61,3 +61,16 @@ def test_no_python_udf_in_any_query_plan(spark):
     for name in ("popularity_weekly", "vocabulary", "features_indexed", "curve_binned", "typed_rows"):
         text = plan(E.queries()[name](spark, SF_SMALL), "simple")
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
+
+
+def test_labelled_hand_off_leaves_out_what_the_name_says(spark):
+    """The parts of the dataset name are not written with it."""
+    text = plan(E.queries()["score_week_features"](spark, SF_SMALL))
+    read = re.findall(r"ReadSchema: ([^\n]*)", text)
+    assert any("dataset_name" in r for r in read) and not any("datatier" in r or "primary_dataset" in r for r in read)
+
+
+def test_supplier_is_joined_by_its_own_size(spark):
+    """Few suppliers are broadcast from the start; accesses are not shuffled for them until their size is known."""
+    text = plan(E.queries()["access_clean"](spark, SF_SMALL), "simple")
+    assert text.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in text
